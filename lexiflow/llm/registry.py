@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, mixing, quality_rules, token_files
+from . import bpe, chat_format, jaccard_join, mixing, quality_rules, suffix_dedup, token_files, toxicity, va_search
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_chat_format": chat_format.query,
+    "op3_suffix_dedup": suffix_dedup.query,
+    "op4_jaccard_join": jaccard_join.query,
     "op5_source_mix": mixing.query,
     "op6_bpe": bpe.query,
+    "op7_toxicity": toxicity.query,
     "op8_token_files": token_files.query,
+    "op10_va_search": va_search.query,
 }
 
-ORACLES = {"op2_chat_format": chat_format.ORACLE}
+ORACLES = {"op2_chat_format": chat_format.ORACLE, "op10_va_search": va_search.ORACLE}
