@@ -11,6 +11,8 @@ A file counts only once its task has reported it (lost or repeated attempts leav
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -26,7 +28,6 @@ FRAME_BYTES = 1 << 18  # ids gathered in one frame, unless one document has more
 FILE_BYTES = 1 << 28  # ids in one file before the next is begun
 # Fixed values of the seekable zstandard format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
-CACHE_WORDS = 150_000
 
 
 def _fs(path: str):
@@ -129,38 +130,108 @@ class Reader:
         return self.last[1][at - int(self.raw_at[k]) :][:n]
 
 
-_TOKENIZERS: dict[int, tuple] = {}
+#: Words and letter runs whose encodings a worker remembers; full tables are emptied, so memory stays bounded.
+CACHE_WORDS = 150_000
+CACHE_RUNS = 300_000
+CHUNK_BYTES = 1 << 20  # texts encoded together, unless one text has more
+
+_LIBRARY: dict[int, Library] = {}
+
 
+class Library:
+    """The library's encoding of whole texts, each distinct word only once.
 
-def _library(spec: str):
-    """The library's tokenizer and this worker's table of encoded words."""
-    from tokenizers import Tokenizer
+    No piece of this tokenizer crosses ASCII white space, so a text's ids are those of its words in turn. A word of
+    Latin letters with marks behind has two pieces, the lower-case letters and the marks; such pieces go to the
+    library's model in bulk, without its normaliser, and end where a token ends a word. Other words go to the whole
+    library tokenizer.
+    """
 
+    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:()#%$*&]*)").fullmatch
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        d = json.loads(spec)
+        kinds = [x["type"] for x in d["pre_tokenizer"].get("pretokenizers", [])]
+        # Anything but lower-casing byte-level pieces with word ends is left to the whole tokenizer.
+        self.simple = self.SIMPLE if kinds == ["Split", "ByteLevel"] and (d["normalizer"] or {}).get("normalizers", [{}])[-1].get("type") == "Lowercase" and d["model"].get("end_of_word_suffix") else lambda w: None
+        self.full = Tokenizer.from_str(json.dumps(d | {"truncation": None, "padding": None}))
+        if kinds:
+            plain = {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, d["pre_tokenizer"]["pretokenizers"][-1]]}}
+            self.plain = Tokenizer.from_str(json.dumps(d | plain))
+        suffix, vocab = d["model"].get("end_of_word_suffix") or "", d["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.runs) + len(new) > CACHE_RUNS:
+            self.runs = {"": b""}
+        split, rest, need = [], [], set()
+        for w in new:
+            m = self.simple(w.decode())
+            if m is None:
+                rest.append(w)
+                continue
+            run, marks = m[1].lower(), m[2]
+            split.append((w, run, marks))
+            if run not in self.runs:
+                need.add(run)
+            if marks not in self.runs:
+                need.add(marks)
+        need = list(need)
+        for k in range(0, len(need), 1000):
+            part = need[k : k + 1000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("a run is not one piece")
+            data, at = ids.tobytes(), 0
+            for r, end in zip(part, (4 * cuts).tolist(), strict=True):
+                self.runs[r] = data[at:end]
+                at = end
+        for w, run, marks in split:
+            self.words[w] = self.runs[run] + self.runs[marks]
+        for k in range(0, len(rest), 1000):
+            part = rest[k : k + 1000]
+            for w, e in zip(part, self.full.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        lists = [t.split() for t in texts]
+        words = self.words
+        new = set().union(*lists).difference(words)
+        if new:
+            if len(words) + len(new) > CACHE_WORDS:  # the tables are emptied: all words of these texts are new
+                new = set().union(*lists)
+            self._learn(new)
+        return [b"".join([words[w] for w in ws]) for ws in lists]
+
+
+def library(spec: str) -> Library:
     key = hash(spec)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        t = Tokenizer.from_str(spec)
-        t.no_truncation()
-        t.no_padding()
-        _TOKENIZERS[key] = t, {}
-    return _TOKENIZERS[key]
-
-
-def encode_all(texts: list[bytes], spec: str) -> Iterator[bytes]:
-    """The library's ids of each text. Pieces never cross ASCII white space in this tokenizer, so each distinct run
-    without it is encoded once and remembered (a bounded table)."""
-    tokenizer, cache = _library(spec)
-    for text in texts:
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(dict.fromkeys(words))
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        yield b"".join([cache[w] for w in words])
+    if key not in _LIBRARY:
+        _LIBRARY.clear()
+        _LIBRARY[key] = Library(spec)
+    return _LIBRARY[key]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    keys, texts, size = [], [], 0
+    for b in batches:
+        for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            keys.append(k)
+            texts.append(t.as_py() or b"")
+            size += len(texts[-1])
+            if size >= CHUNK_BYTES:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
 
 
 def write_tokens(docs: DataFrame, spec: str, end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,13 +248,10 @@ def write_tokens(docs: DataFrame, spec: str, end_id: int, folder: str | None = N
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, writer = [], None
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            texts = (t.as_py() or b"" for t in b.column(1))
-            for i, t in zip(keys, texts, strict=True):
+        for keys, texts in _chunks(batches):
+            for i, ids in zip(keys, library(held.value).encode(texts), strict=True):
                 if writer is None:
                     writer = Writer(f"{folder}/{uuid.uuid4().hex}.ids.zst")
-                (ids,) = encode_all([t], held.value)
                 writer.add(i, ids + end)
                 if 4 * writer.n_ids >= FILE_BYTES:
                     done.append(writer.close())
@@ -212,7 +280,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids[at : i + 1], pa.int64(), mask=r.nulls[at : i + 1]), pa.array(r.starts[at : i + 1] + base, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "start", "ids"])
                         at, size, rows = i + 1, 0, []
 
-    spread = manifest.select("path", "start").repartition(F.col("path"))
+    # A fixed count: adaptive execution would read all files in one task, the manifest itself being small.
+    n = manifest.count()
+    spread = manifest.select("path", "start").repartition(max(1, n), F.col("path"))
     return spread.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
