@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, jaccard_join, mixing, quality_rules, suffix_dedup, token_files, toxicity, va_search
+from . import bpe, chat_format, importance, jaccard_join, mixing, quality_rules, suffix_dedup, token_files, toxicity, va_search
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bpe": bpe.query,
     "op7_toxicity": toxicity.query,
     "op8_token_files": token_files.query,
+    "op9_importance_resampling": importance.query,
     "op10_va_search": va_search.query,
 }
 
