@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 
 #: Words kept in a worker's table of finished encodings; a full table is emptied, so memory stays bounded.
 CACHE_WORDS = 150_000
+CACHE_PIECES = 250_000
 #: Values of one output batch are held under this many bytes.
 BATCH_BYTES = 8 << 20
 
@@ -37,18 +39,15 @@ class Backtracking:
         self.parts = {a + b: (a, b) for a, b in merges}
         self.pairs = {(a, b): k for k, (a, b) in enumerate(merges)}
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.shorter: dict[str, str | None] = {}
+        self.shorter: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
         for t in tokens:
-            self.automaton.add_word(t, t)
+            self.automaton.add_word(t, len(t))
         self.automaton.make_automaton()
 
     def _stands(self, a: str, b: str) -> bool:
         """Whether the boundary between two tokens survives merging: undo the later of both until only base
         symbols face each other; at no time may the facing symbols merge before what was undone."""
-        got = self.compatible.get((a, b))
-        if got is not None:
-            return got
         left, right, limit, good = a, b, 1 << 60, True
         while True:
             k = self.pairs.get((left, right))
@@ -67,33 +66,42 @@ class Backtracking:
         self.compatible[a, b] = good
         return good
 
-    def _prefix(self, t: str) -> str | None:
+    def _prefix(self, t: str) -> str:
+        """The next shorter token that ``t`` begins with; empty if there is none."""
         if t not in self.shorter:
-            self.shorter[t] = next((t[:k] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), None)
+            self.shorter[t] = next((t[:k] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), "")
         return self.shorter[t]
 
     def encode(self, piece: str) -> list[int]:
         n = len(piece)
-        longest: list[str | None] = [None] * n
-        for end, t in self.automaton.iter(piece):
-            start = end - len(t) + 1
-            if longest[start] is None or len(longest[start]) < len(t):
-                longest[start] = t
-        dead, placed, at, t = bytearray(n + 1), [], 0, longest[0] if n else None
+        longest = [0] * n
+        for end, length in self.automaton.iter(piece):
+            longest[end + 1 - length] = length  # ends ascend, so the last one seen from a start is the longest
+        dead, placed, at = bytearray(n + 1), [], 0
+        t = piece[: longest[0]] if n else ""
+        compatible = self.compatible
         while at < n:
-            while t is not None and (dead[at + len(t)] or placed and not self._stands(placed[-1], t)):
+            if t:
+                end = at + len(t)
+                if not dead[end]:
+                    fits = not placed or compatible.get((placed[-1], t))
+                    if fits is None:
+                        fits = self._stands(placed[-1], t)
+                    if fits:
+                        placed.append(t)
+                        at = end
+                        if at < n:
+                            t = piece[at : at + longest[at]]
+                        continue
                 t = self._prefix(t)
-            if t is None:
-                if not placed:
-                    raise ValueError(f"no token covers {piece!r}")
-                dead[at] = 1
-                t = placed.pop()
-                at -= len(t)
-            else:
-                placed.append(t)
-                at += len(t)
-                t = longest[at] if at < n else None
-        return [self.ids[t] for t in placed]
+                continue
+            if not placed:
+                raise ValueError(f"no token covers {piece!r}")
+            dead[at] = 1
+            t = placed.pop()
+            at -= len(t)
+        ids = self.ids
+        return [ids[t] for t in placed]
 
 
 def byte_letters() -> list[str]:
@@ -122,6 +130,7 @@ class WordBpe:
         self.bpe = Backtracking({self._symbols(t): i for t, i in model["vocab"].items()}, [(self._symbols(a), self._symbols(b)) for a, b in merges])
         self.pieces = regex.compile(self.PIECES)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else lambda s: [s]
+        self.simple = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:()#%$*&]*)").fullmatch
         self.letters = byte_letters()
         by_id = {i: t for t, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         table = [by_id.get(i, "").encode() + b" " for i in range(max(by_id) + 1)]
@@ -129,7 +138,8 @@ class WordBpe:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(table), dtype=np.uint8)
         self.cache: dict[bytes, bytes] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.assigned: set[str] = set()
 
     def _symbols(self, t: str) -> str:
         if t.endswith(self.suffix) and len(t) > len(self.suffix):
@@ -139,29 +149,38 @@ class WordBpe:
 
     def word(self, w: bytes) -> bytes:
         """Ids of a run without ASCII white space, as little-endian 32-bit integers."""
-        ids: list[int] = []
-        for part in self.cut(w.decode()):
+        text = w.decode()
+        simple = self.simple(text)
+        if simple is not None:  # letters that compose with nothing, and marks behind: two pieces
+            run, marks = simple[1].lower(), simple[2]
+            got = self.known.get(run) or self._piece(run)
+            return got + (self.known.get(marks) or self._piece(marks)) if marks else got
+        out: list[bytes] = []
+        for part in self.cut(text) if any(x in text for x in self.special) else (text,):
             if part in self.special:
-                ids.append(self.special[part])
-                continue
-            for piece in self._pieces(part):
-                got = self.known.get(piece)
-                if got is None:
-                    s = "".join([self.letters[b] for b in piece.encode()])
-                    got = self.bpe.encode(s[:-1] + chr(ord(s[-1]) + self.END))
-                    if len(self.known) >= CACHE_WORDS:
-                        self.known.clear()
-                    if len(piece) <= 200:
-                        self.known[piece] = got
-                ids += got
-        return np.array(ids, dtype="<u4").tobytes()
+                out.append(pack("<I", self.special[part]))
+            else:
+                out += [self.known.get(piece) or self._piece(piece) for piece in self._pieces(part)]
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _piece(self, piece: str) -> bytes:
+        symbols = "".join([self.letters[b] for b in piece.encode()])
+        ids = self.bpe.encode(symbols[:-1] + chr(ord(symbols[-1]) + self.END))
+        got = pack(f"<{len(ids)}I", *ids)
+        if len(self.known) >= CACHE_PIECES:
+            self.known.clear()
+        if len(piece) <= 200:
+            self.known[piece] = got
+        return got
 
     def _pieces(self, s: str) -> list[str]:
         """Pieces of a run after normalisation. Code points that Python's Unicode tables do not know yet are normalised
         and classified as the library does, so results do not hang on the versions of tables."""
         if s.isascii():
             return self.pieces.findall(s.lower())
-        if not any(unicodedata.category(c) == "Cn" for c in s):
+        new = set(s) - self.assigned
+        if not any(unicodedata.category(c) == "Cn" for c in new):
+            self.assigned |= new
             return self.pieces.findall(unicodedata.normalize("NFC", s).replace("Σ", "σ").lower())
         from tokenizers import normalizers
 
