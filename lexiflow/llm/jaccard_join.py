@@ -219,7 +219,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array([h[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], ["c", "digest", "n", "hashes"])
 
-    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "c long, digest binary, n long, hashes binary").dropDuplicates(["c", "digest"])
+    return docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "c long, digest binary, n long, hashes binary").dropDuplicates(["c", "digest"])
 
 
 def _forest(numbers: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
