@@ -116,7 +116,8 @@ def assess(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataF
         kept.alias("kept"),
         F.col("__q_clean").alias("cleaned_text"),
     )
-    return d.select(*[F.col(f"`{c}`") for c in names], quality.alias("quality"))
+    # A generator of one row: filters on the verdict stay above it instead of repeating its expressions below.
+    return d.select(*[F.col(f"`{c}`") for c in names], F.explode(F.array(quality)).alias("quality"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
