@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus, retrieve
+
+QUERIES = corpus.QUERIES | retrieve.QUERIES
+ORACLES = corpus.ORACLES | retrieve.ORACLES
