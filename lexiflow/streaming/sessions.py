@@ -25,12 +25,12 @@ def sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
 
 def sessions_stream(events: DataFrame, gap: str = "1 hour") -> DataFrame:
     """The streaming form: late by no more than the gap."""
-    return sessions(events.withWatermark("ts", gap), gap)
+    return sessions(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", gap), gap)
 
 
 def distinct_stream(rows: DataFrame, key: str, ts: str = "ts", within: str = "1 hour") -> DataFrame:
     """Rows of a stream whose key was not seen within the watermark."""
-    return rows.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
 def running(batches: DataFrame, order: str, total: str, correct: str) -> DataFrame:
