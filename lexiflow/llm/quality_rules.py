@@ -36,6 +36,7 @@ class Rules:
     separator_share: float = 0.2
 
 
+SEPARATORS = ("|", ">", "»", "›", "•")
 # Words of menu items and of page furniture.
 NAVIGATION = ("home", "login", "log in", "sign in", "sign up", "register", "menu", "next", "previous", "sitemap", "contact us", "about us", "read more", "search", "share", "back to top")
 BOILERPLATE = ("cookie policy", "use of cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum", "enable javascript", "subscribe to our newsletter")
@@ -47,7 +48,7 @@ def _line_fails(line: Column, r: Rules) -> Column:
     n = F.size(F.split(bare, GAP))
     marks = F.length(F.regexp_replace(bare, r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+", ""))
     punctuation = (marks > r.max_mark_share * F.greatest(F.length(bare), F.lit(8))) | ((n >= r.long_line_words) & ~bare.rlike(r"[.!?;:,。！？]"))
-    separators = F.length(bare) - F.length(F.regexp_replace(bare, r"(?<=[\x20\x09-\x0D])[|>»›•](?=[\x20\x09-\x0D])", ""))
+    separators = F.size(F.filter(F.split(bare, GAP), lambda w: w.isin(*SEPARATORS)))
     short = (n <= r.navigation_words) & ((separators > 0) | low.rlike(r"^(?:" + "|".join(NAVIGATION) + r")[.!]?$"))
     navigation = short | ((separators >= 2) & (separators >= r.separator_share * n))
     boilerplate = low.rlike("|".join(BOILERPLATE))
@@ -126,3 +127,36 @@ def query(spark, sf_dir: str) -> DataFrame:
     q = assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_words")
     return q.select("doc_id", *[F.col(f"quality.{f}").alias(f) for f in fields])
+
+
+def _oracle(r: Rules = Rules()) -> str:
+    gap, word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+    count = f"len(list_filter(regexp_split_to_array({{}}, '{gap}'), lambda w: w <> ''))"
+    separators = f"len(list_filter(regexp_split_to_array(trim(x), '{gap}'), lambda w: w IN ({', '.join(repr(s) for s in SEPARATORS)})))"
+    n = f"len(regexp_split_to_array(trim(x), '{gap}'))"
+    marks = r"length(regexp_replace(trim(x), '[\p{L}\p{M}\p{N}\x20\x09-\x0D]+', '', 'g'))"
+    fails = f"""({marks} > {r.max_mark_share} * greatest(length(trim(x)), 8)
+      OR ({n} >= {r.long_line_words} AND NOT regexp_matches(trim(x), '[.!?;:,。！？]'))
+      OR ({n} <= {r.navigation_words} AND ({separators} > 0 OR regexp_matches(lower(trim(x)), '^(?:{'|'.join(NAVIGATION)})[.!]?$')))
+      OR ({separators} >= 2 AND {separators} >= {r.separator_share} * {n})
+      OR regexp_matches(lower(trim(x)), '{'|'.join(BOILERPLATE)}'))"""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+e AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{gap}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM d),
+g AS (SELECT *, list_filter(l, lambda x: NOT {fails}) AS good FROM e),
+c AS (SELECT *, CASE WHEN len(good) = len(l) THEN t ELSE array_to_string(good, chr(10)) END AS clean FROM g),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + {r.window - 1}], ' ') AS s FROM e, LATERAL (SELECT unnest(range(1, len(w) - {r.window - 2})) AS i)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, {r.window})) AS k) GROUP BY doc_id),
+f AS (
+  SELECT c.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+    len(l)::BIGINT AS n_lines, (len(l) - len(good))::BIGINT AS n_failed_lines, (len(w) - {count.format('clean')})::BIGINT AS lost_words
+  FROM c LEFT JOIN cov ON c.doc_id = cov.doc_id),
+b AS (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND (lost_words <= {r.max_lost_share} * n_words OR lost_words <= {r.free_lost_words}) AND n_words > lost_words AS kept FROM b
+"""
+
+
+ORACLE = _oracle()

@@ -17,4 +17,10 @@ QUERIES = {
     "op10_va_search": va_search.query,
 }
 
-ORACLES = {"op2_chat_format": chat_format.ORACLE, "op10_va_search": va_search.ORACLE}
+ORACLES = {
+    "op1_quality_rules": quality_rules.ORACLE,
+    "op2_chat_format": chat_format.ORACLE,
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
+    "op4_jaccard_join": jaccard_join.ORACLE,
+    "op10_va_search": va_search.ORACLE,
+}
