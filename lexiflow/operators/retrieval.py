@@ -24,16 +24,17 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, doc_toke
     """
     d = docs.select(key, doc_tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
     stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    post = postings(d, key, F.col("tokens"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    # Document frequencies sum per term before their shuffle; (document, term) pairs exist for query terms only.
+    df = d.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
     idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = idf.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")))
     asked = queries.select(query_key, F.explode(query_tokens).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    terms = asked.join(idf.select("term", "idf", "avgdl"), "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = post.join(terms, "term").join(d.select(key, "dl"), key)
-    return hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    weights = asked.select("term").distinct().join(idf.select("term", "idf", "avgdl"), "term")
+    tf = d.select(key, "dl", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = tf.join(weights, "term").select(key, "term", part.alias("part"))
+    return scored.join(asked, "term").groupBy(query_key, key).agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,6 +57,9 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
 
     A stated query table meets all vectors; each task keeps its best k per query before the shuffle.
     """
+    if metric == "cosine":  # norms once per vector, not once per pair
+        queries, vectors, metric = queries.withColumn("qv", unit(F.col("qv"))), vectors.withColumn("v", unit(F.col("v"))), "ip"
+        queries, vectors = queries.repartition("q"), vectors.repartition("id")  # keeps the division below the join
     scored = vectors.join(queries, F.lit(True)).select("q", "id", F.round(similarity(F.col("qv"), F.col("v"), metric), 9).alias("score"))
     return top_k(scored, ["q"], [F.desc("score"), F.asc("id")], k)
 
