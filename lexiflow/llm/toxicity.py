@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._base import materialize
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,7 @@ class Model:
     sizes: tuple[int, ...]
 
 
+TASKS = 6  # of the fit
 PIECE = 1 << 20  # bytes of text hashed at a time
 
 
@@ -122,7 +126,9 @@ def fit_model(rows: DataFrame, fit: Fit) -> Model:
         yield pa.RecordBatch.from_pydict({"f": [some.tobytes()], "n0": [n[0][some].tobytes()], "n1": [n[1][some].tobytes()], "d0": [rows_of[0]], "d1": [rows_of[1]]})
 
     n, d = np.zeros((2, 1 << bits)), [0, 0]
-    for r in rows.coalesce(8).mapInArrow(counted, "f binary, n0 binary, n1 binary, d0 long, d1 long").toLocalIterator():
+    # The sample is bounded, so is what its few tasks send: one table of fixed size each.
+    rows = materialize(rows.repartition(TASKS), "labelled-sample").repartition(TASKS)
+    for r in rows.mapInArrow(counted, "f binary, n0 binary, n1 binary, d0 long, d1 long").collect():
         f = np.frombuffer(r.f, dtype=np.int32)
         n[0][f] += np.frombuffer(r.n0, dtype=np.int32)
         n[1][f] += np.frombuffer(r.n1, dtype=np.int32)
@@ -151,7 +157,7 @@ def fit_model(rows: DataFrame, fit: Fit) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["y", "f"])
 
     ys, lists = [], []
-    for r in rows.coalesce(8).mapInArrow(rows_of, "y int, f binary").toLocalIterator():
+    for r in rows.mapInArrow(rows_of, "y int, f binary").collect():
         ys.append(r.y)
         lists.append(np.searchsorted(features, np.frombuffer(r.f, dtype=np.int32)).astype(np.int32))
     y, lens = np.array(ys, dtype=float), np.array([len(x) for x in lists])
@@ -192,8 +198,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             z = np.concatenate(z) if z else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*b.schema.names, name])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
