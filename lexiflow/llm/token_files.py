@@ -11,7 +11,9 @@ A file counts only once its task has reported it (lost or repeated attempts leav
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import re
 import struct
 import uuid
@@ -131,8 +133,9 @@ class Reader:
 
 
 #: Words and letter runs whose encodings a worker remembers; full tables are emptied, so memory stays bounded.
-CACHE_WORDS = 150_000
-CACHE_RUNS = 300_000
+CACHE_WORDS = 300_000
+CACHE_RUNS = 500_000
+MARKS = b".,!?;:"
 CHUNK_BYTES = 1 << 20  # texts encoded together, unless one text has more
 
 _LIBRARY: dict[int, Library] = {}
@@ -152,56 +155,64 @@ class Library:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         d = json.loads(spec)
-        kinds = [x["type"] for x in d["pre_tokenizer"].get("pretokenizers", [])]
-        # Anything but lower-casing byte-level pieces with word ends is left to the whole tokenizer.
-        self.simple = self.SIMPLE if kinds == ["Split", "ByteLevel"] and (d["normalizer"] or {}).get("normalizers", [{}])[-1].get("type") == "Lowercase" and d["model"].get("end_of_word_suffix") else lambda w: None
+        kinds = [x["type"] for x in (d["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        lower = (d["normalizer"] or {}).get("normalizers", [{}])[-1].get("type") == "Lowercase"
         self.full = Tokenizer.from_str(json.dumps(d | {"truncation": None, "padding": None}))
-        if kinds:
+        # Anything but lower-casing byte-level pieces with word ends is left to the whole tokenizer.
+        self.plain, self.simple = None, lambda w: None
+        if kinds == ["Split", "ByteLevel"] and lower and d["model"].get("end_of_word_suffix"):
             plain = {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, d["pre_tokenizer"]["pretokenizers"][-1]]}}
-            self.plain = Tokenizer.from_str(json.dumps(d | plain))
+            self.plain, self.simple = Tokenizer.from_str(json.dumps(d | plain)), self.SIMPLE
         suffix, vocab = d["model"].get("end_of_word_suffix") or "", d["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.runs: dict[bytes, bytes] = {b"": b""}
 
     def _learn(self, new: set[bytes]) -> None:
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
         if len(self.runs) + len(new) > CACHE_RUNS:
-            self.runs = {"": b""}
-        split, rest, need = [], [], set()
-        for w in new:
-            m = self.simple(w.decode())
-            if m is None:
-                rest.append(w)
-                continue
-            run, marks = m[1].lower(), m[2]
-            split.append((w, run, marks))
-            if run not in self.runs:
-                need.add(run)
-            if marks not in self.runs:
-                need.add(marks)
-        need = list(need)
+            self.runs = {b"": b""}
+        runs, words = self.runs, self.words
+        if self.plain is None:
+            easy, other = [], set(new)
+        else:  # ASCII letters with marks behind, told without a regular expression
+            easy = [(w, r) for w in new if (r := w.rstrip(MARKS)).isalpha()]
+            other = new.difference([w for w, _ in easy])
+        split = [(w, r.lower(), w[len(r) :]) for w, r in easy]
+        found = [(w, m) for w in other if (m := self.simple(w.decode()))]
+        split += [(w, m[1].lower().encode(), m[2].encode()) for w, m in found]
+        rest = list(other.difference([w for w, _ in found]) if found else other)
+        need = {r for _, r, _ in split}
+        need.update({m for _, _, m in split})
+        need = list(need.difference(runs))
         for k in range(0, len(need), 1000):
             part = need[k : k + 1000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(part):
                 raise ValueError("a run is not one piece")
-            data, at = ids.tobytes(), 0
-            for r, end in zip(part, (4 * cuts).tolist(), strict=True):
-                self.runs[r] = data[at:end]
-                at = end
-        for w, run, marks in split:
-            self.words[w] = self.runs[run] + self.runs[marks]
+            data = ids.tobytes()
+            runs.update({r: data[x:y] for r, x, y in zip(part, [0, *cuts], cuts, strict=False)})
+        words.update({w: runs[r] + runs[m] if m else runs[r] for w, r, m in split})
         for k in range(0, len(rest), 1000):
             part = rest[k : k + 1000]
             for w, e in zip(part, self.full.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        on = gc.isenabled()
+        gc.disable()  # large tables without cycles: collections would only walk them
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         lists = [t.split() for t in texts]
         words = self.words
         new = set().union(*lists).difference(words)
