@@ -13,28 +13,41 @@ import numpy as np
 
 #: With more symbols than this for its length, a string is sorted by doubling instead: a recursion's last resort.
 MOST_SYMBOLS = 4096
+# Positions have 32 bits: shards hold far less than 2 GB.
 
 
 def _doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array by ranks of prefixes of doubled length (large alphabets)."""
-    n, rank, width = len(s), s.astype(np.int64), 1
+    """Suffix array by ranks of prefixes of doubled length (large alphabets); each round sorts only what is tied."""
+    n = len(s)
+    order = np.argsort(s, kind="stable")
+    rank = np.empty(n, np.int64)
+    sym = s[order]
+    rank[order] = np.maximum.accumulate(np.where(np.concatenate([[True], sym[1:] != sym[:-1]]), np.arange(n), 0))
+    tied, width = np.arange(n), 1
     while True:
-        key = rank * (n + 1)
-        key[: max(0, n - width)] += rank[width:] + 1 if width < n else 0
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        if new[-1] == n - 1:
+        group = rank[order[tied]]
+        same = np.concatenate([[False], group[1:] == group[:-1], [False]])
+        on = same[1:] | same[:-1]
+        tied, group = tied[on], group[on]
+        if not len(tied):
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+        at = order[tied] + width
+        key = group * (n + 1) + np.where(at < n, rank[np.minimum(at, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        order[tied] = order[tied][by]
+        rank[order[tied]] = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), tied, 0))
         width *= 2
 
 
 def _append(sa, fill, s, at):
     """Put suffixes ``at`` (in order) at the free ends of their symbols' buckets; fill moves on."""
     sym = s[at]
-    order = np.argsort(sym, kind="stable")
+    if len(at) == 1:
+        sa[fill[sym[0]]] = at[0]
+        fill[sym[0]] += 1
+        return
+    order = np.argsort(sym, kind="stable")  # a radix sort: symbols have 16 bits
     at, sym = at[order], sym[order]
     first = np.flatnonzero(np.concatenate([[True], sym[1:] != sym[:-1]]))
     size = np.diff(np.concatenate([first, [len(sym)]]))
@@ -45,7 +58,7 @@ def _append(sa, fill, s, at):
 def _induce(s, small, lms, starts, ends):
     """All suffixes in order, from the leftmost smaller ones in order (``small``: the smaller suffixes)."""
     n, k = len(s), len(starts)
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32)
     symbol_of = s[lms]
     lms_cut = np.searchsorted(symbol_of, np.arange(k + 1))  # lms are ordered by symbol first
     fill = starts.copy()
@@ -65,7 +78,7 @@ def _induce(s, small, lms, starts, ends):
         if len(j):
             _append(sa, fill, s, j)
     large_end = fill.copy()
-    back = np.full(n, -1, dtype=np.int64)  # the smaller ones, mirrored: position n - 1 - i of the suffix array
+    back = np.full(n, -1, dtype=np.int32)  # the smaller ones, mirrored: position n - 1 - i of the suffix array
     fill = n - ends
     for c in range(k - 1, -1, -1):
         at = n - ends[c]
@@ -93,14 +106,12 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
         return np.arange(n)
     if symbols > MOST_SYMBOLS:
         return _doubling(s)
+    s = s.astype(np.uint16)
     differ = np.flatnonzero(s[1:] != s[:-1])
     # A suffix is smaller than the next one iff the next different symbol is greater.
-    nxt = np.searchsorted(differ, np.arange(n))
     small = np.zeros(n, dtype=bool)
-    has = nxt < len(differ)
-    d = differ[nxt[has]]
-    small[has] = s[d] < s[d + 1]
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    small[: differ[-1] + 1 if len(differ) else 0] = np.repeat(s[differ] < s[differ + 1], np.diff(np.concatenate([[-1], differ])))
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     counts = np.bincount(s, minlength=symbols)
     ends = np.cumsum(counts)
     starts = ends - counts
@@ -136,17 +147,33 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     """Permuted common prefixes, cut at ``limit``: for each position, how many symbols its suffix shares with the one
     before it in the suffix array. Positions are compared in text order with their predecessors in the array (the
     permuted order), all at once and by halving steps, since nothing beyond the limit is asked for."""
-    n = len(s)
+    n, wide = len(s), 7
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, dtype=np.int64)
+    word = np.zeros(n, dtype=np.int64)  # seven symbols of 9 bits; past the end no symbol
+    for j in range(wide):
+        word <<= 9
+        word[: max(0, n - j)] |= s[j:].astype(np.int64) + 1
     live = np.flatnonzero(before >= 0)
-    step = 0
-    while len(live) and step < limit:
+    step, ends = 0, []
+    while len(live) and step + wide <= limit:
         p, q = live + step, before[live] + step
         on = (p < n) & (q < n)
+        ends.append(live[~on])
         live, p, q = live[on], p[on], q[on]
-        live = live[s[p] == s[q]]
-        step += 1
+        same = word[p] == word[q]
+        # A word that reaches past the end equals no other, since the other one goes on.
+        ends.append(live[~same])
+        live = live[same]
+        step += wide
         out[live] = step
+    ends.append(live)
+    live = np.concatenate(ends)
+    for _ in range(wide):
+        p, q = live + out[live], before[live] + out[live]
+        on = (p < n) & (q < n) & (out[live] < limit)
+        live, p, q = live[on], p[on], q[on]
+        live = live[s[p] == s[q]]
+        out[live] += 1
     return out
