@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -13,7 +14,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB instead of the default 64 MB, which a task holds several times in two processes. A
+    session that sets its own size keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, "8m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +46,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -52,3 +63,21 @@ def n_words(text: Column) -> Column:
     empty_head = (F.element_at(parts, 1) == "").cast("int")
     empty_tail = ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
     return (F.size(parts) - empty_head - empty_tail).cast("long")
+
+
+def tidy(run):
+    """An Arrow function that hands freed memory back to the system when it ends: Python workers live on and serve
+    other stages, whose memory adds to what the allocator still holds."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            from . import _words
+
+            _words.release()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ._base import fresh_path, materialize
 
 FRAME_BYTES = 1 << 18  # ids gathered in one frame, unless one document has more
+READ_BYTES = 8 << 20  # ids that one task reads back, or one file
 FILE_BYTES = 1 << 28  # ids in one file before the next is begun
 # Fixed values of the seekable zstandard format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -46,7 +47,7 @@ class Writer:
 
         files, inner = _fs(path)
         files.create_dir(inner.rpartition("/")[0], recursive=True)
-        self.path, self.out, self.zstd = path, files.open_output_stream(inner, compression=None), zstandard.ZstdCompressor(level=3)
+        self.path, self.out, self.zstd = path, files.open_output_stream(inner, compression=None), zstandard.ZstdCompressor(level=1)
         self.buffer: list[bytes] = []
         self.held = self.n_ids = 0
         self.table: list[tuple[int, int, int]] = []
@@ -133,8 +134,8 @@ class Reader:
 
 
 #: Words and letter runs whose encodings a worker remembers; full tables are emptied, so memory stays bounded.
-CACHE_WORDS = 300_000
-CACHE_RUNS = 500_000
+CACHE_WORDS = 400_000
+CACHE_RUNS = 600_000
 MARKS = b".,!?;:"
 CHUNK_BYTES = 1 << 20  # texts encoded together, unless one text has more
 
@@ -271,7 +272,7 @@ def write_tokens(docs: DataFrame, spec: str, end_id: int, folder: str | None = N
             done.append(writer.close())
         yield pa.RecordBatch.from_pydict({n: pa.array([d[j] for d in done], t) for j, (n, t) in enumerate((("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())))})
 
-    files = materialize(ordered.mapInArrow(write, "path string, first_id long, n_docs long, n_ids long"), "token-manifest")
+    files = materialize(ordered.mapInArrow(write, "path string, first_id long, n_docs long, n_ids long").repartition(8), "token-manifest")
     # One row per file; files with equal first ids hold only that id, so any order of them is ascending.
     before = F.sum("n_ids").over(Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("path")).rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
@@ -292,8 +293,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         at, size, rows = i + 1, 0, []
 
     # A fixed count: adaptive execution would read all files in one task, the manifest itself being small.
-    n = manifest.count()
-    spread = manifest.select("path", "start").repartition(max(1, n), F.col("path"))
+    files, ids = manifest.agg(F.count("*"), F.sum("n_ids")).first()
+    spread = manifest.select("path", "start").repartition(max(1, min(files, -(-4 * (ids or 0) // READ_BYTES))), F.col("path"))
     return spread.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
