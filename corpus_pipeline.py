@@ -63,7 +63,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     spec = bpe.read_spec(public_tokenizers.path("word_bpe_49k.json"))
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), spec).drop("text"), spec)
+    out = bpe.round_trip(docs.select("doc_id", "source", "text"), spec)
     return out.select("doc_id", "source", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -31,18 +31,28 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _held: list = [np.zeros(0, _U), np.zeros(0, _U)]
 
 
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n or more of each."""
+    if len(_held[0]) < n:
+        _held[:] = [_powers(_BASE, n), _powers(_INVERSE, n)]
+    return _held
+
+
+def release() -> None:
+    _held[:] = [np.zeros(0, _U), np.zeros(0, _U)]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word (maximal run of bytes other than ASCII white space) of texts, and words per text."""
     data = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(data, dtype=np.uint8)
-    if len(_held[0]) < len(raw) + 1:
-        _held[:] = [_powers(_BASE, len(raw) + 1), _powers(_INVERSE, len(raw) + 1)]
+    up, down = powers(len(raw) + 1)
     gap = _GAP[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     with np.errstate(over="ignore"):
-        sums = np.cumsum(_TABLE[raw] * _held[0][: len(raw)], dtype=_U)
-        h = (sums[ends - 1] - np.where(starts > 0, sums[np.maximum(starts - 1, 0)], _U(0))) * _held[1][starts]
+        sums = np.cumsum(_TABLE[raw] * up[: len(raw)], dtype=_U)
+        h = (sums[ends - 1] - np.where(starts > 0, sums[np.maximum(starts - 1, 0)], _U(0))) * down[starts]
         h = mix(h + (ends - starts).astype(_U) * _BASE)
     stops = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(starts, stops)

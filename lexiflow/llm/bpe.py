@@ -21,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._base import tidy
+
 #: Words kept in a worker's table of finished encodings; a full table is emptied, so memory stays bounded.
-CACHE_WORDS = 150_000
-CACHE_PIECES = 250_000
+CACHE_WORDS = 100_000
+CACHE_PIECES = 150_000
+CACHE_PAIRS = 150_000
 #: Values of one output batch are held under this many bytes.
 BATCH_BYTES = 8 << 20
 
@@ -61,7 +64,7 @@ class Backtracking:
                 limit, left = p, self.parts[left][1]
             else:
                 limit, right = q + 1, self.parts[right][0]
-        if len(self.compatible) > 1_000_000:
+        if len(self.compatible) >= CACHE_PAIRS:
             self.compatible.clear()
         self.compatible[a, b] = good
         return good
@@ -213,15 +216,22 @@ class WordBpe:
     def decode(self, ids: bytes) -> bytes:
         """Token texts joined by one space, gathered by offset and length of each id. In pieces of bounded size."""
         every, out = np.frombuffer(ids, dtype="<u4"), []
-        for k in range(0, len(every), 1 << 18):
-            part = every[k : k + (1 << 18)]
+        for k in range(0, len(every), 1 << 16):
+            part = every[k : k + (1 << 16)]
             n = self.lengths[part]
             ends = np.cumsum(n)
             out.append(self.bytes[np.repeat(self.starts[part] - (ends - n), n) + np.arange(ends[-1])].tobytes())
         return b"".join(out)[:-1]
 
-    def decode_text(self, ids: bytes) -> str:
-        return self.decode(ids).decode()
+    def encoded(self, text: bytes) -> tuple[bytes]:
+        return (self.encode(text),)
+
+    def decoded(self, ids: bytes) -> tuple[bytes]:
+        return (self.decode(ids),)
+
+    def both(self, text: bytes) -> tuple[bytes, bytes]:
+        ids = self.encode(text)
+        return ids, self.decode(ids)
 
 
 _MODELS: dict[int, WordBpe] = {}
@@ -241,30 +251,35 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def _in_parts(batch: pa.RecordBatch, column: str, f, name: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """``batch`` with one more column f(value), cut into batches of bounded size."""
+def _in_parts(batch: pa.RecordBatch, column: str, f, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """``batch`` with more columns f(value), cut into batches of bounded size."""
     at, done, size = 0, [], 0
-    values = batch.column(batch.schema.get_field_index(column))
-    values = values.cast(pa.binary()) if not pa.types.is_binary(values.type) else values
+    values = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
     for i, v in enumerate(values):
         done.append(f(v.as_py() or b""))
-        size += len(done[-1])
+        size += sum(map(len, done[-1]))
         if size >= BATCH_BYTES or i + 1 == len(values):
             part = batch.slice(at, i + 1 - at)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, kind)], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([x[j] for x in done], k) for j, k in enumerate(kinds)]], [*batch.schema.names, *names])
             at, done, size = i + 1, [], 0
 
 
-def _apply(df: DataFrame, column: str, spec: str, method: str, name: str, kind: pa.DataType, out: T.DataType) -> DataFrame:
+def _apply(df: DataFrame, column: str, spec: str, method: str, out: list[tuple[str, pa.DataType, T.DataType]]) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(spec)
+    names, kinds = [n for n, _, _ in out], [k for _, k, _ in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = getattr(_model(held.value), method)
-        for b in batches:
-            yield from _in_parts(b, column, f, name, kind)
+        model = _model(held.value)
+        f = getattr(model, method)
+        try:
+            for b in batches:
+                yield from _in_parts(b, column, f, names, kinds)
+        finally:  # the worker may serve other stages next; finished pieces stay for its next task of this kind
+            model.cache.clear()
+            model.bpe.compatible.clear()
 
-    df = df.select(*[c for c in df.columns if c != name])
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, out)]))
+    df = df.select(*[c for c in df.columns if c not in names])
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, _, t in out]]))
 
 
 def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -273,7 +288,7 @@ def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> Da
     Null and empty texts give no ids. Special tokens' strings in a text become their ids. A column named ``ids``
     is replaced; other columns, repeated rows and empty tables pass through.
     """
-    return _apply(df, text, spec, "encode", ids, pa.binary(), T.BinaryType())
+    return _apply(df, text, spec, "encoded", [(ids, pa.binary(), T.BinaryType())])
 
 
 def decode(df: DataFrame, spec: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -281,14 +296,18 @@ def decode(df: DataFrame, spec: str, ids: str = "ids", decoded: str = "decoded")
 
     Null counts as no ids and gives the empty text. A column named ``decoded`` is replaced.
     """
-    return _apply(df, ids, spec, "decode_text", decoded, pa.string(), T.StringType())
+    return _apply(df, ids, spec, "decoded", [(decoded, pa.string(), T.StringType())])
+
 
+def round_trip(df: DataFrame, spec: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both in one pass through one Python worker: ``ids`` of the text, and ``decoded`` from those ids."""
+    return _apply(df, text, spec, "both", [(ids, pa.binary(), T.BinaryType()), (decoded, pa.string(), T.StringType())])
 
 
 def digest(df: DataFrame, spec: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    out = decode(encode(df.select("doc_id", "text"), spec).select("doc_id", "ids"), spec)
+    out = round_trip(df.select("doc_id", "text"), spec)
     return out.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

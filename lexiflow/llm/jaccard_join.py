@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize
+from ._base import materialize, tidy
 from ._graph import components
 from ._words import mix, shingles
 
 _U = np.uint64
-CHUNK_BYTES = 4 << 20  # text hashed at once, unless one text has more
+CHUNK_BYTES = 2 << 20  # text hashed at once, unless one text has more
 SHARD_BYTES = 12 << 20  # packed block keys that one task should get
 TILE, TILE_SHINGLES = 256, 1 << 19  # sets, and shingles of all its sets, that a tile should have
 KEY_BYTES = 7  # of a packed block: 5 of its key, 2 of its class
@@ -131,7 +131,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
                 c, digests = set_ids(h, n)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n", "c", "digest"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, digest binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, c long, digest binary")
 
 
 def _blobs(docs: DataFrame, k: int, bands: Bands, shards: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _blobs(docs: DataFrame, k: int, bands: Bands, shards: int) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([o for _, o in out], pa.binary())], ["shard", "keys"])
 
-    return docs.select("text").mapInArrow(run, "shard int, keys binary")
+    return docs.select("text").mapInArrow(tidy(run), "shard int, keys binary")
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def _lists(blobs: DataFrame, shards: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["members"])
 
-    return blobs.repartition(shards, "shard").mapInArrow(run, "members array<bigint>")
+    return blobs.repartition(shards, "shard").mapInArrow(tidy(run), "members array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -219,7 +219,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array([h[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], ["c", "digest", "n", "hashes"])
 
-    return docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "c long, digest binary, n long, hashes binary").dropDuplicates(["c", "digest"])
+    return docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(run), "c long, digest binary, n long, hashes binary").dropDuplicates(["c", "digest"])
 
 
 def _forest(numbers: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
@@ -359,7 +359,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
 
     near = met.join(blobs.select(F.col("tile").alias("x"), F.col("blob").alias("u")), "x").join(blobs.select(F.col("tile").alias("y"), F.col("blob").alias("v")), "y")
-    return blobs.select("blob").mapInArrow(inner, "a long, b long").union(near.select("u", "v").mapInArrow(across, "a long, b long"))
+    return blobs.select("blob").mapInArrow(tidy(inner), "a long, b long").union(near.select("u", "v").mapInArrow(tidy(across), "a long, b long"))
 
 
 def similar(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -394,3 +394,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     from ._base import table
 
     return similar(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * shared >= 85 * (u.n + v.n - shared)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
+"""

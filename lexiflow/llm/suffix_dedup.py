@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize
-from ._words import _INVERSE, _BASE, _TABLE, _powers, mix
+from ._base import materialize, tidy
+from ._words import _TABLE, mix, powers
 from .suffix_array import common_prefixes, suffix_array
 
 _U = np.uint64
@@ -34,20 +34,17 @@ CHUNK = 2 << 20  # bytes hashed at once; longer texts are cut into overlapping p
 SHARD_CODES = 1 << 20  # codes that one task should get
 LAST = (1 << 63) - 1
 
-_held: list = [np.zeros(0, _U), np.zeros(0, _U)]
-
 
 def codes(data: np.ndarray, width: int) -> np.ndarray:
     """Code of the window at each start 0 .. len - width."""
-    if len(_held[0]) < len(data) + 1:
-        _held[:] = [_powers(_BASE, len(data) + 1), _powers(_INVERSE, len(data) + 1)]
     n = len(data)
+    up, down = powers(n + 1)
     gram = min(GRAM, width)
     with np.errstate(over="ignore"):
         sums = np.empty(n + 1, dtype=_U)
         sums[0] = 0
-        np.cumsum(_TABLE[data] * _held[0][:n], out=sums[1:])
-        low = mix((sums[gram:] - sums[:-gram]) * _held[1][: n + 1 - gram])
+        np.cumsum(_TABLE[data] * up[:n], out=sums[1:])
+        low = mix((sums[gram:] - sums[:-gram]) * down[: n + 1 - gram])
     span, need = 1, width - gram + 1
     while 2 * span <= need:
         low = np.minimum(low[: len(low) - span], low[span:])
@@ -59,9 +56,10 @@ def codes(data: np.ndarray, width: int) -> np.ndarray:
 
 def _hash_of(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """64-bit hashes of the strings of these sizes at these starts."""
+    up, down = powers(len(data) + 1)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_TABLE[data] * _held[0][: len(data)], dtype=_U)])
-        return mix(mix((sums[at + size] - sums[at]) * _held[1][at]) + size.astype(_U))
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_TABLE[data] * up[: len(data)], dtype=_U)])
+        return mix(mix((sums[at + size] - sums[at]) * down[at]) + size.astype(_U))
 
 
 def pieces(texts: Iterator[tuple], width: int) -> Iterator[list[tuple]]:
@@ -125,7 +123,7 @@ def _code_blobs(texts: DataFrame, width: int, shards: int) -> DataFrame:
                 out.append(np.int64(y - x).tobytes() + low.tobytes() + number.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() + c[some].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]], pa.int32()), pa.array(out, pa.binary())], ["shard", "blob"])
 
-    return texts.mapInArrow(run, "shard int, blob binary")
+    return texts.mapInArrow(tidy(run), "shard int, blob binary")
 
 
 def _shared_codes(blobs: DataFrame, shards: int) -> DataFrame:
@@ -160,7 +158,7 @@ def _shared_codes(blobs: DataFrame, shards: int) -> DataFrame:
                 part = cuts[k : k + 5001]
                 yield pa.RecordBatch.from_arrays([pa.array(c[part[:-1]], pa.int64()), pa.array([low[x:y].tobytes() for x, y in zip(part[:-1], part[1:], strict=True)], pa.binary())], ["c", "codes"])
 
-    return blobs.repartition(shards, "shard").mapInArrow(run, "c long, codes binary")
+    return blobs.repartition(shards, "shard").mapInArrow(tidy(run), "c long, codes binary")
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +234,7 @@ def _strings(candidates: DataFrame, width: int, shards: int, routes: int) -> Dat
                 out.append(head + code[one].astype("<u8").tobytes() + size[one].astype("<u4").tobytes() + number.tobytes() + owner[k].astype("<i8").tobytes() + rk[piece[k]].astype("<i8").tobytes() + start[k].astype("<i8").tobytes() + text.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(route[cuts[:-1]], pa.int32()), pa.array(np.zeros(len(out)), pa.int64()), pa.array(out, pa.binary())], ["shard", "rk", "data"])
 
-    return candidates.mapInArrow(run, "shard int, rk long, data binary")
+    return candidates.mapInArrow(tidy(run), "shard int, rk long, data binary")
 
 
 class Shard:
@@ -318,7 +316,7 @@ def _decided(strings: DataFrame, width: int, routes: int) -> DataFrame:
             if rows is not None:
                 yield rows
 
-    return strings.repartition(routes, "shard").mapInArrow(run, "shard int, rk long, data binary")
+    return strings.repartition(routes, "shard").mapInArrow(tidy(run), "shard int, rk long, data binary")
 
 
 def repeated_spans(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -385,3 +383,17 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM d, LATERAL (SELECT unnest(range(0, n - 49)) AS p) WHERE n >= 50),
+g AS (SELECT doc_id, p FROM w QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+i AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM g),
+j AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM j GROUP BY doc_id, k),
+u AS (SELECT s.*, d.h, lag(b, 1, 0) OVER (PARTITION BY s.doc_id ORDER BY a) AS before FROM s JOIN d ON s.doc_id = d.doc_id),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM u GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
