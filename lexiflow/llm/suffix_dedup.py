@@ -169,20 +169,35 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[first], end[np.concatenate([first[1:] - 1, [len(end) - 1]])]
 
 
-def _span_rows(row: np.ndarray, start: np.ndarray, end: np.ndarray, rk: np.ndarray) -> pa.RecordBatch | None:
-    """One row per document number: its key and merged spans as packed pairs."""
-    if not len(row):
+def _span_rows(rk: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> pa.RecordBatch | None:
+    """One row per bucket of documents: packed (document key, start, end) triples. rk holds the bucket."""
+    if not len(rk):
         return None
-    order = np.argsort(row, kind="stable")
-    row, start, end = row[order], start[order], end[order]
-    cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
-    spans = [np.stack(_merged(start[x:y], end[x:y]), axis=1).astype("<i8").tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    n = len(spans)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, -1), pa.int32()), pa.array(rk[row[cuts[:-1]]], pa.int64()), pa.array(spans, pa.binary())], ["shard", "rk", "data"])
+    bucket = (rk.astype(np.int64).view(np.uint64) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    triples, bucket = np.stack([rk, start, end], axis=1).astype("<i8")[order], bucket[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    data = [triples[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(data), -1), pa.int32()), pa.array(bucket[cuts[:-1]], pa.int64()), pa.array(data, pa.binary())], ["shard", "rk", "data"])
 
 
-def _strings(candidates: DataFrame, width: int, shards: int, routes: int) -> DataFrame:
-    """Rows of two kinds: shard >= 0 with packed strings for that shard; shard -1 with spans of document rk that are
+def _gathered(rows: DataFrame, buckets: int) -> DataFrame:
+    """rk, spans: the merged (start, end) pairs of each document, from the packed triples of all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(v.as_py(), "<i8").reshape(-1, 3) for b in batches for v in b.column(1)]
+        if parts:
+            every = np.concatenate(parts)
+            every = every[np.argsort(every[:, 0], kind="stable")]
+            cuts = np.flatnonzero(np.concatenate([[True], every[1:, 0] != every[:-1, 0], [True]]))
+            spans = [np.stack(_merged(every[x:y, 1], every[x:y, 2]), axis=1).astype("<i8").tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(every[cuts[:-1], 0], pa.int64()), pa.array(spans, pa.binary())], ["rk", "spans"])
+
+    return rows.repartition(buckets, "rk").mapInArrow(tidy(run), "rk long, spans binary")
+
+
+def _strings(candidates: DataFrame, width: int, shards: int, routes: int, buckets: int) -> DataFrame:
+    """Rows of two kinds: shard >= 0 with packed strings for that shard; shard -1 with spans that are
     decided already, since the same string stands in a smaller document of the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +230,7 @@ def _strings(candidates: DataFrame, width: int, shards: int, routes: int) -> Dat
             new = np.concatenate([[True], text_hash[order][1:] != text_hash[order][:-1]])
             least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             over = order[owner[order] > least]
-            decided = _span_rows(piece[over], start[over], (start + size)[over], rk)
+            decided = _span_rows(rk[piece[over]], start[over], (start + size)[over], buckets)
             if decided is not None:
                 yield decided
             keep = order[owner[order] == least]
@@ -302,7 +317,7 @@ class Shard:
         return tuple(np.concatenate([f[j] for f in found]) for j in range(3))
 
 
-def _decided(strings: DataFrame, width: int, routes: int) -> DataFrame:
+def _decided(strings: DataFrame, width: int, routes: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for b in batches:
@@ -311,8 +326,7 @@ def _decided(strings: DataFrame, width: int, routes: int) -> DataFrame:
         for s in list(held):
             shard = Shard(held.pop(s))
             at, start, end = shard.spans(width)
-            keys, row = np.unique(shard.rk[at], return_inverse=True)
-            rows = _span_rows(row, start, end, keys)
+            rows = _span_rows(shard.rk[at], start, end, buckets)
             if rows is not None:
                 yield rows
 
@@ -320,7 +334,7 @@ def _decided(strings: DataFrame, width: int, routes: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What goes: (rk, spans) with packed, possibly overlapping (start, end) byte pairs, and (rk, copy) for documents
+    """What goes: (rk, spans) with packed, merged (start, end) byte pairs, and (rk, copy) for documents
     whose whole text stands in a smaller document. rk is ``row_key``."""
     rows = docs.select(row_key(key, text).alias("rk"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("order"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t"))
     long = rows.filter(F.octet_length("t") >= width)
@@ -336,9 +350,10 @@ def repeated_spans(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     wanted = shared.groupBy("c").agg(F.array_join(F.transform(F.collect_list("codes"), lambda x: F.hex(x)), "").alias("hex")).join(firsts, "c").select("rk", F.unhex("hex").alias("codes"))
     candidates = long.select("rk", "order", "t").join(wanted, "rk").select("rk", "order", "t", "codes")
     routes = shards
-    strings = materialize(_strings(candidates, width, shards, routes), "repeat-strings")
-    spans = strings.filter("shard < 0").select("rk", "data").unionByName(_decided(strings.filter("shard >= 0"), width, routes).select("rk", "data"))
-    return spans.groupBy("rk").agg(F.collect_list("data").alias("spans")), copies
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strings = materialize(_strings(candidates, width, shards, routes, buckets), "repeat-strings")
+    spans = strings.filter("shard < 0").select("rk", "data").unionByName(_decided(strings.filter("shard >= 0"), width, routes, buckets).select("rk", "data"))
+    return _gathered(spans, buckets), copies
 
 
 def row_key(key: str, text: str):
@@ -354,7 +369,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     """
     names = [c for c in docs.columns if c != "repeats"]
     spans, copies = repeated_spans(docs, width, key, text)
-    verdict = materialize(spans.withColumn("copy", F.lit(False)).join(copies, "rk", "left_anti").unionByName(copies.select("rk", F.lit(None).cast("array<binary>").alias("spans"), F.lit(True).alias("copy"))), "repeat-spans")
+    verdict = materialize(spans.withColumn("copy", F.lit(False)).join(copies, "rk", "left_anti").unionByName(copies.select("rk", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy"))), "repeat-spans")
     joined = docs.select(*[F.col(f"`{c}`") for c in names], row_key(key, text).alias("rk")).join(verdict, "rk", "left").drop("rk")
     return joined.select(*[F.col(f"`{c}`") for c in names], _cut(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), F.col("spans"), F.coalesce("copy", F.lit(False))).alias("repeats"))
 
@@ -367,8 +382,7 @@ def _kept(t: pd.Series, spans: pd.Series, copy: pd.Series) -> pd.DataFrame:
         elif some is None or not len(some):
             out.append((len(x), 0, 0, bytes(x)))
         else:
-            pairs = np.concatenate([np.frombuffer(s, "<i8").reshape(-1, 2) for s in some])
-            start, end = _merged(pairs[:, 0], pairs[:, 1])
+            start, end = np.frombuffer(some, "<i8").reshape(-1, 2).T
             edges = zip([0, *end.tolist()], [*start.tolist(), len(x)], strict=True)
             out.append((len(x), int((end - start).sum()), len(start), b"".join([x[a:b] for a, b in edges])))
     return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
