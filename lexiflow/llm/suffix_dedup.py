@@ -126,8 +126,8 @@ def _code_blobs(texts: DataFrame, width: int, shards: int) -> DataFrame:
     return texts.mapInArrow(tidy(run), "shard int, blob binary")
 
 
-def _shared_codes(blobs: DataFrame, shards: int) -> DataFrame:
-    """c, codes: the codes of text c that another text has too (shard number above 40 low bits), per shard."""
+def _shared_codes(blobs: DataFrame, shards: int, buckets: int) -> DataFrame:
+    """c, codes: the codes of text c that another text has too (shard number above 40 low bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -151,14 +151,24 @@ def _shared_codes(blobs: DataFrame, shards: int) -> DataFrame:
             again[1:-1] = low[1:] == low[:-1]
             on = again[1:] | again[:-1]
             low, c = low[on], c[on]
-            order = np.argsort(c, kind="stable")
-            low, c = low[order] | _U(s << 40), c[order]
-            cuts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]])) if len(c) else np.zeros(1, int)
-            for k in range(0, len(cuts) - 1, 5000):
-                part = cuts[k : k + 5001]
-                yield pa.RecordBatch.from_arrays([pa.array(c[part[:-1]], pa.int64()), pa.array([low[x:y].tobytes() for x, y in zip(part[:-1], part[1:], strict=True)], pa.binary())], ["c", "codes"])
+            if len(c):  # one row per bucket of texts
+                bucket = (c.view(np.uint64) % _U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                pairs, bucket = np.stack([c.view(np.uint64), low | _U(s << 40)], axis=1)[order], bucket[order]
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int64()), pa.array([pairs[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["bucket", "pairs"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(v.as_py(), "<u8").reshape(-1, 2) for b in batches for v in b.column(1)]
+        if parts:
+            every = np.concatenate(parts)
+            every = every[np.argsort(every[:, 0], kind="stable")]
+            cuts = np.flatnonzero(np.concatenate([[True], every[1:, 0] != every[:-1, 0], [True]]))
+            found = [every[x:y, 1].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(every[cuts[:-1], 0].view(np.int64), pa.int64()), pa.array(found, pa.binary())], ["c", "codes"])
 
-    return blobs.repartition(shards, "shard").mapInArrow(tidy(run), "c long, codes binary")
+    packed = blobs.repartition(shards, "shard").mapInArrow(tidy(run), "bucket long, pairs binary")
+    return packed.repartition(buckets, "bucket").mapInArrow(tidy(gather), "c long, codes binary")
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,13 +354,13 @@ def repeated_spans(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     copies = placed.filter("order > least").select("rk").distinct()
     total = known.agg(F.sum("n")).first()[0] or 0
     shards = max(12, -(-2 * total // ((width - min(GRAM, width) + 2) * SHARD_CODES)))
-    shared = _shared_codes(_code_blobs(long.select(F.xxhash64("t").alias("c"), "t"), width, shards), shards)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = _shared_codes(_code_blobs(long.select(F.xxhash64("t").alias("c"), "t"), width, shards), shards, buckets)
     shared = materialize(shared, "repeat-codes")
     firsts = placed.filter("order = least").select("c", "rk", "order").distinct()
-    wanted = shared.groupBy("c").agg(F.array_join(F.transform(F.collect_list("codes"), lambda x: F.hex(x)), "").alias("hex")).join(firsts, "c").select("rk", F.unhex("hex").alias("codes"))
+    wanted = shared.join(firsts, "c").select("rk", "codes")
     candidates = long.select("rk", "order", "t").join(wanted, "rk").select("rk", "order", "t", "codes")
     routes = shards
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     strings = materialize(_strings(candidates, width, shards, routes, buckets), "repeat-strings")
     spans = strings.filter("shard < 0").select("rk", "data").unionByName(_decided(strings.filter("shard >= 0"), width, routes, buckets).select("rk", "data"))
     return _gathered(spans, buckets), copies
