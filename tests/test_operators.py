@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions import answers, text
 from lexiflow.operators import analytics, chunking, fusion, retrieval, sampling
+from lexiflow.plans import retrieve
 from lexiflow.sources import files
 from lexiflow.streaming import sessions
 
@@ -112,3 +113,24 @@ def test_session_stream(spark, sf, tmp_path):
     q = sessions.sessions_stream(stream).writeStream.format("memory").queryName("sess").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("sess").count() == sessions.sessions(spark.read.parquet(str(src))).count()
+
+
+def test_probe_recall_against_brute_force(spark, sf):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    want = set()
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = np.round(x @ x[q], 9)
+        want |= {(int(ids[q]), int(ids[i])) for i in np.lexsort((ids, -score))[:5]}
+    got = {(r.q, r.id) for r in retrieve.ivf_probe(spark, sf).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_probe_finds_every_vector(spark):
+    rows = [(i, [math.cos(i), math.sin(i), 0.1 * i]) for i in range(60)] + [(60, None)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    cells = retrieval.fit_cells(v, 8)
+    got = retrieval.centroid_probe(v.filter("id < 3").select(F.col("id").alias("q"), F.col("v").alias("qv")), v, cells, 8, 100)
+    assert cells.count() == 8 and got.filter("q = 0").count() == 60 and got.count() == 180
