@@ -52,15 +52,16 @@ def similarity(a: Column, b: Column, metric: str) -> Column:
     return dot(unit(a), unit(b)) if metric == "cosine" else dot(a, b)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """q, id, score, rank of the k most similar vectors; queries (q, qv), vectors (id, v).
+def dense(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", others: bool = False) -> DataFrame:
+    """q, id, score, rank of the k most similar vectors; queries (q, qv), vectors (id, v). With ``others``, a query's own
+    id is no result.
 
     A stated query table meets all vectors; each task keeps its best k per query before the shuffle.
     """
     if metric == "cosine":  # norms once per vector, not once per pair
         queries, vectors, metric = queries.withColumn("qv", unit(F.col("qv"))), vectors.withColumn("v", unit(F.col("v"))), "ip"
         queries, vectors = queries.repartition("q"), vectors.repartition("id")  # keeps the division below the join
-    scored = vectors.join(queries, F.lit(True)).select("q", "id", F.round(similarity(F.col("qv"), F.col("v"), metric), 9).alias("score"))
+    scored = vectors.join(queries, F.col("id") != F.col("q") if others else F.lit(True)).select("q", "id", F.round(similarity(F.col("qv"), F.col("v"), metric), 9).alias("score"))
     return top_k(scored, ["q"], [F.desc("score"), F.asc("id")], k)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions import answers, text
 from lexiflow.operators import analytics, chunking, fusion, retrieval, sampling
-from lexiflow.plans import retrieve
+from lexiflow.plans import registry, retrieve
 from lexiflow.sources import files
 from lexiflow.streaming import sessions
 
@@ -134,3 +134,21 @@ def test_probe_finds_every_vector(spark):
     cells = retrieval.fit_cells(v, 8)
     got = retrieval.centroid_probe(v.filter("id < 3").select(F.col("id").alias("q"), F.col("v").alias("qv")), v, cells, 8, 100)
     assert cells.count() == 8 and got.filter("q = 0").count() == 60 and got.count() == 180
+
+
+def test_dense_search_over_all_vectors(spark, sf):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = {"ip": lambda q: x @ x[q], "cosine": lambda q: unit @ unit[q], "l2": lambda q: -((x - x[q]) ** 2).sum(1)}
+    for metric, by in score.items():
+        want = set()
+        for q in np.flatnonzero(ids % 50 == 0):
+            s = np.where(ids == ids[q], -np.inf, np.round(by(q), 9))
+            want |= {(int(ids[q]), int(ids[i]), n + 1) for n, i in enumerate(np.lexsort((ids, -s))[:5])}
+        assert {(r.q, r.id, r.rank) for r in registry.QUERIES[f"dense_whole_{metric}"](spark, sf).collect()} == want
+    near = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 0.01]), (1, [0.0, 1.0])], "id long, v array<double>")
+    asked = near.filter("id = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    assert retrieval.dense(asked, near, 1, "ip", others=True).first().id == 50
