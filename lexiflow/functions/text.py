@@ -110,9 +110,10 @@ def nfc(text: Column) -> Column:
     return compose(text)
 
 
-def highlight(text: Column, query: str) -> Column:
-    """Query words of more than three letters, and what begins with them, between double stars; one pass."""
+def highlight(text: Column, query: str, flags: str = "") -> Column:
+    """Query words of more than three letters, and what begins with them, between double stars; one pass. With the flag
+    (?U) accented letters are letters: no word ends before one."""
     import re
 
     words = [re.escape(w) for w in query.split() if len(w) > 3]
-    return F.regexp_replace(text, r"(?i)\b(" + "|".join(words) + r")\w*\b", "**$0**") if words else text
+    return F.regexp_replace(text, flags + r"(?i)\b(" + "|".join(words) + r")\w*\b", "**$0**") if words else text

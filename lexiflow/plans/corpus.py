@@ -133,6 +133,11 @@ def highlight(spark, d):
     return _docs(spark, d).filter("lang = 'en'").select("doc_id", F.md5(T.highlight(F.col("text"), "that with from in")).alias("h"))
 
 
+@query("highlight_whole")
+def highlight_whole(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(T.highlight(F.col("text"), "that with from in", "(?U)")).alias("h"))
+
+
 _PARAS = r"SELECT doc_id, pos, p AS paragraph FROM (SELECT doc_id, unnest(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n')) AS q, generate_subscripts(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), 1) - 1 AS pos FROM documents), LATERAL (SELECT trim(replace(q, chr(10), ' ')) AS p) WHERE len(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')) >= 3 AND NOT regexp_matches(p, '^[^A-Za-z_]+$')"
 
 
@@ -215,6 +220,12 @@ def top_keywords(spark, d):
     return E.keywords(_docs(spark, d).filter("lang = 'en'"), "doc_id", F.col("text"))
 
 
+# Documents of every language, and of none; the SQL of top_keywords and highlight has English ones only.
+@query("top_keywords_whole")
+def top_keywords_whole(spark, d):
+    return E.keywords(_docs(spark, d), "doc_id", F.col("text"))
+
+
 @query("alias_canonicalise", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Anatomy' WHEN 1 THEN 'Surgery' WHEN 2 THEN 'Anatomy' ELSE 'Unknown' END AS domain FROM part")
 def alias_canonicalise(spark, d):
     raw = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'Subject: anatomy\\nbecause' WHEN 1 THEN 'surgical' WHEN 2 THEN ' ANATOMY ' ELSE 'other things' END")

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from lexiflow.functions import answers, text
-from lexiflow.operators import analytics, chunking, fusion, retrieval, sampling
+from lexiflow.operators import analytics, chunking, enrich, fusion, retrieval, sampling
 from lexiflow.plans import registry, retrieve
 from lexiflow.sources import files
 from lexiflow.streaming import sessions
@@ -152,3 +152,20 @@ def test_dense_search_over_all_vectors(spark, sf):
     near = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 0.01]), (1, [0.0, 1.0])], "id long, v array<double>")
     asked = near.filter("id = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
     assert retrieval.dense(asked, near, 1, "ip", others=True).first().id == 50
+
+
+def test_keywords_and_highlights_of_every_language(spark, tmp_path):
+    import collections
+    import hashlib
+    import re
+
+    texts = [("en", "The Cell met the Nerve. Cell with Über Ärzte from"), ("de", "Herz und Niere: Herz withÄ with, FROMage fromé"), ("fr", "Étude Coeur Coeurs d\u2019Artère thatôt that_1 éthat"), (None, "Lung Lung With no language"), ("es", "nada")]
+    spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    words, marked = {}, {}
+    for i, (_, t) in enumerate(texts):
+        found = collections.Counter(w for w in re.findall(r"\b[A-Z][a-z]+\b", t) if len(w) > 3 and w not in enrich.COMMON)
+        if found:
+            words[i] = ",".join(w for w, _ in found.most_common(10))
+        marked[i] = hashlib.md5(re.sub(r"\b(that|with|from)\w*\b", r"**\g<0>**", t, flags=re.I).encode()).hexdigest()
+    assert {r.doc_id: r.keywords for r in registry.QUERIES["top_keywords_whole"](spark, str(tmp_path)).collect()} == words
+    assert {r.doc_id: r.h for r in registry.QUERIES["highlight_whole"](spark, str(tmp_path)).collect()} == marked
