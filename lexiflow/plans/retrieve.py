@@ -262,6 +262,14 @@ def context_assembly(spark, d):
     return x.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n").alias("refs"), F.sum("tokens").alias("tokens"))
 
 
+# Passages in full, which tokens counts; the SQL of context_assembly has their first 40 characters.
+@query("context_whole")
+def context_whole(spark, d):
+    x = _packs(spark, d).filter("rank <= 6").join(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source"), "id")
+    line = F.concat(F.lit("Reference "), F.col("rank").cast("string"), F.lit(": ["), F.coalesce("source", F.lit("")), F.lit("] "), F.coalesce("text", F.lit("")))
+    return x.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n").alias("refs"), F.sum("tokens").alias("tokens"))
+
+
 @query("retrieval_prf", f"WITH {_bm25_sql()}, {_TOP}, w AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), g AS (SELECT item_id, count(*) AS got FROM top GROUP BY 1), x AS (SELECT b.item_id, coalesce(got, 0) AS got, (SELECT count(*) FROM w WHERE w.item_id = b.item_id) AS want, (SELECT count(*) FROM w JOIN top USING (item_id, doc_id) WHERE w.item_id = b.item_id) AS hit FROM benchmark b LEFT JOIN g USING (item_id)) SELECT item_id AS q, round(hit / greatest(got, 1)::DOUBLE, 6) AS precision, round(hit / greatest(want, 1)::DOUBLE, 6) AS recall FROM x")
 def retrieval_prf(spark, d):
     bench, docs = load(spark, d, "benchmark"), load(spark, d, "documents")

@@ -169,3 +169,12 @@ def test_keywords_and_highlights_of_every_language(spark, tmp_path):
         marked[i] = hashlib.md5(re.sub(r"\b(that|with|from)\w*\b", r"**\g<0>**", t, flags=re.I).encode()).hexdigest()
     assert {r.doc_id: r.keywords for r in registry.QUERIES["top_keywords_whole"](spark, str(tmp_path)).collect()} == words
     assert {r.doc_id: r.h for r in registry.QUERIES["highlight_whole"](spark, str(tmp_path)).collect()} == marked
+
+
+def test_context_keeps_whole_passages(spark, sf):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {}
+    for r in sorted(registry.QUERIES["bm25_topk"](spark, sf).filter("rank <= 6").collect(), key=lambda r: (r.item_id, r["rank"])):
+        want.setdefault(r.item_id, []).append((r["rank"], docs[r.doc_id]))
+    got = {r.q: (r.refs, r.tokens) for r in registry.QUERIES["context_whole"](spark, sf).collect()}
+    assert got == {q: ("\n".join(f"Reference {n}: [{x.source or ''}] {x.text}" for n, x in hits), sum(x.n_chars // 4 for _, x in hits)) for q, hits in want.items()}
