@@ -54,8 +54,8 @@ def _decoded():
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return _like(docs, mixing.take(mixing.mix(docs, F.array("source"))))
+    """Documents as often as the mix of sources takes them, whole each time."""
+    return _like(docs, mixing.take(mixing.mix(docs, F.array("source")), whole_only=True))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,10 +165,13 @@ def mix(docs: DataFrame, sources: Column, text: str = "text", key: str = "doc_id
     )
 
 
-def take(mixed: DataFrame, text: str = "text") -> DataFrame:
+def take(mixed: DataFrame, text: str = "text", whole_only: bool = False) -> DataFrame:
     """The documents of a mix: each row as often as it is taken whole, and once more with its first words (joined by
-    one space) if it is taken in part. Untaken rows and documents without a word go."""
+    one space) if it is taken in part. With ``whole_only`` a document taken in part is given once more in full if half
+    of it or more is taken, else not: whichever is nearer to the target. Untaken rows and documents without a word go."""
     size, taken = F.greatest(F.col("mix.size"), F.lit(1)), F.col("mix.taken")
+    if whole_only:
+        taken = F.floor((2 * taken + size) / (2 * size)) * size
     rest = (taken % size).cast("int")
     whole = F.array_repeat(F.col(f"`{text}`"), F.floor(taken / size).cast("int"))
     part = F.when(rest > 0, F.array(F.array_join(F.slice(words(F.col(f"`{text}`")), F.lit(1), F.greatest(rest, F.lit(1))), " "))).otherwise(F.array().cast("array<string>"))

@@ -36,3 +36,15 @@ def test_pipeline(spark, tmp_path, sf):
             assert have == collections.Counter((r.doc_id, tuple(library.encode(r.text, add_special_tokens=False).ids)) for r in docs.collect())
         docs = out
     assert corpus_pipeline.run(spark, d).count() == docs.count()
+
+
+def test_mixture_gives_whole_texts(spark, tmp_path):
+    rows = [(i, f"a{i}  b\n" * (40 + 7 * i), f"s{i % 3}") for i in range(12)] + [(12, "alone  " * 90, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()
+    texts = {i: t for i, t, _ in rows}
+    assert out and all(r.text == texts[r.doc_id] for r in out)
+    mixed = corpus_pipeline.mixing.mix(docs, corpus_pipeline.F.array("source")).select("doc_id", "mix.size", "mix.taken").collect()
+    assert any(r.taken % r["size"] for r in mixed)
+    copies = collections.Counter(r.doc_id for r in out)
+    assert all(copies[r.doc_id] == (2 * r.taken + r["size"]) // (2 * r["size"]) for r in mixed)
