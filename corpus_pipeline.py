@@ -29,15 +29,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _like(docs, judged.withColumn("text", F.col("quality.cleaned_text")))
 
 
+def _texts_of_one_id(docs: DataFrame) -> DataFrame | None:
+    """doc_id, digest, key: a number that no document has for each further text of an id; None where ids have one text."""
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"))
+    several = texts.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first <> last").select("doc_id", "first")
+    further = materialize(texts.join(several, "doc_id").filter("digest <> first").select("doc_id", "digest").distinct(), "further-texts")
+    if further.isEmpty():
+        return None
+    low, high = texts.agg(F.min("doc_id"), F.max("doc_id")).first()
+    n = F.monotonically_increasing_id()
+    key = F.lit(high) + 1 + n if high < 1 << 62 else F.lit(low) - 1 - n
+    return materialize(further.withColumn("key", key), "text-numbers")
+
+
+def _digest():
+    return F.coalesce(F.sha2("text", 256), F.lit("null"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar documents; copies of a row go as well. Documents
-    without a word or an id are in no group and stay."""
-    found = jaccard_join.similar(docs, SIMILAR_PERCENT, SHINGLE_WORDS)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = left.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    first = left.join(repeated, "doc_id").dropDuplicates(["doc_id"])
-    return _like(docs, left.join(repeated, "doc_id", "left_anti").unionByName(first.select(*left.columns)))
+    """The document with the smallest id of each group of similar documents; copies of a row (its id and text) go as
+    well. Documents without a word or an id are in no group and stay. Texts that share an id are separate documents."""
+    further, key = _texts_of_one_id(docs), "__p_key"
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    if further is not None:
+        numbers = further.select(F.col("doc_id").alias(key), F.col("digest").alias("__p_digest"), F.col("key").alias("__p_number"))
+        keyed = keyed.withColumn("__p_digest", _digest()).join(numbers, [key, "__p_digest"], "left").withColumn(key, F.coalesce("__p_number", key)).drop("__p_digest", "__p_number")
+    found = jaccard_join.similar(keyed, SIMILAR_PERCENT, SHINGLE_WORDS, key=key).select(F.col("doc_id").alias(key), "component_id")
+    if further is not None:  # the least by id, which a number does not tell
+        found = materialize(found.filter(f"{key} is not null").distinct(), "found")
+        ids = found.join(further.select(F.col("key").alias(key), F.col("doc_id").alias("__p_id")), key, "left")
+        least = ids.groupBy("component_id").agg(F.min_by(key, F.struct(F.coalesce("__p_id", key), key)).alias("__p_least"))
+        found = found.join(least, "component_id").select(key, F.col("__p_least").alias("component_id"))
+    gone = found.filter(f"component_id <> {key}").select(key).distinct()
+    left = keyed.join(gone, key, "left_anti")
+    worded = left.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    repeated = worded.groupBy(key).agg(F.count("*").alias("n")).filter(f"n > 1 and {key} is not null").select(key)
+    first = left.join(repeated, key).dropDuplicates([key])
+    return _like(docs, left.join(repeated, key, "left_anti").unionByName(first.select(*left.columns)))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,16 @@ def test_mixture_gives_whole_texts(spark, tmp_path):
     assert any(r.taken % r["size"] for r in mixed)
     copies = collections.Counter(r.doc_id for r in out)
     assert all(copies[r.doc_id] == (2 * r.taken + r["size"]) // (2 * r["size"]) for r in mixed)
+
+
+def test_near_duplicates_of_one_id(spark, tmp_path):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    near = text("a") + " more"
+    rows = [(1, text("a")), (5, near), (5, text("b")), (5, text("b")), (5, text("c")), (7, text("c")), (7, text("d")), (8, text("d")), (8, text("d") + " x"), (9, " "), (9, " "), (9, text("e")), (10, None), (10, None), (None, text("a")), (None, text("a")), (11, text("f")), (11, text("f"))]
+    docs = spark.createDataFrame([(*r, f"s{i}") for i, r in enumerate(rows)], "doc_id long, text string, source string").repartition(5)
+    want = [(1, text("a")), (5, text("b")), (5, text("c")), (7, text("d")), (9, " "), (9, " "), (9, text("e")), (10, None), (10, None), (None, text("a")), (None, text("a")), (11, text("f"))]
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want)
+    top = spark.createDataFrame([((1 << 63) - 1, text("g")), ((1 << 63) - 1, text("h")), (3, text("g"))], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, top, str(tmp_path)).collect()} == {(3, text("g")), ((1 << 63) - 1, text("h"))}
