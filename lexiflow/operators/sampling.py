@@ -64,8 +64,22 @@ def balanced_sample(df: DataFrame, by: str, key: str, target: int, seed: str = "
 
 
 def few_shot(examples: DataFrame, pool: DataFrame, k: int, key: str, subject: str, text: str) -> DataFrame:
-    """For each example, k others of its subject that do not leak it (other id and other text), in id order."""
+    """For each example, k others that do not leak it (other id and other text): those of its subject in id order,
+    then, where they are fewer, those of other subjects in id order. Ids of the pool are unique.
+
+    An example leaves out one subject, one text and one id, so a few rows of the pool serve as others for all: a row
+    with more than k + 1 rows before it of its subject and text, or twice as many of either, is not among the first.
+    """
     e = examples.select(F.col(key).alias("example"), F.col(subject).alias("_s"), F.col(text).alias("_x"))
-    p = pool.select(F.col(key).alias("shot"), F.col(subject).alias("_s"), F.col(text).alias("_y"))
-    met = e.join(p, "_s").filter("example <> shot and _x <> _y")
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("example").orderBy("shot"))).filter(F.col("rank") <= k).select("example", "shot", "rank")
+    p = pool.select(F.col(key).alias("shot"), F.col(subject).alias("_t"), F.col(text).alias("_y"))
+    apart = (F.col("example") != F.col("shot")) & ~F.col("_x").eqNullSafe(F.col("_y"))
+    same = e.join(p, F.col("_s").eqNullSafe(F.col("_t")) & apart).select("example", "shot")
+    same = first_of(same, [F.col("example")], [F.col("shot")], k)
+    few = same.groupBy("example").agg(F.count("*").alias("_have"))
+    few = e.join(few, "example", "left").filter(F.coalesce("_have", F.lit(0)) < k)
+    order = [F.col("shot")]
+    head = first_of(p, [F.col("_t"), F.col("_y")], order, k + 1)
+    head = first_of(first_of(head, [F.col("_t")], order, 2 * k + 2), [F.col("_y")], order, 2 * k + 2).orderBy("shot").limit(5 * k + 5)
+    others = few.join(F.broadcast(head), ~F.col("_s").eqNullSafe(F.col("_t")) & apart).select("example", "shot")
+    met = same.withColumn("_o", F.lit(0)).unionByName(others.withColumn("_o", F.lit(1)))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("example").orderBy("_o", "shot"))).filter(F.col("rank") <= k).select("example", "shot", "rank")

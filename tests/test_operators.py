@@ -178,3 +178,19 @@ def test_context_keeps_whole_passages(spark, sf):
         want.setdefault(r.item_id, []).append((r["rank"], docs[r.doc_id]))
     got = {r.q: (r.refs, r.tokens) for r in registry.QUERIES["context_whole"](spark, sf).collect()}
     assert got == {q: ("\n".join(f"Reference {n}: [{x.source or ''}] {x.text}" for n, x in hits), sum(x.n_chars // 4 for _, x in hits)) for q, hits in want.items()}
+
+
+def test_few_shot_fills_up_from_other_subjects(spark):
+    import random
+
+    rng = random.Random(3)
+    tables = [[(i, rng.choice(["a"] * 6 + ["b", "b", "c", None]), f"t{rng.randrange(texts)}") for i in range(n)] for n, texts in ((3, 9), (9, 3), (40, 2), (40, 12), (60, 60))]
+    tables.append([(i, "big", "same") for i in range(20)] + [(20 + i, f"s{i}", "same") for i in range(20)] + [(50, "x", "own"), (51, "y", None), (52, "y", "z")])
+    for rows in tables:
+        for k in (1, 3, 5):
+            want = set()
+            for i, s, x in rows:
+                met = sorted((t != s, j) for j, t, y in rows if j != i and y != x)
+                want |= {(i, j, n + 1) for n, (_, j) in enumerate(met[:k])}
+            df = spark.createDataFrame(rows, "id long, s string, x string")
+            assert {tuple(r) for r in sampling.few_shot(df, df, k, "id", "s", "x").collect()} == want
