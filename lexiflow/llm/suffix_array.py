@@ -1,7 +1,8 @@
 """Suffix arrays by induced sorting, as array operations, and permuted common prefixes.
 
 Suffixes are classified as smaller or larger than their right neighbour. Leftmost smaller suffixes are sorted by
-their substrings, which is the same problem on a shorter string (solved recursively); all other suffixes follow by
+their substrings, which is the same problem on a shorter string (solved recursively, or by prefix doubling where its
+alphabet is large; doubling is not linear); all other suffixes follow by
 one induction from left to right for larger and one from right to left for smaller ones. An induction runs bucket
 by bucket: what a finished part of a bucket induces is appended to other buckets at once, so work is linear and the
 number of steps is that of distinct symbols and of the longest run of one symbol, not of suffixes.
@@ -11,7 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: With more symbols than this for its length, a string is sorted by doubling instead: a recursion's last resort.
+#: A string with more symbols than this is sorted by doubling instead, which ordinary text reaches at its first
+#: recursion: an induction takes a step for each symbol, and steps cost more than the sorts (figures: README).
 MOST_SYMBOLS = 4096
 # Positions have 32 bits: shards hold far less than 2 GB.
 
