@@ -265,7 +265,7 @@ def context_assembly(spark, d):
 # Passages in full, which tokens counts; the SQL of context_assembly has their first 40 characters.
 @query("context_whole")
 def context_whole(spark, d):
-    x = _packs(spark, d).filter("rank <= 6").join(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source"), "id")
+    x = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source").join(F.broadcast(_packs(spark, d).filter("rank <= 6")), "id")
     line = F.concat(F.lit("Reference "), F.col("rank").cast("string"), F.lit(": ["), F.coalesce("source", F.lit("")), F.lit("] "), F.coalesce("text", F.lit("")))
     return x.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n").alias("refs"), F.sum("tokens").alias("tokens"))
 
