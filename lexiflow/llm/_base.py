@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +67,41 @@ def n_words(text: Column) -> Column:
     return (F.size(parts) - empty_head - empty_tail).cast("long")
 
 
+def trim() -> None:
+    """Hand freed memory back to the system."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+#: Seconds after which a Python worker without a task drops the tables it keeps for its next one.
+IDLE_SECONDS = 1.0
+_timers: dict[int, threading.Timer] = {}
+
+
+@contextlib.contextmanager
+def idle(held: dict):
+    """Tables that a worker keeps from task to task: they stay while tasks follow one another and are dropped once the
+    worker has been idle, since workers live on and serve other stages."""
+
+    def drop() -> None:
+        import gc
+
+        held.clear()
+        gc.collect()
+        trim()
+
+    waiting = _timers.pop(id(held), None)
+    if waiting is not None:
+        waiting.cancel()
+    try:
+        yield
+    finally:
+        timer = _timers[id(held)] = threading.Timer(IDLE_SECONDS, drop)
+        timer.daemon = True
+        timer.start()
+
+
 def tidy(run):
     """An Arrow function that hands freed memory back to the system when it ends: Python workers live on and serve
     other stages, whose memory adds to what the allocator still holds."""
@@ -76,8 +113,6 @@ def tidy(run):
             from . import _words
 
             _words.release()
-            libc = ctypes.CDLL(None)
-            if hasattr(libc, "malloc_trim"):
-                libc.malloc_trim(0)
+            trim()
 
     return wrapped

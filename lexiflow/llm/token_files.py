@@ -11,20 +11,20 @@ A file counts only once its task has reported it (lost or repeated attempts leav
 
 from __future__ import annotations
 
-import gc
 import json
 import os
-import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import fresh_path, materialize
+from ._base import fresh_path, idle, materialize, tidy
+from ._pieces import Encoded, PieceTable
 
 FRAME_BYTES = 1 << 18  # ids gathered in one frame, unless one document has more
 READ_BYTES = 8 << 20  # ids that one task reads back, or one file
@@ -133,102 +133,57 @@ class Reader:
         return self.last[1][at - int(self.raw_at[k]) :][:n]
 
 
-#: Words and letter runs whose encodings a worker remembers; full tables are emptied, so memory stays bounded.
-CACHE_WORDS = 400_000
-CACHE_RUNS = 600_000
-MARKS = b".,!?;:"
 CHUNK_BYTES = 1 << 20  # texts encoded together, unless one text has more
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the pieces of a text
 
-_LIBRARY: dict[int, Library] = {}
+_LIBRARY: dict[int, PieceTable] = {}
 
 
-class Library:
-    """The library's encoding of whole texts, each distinct word only once.
+def _table(spec: str) -> PieceTable:
+    """The library's encoding of whole texts, each distinct piece only once.
 
-    No piece of this tokenizer crosses ASCII white space, so a text's ids are those of its words in turn. A word of
-    Latin letters with marks behind has two pieces, the lower-case letters and the marks; such pieces go to the
-    library's model in bulk, without its normaliser, and end where a token ends a word. Other words go to the whole
-    library tokenizer.
+    Pieces are lower-cased already, so they go to the library's model in bulk, without its normaliser, and end where a
+    token ends a word; words that need the normaliser or special tokens go to the whole library tokenizer. This holds
+    for byte-level files with word ends that compose, lower-case and cut by ``PIECES``; of other files every word goes
+    to the whole tokenizer, which is right for those that never join words across white space.
     """
-
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:()#%$*&]*)").fullmatch
-
-    def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        d = json.loads(spec)
-        kinds = [x["type"] for x in (d["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        lower = (d["normalizer"] or {}).get("normalizers", [{}])[-1].get("type") == "Lowercase"
-        self.full = Tokenizer.from_str(json.dumps(d | {"truncation": None, "padding": None}))
-        # Anything but lower-casing byte-level pieces with word ends is left to the whole tokenizer.
-        self.plain, self.simple = None, lambda w: None
-        if kinds == ["Split", "ByteLevel"] and lower and d["model"].get("end_of_word_suffix"):
-            plain = {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, d["pre_tokenizer"]["pretokenizers"][-1]]}}
-            self.plain, self.simple = Tokenizer.from_str(json.dumps(d | plain)), self.SIMPLE
-        suffix, vocab = d["model"].get("end_of_word_suffix") or "", d["model"]["vocab"]
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {b"": b""}
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.runs) + len(new) > CACHE_RUNS:
-            self.runs = {b"": b""}
-        runs, words = self.runs, self.words
-        if self.plain is None:
-            easy, other = [], set(new)
-        else:  # ASCII letters with marks behind, told without a regular expression
-            easy = [(w, r) for w in new if (r := w.rstrip(MARKS)).isalpha()]
-            other = new.difference([w for w, _ in easy])
-        split = [(w, r.lower(), w[len(r) :]) for w, r in easy]
-        found = [(w, m) for w in other if (m := self.simple(w.decode()))]
-        split += [(w, m[1].lower().encode(), m[2].encode()) for w, m in found]
-        rest = list(other.difference([w for w, _ in found]) if found else other)
-        need = {r for _, r, _ in split}
-        need.update({m for _, _, m in split})
-        need = list(need.difference(runs))
-        for k in range(0, len(need), 1000):
-            part = need[k : k + 1000]
-            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) != len(part):
-                raise ValueError("a run is not one piece")
-            data = ids.tobytes()
-            runs.update({r: data[x:y] for r, x, y in zip(part, [0, *cuts], cuts, strict=False)})
-        words.update({w: runs[r] + runs[m] if m else runs[r] for w, r, m in split})
-        for k in range(0, len(rest), 1000):
-            part = rest[k : k + 1000]
-            for w, e in zip(part, self.full.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        on = gc.isenabled()
-        gc.disable()  # large tables without cycles: collections would only walk them
-        try:
-            return self._encode(texts)
-        finally:
-            if on:
-                gc.enable()
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        lists = [t.split() for t in texts]
-        words = self.words
-        new = set().union(*lists).difference(words)
-        if new:
-            if len(words) + len(new) > CACHE_WORDS:  # the tables are emptied: all words of these texts are new
-                new = set().union(*lists)
-            self._learn(new)
-        return [b"".join([words[w] for w in ws]) for ws in lists]
-
-
-def library(spec: str) -> Library:
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    d = json.loads(spec)
+    full = Tokenizer.from_str(json.dumps(d | {"truncation": None, "padding": None}))
+    cutters, changes = (d["pre_tokenizer"] or {}).get("pretokenizers", []), (d["normalizer"] or {}).get("normalizers", [])
+    suffix, vocab = d["model"].get("end_of_word_suffix") or "", d["model"]["vocab"]
+
+    def whole(words: list[bytes]) -> Encoded:
+        some = [e.ids for e in full.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.array([i for x in some for i in x], dtype=np.uint32), np.array([len(x) for x in some], dtype=np.int64)
+
+    if not suffix or [x["type"] for x in cutters] != ["Split", "ByteLevel"] or cutters[0]["pattern"].get("Regex") != PIECES or [x["type"] for x in changes][::2] != ["NFC", "Lowercase"]:
+        return PieceTable(whole, whole, [])
+    plain = {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, cutters[-1]]}}
+    model = Tokenizer.from_str(json.dumps(d | plain))
+    last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+    last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def bulk(pieces: list[bytes]) -> Encoded:
+        ids, n = [], []
+        for k in range(0, len(pieces), 2000):
+            some = np.array(model.encode_batch_fast([b" ".join(pieces[k : k + 2000]).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ids.append(some)
+            n.append(np.diff(np.flatnonzero(last[some]) + 1, prepend=0))
+        if sum(map(len, n)) != len(pieces):
+            raise ValueError("a piece is not one word to the model")
+        return np.concatenate(ids), np.concatenate(n)
+
+    return PieceTable(bulk, whole, [x["content"] for x in d["added_tokens"]])
+
+
+def library(spec: str) -> PieceTable:
     key = hash(spec)
     if key not in _LIBRARY:
         _LIBRARY.clear()
-        _LIBRARY[key] = Library(spec)
+        _LIBRARY[key] = _table(spec)
     return _LIBRARY[key]
 
 
@@ -246,35 +201,42 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
         yield keys, texts
 
 
-def write_tokens(docs: DataFrame, spec: str, end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, spec: str, end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode ``docs`` and write them in ascending order of the key; returns the manifest, one row per file.
 
-    Manifest: path, first_id, n_docs, n_ids, start (ids of all files before it). Null text has only the end id; null
-    keys come first; repeated rows are separate documents, ties in any order; no rows write no files.
+    Manifest: part, number, path, first_id, n_docs, n_ids, start (ids of all files before it). Null text has only the
+    end id; null keys come first; rows of one key are separate documents in the order of their texts' bytes (null
+    first); other columns of ``docs`` are not read; no rows write no files.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(spec)
     folder = folder or fresh_path(spark, "token-files")
-    ordered = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("binary").alias("t")).repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first())
-    end = struct.pack("<I", end_id)
+    ordered = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("binary").alias("t")).repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with idle(_LIBRARY):
+            yield _written(batches, library(held.value))
+
+    def _written(batches: Iterator[pa.RecordBatch], table: PieceTable) -> pa.RecordBatch:
         done, writer = [], None
         for keys, texts in _chunks(batches):
-            for i, ids in zip(keys, library(held.value).encode(texts), strict=True):
+            ids, ends = table.encode(texts)
+            data, at = np.insert(ids, ends, end_id).astype("<u4").tobytes(), 0
+            for i, upto in zip(keys, (4 * (ends + np.arange(1, len(ends) + 1))).tolist(), strict=True):
                 if writer is None:
                     writer = Writer(f"{folder}/{uuid.uuid4().hex}.ids.zst")
-                writer.add(i, ids + end)
-                if 4 * writer.n_ids >= FILE_BYTES:
-                    done.append(writer.close())
+                writer.add(i, data[at:upto])
+                at = upto
+                if 4 * writer.n_ids >= file_bytes:
+                    done.append((TaskContext.get().partitionId(), len(done), *writer.close()))
                     writer = None
         if writer is not None:
-            done.append(writer.close())
-        yield pa.RecordBatch.from_pydict({n: pa.array([d[j] for d in done], t) for j, (n, t) in enumerate((("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())))})
+            done.append((TaskContext.get().partitionId(), len(done), *writer.close()))
+        return pa.RecordBatch.from_pydict({n: pa.array([d[j] for d in done], t) for j, (n, t) in enumerate((("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())))})
 
-    files = materialize(ordered.mapInArrow(write, "path string, first_id long, n_docs long, n_ids long").repartition(8), "token-manifest")
-    # One row per file; files with equal first ids hold only that id, so any order of them is ascending.
-    before = F.sum("n_ids").over(Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("path")).rowsBetween(Window.unboundedPreceding, -1))
+    files = materialize(ordered.mapInArrow(tidy(write), "part int, number int, path string, first_id long, n_docs long, n_ids long"), "token-manifest")
+    # One row per file of up to FILE_BYTES. Equal ids lie in one range partition, whose task numbers its files.
+    before = F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 
 
