@@ -14,21 +14,19 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._base import tidy
+from ._base import idle, tidy
+from ._pieces import Encoded, PieceTable, binary
 
-#: Words kept in a worker's table of finished encodings; a full table is emptied, so memory stays bounded.
-CACHE_WORDS = 100_000
-CACHE_PIECES = 150_000
+#: Pairs of tokens that a worker remembers; a full table is emptied, so memory stays bounded.
 CACHE_PAIRS = 150_000
-#: Values of one output batch are held under this many bytes.
-BATCH_BYTES = 8 << 20
+#: Texts, or ids, taken at once, unless one value has more.
+CHUNK_BYTES = 1 << 20
 
 
 class Backtracking:
@@ -133,16 +131,14 @@ class WordBpe:
         self.bpe = Backtracking({self._symbols(t): i for t, i in model["vocab"].items()}, [(self._symbols(a), self._symbols(b)) for a, b in merges])
         self.pieces = regex.compile(self.PIECES)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else lambda s: [s]
-        self.simple = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:()#%$*&]*)").fullmatch
         self.letters = byte_letters()
         by_id = {i: t for t, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         table = [by_id.get(i, "").encode() + b" " for i in range(max(by_id) + 1)]
         self.lengths = np.array([len(t) for t in table], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(table), dtype=np.uint8)
-        self.cache: dict[bytes, bytes] = {}
-        self.known: dict[str, bytes] = {}
         self.assigned: set[str] = set()
+        self.table = PieceTable(self._bulk, self._whole, list(self.special))
 
     def _symbols(self, t: str) -> str:
         if t.endswith(self.suffix) and len(t) > len(self.suffix):
@@ -150,31 +146,31 @@ class WordBpe:
             return t[:-1] + chr(ord(t[-1]) + self.END)
         return t
 
-    def word(self, w: bytes) -> bytes:
-        """Ids of a run without ASCII white space, as little-endian 32-bit integers."""
-        text = w.decode()
-        simple = self.simple(text)
-        if simple is not None:  # letters that compose with nothing, and marks behind: two pieces
-            run, marks = simple[1].lower(), simple[2]
-            got = self.known.get(run) or self._piece(run)
-            return got + (self.known.get(marks) or self._piece(marks)) if marks else got
-        out: list[bytes] = []
+    def word(self, w: bytes) -> list[int]:
+        """Ids of a run without ASCII white space."""
+        text, out = w.decode(), []
         for part in self.cut(text) if any(x in text for x in self.special) else (text,):
             if part in self.special:
-                out.append(pack("<I", self.special[part]))
+                out.append(self.special[part])
             else:
-                out += [self.known.get(piece) or self._piece(piece) for piece in self._pieces(part)]
-        return out[0] if len(out) == 1 else b"".join(out)
-
-    def _piece(self, piece: str) -> bytes:
-        symbols = "".join([self.letters[b] for b in piece.encode()])
-        ids = self.bpe.encode(symbols[:-1] + chr(ord(symbols[-1]) + self.END))
-        got = pack(f"<{len(ids)}I", *ids)
-        if len(self.known) >= CACHE_PIECES:
-            self.known.clear()
-        if len(piece) <= 200:
-            self.known[piece] = got
-        return got
+                for piece in self._pieces(part):
+                    out += self._piece(piece.encode())
+        return out
+
+    def _piece(self, piece: bytes) -> list[int]:
+        symbols = "".join([self.letters[b] for b in piece])
+        return self.bpe.encode(symbols[:-1] + chr(ord(symbols[-1]) + self.END))
+
+    def _bulk(self, pieces: list[bytes]) -> Encoded:
+        return self._joined([self._piece(p) for p in pieces])
+
+    def _whole(self, words: list[bytes]) -> Encoded:
+        return self._joined([self.word(w) for w in words])
+
+    @staticmethod
+    def _joined(ids: list[list[int]]) -> Encoded:
+        n = np.array([len(x) for x in ids], dtype=np.int64)
+        return np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(n.sum())), n
 
     def _pieces(self, s: str) -> list[str]:
         """Pieces of a run after normalisation. Code points that Python's Unicode tables do not know yet are normalised
@@ -201,37 +197,33 @@ class WordBpe:
         return "\u2603"
 
     def encode(self, text: bytes) -> bytes:
-        cache, out = self.cache, []
-        for w in text.split():
-            got = cache.get(w)
-            if got is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                got = self.word(w)
-                if len(w) <= 200:
-                    cache[w] = got
-            out.append(got)
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> bytes:
-        """Token texts joined by one space, gathered by offset and length of each id. In pieces of bounded size."""
-        every, out = np.frombuffer(ids, dtype="<u4"), []
-        for k in range(0, len(every), 1 << 16):
-            part = every[k : k + (1 << 16)]
+        """Little-endian 32-bit ids of a whole text."""
+        return self.table.encode([text])[0].astype("<u4").tobytes()
+
+    def _texts(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Token texts joined by one space, gathered by offset and length of each id, for each run of ids. In pieces of
+        bounded size."""
+        out = []
+        for k in range(0, len(ids), 1 << 16):
+            part = ids[k : k + (1 << 16)]
             n = self.lengths[part]
-            ends = np.cumsum(n)
-            out.append(self.bytes[np.repeat(self.starts[part] - (ends - n), n) + np.arange(ends[-1])].tobytes())
-        return b"".join(out)[:-1]
+            upto = np.cumsum(n)
+            out.append(self.bytes[np.repeat(self.starts[part] - (upto - n), n) + np.arange(upto[-1])])
+        data = np.concatenate(out) if out else np.zeros(0, np.uint8)
+        upto = np.concatenate([[0], np.cumsum(self.lengths[ids])])[ends]
+        some = np.diff(ends, prepend=0) > 0  # the space behind the last token goes
+        return binary(np.delete(data, upto[some] - 1), upto - np.cumsum(some), pa.string())
 
-    def encoded(self, text: bytes) -> tuple[bytes]:
-        return (self.encode(text),)
+    def encoded(self, texts: list[bytes]) -> list[pa.Array]:
+        ids, ends = self.table.encode(texts)
+        return [binary(ids.astype("<u4"), ends)]
 
-    def decoded(self, ids: bytes) -> tuple[bytes]:
-        return (self.decode(ids),)
+    def decoded(self, values: list[bytes]) -> list[pa.Array]:
+        return [self._texts(np.frombuffer(b"".join(values), "<u4"), np.cumsum([len(v) // 4 for v in values], dtype=np.int64))]
 
-    def both(self, text: bytes) -> tuple[bytes, bytes]:
-        ids = self.encode(text)
-        return ids, self.decode(ids)
+    def both(self, texts: list[bytes]) -> list[pa.Array]:
+        ids, ends = self.table.encode(texts)
+        return [binary(ids.astype("<u4"), ends), self._texts(ids, ends)]
 
 
 _MODELS: dict[int, WordBpe] = {}
@@ -251,35 +243,31 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def _in_parts(batch: pa.RecordBatch, column: str, f, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """``batch`` with more columns f(value), cut into batches of bounded size."""
-    at, done, size = 0, [], 0
+def _in_parts(batch: pa.RecordBatch, column: str, f, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``batch`` with more columns f(values), cut into batches of bounded size."""
+    at, some, size = 0, [], 0
     values = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
     for i, v in enumerate(values):
-        done.append(f(v.as_py() or b""))
-        size += sum(map(len, done[-1]))
-        if size >= BATCH_BYTES or i + 1 == len(values):
+        some.append(v.as_py() or b"")
+        size += len(some[-1])
+        if size >= CHUNK_BYTES or i + 1 == len(values):
             part = batch.slice(at, i + 1 - at)
-            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([x[j] for x in done], k) for j, k in enumerate(kinds)]], [*batch.schema.names, *names])
-            at, done, size = i + 1, [], 0
+            yield pa.RecordBatch.from_arrays([*part.columns, *f(some)], [*batch.schema.names, *names])
+            at, some, size = i + 1, [], 0
 
 
-def _apply(df: DataFrame, column: str, spec: str, method: str, out: list[tuple[str, pa.DataType, T.DataType]]) -> DataFrame:
+def _apply(df: DataFrame, column: str, spec: str, method: str, out: list[tuple[str, T.DataType]]) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(spec)
-    names, kinds = [n for n, _, _ in out], [k for _, k, _ in out]
+    names = [n for n, _ in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(held.value)
-        f = getattr(model, method)
-        try:
+        with idle(_MODELS):
+            f = getattr(_model(held.value), method)
             for b in batches:
-                yield from _in_parts(b, column, f, names, kinds)
-        finally:  # the worker may serve other stages next; finished pieces stay for its next task of this kind
-            model.cache.clear()
-            model.bpe.compatible.clear()
+                yield from _in_parts(b, column, f, names)
 
     df = df.select(*[c for c in df.columns if c not in names])
-    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, _, t in out]]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in out]]))
 
 
 def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -288,7 +276,7 @@ def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> Da
     Null and empty texts give no ids. Special tokens' strings in a text become their ids. A column named ``ids``
     is replaced; other columns, repeated rows and empty tables pass through.
     """
-    return _apply(df, text, spec, "encoded", [(ids, pa.binary(), T.BinaryType())])
+    return _apply(df, text, spec, "encoded", [(ids, T.BinaryType())])
 
 
 def decode(df: DataFrame, spec: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -296,12 +284,12 @@ def decode(df: DataFrame, spec: str, ids: str = "ids", decoded: str = "decoded")
 
     Null counts as no ids and gives the empty text. A column named ``decoded`` is replaced.
     """
-    return _apply(df, ids, spec, "decoded", [(decoded, pa.string(), T.StringType())])
+    return _apply(df, ids, spec, "decoded", [(decoded, T.StringType())])
 
 
 def round_trip(df: DataFrame, spec: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Both in one pass through one Python worker: ``ids`` of the text, and ``decoded`` from those ids."""
-    return _apply(df, text, spec, "both", [(ids, pa.binary(), T.BinaryType()), (decoded, pa.string(), T.StringType())])
+    return _apply(df, text, spec, "both", [(ids, T.BinaryType()), (decoded, T.StringType())])
 
 
 def digest(df: DataFrame, spec: str) -> DataFrame:
