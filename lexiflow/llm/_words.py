@@ -42,21 +42,41 @@ def release() -> None:
     _held[:] = [np.zeros(0, _U), np.zeros(0, _U)]
 
 
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U)
+
+
+def blocks(data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of ``data`` as numbers of eight bytes each, the last filled with zeros: the string and the place in it
+    of each number, and the number."""
+    number = np.ndarray((len(data) + 1,), "<u8", data + b"\0" * 8, strides=(1,))
+    n = (size + 7) // 8
+    owner = np.repeat(np.arange(len(size)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at = 8 * place
+    return owner, place, number[start[owner] + at] & _MASK[np.minimum(size[owner] - at, 8)]
+
+
+def string_hashes(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings at these places, each of a byte or more. Every eight bytes are mixed with their
+    place before they are summed, so no regular pattern of bytes cancels out."""
+    if not len(size):
+        return np.zeros(0, _U)
+    owner, place, v = blocks(data, start, size)
+    with np.errstate(over="ignore"):
+        v = mix(mix(v + _BASE) ^ mix(place.astype(_U) * _BASE + _U(0x51ED270B)))
+        sums = np.add.reduceat(v, np.flatnonzero(place == 0))
+        return mix(sums + size.astype(_U) * _BASE)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word (maximal run of bytes other than ASCII white space) of texts, and words per text."""
     data = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(data, dtype=np.uint8)
-    up, down = powers(len(raw) + 1)
-    gap = _GAP[raw]
+    gap = _GAP[np.frombuffer(data, dtype=np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    with np.errstate(over="ignore"):
-        sums = np.cumsum(_TABLE[raw] * up[: len(raw)], dtype=_U)
-        h = (sums[ends - 1] - np.where(starts > 0, sums[np.maximum(starts - 1, 0)], _U(0))) * down[starts]
-        h = mix(h + (ends - starts).astype(_U) * _BASE)
     stops = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(starts, stops)
-    return h, np.diff(np.concatenate([[0], upto]))
+    return string_hashes(data, starts, ends - starts), np.diff(np.concatenate([[0], upto]))
 
 
 def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -369,12 +369,13 @@ def similar(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id",
     whole word sequence if it has fewer words. Documents link if 100 * shared >= percent * union;
     component_id is the least doc_id that links reach. Null, empty and blank texts have no set and link with
     nothing. Null doc_ids: their rows are given, linked with nothing, with a null component. Repeated rows are one
-    document that appears as often. Sets are compared as sets of 64-bit hashes. No rows give no rows.
+    document that appears as often. Sets are compared as sets of 64-bit hashes. Other columns of ``docs`` are not read
+    or returned, whatever their names. No rows give no rows.
     """
     bands = Bands(percent)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     known = materialize(_classes(rows, k), "join-classes")
-    classes = known.filter("n > 0 and doc_id is not null").groupBy("c", "digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    classes = materialize(known.filter("n > 0 and doc_id is not null").groupBy("c", "digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "join-reps")
     total = known.agg(F.sum("n")).first()[0] or 0
     shards = max(12, -(-int(total * 0.45 * KEY_BYTES) // SHARD_BYTES))
     lists = materialize(_lists(_blobs(rows.filter("doc_id is not null"), k, bands, shards), shards).distinct().withColumn("list", F.monotonically_increasing_id()), "join-lists")
@@ -384,10 +385,11 @@ def similar(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id",
     sets = _sets(rows, wanted, k).join(classes.select("c", "digest", "rep"), ["c", "digest"])
     sets = materialize(sets.select("rep", "n", "hashes"), "join-sets")
     component = components(materialize(_links(members, sets, percent), "join-links"))
-    by_set = classes.select("c", "digest", "rep")
-    out = known.join(by_set, ["c", "digest"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("rep")))
-    out = out.join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    # One row per class, written: the join of all documents has plain exchanges below it, so adaptive execution splits
+    # the documents of a class that has very many.
+    placed = materialize(classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("c", "digest", F.coalesce("component", "rep").alias("component")), "join-placed")
+    out = known.join(placed, ["c", "digest"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
