@@ -4,14 +4,16 @@ A byte goes if a window of 50 bytes that covers it also starts in a document wit
 text would sort mostly what repeats nowhere, so windows are dealt to shards first, without losing any:
 
 1. The code of a window is the least hash of its 26-byte substrings, so equal windows have equal codes, and
-   neighbouring windows mostly share one. Codes that occur in two different texts are found shard by shard.
+   neighbouring windows mostly share one. Codes that occur in two different texts are found shard by shard; where a
+   chunk of documents has a code twice, that is decided on the spot and one of its texts speaks for it.
 2. Runs of neighbouring windows with one such code are sent, as strings, to the shard of the code. Within a chunk of
    documents only the least document of each string is sent; the others are decided on the spot.
 3. A shard sorts the strings whose code has several strings: induced sorting gives their suffix array, permuted common
    prefixes of 50 or more bound groups of equal windows, and the least document of a group decides the rest.
 
 Whole copies are found by digest and never sorted. No document, passage or code is gathered whole in one task:
-a very common passage reaches its shard once per chunk.
+a very common code or passage reaches its shard once per chunk. Texts are told apart by 128 bits of their SHA-256,
+documents by that and their id; strings of equal hash are compared byte by byte. Shards and buckets grow with the data.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._base import materialize, tidy
-from ._words import _TABLE, mix, powers
+from ._words import _TABLE, blocks, mix, powers, string_hashes
 from .suffix_array import common_prefixes, suffix_array
 
 _U = np.uint64
@@ -33,6 +36,7 @@ GRAM = 26  # bytes of the substrings whose least hash is a window's code, for wi
 CHUNK = 2 << 20  # bytes hashed at once; longer texts are cut into overlapping pieces
 SHARD_CODES = 1 << 20  # codes that one task should get
 LAST = (1 << 63) - 1
+_LOW = _U((1 << 40) - 1)
 
 
 def codes(data: np.ndarray, width: int) -> np.ndarray:
@@ -54,12 +58,16 @@ def codes(data: np.ndarray, width: int) -> np.ndarray:
     return mix(low)
 
 
-def _hash_of(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the strings of these sizes at these starts."""
-    up, down = powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_TABLE[data] * up[: len(data)], dtype=_U)])
-        return mix(mix((sums[at + size] - sums[at]) * down[at]) + size.astype(_U))
+def _names(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each string at these places: equal for equal strings only."""
+    _, first, name = np.unique(string_hashes(data, at, size), return_index=True, return_inverse=True)
+    owner, place, value = blocks(data, at, size)
+    head = np.flatnonzero(place == 0)
+    like = first[name]
+    if np.array_equal(size, size[like]) and np.array_equal(value, value[head[like][owner] + place]):
+        return name
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[x : x + n], len(known)) for x, n in zip(at.tolist(), size.tolist(), strict=True)], dtype=np.int64)
 
 
 def pieces(texts: Iterator[tuple], width: int) -> Iterator[list[tuple]]:
@@ -91,11 +99,36 @@ def _shard(code: np.ndarray, shards: int) -> np.ndarray:
     return ((code >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
 
 
-def _code_blobs(texts: DataFrame, width: int, shards: int) -> DataFrame:
-    """shard, blob: the distinct codes of each text (c) of a chunk, packed."""
+def _groups(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal values (rows of equal values) begin, and the end."""
+    if not len(keys):
+        return np.zeros(1, np.int64)
+    new = keys[1:] != keys[:-1]
+    return np.flatnonzero(np.concatenate([[True], new.any(axis=1) if new.ndim > 1 else new, [True]]))
+
+
+def _bucket(c: np.ndarray, buckets: int) -> np.ndarray:
+    return (c % _U(buckets)).astype(np.int64)
+
+
+def _pair_rows(c: np.ndarray, code: np.ndarray, shards: int, buckets: int) -> pa.RecordBatch | None:
+    """One row per bucket of texts: packed (text, code), texts as two numbers. On their way they pass any shard."""
+    if not len(c):
+        return None
+    bucket = _bucket(c[:, 0], buckets)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = np.column_stack([c, code])[order], bucket[order]
+    cuts = _groups(bucket)
+    data = [rows[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]] % shards, pa.int32()), pa.array(bucket[cuts[:-1]], pa.int64()), pa.array(data, pa.binary())], ["shard", "bucket", "blob"])
+
+
+def _code_blobs(texts: DataFrame, width: int, shards: int, buckets: int) -> DataFrame:
+    """Rows of two kinds: bucket -1 with the codes of a chunk's texts for one shard, packed, a code that several of the
+    texts have only once and marked; bucket >= 0 with those texts and codes, which are shared for certain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
 
         def fresh():
             for b in batches:
@@ -107,23 +140,44 @@ def _code_blobs(texts: DataFrame, width: int, shards: int) -> DataFrame:
         for group in pieces(fresh(), width):
             data, at, piece = _windows(group, width)
             code = codes(data, width)[at]
-            run_start = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])]))
-            code, piece = code[run_start], piece[run_start]
+            names = list(dict.fromkeys(x for x, _, _ in group))
+            number = {x: i for i, x in enumerate(names)}
+            text = np.array([number[x] for x, _, _ in group], np.int32)[piece]
+            first = _groups(np.column_stack([code, piece.astype(_U)]))[:-1]
+            code, text = code[first], text[first]
+            del at, piece, first
+            order = np.lexsort((text, code))  # a shard is a range of codes
+            code, text = code[order], text[order]
+            new = np.concatenate([[True], (code[1:] != code[:-1]) | (text[1:] != text[:-1])])
+            code, text = code[new], text[new]
+            cuts = _groups(code)
+            size = np.diff(cuts)
+            c = np.frombuffer(b"".join(names), "<u8").reshape(-1, 2)
+            several = np.repeat(size > 1, size)
             shard = _shard(code, shards)
-            order = np.lexsort((piece, code))  # a shard is a range of codes
-            shard, code, piece = shard[order], code[order], piece[order]
-            new = np.concatenate([[True], (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])])
-            shard, code, piece = shard[new], code[new], piece[new]
-            c = np.array([x for x, _, _ in group], dtype="<i8")
-            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-            out = []
+            both = _pair_rows(c[text[several]], code[several] & _LOW | shard[several].astype(_U) << _U(40), shards, buckets)
+            if both is not None:
+                yield both
+            code, text, shard, mark = code[cuts[:-1]], text[cuts[:-1]], shard[cuts[:-1]], size > 1
+            cuts, out = _groups(shard), []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                some, number = np.unique(piece[x:y], return_inverse=True)
+                some, place = np.unique(text[x:y], return_inverse=True)
                 low = code[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                out.append(np.int64(y - x).tobytes() + low.tobytes() + number.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() + c[some].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]], pa.int32()), pa.array(out, pa.binary())], ["shard", "blob"])
+                place = (2 * place + mark[x:y]).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+                out.append(np.int64(y - x).tobytes() + low.tobytes() + place.tobytes() + c[some].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]], pa.int32()), pa.array(np.full(len(out), -1), pa.int64()), pa.array(out, pa.binary())], ["shard", "bucket", "blob"])
+
+    return texts.mapInArrow(tidy(run), "shard int, bucket long, blob binary")
 
-    return texts.mapInArrow(tidy(run), "shard int, blob binary")
+
+def _read_codes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of a blob, the place of each one's text, marks, and the texts."""
+    m = int(np.frombuffer(blob, "<i8", 1)[0])
+    low, place = np.zeros((m, 8), np.uint8), np.zeros((m, 4), np.uint8)
+    low[:, :5] = np.frombuffer(blob, np.uint8, 5 * m, 8).reshape(m, 5)
+    place[:, :3] = np.frombuffer(blob, np.uint8, 3 * m, 8 + 5 * m).reshape(m, 3)
+    place = place.view("<u4").ravel()
+    return low.view("<u8").ravel(), (place >> 1).astype(np.int32), (place & 1).astype(bool), np.frombuffer(blob[8 + 8 * m :], "<u8").reshape(-1, 2)
 
 
 def _shared_codes(blobs: DataFrame, shards: int, buckets: int) -> DataFrame:
@@ -132,43 +186,44 @@ def _shared_codes(blobs: DataFrame, shards: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
-            for s, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                blob = blob.as_py()
-                m = int(np.frombuffer(blob, "<i8", 1)[0])
-                low, number = np.zeros((m, 8), np.uint8), np.zeros((m, 4), np.uint8)
-                low[:, :5] = np.frombuffer(blob, np.uint8, 5 * m, 8).reshape(m, 5)
-                number[:, :3] = np.frombuffer(blob, np.uint8, 3 * m, 8 + 5 * m).reshape(m, 3)
-                held.setdefault(s, []).append((low.view("<u8").ravel(), np.frombuffer(blob[8 + 8 * m :], "<i8")[number.view("<u4").ravel()]))
+            ready = pa.compute.greater_equal(b.column(1), 0)
+            yield b.filter(ready)
+            left = b.filter(pa.compute.invert(ready))
+            for s, blob in zip(left.column(0).to_pylist(), left.column(2), strict=True):
+                held.setdefault(s, []).append(_read_codes(blob.as_py()))
         for s in list(held):
             parts = held.pop(s)
-            low, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            del parts
-            order = np.lexsort((c, low))
-            low, c = low[order], c[order]
-            new = np.concatenate([[True], (low[1:] != low[:-1]) | (c[1:] != c[:-1])])
-            low, c = low[new], c[new]
-            again = np.zeros(len(low) + 1, dtype=bool)
-            again[1:-1] = low[1:] == low[:-1]
-            on = again[1:] | again[:-1]
-            low, c = low[on], c[on]
-            if len(c):  # one row per bucket of texts
-                bucket = (c.view(np.uint64) % _U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                pairs, bucket = np.stack([c.view(np.uint64), low | _U(s << 40)], axis=1)[order], bucket[order]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int64()), pa.array([pairs[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["bucket", "pairs"])
+            texts = np.concatenate([p[3] for p in parts])
+            starts = np.cumsum([0] + [len(p[3]) for p in parts])
+            order = np.lexsort((texts[:, 1], texts[:, 0]))  # a text has one number, whichever task sent it
+            cuts = _groups(texts[order])
+            number = np.empty(len(texts), np.int32)
+            number[order] = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            names = texts[order[cuts[:-1]]]
+            low, mark = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+            text = np.concatenate([number[p[1] + x] for p, x in zip(parts, starts, strict=False)])
+            del parts, texts, number
+            order = np.lexsort((text, low))
+            low, text, mark = low[order], text[order], mark[order]
+            cuts = _groups(low)
+            other = np.maximum.reduceat(text, cuts[:-1]) != np.minimum.reduceat(text, cuts[:-1])
+            on = np.repeat(other | np.logical_or.reduceat(mark, cuts[:-1]), np.diff(cuts)) & ~mark
+            rows = _pair_rows(names[text[on]], low[on] | _U(s << 40), shards, buckets)
+            if rows is not None:
+                yield rows
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(v.as_py(), "<u8").reshape(-1, 2) for b in batches for v in b.column(1)]
-        if parts:
-            every = np.concatenate(parts)
-            every = every[np.argsort(every[:, 0], kind="stable")]
-            cuts = np.flatnonzero(np.concatenate([[True], every[1:, 0] != every[:-1, 0], [True]]))
-            found = [every[x:y, 1].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(every[cuts[:-1], 0].view(np.int64), pa.int64()), pa.array(found, pa.binary())], ["c", "codes"])
+        some = [np.frombuffer(v.as_py(), "<u8").reshape(-1, 3) for b in batches for v in b.column(2)]
+        if some:
+            every = np.concatenate(some)
+            del some
+            every = every[np.lexsort((every[:, 1], every[:, 0]))]
+            cuts = _groups(every[:, :2])
+            found = [np.unique(every[x:y, 2]).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in every[cuts[:-1], :2]], pa.binary()), pa.array(found, pa.binary())], ["c", "codes"])
 
-    packed = blobs.repartition(shards, "shard").mapInArrow(tidy(run), "bucket long, pairs binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(tidy(gather), "c long, codes binary")
+    packed = blobs.repartition(shards, "shard").mapInArrow(tidy(run), "shard int, bucket long, blob binary")
+    return packed.repartition(buckets, "bucket").mapInArrow(tidy(gather), "c binary, codes binary")
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,31 +234,32 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[first], end[np.concatenate([first[1:] - 1, [len(end) - 1]])]
 
 
-def _span_rows(rk: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> pa.RecordBatch | None:
-    """One row per bucket of documents: packed (document key, start, end) triples. rk holds the bucket."""
-    if not len(rk):
+def _span_rows(row: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> pa.RecordBatch | None:
+    """One row per bucket of documents: packed (document as three numbers, start, end)."""
+    if not len(row):
         return None
-    bucket = (rk.astype(np.int64).view(np.uint64) % _U(buckets)).astype(np.int64)
+    bucket = _bucket(row[:, 1] ^ row[:, 0], buckets)
     order = np.argsort(bucket, kind="stable")
-    triples, bucket = np.stack([rk, start, end], axis=1).astype("<i8")[order], bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    data = [triples[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(data), -1), pa.int32()), pa.array(bucket[cuts[:-1]], pa.int64()), pa.array(data, pa.binary())], ["shard", "rk", "data"])
+    rows, bucket = np.column_stack([row, start.astype(_U), end.astype(_U)])[order], bucket[order]
+    cuts = _groups(bucket)
+    data = [rows[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(data), -1), pa.int32()), pa.array(bucket[cuts[:-1]], pa.int64()), pa.array(data, pa.binary())], ["shard", "bucket", "data"])
 
 
 def _gathered(rows: DataFrame, buckets: int) -> DataFrame:
-    """rk, spans: the merged (start, end) pairs of each document, from the packed triples of all tasks."""
+    """order, c, spans: the merged (start, end) pairs of each document, from the packed rows of all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(v.as_py(), "<i8").reshape(-1, 3) for b in batches for v in b.column(1)]
+        parts = [np.frombuffer(v.as_py(), "<u8").reshape(-1, 5) for b in batches for v in b.column(1)]
         if parts:
             every = np.concatenate(parts)
-            every = every[np.argsort(every[:, 0], kind="stable")]
-            cuts = np.flatnonzero(np.concatenate([[True], every[1:, 0] != every[:-1, 0], [True]]))
-            spans = [np.stack(_merged(every[x:y, 1], every[x:y, 2]), axis=1).astype("<i8").tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(every[cuts[:-1], 0], pa.int64()), pa.array(spans, pa.binary())], ["rk", "spans"])
+            del parts
+            every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+            cuts = _groups(every[:, :3])
+            spans = [np.stack(_merged(every[x:y, 3].view(np.int64), every[x:y, 4].view(np.int64)), axis=1).astype("<i8").tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(every[cuts[:-1], 0].view(np.int64), pa.int64()), pa.array([x.tobytes() for x in every[cuts[:-1], 1:3]], pa.binary()), pa.array(spans, pa.binary())], ["order", "c", "spans"])
 
-    return rows.repartition(buckets, "rk").mapInArrow(tidy(run), "rk long, spans binary")
+    return rows.repartition(buckets, "bucket").mapInArrow(tidy(run), "order long, c binary, spans binary")
 
 
 def _strings(candidates: DataFrame, width: int, shards: int, routes: int, buckets: int) -> DataFrame:
@@ -213,42 +269,42 @@ def _strings(candidates: DataFrame, width: int, shards: int, routes: int, bucket
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def texts():
             for b in batches:
-                for rk, order, t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                    yield (rk, order, c.as_py()), t.as_py() or b""
+                for order, c, t, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                    yield (order, c, some.as_py()), t.as_py() or b""
 
         for group in pieces(texts(), width):
             data, at, piece = _windows(group, width)
             code = codes(data, width)[at]
-            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])]))
-            size = np.diff(np.concatenate([first, [len(code)]])) + width - 1
+            cuts = _groups(np.column_stack([code, piece.astype(_U)]))
+            first, size = cuts[:-1], np.diff(cuts) + width - 1
             code, piece, at = code[first], piece[first], at[first]
-            mine = (code & _U((1 << 40) - 1)) | (_shard(code, shards).astype(_U) << _U(40))
+            mine = (code & _LOW) | (_shard(code, shards).astype(_U) << _U(40))
             wanted = np.zeros(len(code), dtype=bool)
             cut = np.searchsorted(piece, np.arange(len(group) + 1))
-            for i, ((_, _, c), _, _) in enumerate(group):
-                wanted[cut[i] : cut[i + 1]] = np.isin(mine[cut[i] : cut[i + 1]], np.frombuffer(c, "<u8"))
+            for i, ((_, _, some), _, _) in enumerate(group):
+                wanted[cut[i] : cut[i + 1]] = np.isin(mine[cut[i] : cut[i + 1]], np.frombuffer(some, "<u8"))
             code, piece, at, size = code[wanted], piece[wanted], at[wanted], size[wanted]
             if not len(code):
                 continue
-            text_hash = _hash_of(data, at, size)
-            rk = np.array([x for (x, _, _), _, _ in group], dtype=np.int64)
-            owner = np.array([x for (_, x, _), _, _ in group], dtype=np.int64)[piece]
+            name = _names(data.tobytes(), at, size)
+            row = np.array([(x & ((1 << 64) - 1), *np.frombuffer(c, "<u8").tolist()) for (x, c, _), _, _ in group], dtype=_U)[piece]
+            owner = row[:, 0].astype(np.int64)
             offset = np.array([x for _, x, _ in group], dtype=np.int64)[piece]
             begin = np.cumsum([0] + [len(p) for _, _, p in group])[piece]
             start = at - begin + offset
-            order = np.lexsort((owner, text_hash))
-            new = np.concatenate([[True], text_hash[order][1:] != text_hash[order][:-1]])
+            order = np.lexsort((owner, name))
+            new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
             least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             over = order[owner[order] > least]
-            decided = _span_rows(rk[piece[over]], start[over], (start + size)[over], buckets)
+            decided = _span_rows(row[over], start[over], (start + size)[over], buckets)
             if decided is not None:
                 yield decided
             keep = order[owner[order] == least]
-            new = np.concatenate([[True], text_hash[keep][1:] != text_hash[keep][:-1]])
+            new = np.concatenate([[True], name[keep][1:] != name[keep][:-1]])
             route = _shard(mix(code[keep]), routes)
             by = np.argsort(route, kind="stable")
-            keep, new, route = keep[by], new[by], route[by]  # strings of one hash have one code, so stay together
-            cuts = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]]))
+            keep, new, route = keep[by], new[by], route[by]  # equal strings have one code, so stay together
+            cuts = _groups(route)
             out = []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 k, one = keep[x:y], keep[x:y][new[x:y]]
@@ -256,21 +312,21 @@ def _strings(candidates: DataFrame, width: int, shards: int, routes: int, bucket
                 text = data[np.repeat(at[one] - (ends - size[one]), size[one]) + np.arange(ends[-1])]
                 number = (np.cumsum(new[x:y]) - 1).astype("<i4")
                 head = np.array([len(one), len(k)], dtype="<i8").tobytes()
-                out.append(head + code[one].astype("<u8").tobytes() + size[one].astype("<u4").tobytes() + number.tobytes() + owner[k].astype("<i8").tobytes() + rk[piece[k]].astype("<i8").tobytes() + start[k].astype("<i8").tobytes() + text.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(route[cuts[:-1]], pa.int32()), pa.array(np.zeros(len(out)), pa.int64()), pa.array(out, pa.binary())], ["shard", "rk", "data"])
+                out.append(head + code[one].astype("<u8").tobytes() + size[one].astype("<u4").tobytes() + number.tobytes() + row[k].astype("<u8").tobytes() + start[k].astype("<i8").tobytes() + text.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(route[cuts[:-1]], pa.int32()), pa.array(np.zeros(len(out)), pa.int64()), pa.array(out, pa.binary())], ["shard", "bucket", "data"])
 
-    return candidates.mapInArrow(tidy(run), "shard int, rk long, data binary")
+    return candidates.mapInArrow(tidy(run), "shard int, bucket long, data binary")
 
 
 class Shard:
     """Strings of one shard with the documents that hold them."""
 
     def __init__(self, blobs: list[bytes]):
-        code, size, number, owner, rk, start, text, n = [], [], [], [], [], [], [], 0
+        code, size, number, row, start, text, n = [], [], [], [], [], [], 0
         for b in blobs:
             u, m = np.frombuffer(b, "<i8", 2)
             at = 16
-            for kind, count, into in (("<u8", u, code), ("<u4", u, size), ("<i4", m, number), ("<i8", m, owner), ("<i8", m, rk), ("<i8", m, start)):
+            for kind, count, into in (("<u8", u, code), ("<u4", u, size), ("<i4", m, number), ("<u8", 3 * m, row), ("<i8", m, start)):
                 into.append(np.frombuffer(b, kind, int(count), at))
                 at += into[-1].nbytes
             number[-1] = number[-1].astype(np.int64) + n
@@ -282,7 +338,8 @@ class Shard:
         self.texts = list(known)
         self.code = np.zeros(len(known), _U)
         self.code[to] = np.concatenate(code)
-        self.number, self.owner, self.rk, self.start = to[np.concatenate(number)], np.concatenate(owner), np.concatenate(rk), np.concatenate(start)
+        self.number, self.row, self.start = to[np.concatenate(number)], np.concatenate(row).reshape(-1, 3), np.concatenate(start)
+        self.owner = self.row[:, 0].astype(np.int64)
         self.least = np.full(len(known), LAST, dtype=np.int64)
         np.minimum.at(self.least, self.number, self.owner)
 
@@ -298,13 +355,13 @@ class Shard:
         again[1:-1] = code[1:] == code[:-1]
         several = order[again[1:] | again[:-1]]
         if len(several):
-            s = np.frombuffer(b"".join([self.texts[i] + b"\0" for i in several]), np.uint8).astype(np.int64) + 1
+            s = np.frombuffer(b"".join([self.texts[i] + b"\0" for i in several]), np.uint8).astype(np.int16) + np.int16(1)
             lens = sizes[several]
             ends = np.cumsum(lens + 1) - 1
             s[ends] = 0
             of = np.repeat(np.arange(len(several)), lens + 1)
             sa = suffix_array(s, 257)
-            shared = common_prefixes(s, sa, width)
+            shared = common_prefixes(s, sa)
             first = np.flatnonzero(shared[sa] < width)  # the first suffix of each group of equal windows
             low = np.minimum.reduceat(self.least[several][of[sa]], first)
             least = np.empty(len(s), dtype=np.int64)
@@ -336,38 +393,36 @@ def _decided(strings: DataFrame, width: int, routes: int, buckets: int) -> DataF
         for s in list(held):
             shard = Shard(held.pop(s))
             at, start, end = shard.spans(width)
-            rows = _span_rows(shard.rk[at], start, end, buckets)
+            rows = _span_rows(shard.row[at], start, end, buckets)
             if rows is not None:
                 yield rows
 
-    return strings.repartition(routes, "shard").mapInArrow(tidy(run), "shard int, rk long, data binary")
+    return strings.repartition(routes, "shard").mapInArrow(tidy(run), "shard int, bucket long, data binary")
+
+
+def _identity(key: str, text: str) -> list:
+    """Columns that tell a row's verdict: its id (null: the greatest) and 128 bits of its text's digest."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    return [F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("__r_order"), F.unhex(F.substring(F.sha2(t, 256), 1, 32)).alias("__r_c")]
 
 
 def repeated_spans(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What goes: (rk, spans) with packed, merged (start, end) byte pairs, and (rk, copy) for documents
-    whose whole text stands in a smaller document. rk is ``row_key``."""
-    rows = docs.select(row_key(key, text).alias("rk"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("order"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t"))
-    long = rows.filter(F.octet_length("t") >= width)
-    known = materialize(long.select("rk", "order", F.xxhash64("t").alias("c"), F.sha2("t", 256).alias("sha"), F.octet_length("t").cast("long").alias("n")), "repeat-known")
-    least = known.groupBy("sha").agg(F.min("order").alias("least"))
-    placed = known.join(least, "sha")
-    copies = placed.filter("order > least").select("rk").distinct()
+    """What goes: (order, c, spans) with packed, merged (start, end) byte pairs, and (order, c) of documents whose whole
+    text stands in a smaller document. order and c are those of ``_identity``."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    long = docs.filter(F.octet_length(t) >= width).select(*_identity(key, text), t.alias("t")).toDF("order", "c", "t")
+    known = materialize(long.select("order", "c", F.octet_length("t").cast("long").alias("n")), "repeat-known")
+    least = materialize(known.groupBy("c").agg(F.min("order").alias("least")), "repeat-least")
+    # Written tables on both sides: adaptive execution splits the rows of a text with very many copies.
+    copies = materialize(known.join(least, "c").filter("order > least").select("order", "c"), "repeat-copies")
     total = known.agg(F.sum("n")).first()[0] or 0
     shards = max(12, -(-2 * total // ((width - min(GRAM, width) + 2) * SHARD_CODES)))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = _shared_codes(_code_blobs(long.select(F.xxhash64("t").alias("c"), "t"), width, shards), shards, buckets)
-    shared = materialize(shared, "repeat-codes")
-    firsts = placed.filter("order = least").select("c", "rk", "order").distinct()
-    wanted = shared.join(firsts, "c").select("rk", "codes")
-    candidates = long.select("rk", "order", "t").join(wanted, "rk").select("rk", "order", "t", "codes")
-    routes = shards
-    strings = materialize(_strings(candidates, width, shards, routes, buckets), "repeat-strings")
-    spans = strings.filter("shard < 0").select("rk", "data").unionByName(_decided(strings.filter("shard >= 0"), width, routes, buckets).select("rk", "data"))
-    return _gathered(spans, buckets), copies
-
-
-def row_key(key: str, text: str):
-    return F.xxhash64(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    shared = materialize(_shared_codes(_code_blobs(long.select("c", "t"), width, shards, shards), shards, shards), "repeat-codes")
+    wanted = shared.join(least.withColumnRenamed("least", "order"), "c")
+    candidates = long.join(wanted, ["order", "c"]).select("order", "c", "t", "codes")
+    strings = materialize(_strings(candidates, width, shards, shards, shards), "repeat-strings")
+    spans = strings.filter("shard < 0").select("bucket", "data").unionByName(_decided(strings.filter("shard >= 0"), width, shards, shards).select("bucket", "data"))
+    return _gathered(spans, shards), copies.distinct()
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -379,9 +434,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     """
     names = [c for c in docs.columns if c != "repeats"]
     spans, copies = repeated_spans(docs, width, key, text)
-    verdict = materialize(spans.withColumn("copy", F.lit(False)).join(copies, "rk", "left_anti").unionByName(copies.select("rk", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy"))), "repeat-spans")
-    joined = docs.select(*[F.col(f"`{c}`") for c in names], row_key(key, text).alias("rk")).join(verdict, "rk", "left").drop("rk")
-    return joined.select(*[F.col(f"`{c}`") for c in names], _cut(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), F.col("spans"), F.coalesce("copy", F.lit(False))).alias("repeats"))
+    row = ["order", "c"]
+    verdict = spans.join(copies, row, "left_anti").withColumn("copy", F.lit(False)).unionByName(copies.select(*row, F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy")))
+    verdict = materialize(verdict.toDF("__r_order", "__r_c", "__r_spans", "__r_copy"), "repeat-spans")
+    joined = docs.select(*[F.col(f"`{c}`") for c in names], *_identity(key, text)).join(verdict, ["__r_order", "__r_c"], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], _cut(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), F.col("__r_spans"), F.coalesce("__r_copy", F.lit(False))).alias("repeats"))
 
 
 def _kept(t: pd.Series, spans: pd.Series, copy: pd.Series) -> pd.DataFrame:

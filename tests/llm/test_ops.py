@@ -108,7 +108,10 @@ def test_chat_round_trip(spark):
 # --- suffix arrays and their dedup
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("block, depth", [(4, 1), (4, 24), (4096, 24)])
+def test_suffix_arrays(monkeypatch, block, depth):
+    monkeypatch.setattr(suffix_array, "BLOCK", block)
+    monkeypatch.setattr(suffix_array, "DEPTH", depth)
     r = np.random.default_rng(1)
     for t in range(400):
         k, n = int(r.integers(1, 6)), int(r.integers(1, 60))
@@ -119,10 +122,10 @@ def test_suffix_arrays():
         b = s.astype(np.uint8).tobytes()
         sa = suffix_array.suffix_array(s, k)
         assert sa.tolist() == sorted(range(n), key=lambda i: b[i:])
-        shared = suffix_array.common_prefixes(s, sa, 9)
+        shared = suffix_array.common_prefixes(s, sa)
         for x, y in zip(sa, sa[1:]):
             c = 0
-            while c < 9 and max(x, y) + c < n and s[x + c] == s[y + c]:
+            while max(x, y) + c < n and s[x + c] == s[y + c]:
                 c += 1
             assert shared[y] == c
     assert suffix_array.suffix_array(np.arange(9000)[::-1].copy(), 9000).tolist() == list(range(9000))[::-1]
