@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet and read again as
-the next stage's documents. All but the last return the columns of documents.
+the next stage's documents. All but the last return the columns of documents, further ones and those named like an
+operator's result included. Null and empty texts: the quality rules reject them; the other stages, given such rows,
+keep them (near duplicates), drop them as left without a word (passages, mix), or encode them to no ids. Null ids are
+in no group of near duplicates and count as the greatest in passages. Rows that repeat an id and its text are one
+document to near duplicates. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -23,10 +27,22 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _aside(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column of this name, any case, called otherwise while an operator puts its result there."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"__p_{c}") if c.lower() == name else F.col(f"`{c}`") for c in docs.columns])
+
+
+def _back(docs: DataFrame, out: DataFrame, name: str) -> DataFrame:
+    for c in docs.columns:
+        if c.lower() == name:
+            out = out.drop(name).withColumnRenamed(f"__p_{c}", c)
+    return _like(docs, out)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with their failing lines gone."""
-    judged = quality_rules.assess(docs).filter("quality.kept")
-    return _like(docs, judged.withColumn("text", F.col("quality.cleaned_text")))
+    judged = quality_rules.assess(_aside(docs, "quality")).filter("quality.kept")
+    return _back(docs, judged.withColumn("text", F.col("quality.cleaned_text")), "quality")
 
 
 def _texts_of_one_id(docs: DataFrame) -> DataFrame | None:
@@ -48,7 +64,8 @@ def _digest():
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of similar documents; copies of a row (its id and text) go as
-    well. Documents without a word or an id are in no group and stay. Texts that share an id are separate documents."""
+    well, the one with the least other columns, as JSON, stays. Documents without a word or an id are in no group and
+    stay. Texts that share an id are separate documents."""
     further, key = _texts_of_one_id(docs), "__p_key"
     keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
     if further is not None:
@@ -64,26 +81,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     left = keyed.join(gone, key, "left_anti")
     worded = left.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     repeated = worded.groupBy(key).agg(F.count("*").alias("n")).filter(f"n > 1 and {key} is not null").select(key)
-    first = left.join(repeated, key).dropDuplicates([key])
-    return _like(docs, left.join(repeated, key, "left_anti").unionByName(first.select(*left.columns)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = left.join(repeated, key).groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("__p_row")).select("__p_row.*")
+    return _like(docs, left.join(repeated, key, "left_anti")).unionByName(_like(docs, first))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; those left without a word go. Bytes of a cut
     character go with the cut."""
-    cut = suffix_dedup.remove_repeats(docs)
-    return _like(docs, cut.withColumn("text", _decoded()).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    cut = suffix_dedup.remove_repeats(_aside(docs, "repeats"))
+    return _back(docs, cut.withColumn("text", _decoded()).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")), "repeats")
+
+
+#: A whole UTF-8 character, bytes standing as Latin-1 characters.
+UTF8 = r"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|\xED[\x80-\x9F][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
 
 
 def _decoded():
     """The kept bytes as text; where bytes were removed, incomplete characters at the cuts are dropped."""
-    clean = F.when(F.is_valid_utf8(F.col("repeats.kept")), F.col("repeats.kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("repeats.kept")), F.lit("�"), F.lit("")))
-    return F.when(F.col("repeats.n_removed") > 0, clean).otherwise(F.col("text"))
+    kept = F.col("repeats.kept")
+    whole = F.encode(F.regexp_replace(F.decode(kept, "ISO-8859-1"), f"(?s)({UTF8})|.", "$1"), "ISO-8859-1").cast("string")
+    return F.when(F.col("repeats.n_removed") > 0, F.when(F.is_valid_utf8(kept), kept.cast("string")).otherwise(whole)).otherwise(F.col("text"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, whole each time."""
-    return _like(docs, mixing.take(mixing.mix(docs, F.array("source")), whole_only=True))
+    return _back(docs, mixing.take(mixing.mix(_aside(docs, "mix"), F.array("source")), whole_only=True), "mix")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
