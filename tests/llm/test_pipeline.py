@@ -61,3 +61,37 @@ def test_near_duplicates_of_one_id(spark, tmp_path):
     assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want)
     top = spark.createDataFrame([((1 << 63) - 1, text("g")), ((1 << 63) - 1, text("h")), (3, text("g"))], "doc_id long, text string")
     assert {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, top, str(tmp_path)).collect()} == {(3, text("g")), ((1 << 63) - 1, text("h"))}
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, quality string, repeats int, mix string, MIX2 int"
+
+
+def test_stages_keep_clashing_columns_and_odd_rows(spark, tmp_path):
+    """Nulls, empty, long, tied and repeated rows; columns named like the operators' results; empty tables."""
+    good = lambda w: "\n".join(f"The {w}a{i} of {w}b{i} has, {w}c{i} {w}d{i}." for i in range(9))
+    long = " ".join(f"word{i}" + "." * (i % 9 == 0) for i in range(60_000))
+    rows = [(1, good("cat")), (1, good("cat")), (2, good("cat")), (3, None), (4, ""), (None, good("dog")), (None, good("dog")), (None, None), (5, good("emu")), (5, good("fox")), (6, long), (7, " \n ")]
+    full = [(i, t, None if k % 2 else "en", f"s{k % 2}" if k % 5 else None, None if t is None else len(t), "q", k, "m", k) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(full, CLASHES)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r.quality == "q" and r.mix == "m" and r.repeats == r.MIX2 and r.n_chars == (None if r.text is None else len(r.text)) for r in got), name
+        kept[name] = collections.Counter((r.doc_id, r.text) for r in got)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    worded = collections.Counter((i, t) for i, t in rows if t and t.strip())
+    assert kept["quality_rules"] == worded
+    assert kept["near_duplicates"] == collections.Counter([(1, good("cat")), (5, good("emu")), (5, good("fox")), (6, long), *[r for r in rows if not r[1] or r[0] is None or r[0] == 7]])
+    assert {i for i, _ in kept["suffix_array_dedup"]} == {1, 5, 6, None} and set(kept["source_mix"]) <= set(worded)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {(r.doc_id, r.n_tokens > 0) for r in out.collect()} == {(i, bool(t and t.strip())) for i, t in rows} and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_own_replacement_characters_stay(spark, tmp_path):
+    """A cut through a character drops its other bytes, never a character that the document has itself."""
+    passage = "".join(chr(0x4E00 + i) for i in range(18))
+    rows = [(1, f"x{passage}y"), (2, chr(0x5000) + passage[1:] + "\ufffd, \u00e9nd")]  # the first character's last byte is equal
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.passages(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "\ufffd, \u00e9nd"}
