@@ -35,6 +35,7 @@ _U = np.uint64
 GRAM = 26  # bytes of the substrings whose least hash is a window's code, for windows of 50
 CHUNK = 2 << 20  # bytes hashed at once; longer texts are cut into overlapping pieces
 SHARD_CODES = 1 << 20  # codes that one task should get
+SORTED_BYTES = 1 << 20  # strings in one suffix array, unless one code has more
 LAST = (1 << 63) - 1
 _LOW = _U((1 << 40) - 1)
 
@@ -348,41 +349,49 @@ class Shard:
         sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
         over = np.flatnonzero(self.owner > self.least[self.number])
         found = [(over, self.start[over], self.start[over] + sizes[self.number[over]])]
-        # Strings whose code has others: their windows are grouped by a suffix array.
+        # Strings whose code has others: their windows are grouped by suffix arrays, the strings of a code in one.
         order = np.argsort(self.code, kind="stable")
-        code = self.code[order]
-        again = np.zeros(len(code) + 1, dtype=bool)
-        again[1:-1] = code[1:] == code[:-1]
-        several = order[again[1:] | again[:-1]]
-        if len(several):
-            s = np.frombuffer(b"".join([self.texts[i] + b"\0" for i in several]), np.uint8).astype(np.int16) + np.int16(1)
-            lens = sizes[several]
-            ends = np.cumsum(lens + 1) - 1
-            s[ends] = 0
-            of = np.repeat(np.arange(len(several)), lens + 1)
-            sa = suffix_array(s, 257)
-            shared = common_prefixes(s, sa)
-            first = np.flatnonzero(shared[sa] < width)  # the first suffix of each group of equal windows
-            low = np.minimum.reduceat(self.least[several][of[sa]], first)
-            least = np.empty(len(s), dtype=np.int64)
-            least[sa] = np.repeat(low, np.diff(np.concatenate([first, [len(sa)]])))
-            window = np.arange(len(s)) + width <= ends[of]
-            gone = window & (least < self.least[several][of])
-            p = np.flatnonzero(gone)
-            if len(p):
-                new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (of[p[1:]] != of[p[:-1]])])
-                x, y = p[new], p[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(p) - 1]])]
-                begin = ends - lens
-                string, x, y = several[of[x]], x - begin[of[x]], y - begin[of[x]] + width
-                # Occurrences in the string's least document (others lose the whole string already).
-                at = np.flatnonzero(self.owner == self.least[self.number])
-                at = at[np.argsort(self.number[at], kind="stable")]
-                lo, hi = np.searchsorted(self.number[at], string), np.searchsorted(self.number[at], string, side="right")
-                run = np.repeat(np.arange(len(string)), hi - lo)
-                which = at[np.arange(len(run)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[run]]
-                found.append((which, self.start[which] + x[run], self.start[which] + y[run]))
+        cuts = _groups(self.code[order])
+        total = np.concatenate([[0], np.cumsum(sizes[order] + 1)])
+        at = np.flatnonzero(self.owner == self.least[self.number])  # occurrences in a string's least document (others
+        at = at[np.argsort(self.number[at], kind="stable")]  # lose the whole string already)
+        some, held = [], 0
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if y - x > 1:
+                size = int(total[y] - total[x])
+                if some and held + size > SORTED_BYTES:
+                    found.append(self._windows(np.concatenate(some), sizes, width, at))
+                    some, held = [], 0
+                some.append(order[x:y])
+                held += size
+        if some:
+            found.append(self._windows(np.concatenate(some), sizes, width, at))
         return tuple(np.concatenate([f[j] for f in found]) for j in range(3))
 
+    def _windows(self, several: np.ndarray, sizes: np.ndarray, width: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The part of ``spans`` that one suffix array over the strings ``several`` tells."""
+        s = np.frombuffer(b"".join([self.texts[i] + b"\0" for i in several]), np.uint8).astype(np.int16) + np.int16(1)
+        lens = sizes[several]
+        ends = np.cumsum(lens + 1) - 1
+        s[ends] = 0
+        of = np.repeat(np.arange(len(several), dtype=np.int32), lens + 1)
+        sa = suffix_array(s, 257)
+        shared = common_prefixes(s, sa)
+        first = np.flatnonzero(shared[sa] < width)  # the first suffix of each group of equal windows
+        least = self.least[several]
+        low = np.minimum.reduceat(least[of[sa]], first)
+        gone = np.empty(len(s), dtype=bool)
+        gone[sa] = np.repeat(low, np.diff(np.append(first, len(sa)))) < least[of[sa]]
+        p = np.flatnonzero(gone & (np.arange(len(s)) + width <= ends[of]))
+        new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (of[p[1:]] != of[p[:-1]])]) if len(p) else np.zeros(0, dtype=bool)
+        x, y = p[new], p[np.append(new[1:], True)] if len(p) else p
+        begin = ends - lens
+        string, x, y = several[of[x]], x - begin[of[x]], y - begin[of[y]] + width
+        lo, hi = np.searchsorted(self.number[at], string), np.searchsorted(self.number[at], string, side="right")
+        run = np.repeat(np.arange(len(string)), hi - lo)
+        which = at[np.arange(len(run)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[run]]
+        return which, self.start[which] + x[run], self.start[which] + y[run]
+
 
 def _decided(strings: DataFrame, width: int, routes: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -161,6 +161,29 @@ def test_suffix_dedup(spark, docs, odd, empty):
     assert removed(empty, 50) == collections.Counter()
 
 
+def test_shard_of_many_arrays(monkeypatch):
+    """Strings of a shard in many small suffix arrays: the spans of each are those of brute force."""
+    r, width = random.Random(9), 8
+    code, owner = [r.randrange(12) for _ in range(60)], [r.randrange(9) for _ in range(60)]
+    some = [bytes(97 + 2 * c + r.randrange(2) for _ in range(r.randint(8, 30))) for c in code]  # equal windows have equal codes
+    n = len(some)
+    blob = np.array([n, n], "<i8").tobytes() + np.array(code, "<u8").tobytes() + np.array([len(x) for x in some], "<u4").tobytes() + np.arange(n, dtype="<i4").tobytes()
+    blob += np.array([[o, 0, 0] for o in owner], "<u8").tobytes() + np.zeros(n, "<i8").tobytes() + b"".join(some)
+    for size in (16, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", size)
+        shard = suffix_dedup.Shard([blob])
+        got = collections.defaultdict(set)
+        for at, x, y in zip(*(v.tolist() for v in shard.spans(width))):
+            got[at] |= set(range(x, y))
+        same = [{j for j in range(n) if some[j] == some[i] or code[j] == code[i]} for i in range(n)]
+        for i in range(n):
+            want = set()
+            for p in range(len(some[i]) - width + 1):
+                if any(owner[j] < owner[i] and some[i][p : p + width] in some[j] for j in same[i]):
+                    want |= set(range(p, p + width))
+            assert got[i] == want
+
+
 def test_pieces_cover_all_windows(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 100)
     t = bytes(random.Random(1).choices(range(256), k=1234))
