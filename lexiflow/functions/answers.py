@@ -18,7 +18,8 @@ def answer_letter(text: Column) -> Column:
 
 
 def reasoned_letter(text: Column) -> Column:
-    """For answers after reasoning: the last five lines first, then the whole, the first character, the last letter."""
+    """For answers after reasoning: the last five lines first, then the whole, the first character, the last letter,
+    then a letter of either case before a bracket or a full stop."""
     t = F.trim(text)
     tail = F.array_join(F.slice(F.reverse(F.split(t, "\n")), 1, 5), "\n")  # order of lines does not matter inside one
     every = F.regexp_extract_all(t, F.lit(r"\b([A-E])\b"), 1)
@@ -27,6 +28,7 @@ def reasoned_letter(text: Column) -> Column:
         _none(F.regexp_extract(t, r"(?i)Answer\s*[:：]\s*([A-E])", 1)),
         F.when(F.substring(t, 1, 1).rlike("^[A-Ea-e]$"), F.upper(F.substring(t, 1, 1))),
         F.when(F.size(every) > 0, F.element_at(every, -1)),
+        _none(F.regexp_extract(t, r"(?i)\b([A-E])[)\.]", 1)),
     )
 
 

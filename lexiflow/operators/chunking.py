@@ -65,26 +65,78 @@ def token_windows(docs: DataFrame, key: str, tokens: Column, size: int, overlap:
     return d.select(key, "t", F.explode(F.sequence(F.lit(0), n)).alias("pos")).select(key, "pos", F.array_join(F.slice("t", F.col("pos") * step + 1, F.lit(size)), " ").alias("chunk"))
 
 
-def pack(units: Column, least: int, target: int, most: int) -> Column:
-    """Greedy packing of an array of paragraphs to chunks of (least, target, most) tokens, as a fold: a unit over
-    ``most`` flushes what is held; one that would pass ``most`` flushes it only if it holds ``least``; reaching
-    ``target`` flushes; a rest under ``least`` is dropped."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"), F.lit(0).alias("n"))
-    flushed = lambda a, ok: F.when(ok & (a["n"] > 0), F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"])
+def sentence_pack(text: Column, most: int, counter=token_count) -> Column:
+    """Sentences of a long paragraph packed to chunks of up to ``most`` tokens; a longer sentence stays whole."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n"))
+    flush = lambda a: F.when(F.size(a["held"]) > 0, F.concat(a["out"], F.array(F.array_join(a["held"], " ")))).otherwise(a["out"])
+
+    def step(a: Column, s: Column) -> Column:
+        over = a["n"] + counter(s) > most
+        return F.struct(F.when(over, flush(a)).otherwise(a["out"]).alias("out"), F.when(over, F.array(s)).otherwise(F.concat(a["held"], F.array(s))).alias("held"), F.when(over, counter(s)).otherwise(a["n"] + counter(s)).alias("n"))
+
+    return F.aggregate(F.split(text, r"(?<=[.!?])\s+"), start, step, flush)
+
+
+def pack(units: Column, least: int, target: int, most: int, counter=token_count) -> Column:
+    """Greedy packing of an array of paragraphs to chunks of (least, target, most) tokens, joined by a blank line, as a
+    fold: a unit over ``most`` flushes whatever is held and is split by sentences; one that would pass ``most`` flushes
+    only if ``least`` is held, else the chunk overflows; reaching ``target`` flushes; a last rest under ``least`` is
+    dropped."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n"))
+    none = F.array().cast("array<string>")
+    state = lambda out, held, n: F.struct(out.alias("out"), held.alias("held"), n.alias("n"))
+    flushed = lambda a, ok: F.when(ok & (F.size(a["held"]) > 0), F.concat(a["out"], F.array(F.array_join(a["held"], "\n\n")))).otherwise(a["out"])
 
     def step(a: Column, u: Column) -> Column:
-        n = token_count(u)
+        n = counter(u)
         full = (a["n"] + n > most) & (a["n"] >= least)
-        held = F.when(full | (a["n"] == 0), u).otherwise(F.concat(a["held"], F.lit("\n"), u))
+        held = F.when(full, F.array(u)).otherwise(F.concat(a["held"], F.array(u)))
         total = F.when(full, n).otherwise(a["n"] + n)
         out = flushed(a, full)
-        grown = F.when(total >= target, F.struct(F.concat(out, F.array(held)).alias("out"), F.lit("").alias("held"), F.lit(0).alias("n"))).otherwise(F.struct(out.alias("out"), held.alias("held"), total.alias("n")))
-        alone = F.struct(F.concat(flushed(a, a["n"] >= least), F.array(u)).alias("out"), F.lit("").alias("held"), F.lit(0).alias("n"))
-        return F.when(n > most, alone).otherwise(grown)
+        grown = F.when(total >= target, state(F.concat(out, F.array(F.array_join(held, "\n\n"))), none, F.lit(0))).otherwise(state(out, held, total))
+        return F.when(n > most, state(F.concat(flushed(a, F.lit(True)), sentence_pack(u, most, counter)), none, F.lit(0))).otherwise(grown)
 
     return F.aggregate(units, start, step, lambda a: flushed(a, a["n"] >= least))
 
 
+def sentence_windows(text: Column, size: int = 800, overlap: int = 100) -> Column:
+    """Chunks of whole sentences of up to ``size`` characters, each beginning with the last whole words of the one
+    before it (of its last ``overlap`` characters); a text that fits is one chunk, an empty one none."""
+    trimmed = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
+
+    def step(a: Column, s: Column) -> Column:
+        tail = F.right(a["held"], F.lit(overlap)) if overlap > 0 else F.lit("")
+        after = F.regexp_replace(tail, r"^[^ ]* ", "")  # unchanged without a blank
+        begun = F.regexp_replace(F.concat(after, F.lit(" "), s), r"^\s+|\s+$", "") if overlap > 0 else s
+        return (
+            F.when(a["held"] == "", F.struct(a["out"].alias("out"), s.alias("held")))
+            .when(F.length(a["held"]) + 1 + F.length(s) <= size, F.struct(a["out"].alias("out"), F.concat(a["held"], F.lit(" "), s).alias("held")))
+            .otherwise(F.struct(F.concat(a["out"], F.array(a["held"])).alias("out"), begun.alias("held")))
+        )
+
+    folded = F.aggregate(trimmed, start, step, lambda a: F.when(a["held"] != "", F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"]))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(folded)
+
+
+def passage_ids(key: Column, pos: Column) -> Column:
+    """The id itself for the first passage of a document, with #1, #2, ... behind it for the next."""
+    return F.when(pos == 0, key.cast("string")).otherwise(F.concat_ws("#", key.cast("string"), pos.cast("string")))
+
+
+def book_sections(books: DataFrame, key: str, text: Column) -> DataFrame:
+    """key, chapter, section, n, body: a book's chapters, each split at its section headings; n counts a book's sections."""
+    chapters = split_at(books, key, text, lambda line: F.trim(line).rlike(CHAPTER), F.lit("Introduction")).select(F.struct(F.col(key).alias("book"), F.col("ordinal").alias("chapter_no"), F.col("heading").alias("chapter")).alias("at"), "body")
+    rows = split_at(chapters, "at", F.col("body"), is_section, F.lit("")).select(F.col("at.book").alias(key), F.col("at.chapter_no"), F.col("at.chapter"), "ordinal", F.col("heading").alias("section"), "body")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("chapter_no", "ordinal")) - 1).drop("chapter_no", "ordinal")
+
+
+def chunk_issues(chunks: DataFrame, key: str, tokens: str, least: int, most: int, first: int = 10) -> DataFrame:
+    """key, issue of the ``first`` chunks by key that are over the most or under the least tokens (a report)."""
+    issue = F.when(F.col(tokens) > most, "over").when(F.col(tokens) < least, "under")
+    return chunks.select(key, issue.alias("issue")).filter("issue is not null").orderBy(key).limit(first)
+
+
 def with_overlap(chunks: DataFrame, by: list[str], order: str, text: str, ratio: float, words_per_token: int = 3) -> DataFrame:
     """``text`` with the tail of the group's chunk before it in front."""
     before = F.lag(text).over(Window.partitionBy(*by).orderBy(order))

@@ -13,6 +13,19 @@ CONTENT_TYPES = {
     "pharmacology": ("drug", "medication", "therapy", "treatment", "pharmacological", "dose", "administration", "contraindication", "side effect", "adverse", "interaction"),
     "clinical": ("symptom", "sign", "diagnosis", "clinical", "presentation", "examination", "patient", "case", "management", "prognosis"),
 }
+# Words by which a passage's body system is told.
+SYSTEMS = {
+    "cardiovascular": ("heart", "cardiac", "vascular", "blood vessel", "artery", "vein", "circulation", "coronary", "myocardial", "perfusion"),
+    "nervous": ("brain", "nerve", "neural", "spinal cord", "cerebral", "neuron", "synapse", "cortex", "neurological", " CNS ", "central nervous system"),
+    "respiratory": ("lung", "pulmonary", "respiration", "breath", "airway", "alveolar", "ventilation", "oxygenation", "trachea", "bronch"),
+    "gastrointestinal": ("stomach", "intestine", "bowel", "digestion", "gastro", "intestinal", "colon", "gastric", "hepatic", "liver", "pancreas"),
+    "renal": ("kidney", "renal", "nephron", "urine", "urinary", "glomerular", "filtration", "dialysis"),
+    "endocrine": ("hormone", "endocrine", "thyroid", "insulin", "pituitary", "adrenal", "metabolism", "glucose"),
+    "musculoskeletal": ("muscle", "bone", "skeletal", "joint", "cartilage", "tendon", "ligament", "fracture", "orthopedic"),
+    "immune": ("immune", "lymphocyte", "antibody", "antigen", "inflammation", "infection", "vaccine", "immunity", "lymph"),
+    "hematologic": ("blood", "hemoglobin", "erythrocyte", "leukocyte", "platelet", "anemia", "coagulation", "clotting", "hematology"),
+    "reproductive": ("reproductive", "fertility", "pregnancy", "uterus", "ovary", "testis", "prostate", "gonad", "embryo", "fetus"),
+}
 # Capitalised words that are no keywords.
 COMMON = "The This That These Those A An And Or But Is Are Was Were Be Been Being Have Has Had Do Does Did Will Would Could Should May Might Must Can Of In On At To For From With By As".split()
 
@@ -51,3 +64,27 @@ def expand(text: Column, synonyms: dict[str, list[str]], cap: int = 30) -> Colum
     found = F.flatten(F.transform(F.filter(F.concat(words, pairs), lambda w: F.map_contains_key(table, w)), lambda w: F.element_at(table, w)))
     ordered = F.array_sort(F.transform(F.array_distinct(found), lambda x: F.struct((~x.contains(" ")).cast("int").alias("a"), F.length(x).alias("b"), x.alias("x"))))
     return F.slice(F.transform(ordered, lambda s: s["x"]), 1, cap)
+
+
+def same_domain(predicted: Column, actual: Column, names: list[str], aliases: dict[str, str]) -> Column:
+    """Whether two replies name one domain, aliases on either side told; unknown names compare as they stand."""
+    plain = lambda c: F.lower(F.trim(c))
+    known = lambda c: F.lower(canonical(c, names, aliases))
+    either = lambda c: F.when(known(c) == "unknown", plain(c)).otherwise(known(c))
+    return F.coalesce(either(predicted) == either(actual), F.lit(False))
+
+
+def with_metadata(chunks: DataFrame, text: str, **standard: Column) -> DataFrame:
+    """``metadata``: content type, body system (null without any) and the given fields."""
+    kind, system = classify(F.col(text), CONTENT_TYPES, "general"), classify(F.col(text), SYSTEMS, None)
+    return chunks.withColumn("metadata", F.struct(kind.alias("content_type"), system.alias("system"), *[c.alias(n) for n, c in standard.items()]))
+
+
+def metadata_report(chunks: DataFrame) -> DataFrame:
+    """field, value, n: how often each content type and system occurs, and how many chunks have all fields."""
+    names = chunks.schema["metadata"].dataType.names
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.col(f"metadata.{n}").isNotNull()
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("content_type", F.col("metadata.content_type")), ("system", F.coalesce("metadata.system", F.lit("none"))), ("complete", whole.cast("string")))])
+    return chunks.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n"))

@@ -28,30 +28,76 @@ def test_packing_stays_in_budget(spark):
         assert all(k.tokens == size[r.q, k.id] for k in r.kept[:-1])
 
 
+def greedy(units, least, target, most):
+    """The rule as a loop: units over the most tokens flush what is held and are split by sentences."""
+    import re
+
+    out, held, n = [], [], 0
+    for p in units:
+        t = len(p) // 4
+        if t > most:
+            if held:
+                out.append("\n\n".join(held))
+            held, n, some, m = [], 0, [], 0
+            for s in re.split(r"(?<=[.!?])\s+", p):
+                if m + len(s) // 4 > most and some:
+                    out.append(" ".join(some))
+                    some, m = [], 0
+                some.append(s)
+                m += len(s) // 4
+            if some:
+                out.append(" ".join(some))
+            continue
+        if n + t > most and n >= least:
+            out.append("\n\n".join(held))
+            held, n = [], 0
+        held.append(p)
+        n += t
+        if n >= target:
+            out.append("\n\n".join(held))
+            held, n = [], 0
+    if held and n >= least:
+        out.append("\n\n".join(held))
+    return out
+
+
 def test_greedy_packing_matches_a_loop(spark):
+    import random
+
+    r = random.Random(4)
+    sentence = lambda n: "x" * max(1, n - 1) + r.choice([".", "!", "?", ","])
     units = [["x" * (37 * i % 900 + 4) for i in range(k, k + 30)] for k in range(10)]
+    units += [[" ".join(sentence(r.choice([9, 90, 400, 1500])) for _ in range(r.randint(1, 12))) for _ in range(12)] for _ in range(20)]
+    units += [["y" * 300, " ".join(["z" * 399 + "."] * 5), "w" * 900], []]
     got = spark.createDataFrame([(u,) for u in units], "u array<string>").select(chunking.pack(F.col("u"), 120, 220, 350).alias("c")).collect()
-    for u, r in zip(units, got, strict=True):
-        out, held, n = [], [], 0
-        for p in u:
-            t = len(p) // 4
-            if t > 350:
-                if n >= 120:
-                    out.append("\n".join(held))
-                out.append(p)
-                held, n = [], 0
-                continue
-            if n + t > 350 and n >= 120:
-                out.append("\n".join(held))
-                held, n = [], 0
-            held.append(p)
-            n += t
-            if n >= 220:
-                out.append("\n".join(held))
-                held, n = [], 0
-        if n >= 120:
-            out.append("\n".join(held))
-        assert r.c == out
+    assert [g.c for g in got] == [greedy(u, 120, 220, 350) for u in units]
+    assert got[-2].c == ["y" * 300, *[" ".join(["z" * 399 + "."] * n) for n in (3, 2)], "w" * 900]
+
+
+def test_sentence_windows_match_a_loop(spark):
+    import random
+    import re
+
+    def windows(text, size, overlap):
+        if not text:
+            return []
+        if len(text) <= size:
+            return [text]
+        out, held = [], ""
+        for s in [x.strip() for x in re.split(r"(?<=[.!?])\s+", text) if x.strip()]:
+            if not held:
+                held = s
+            elif len(held) + 1 + len(s) <= size:
+                held += " " + s
+            else:
+                out.append(held)
+                held = (held[-overlap:].split(" ", 1)[-1] + " " + s).strip()
+        return out + [held] * bool(held)
+
+    r = random.Random(2)
+    texts = ["", "short. one", *[" ".join(r.choice(["a", "bc", "def", "ghij."]) for _ in range(r.randint(1, 120))) for _ in range(60)], "x" * 90 + ". " + "y" * 70]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(chunking.sentence_windows(F.col("t"), 60, 20).alias("c")).collect()
+    assert [g.c for g in got] == [windows(t, 60, 20) for t in texts]
 
 
 def test_ordered_dedup(spark):
