@@ -14,6 +14,11 @@ while how why patient patients month months year years day days week weeks male
 )
 
 
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` mentions it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != "")
 
@@ -47,6 +52,7 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+# The expressions of figures, page numbers, reference headings, links and rights lines below.
 def drop_figures(text: Column) -> Column:
     """Without figure references, and without short caption lines (a caption phrase and a picture word)."""
     bare = F.regexp_replace(text, r"(?i)Fig\.\s+\d+\.\d+", "")
@@ -95,7 +101,7 @@ def squeeze(text: Column) -> Column:
 def clean(text: Column) -> Column:
     """The whole chain in its fixed order."""
     for f in (drop_figures, drop_page_numbers, cut_references, drop_table_rules, drop_links, drop_copyright, squeeze):
-        text = f(text)
+        text = bind(text, f)
     return text
 
 

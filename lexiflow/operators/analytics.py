@@ -99,3 +99,71 @@ def bootstrap(pairs: DataFrame, by: str, a: str, b: str, samples: int = 3000, se
 
     kind = pairs.schema[by].dataType.simpleString()
     return counts.groupBy(by).applyInPandas(draw, f"{by} {kind}, delta double, low double, high double")
+
+
+def paired(first: DataFrame, second: DataFrame, key: str = "row_id", correct: str = "is_correct") -> DataFrame:
+    """key, a, b: whether each row is correct in either run; rows that one run lacks go."""
+    return first.select(key, F.col(correct).alias("a")).join(second.select(key, F.col(correct).alias("b")), key)
+
+
+def pairwise(pairs: DataFrame, samples: int = 3000, seed: int = 42) -> DataFrame:
+    """One row: accuracies of both runs, their difference (also in percent of the first), the exact p of discordant
+    pairs and the interval of the difference."""
+    c = pairs.agg(F.count("*").alias("n"), accuracy(F.col("a")).alias("first"), accuracy(F.col("b")).alias("second"), F.count_if(~F.col("a") & F.col("b")).alias("n01"), F.count_if(F.col("a") & ~F.col("b")).alias("n10"))
+    delta = F.col("second") - F.col("first")
+    c = c.select("*", delta.alias("delta"), F.when(F.col("first") != 0, 100 * delta / F.col("first")).alias("relative"), mcnemar(F.col("n01"), F.col("n10")).alias("p"))
+    interval = bootstrap(pairs.withColumn("_all", F.lit(0)), "_all", "b", "a", samples, seed).select("low", "high")
+    return c.join(F.broadcast(interval), F.lit(True), "left")  # one row each
+
+
+def transitions(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with how a row went from the first run to the second."""
+    return pairs.withColumn("transition", F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "lost").when(F.col("b"), "won").otherwise("neither"))
+
+
+def split_accuracy(df: DataFrame, has_context: Column, correct: Column) -> DataFrame:
+    """Accuracies of rows with and without context; 0 where there are none."""
+    part = lambda on: F.coalesce(F.avg(F.when(on, F.coalesce(correct, F.lit(False)).cast("int"))), F.lit(0.0))
+    return df.agg(part(has_context).alias("with_context"), part(~has_context).alias("without_context"), F.count_if(has_context).alias("n_with"))
+
+
+def by_model(df: DataFrame, domain: str, model: str = "model", correct: str = "is_correct") -> DataFrame:
+    return df.groupBy(model, domain).agg(F.count("*").alias("n"), accuracy(F.col(correct)).alias("accuracy"))
+
+
+def over_models(detail: DataFrame, domain: str) -> DataFrame:
+    """Mean, best, worst and spread (of the population) of the models' accuracies in each domain."""
+    a = F.col("accuracy")
+    return detail.groupBy(domain).agg(F.avg(a).alias("mean"), F.max(a).alias("best"), F.min(a).alias("worst"), F.stddev_pop(a).alias("std"), F.count("*").alias("models"))
+
+
+def pair_details(runs: DataFrame, factor: str, on: str, off: str, others: list[str], value: str) -> DataFrame:
+    """The matched pairs of ``matched_deltas`` with a running number in the order of their settings.
+
+    Settings are combinations of factors of an experiment, a table that one task can number."""
+    return matched_deltas(runs, factor, on, off, others, value).withColumn("pair_id", F.row_number().over(Window.orderBy(*others)))
+
+
+def key_rows(runs: DataFrame, predicates: dict[str, str], value: str, ties: list[str]) -> DataFrame:
+    """The best row that meets each predicate, under its name; ties go to the least of ``ties``. Every row is dealt to
+    the predicates that it meets and only one per name crosses the shuffle."""
+    met = F.filter(F.array(*[F.when(F.expr(w), F.lit(n)) for n, w in predicates.items()]), lambda n: n.isNotNull())
+    rows = runs.select("*", F.explode(met).alias("method"))
+    return rows.groupBy("method").agg(F.min_by(F.struct(*[F.col(c) for c in runs.columns]), F.struct(-F.col(value), *ties)).alias("r")).select("method", "r.*")
+
+
+def token_statistics(df: DataFrame, fields: dict[str, Column], limit: int) -> DataFrame:
+    """field, n, mean, most, over (the limit) of the token counts of several fields."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), c.cast("long").alias("t")) for n, c in fields.items()])).alias("p")
+    return df.select(pairs).groupBy("p.field").agg(F.count("*").alias("n"), F.avg("p.t").alias("mean"), F.max("p.t").alias("most"), F.count_if(F.col("p.t") > limit).alias("over"))
+
+
+def approval(df: DataFrame, by: str, approved: Column) -> DataFrame:
+    """Rows, share approved among those with a verdict, and rows without one, of each group."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.avg(approved.cast("int")).alias("approved"), F.count_if(approved.isNull()).alias("errors"))
+
+
+def sound_reasoning(df: DataFrame, reasoning: str, tokens: Column, most: int, error: str = "api error", correct: str = "is_correct") -> DataFrame:
+    """Rows that are not marked wrong and have a reasoning without an error, of at most so many tokens."""
+    text = F.coalesce(F.col(reasoning), F.lit(""))
+    return df.filter(F.coalesce(F.col(correct), F.lit(True)) & (F.trim(text) != "") & ~F.lower(text).contains(error) & (tokens <= most))

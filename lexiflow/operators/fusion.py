@@ -61,3 +61,14 @@ def pack_fold(hits: DataFrame, tokens: str, budget: int, truncate_over: int | No
         return F.when(acc["over"], acc).when(fits, take(x["tokens"])).otherwise(closed(cut))
 
     return hits.groupBy("q").agg(rows.alias("rows")).select("q", F.aggregate("rows", start, step).alias("p")).select("q", "p.kept", "p.used")
+
+
+def first_seen(hits: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each group in order: hits of one document keep their first place."""
+    return best_of(hits, by, order)
+
+
+def first_match(left: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``left`` with the columns of the first matching row by ``order``; rows are cut to one a key before the join."""
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns if c != key]), order).alias("_r"))
+    return left.join(first.select(key, "_r.*"), key, "left")

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group, ranked from 1 (a window group limit prunes before the shuffle)."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """key, term, tf. One shuffle, summed before it."""
-    return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, doc_tokens: Column, query_tokens: Column, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """query key, key, score of every pair with a common term; a query's repeated term counts as often.
 
@@ -42,8 +39,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column, eps: float = 1e-12) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(eps)))
+    norm = lambda u: F.greatest(F.sqrt(F.aggregate(u, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(eps))
+    return bind(v, lambda u: bind(norm(u), lambda n: F.transform(u, lambda x: x.cast("double") / n)))
 
 
 def similarity(a: Column, b: Column, metric: str) -> Column:

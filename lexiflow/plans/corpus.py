@@ -25,7 +25,8 @@ def _dirty(spark, d):
 
 
 def _cleaned(f):
-    return lambda spark, d: _dirty(spark, d).select("doc_id", F.md5(f(F.col("dirty"))).alias("h"), F.length(f(F.col("dirty"))).cast("long").alias("n"))
+    both = lambda c: F.struct(F.md5(c).alias("h"), F.length(c).cast("long").alias("n"))
+    return lambda spark, d: _dirty(spark, d).select("doc_id", T.bind(f(F.col("dirty")), both).alias("x")).select("doc_id", "x.h", "x.n")
 
 
 def _lines_sql(expr: str) -> str:
@@ -60,6 +61,19 @@ QUERIES = {
 ORACLES = dict(SQL_CLEAN)
 
 
+def _chained() -> str:
+    """The whole chain: each step's expression over the step before it."""
+    rules = "array_to_string(list_transform(string_split(dirty, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^\\s*[…-]+\\s*$') THEN '' ELSE x END), chr(10))"
+    step = lambda name: SQL_CLEAN[name].split("SELECT doc_id, ", 2)[2].rsplit(" AS c FROM (", 1)[0]
+    rows = f"SELECT doc_id, {_DIRTY_SQL} AS dirty FROM documents"
+    for e in (step("clean_figures"), step("clean_page_numbers"), step("cut_references"), rules, step("strip_links"), step("strip_copyright"), step("clean_whitespace")):
+        rows = f"SELECT doc_id, {e} AS dirty FROM ({rows})"
+    return rows
+
+
+ORACLES["clean_chain"] = f"SELECT doc_id, md5(dirty) AS h, length(dirty)::BIGINT AS n FROM ({_chained()})"
+
+
 def query(name, sql=None):
     def add(f):
         QUERIES[name] = f
@@ -70,10 +84,11 @@ def query(name, sql=None):
     return add
 
 
-@query("clean_stats", f"SELECT doc_id, length(dirty)::BIGINT AS chars, length(text)::BIGINT AS kept, round(1 - length(text) / length(dirty)::DOUBLE, 9) AS reduction FROM (SELECT doc_id, text, {_DIRTY_SQL} AS dirty FROM documents)")
+@query("clean_stats", f"SELECT doc_id, length(r.dirty)::BIGINT AS chars, length(c.dirty)::BIGINT AS kept, round(1 - length(c.dirty) / length(r.dirty)::DOUBLE, 9) AS reduction FROM (SELECT doc_id, {_DIRTY_SQL} AS dirty FROM documents) r JOIN ({_chained()}) c USING (doc_id)")
 def clean_stats(spark, d):
-    x = _dirty(spark, d)
-    return x.select("doc_id", F.length("dirty").cast("long").alias("chars"), F.length("text").cast("long").alias("kept"), F.round(1 - F.length("text") / F.length("dirty"), 9).alias("reduction"))
+    n = lambda c: F.length(c).cast("long")
+    x = _dirty(spark, d).select("doc_id", F.struct(n("dirty").alias("chars"), n(T.clean(F.col("dirty"))).alias("kept")).alias("x"))
+    return x.select("doc_id", "x.chars", "x.kept", F.round(1 - F.col("x.kept") / F.col("x.chars"), 9).alias("reduction"))
 
 
 @query("normalize_title", r"SELECT page_id, substr(regexp_replace(lower(trim(url)), '\s+', ' ', 'g'), 1, 512) AS title_key, md5(trim(html)) AS content_hash FROM pages")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, retrieve
+from . import corpus, parsing, retrieve
 
-QUERIES = corpus.QUERIES | retrieve.QUERIES
-ORACLES = corpus.ORACLES | retrieve.ORACLES
+QUERIES = corpus.QUERIES | retrieve.QUERIES | parsing.QUERIES
+ORACLES = corpus.ORACLES | retrieve.ORACLES | parsing.ORACLES

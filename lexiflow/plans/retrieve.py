@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import fusion as U
+from ..operators import index as I
 from ..operators import retrieval as R
 from ..streaming import sessions as Z
-from .tables import load
+from .tables import load, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,10 +29,23 @@ def query(name, sql=None):
     return add
 
 
-def _hits(spark, d, doc_tokens=None):
-    docs, bench = load(spark, d, "documents"), load(spark, d, "benchmark")
-    tokens = T.whitespace_tokens(F.col("text"))
-    return R.bm25(docs, bench, "doc_id", "item_id", tokens if doc_tokens is None else doc_tokens, tokens)
+_BUILT: dict = {}
+
+
+def _index(spark, d, field="text"):
+    """The BM25 index of the documents' ``field`` (an SQL expression), built once for a session and its input files."""
+    docs = load(spark, d, "documents")
+    name = (spark.sparkContext.applicationId, d, field, hash(tuple(sorted(docs.inputFiles()))))
+    if name not in _BUILT:
+        path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+        I.build_bm25(docs, "doc_id", T.whitespace_tokens(F.expr(field)), path)
+        _BUILT[name] = path
+    return I.Bm25.open(spark, _BUILT[name])
+
+
+def _hits(spark, d, field="text", queries=None):
+    queries = load(spark, d, "benchmark") if queries is None else queries
+    return _index(spark, d, field).search(queries, "doc_id", "item_id", T.whitespace_tokens(F.col("text")))
 
 
 def _bm25_sql(doc_text="text", query="SELECT item_id, text FROM benchmark"):
@@ -63,7 +79,7 @@ _TITLED = "concat(source, ' ', source, ' ', source, ' ', text)"
 
 @query("bm25_title_boost", f"WITH {_bm25_sql(_TITLED)}, {_TOP} SELECT item_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM top")
 def bm25_title_boost(spark, d):
-    return _top(_hits(spark, d, T.whitespace_tokens(F.expr(_TITLED)))).select("item_id", "doc_id", "rank", "score")
+    return _top(_hits(spark, d, _TITLED)).select("item_id", "doc_id", "rank", "score")
 
 
 _VARIANTS = "SELECT item_id * 2 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, split_part(text, ',', 1) FROM benchmark"
@@ -71,10 +87,9 @@ _VARIANTS = "SELECT item_id * 2 AS item_id, text FROM benchmark UNION ALL SELECT
 
 @query("bm25_multiquery_votes", f"WITH {_bm25_sql(query=_VARIANTS)}, {_TOP} SELECT q, doc_id, votes, score FROM (SELECT item_id // 2 AS q, doc_id, count(*) AS votes, max(round(score, 6)) AS score FROM top GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY q ORDER BY votes DESC, score DESC, doc_id) <= 5")
 def bm25_multiquery_votes(spark, d):
-    docs, bench = load(spark, d, "documents"), load(spark, d, "benchmark")
+    bench = load(spark, d, "benchmark")
     variants = bench.select((F.col("item_id") * 2).alias("item_id"), "text").union(bench.select(F.col("item_id") * 2 + 1, F.substring_index("text", ",", 1)))
-    tokens = T.whitespace_tokens(F.col("text"))
-    top = _top(R.bm25(docs, variants, "doc_id", "item_id", tokens, tokens))
+    top = _top(_hits(spark, d, queries=variants))
     merged = R.merge_variants(top.select(F.floor(F.col("item_id") / 2).cast("long").alias("q"), F.col("item_id").alias("variant"), F.col("doc_id").alias("id"), "score"))
     return R.top_k(merged, ["q"], [F.desc("votes"), F.desc("score"), F.asc("id")], 5).select("q", F.col("id").alias("doc_id"), "votes", "score")
 
@@ -417,3 +432,89 @@ def cumulative_metrics(spark, d):
 @query("resume_remaining", "SELECT d.doc_id FROM documents d ANTI JOIN labels l USING (doc_id)")
 def resume_remaining(spark, d):
     return Z.remaining(load(spark, d, "documents"), load(spark, d, "labels"), "doc_id").select("doc_id")
+
+
+# --- retrieval in stages: a sparse and a dense list, fused, cut to sections, reranked
+
+DIMS = 16
+_BAG = f"""bq AS (SELECT item_id, b, count(*) AS x FROM (SELECT item_id, (ascii(w) + length(w)) % {DIMS} AS b FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark)) GROUP BY item_id, b),
+bd AS (SELECT doc_id, b, count(*) AS x FROM (SELECT doc_id, (ascii(w) + length(w)) % {DIMS} AS b FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents)) GROUP BY doc_id, b),
+nq AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM bq GROUP BY item_id), nd AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM bd GROUP BY doc_id),
+near AS (SELECT item_id, doc_id, round(sum(bq.x / nq.n * (bd.x / nd.n)), 9) AS score FROM bq JOIN nq USING (item_id) JOIN bd USING (b) JOIN nd USING (doc_id) GROUP BY item_id, doc_id),
+dense AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= 10)"""
+
+
+def _dense_texts(spark, d, k=10):
+    """The dense list over texts: an encoder, here one without a model, and exact search."""
+    encode = I.hashed_words(DIMS)
+    v = lambda table, key, q, x: load(spark, d, table).select(F.col(key).alias(q), encode(T.whitespace_tokens(F.col("text"))).alias(x)).repartition(q)  # noqa: E731  encodes once, not once per pair
+    docs = v("documents", "doc_id", "id", "v").filter(F.exists("v", lambda x: x > 0))
+    return R.dense(v("benchmark", "item_id", "q", "qv"), docs, k, "ip")
+
+
+def _hybrid(spark, d):
+    sparse = _top(_hits(spark, d)).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
+    return U.rrf(sparse.unionByName(_dense_texts(spark, d).select("q", "id", "rank")))
+
+
+@query("dense_texts", f"WITH {_BAG} SELECT item_id AS q, doc_id AS id, rank::INTEGER AS rank FROM dense")
+def dense_texts(spark, d):
+    return _dense_texts(spark, d).select("q", "id", "rank")
+
+
+_HYBRID = f"{_bm25_sql()}, {_TOP}, {_BAG}, hy AS (SELECT item_id AS q, doc_id AS id, round(sum(1.0 / (60 + rank)), 9) AS rrf, count(*) AS votes FROM (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM dense) GROUP BY 1, 2)"
+
+
+@query("hybrid_search", f"WITH {_HYBRID} SELECT q, id, rrf, votes FROM hy QUALIFY row_number() OVER (PARTITION BY q ORDER BY rrf DESC, id) <= 8")
+def hybrid_search(spark, d):
+    x = _hybrid(spark, d).withColumn("rrf", F.round("rrf", 9))
+    return R.top_k(x, ["q"], [F.desc("rrf"), F.asc("id")], 8).select("q", "id", "rrf", "votes")
+
+
+def _both_texts(hits, spark, d):
+    """Hits with both texts: they go to the documents, so no text is shuffled for them where they are few."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return docs.join(hits, "id").join(load(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question")), "q")
+
+
+_STAGES = f"""{_HYBRID}, c AS (SELECT q, id, rrf, source, question, text FROM (SELECT hy.*, d.source, d.text, b.text AS question FROM hy JOIN documents d ON d.doc_id = hy.id JOIN benchmark b ON b.item_id = hy.q)),
+sec AS (SELECT q, source FROM (SELECT q, source, max(rrf) AS m FROM c WHERE source IS NOT NULL GROUP BY q, source) QUALIFY row_number() OVER (PARTITION BY q ORDER BY m DESC, source) <= 4),
+fine AS (SELECT c.*, row_number() OVER (PARTITION BY c.q ORDER BY rrf DESC, id) AS rank FROM c SEMI JOIN sec ON c.q = sec.q AND c.source = sec.source)"""
+
+
+@query("three_stage_search", f"WITH {_STAGES} SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank > 4, CASE WHEN rank <= 4 THEN -round({_OVERLAP}, 9) ELSE rank END, id)::INTEGER AS new_rank FROM fine QUALIFY new_rank <= 6")
+def three_stage_search(spark, d):
+    """Sections by their best fused hit, hits of those sections, the head reranked by a scorer of pairs; all queries at
+    once."""
+    x = _both_texts(_hybrid(spark, d).withColumn("rrf", F.round("rrf", 9)), spark, d).withColumnRenamed("source", "section").withColumn("score", F.col("rrf"))
+    fine = x.join(R.coarse_sections(x.filter("section is not null"), 4), ["q", "section"], "left_semi")
+    fine = fine.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rrf"), "id")))
+    pair = T.overlap(T.content_words(F.col("question")), T.content_words(F.col("text")))
+    return R.rerank_head(fine, F.round(pair, 9), 4).filter("new_rank <= 6").select("q", "id", "new_rank")
+
+
+@query("rerank_mixed", f"WITH {_HYBRID}, c AS (SELECT q, id, rrf, b.text AS question, d.text FROM hy JOIN documents d ON d.doc_id = hy.id JOIN benchmark b ON b.item_id = hy.q), o AS (SELECT q, id, rrf AS r, round({_OVERLAP}, 9) AS v FROM c) SELECT q, id, round(0.3 * {_mm('r')} + 0.7 * v, 6) AS mixed FROM o")
+def rerank_mixed(spark, d):
+    """First-stage scores, brought to 0..1 within a query, mixed with the pair scorer's."""
+    x = _both_texts(_hybrid(spark, d).withColumn("rrf", F.round("rrf", 9)), spark, d)
+    pair = F.round(T.overlap(T.content_words(F.col("question")), T.content_words(F.col("text"))), 9)
+    return U.rescore(x.withColumn("pair", pair), [(U.minmax(F.col("rrf"), ["q"]), 0.3), (F.col("pair"), 0.7)]).select("q", "id", F.round("final", 6).alias("mixed"))
+
+
+_OPTIONS = "SELECT item_id * 4 + o AS item_id, concat(text, ' ', list_filter(string_split(lower(text), ' '), lambda x: x <> '')[o + 1]) AS text FROM benchmark, (SELECT unnest([0, 1, 2]) AS o)"
+
+
+@query("option_search", f"WITH {_bm25_sql(query=_OPTIONS)}, {_TOP} SELECT q, doc_id AS id, votes, score FROM (SELECT item_id // 4 AS q, doc_id, count(*) AS votes, max(round(score, 6)) AS score FROM top GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY q ORDER BY votes DESC, score DESC, doc_id) <= 5")
+def option_search(spark, d):
+    """The question asked once with each option behind it; hits by the number of options that find them."""
+    words = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
+    asked = load(spark, d, "benchmark").select("item_id", "text", words.alias("w"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("o"))
+    asked = asked.select((F.col("item_id") * 4 + F.col("o")).alias("item_id"), F.concat_ws(" ", "text", F.get("w", F.col("o"))).alias("text"))
+    top = _top(_hits(spark, d, queries=asked))
+    merged = R.merge_variants(top.select(F.floor(F.col("item_id") / 4).cast("long").alias("q"), F.col("item_id").alias("variant"), F.col("doc_id").alias("id"), "score"))
+    return R.top_k(merged, ["q"], [F.desc("votes"), F.desc("score"), F.asc("id")], 5).select("q", "id", "votes", "score")
+
+
+@query("index_terms", f"WITH {_bm25_sql()} SELECT i.term, df, round(i.idf, 6) AS idf FROM i JOIN (SELECT term, count(*) AS df FROM p GROUP BY term) USING (term)")
+def index_terms(spark, d):
+    return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
