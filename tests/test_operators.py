@@ -4,10 +4,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from lexiflow.functions import answers, text
-from lexiflow.operators import analytics, chunking, enrich, fusion, retrieval, sampling
+from lexiflow.functions import answers, parse, text
+from lexiflow.operators import analytics, chunking, enrich, fusion, index, retrieval, sampling
 from lexiflow.plans import registry, retrieve
-from lexiflow.sources import files
+from lexiflow.sources import files, predictions
 from lexiflow.streaming import sessions
 
 
@@ -240,3 +240,46 @@ def test_few_shot_fills_up_from_other_subjects(spark):
                 want |= {(i, j, n + 1) for n, (_, j) in enumerate(met[:k])}
             df = spark.createDataFrame(rows, "id long, s string, x string")
             assert {tuple(r) for r in sampling.few_shot(df, df, k, "id", "s", "x").collect()} == want
+
+
+def test_stored_bm25_scores_as_computed(spark, sf, tmp_path):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").limit(7)
+    t = text.whitespace_tokens(F.col("text"))
+    index.build_bm25(docs, "doc_id", t, str(tmp_path / "bm25"))
+    held = index.open_index(spark, str(tmp_path / "bm25"))
+    a = held.search(bench, "doc_id", "item_id", t).withColumn("score", F.round("score", 6))
+    b = retrieval.bm25(docs, bench, "doc_id", "item_id", t, t).withColumn("score", F.round("score", 6))
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    odd = spark.createDataFrame([(1, "a a b"), (2, None), (3, ""), (4, "b")], "doc_id long, text string")
+    assert sorted(map(tuple, index.postings(odd, "doc_id", t).select("doc_id", "dl", "term", "tf").collect())) == [(1, 3, "a", 2), (1, 3, "b", 1), (4, 1, "b", 1)]
+
+
+def test_stored_vectors(spark, tmp_path):
+    v = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(50)] + [(50, None)], "id long, v array<double>")
+    index.build_vectors(v, str(tmp_path / "v"), 6)
+    asked = v.filter("id < 3").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    got = index.probe_vectors(spark, str(tmp_path / "v"), asked, 6, 100)
+    assert got.count() == 150 and index.open_index(spark, str(tmp_path / "v"))[1].count() == 6
+
+
+def test_predictions_are_numbered_by_line(spark, tmp_path):
+    lines = ['{"example_id": "x", "gold_answer": "A", "predicted_answer": "A"}', "", '{"gold_answer": "B", "predicted_answer": "C", "is_correct": true}', '{"example_id": " ", "gold_answer": "B"}']
+    (tmp_path / "p.jsonl").write_text("\n".join(lines))
+    got = predictions.read_predictions(spark, str(tmp_path / "p.jsonl")).orderBy("row_id").collect()
+    assert [(r.row_id, r.example_id, r.is_correct, r.question) for r in got] == [(1, "x", True, ""), (3, "row_3", True, ""), (4, "row_4", False, "")]
+    spark.range(1000).repartition(7).write.parquet(str(tmp_path / "n"))
+    n = predictions.numbered(spark.read.parquet(str(tmp_path / "n"))).select("row_id").collect()
+    assert sorted(r.row_id for r in n) == list(range(1, 1001))
+
+
+def test_sanitisers_keep_order(spark):
+    x = spark.createDataFrame([([" heart attack ", "a", "Except", None, "mi now", "heart attack", "x" * 51],), (None,)], "t array<string>")
+    got = x.select(parse.sanitize_expansions(F.col("t")).alias("e"), parse.sanitize_terms(F.col("t")).alias("s")).collect()
+    assert got[0].e == ["heart attack", "mi now"] and got[0].s == [" heart attack ", "a", "Except", "mi now", "heart attack", "x" * 51]
+    assert got[1].e == got[1].s == []
+
+
+def test_pairwise_interval(spark):
+    pairs = spark.createDataFrame([(i, i % 3 > 0, i % 5 > 0) for i in range(300)], "row_id long, a boolean, b boolean")
+    r = analytics.pairwise(pairs).first()
+    assert r.n == 300 and math.isclose(r.delta, 0.8 - 2 / 3, abs_tol=1e-9) and r.low <= r.delta <= r.high
