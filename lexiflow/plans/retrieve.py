@@ -504,8 +504,8 @@ def rerank_mixed(spark, d):
 _OPTIONS = "SELECT item_id * 4 + o AS item_id, concat(text, ' ', list_filter(string_split(lower(text), ' '), lambda x: x <> '')[o + 1]) AS text FROM benchmark, (SELECT unnest([0, 1, 2]) AS o)"
 
 
-@query("option_search", f"WITH {_bm25_sql(query=_OPTIONS)}, {_TOP} SELECT q, doc_id AS id, votes, score FROM (SELECT item_id // 4 AS q, doc_id, count(*) AS votes, max(round(score, 6)) AS score FROM top GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY q ORDER BY votes DESC, score DESC, doc_id) <= 5")
-def option_search(spark, d):
+@query("choice_search", f"WITH {_bm25_sql(query=_OPTIONS)}, {_TOP} SELECT q, doc_id AS id, votes, score FROM (SELECT item_id // 4 AS q, doc_id, count(*) AS votes, max(round(score, 6)) AS score FROM top GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY q ORDER BY votes DESC, score DESC, doc_id) <= 5")
+def choice_search(spark, d):
     """The question asked once with each option behind it; hits by the number of options that find them."""
     words = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
     asked = load(spark, d, "benchmark").select("item_id", "text", words.alias("w"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("o"))
