@@ -461,6 +461,7 @@ def test_search(spark):
     v = r.integers(-300, 300, (500, 8))
     v[100:140] = v[0]
     rows = [(i, [int(x) for x in a]) for i, a in enumerate(v)] + [(500, None), (501, [1, None]), (502, [3, 4]), (None, [1] * 8), (504, []), (505, [1 << 40] * 8)]
+    rows += [(7, rows[7][1])] * 2 + [(8, [299] * 8), (50, rows[50][1])] + [(600 + i, rows[3][1]) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, v array<bigint>")
     got = collections.defaultdict(list)
     for x in va_search.search(df, df.filter("id % 50 = 0 or id = 502"), 5).orderBy("query_id", "rank").collect():
@@ -473,6 +474,24 @@ def test_search(spark):
     assert 502 not in got and va_search.search(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_search_reads_few_exact_vectors(spark):
+    v = np.random.default_rng(4).integers(-300, 300, (1000, 16))
+    df = va_search._packed(spark.createDataFrame([(i, [int(x) for x in a]) for i, a in enumerate(v)], "id long, v array<bigint>"))
+    exact = va_search.classes(df, 5)
+    cells = va_search._blocks(exact.select("c", F.col("members.id").alias("members"), "v"), 100, "dim long, classes binary, members binary, starts binary, low binary, step binary, cells binary", va_search._cells)
+    queries = df.filter("id % 50 = 0")
+    found = {(x.query_id, x.c): x.bound for x in va_search.scan(cells, queries, 5).collect()}
+    ids = {x.c: x.members[0].id for x in exact.collect()}
+    scores = v[::50] @ v.T
+    kept = {(q, ids[c]) for q, c in found}
+    assert all(b >= scores[q // 50, ids[c]] for (q, c), b in found.items())
+    for q in range(0, 1000, 50):
+        order = sorted((i for i in range(1000) if i != q), key=lambda i: (-scores[q // 50, i], i))
+        assert {(q, i) for i in order[:5]} <= kept
+    # Each salt keeps the k best of a query and what their bounds cannot tell from them.
+    assert len(found) < 20 * 2 * 5 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 # --- contract
 
 
