@@ -222,12 +222,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     cells = materialize(_blocks(ids, BLOCK, "dim long, classes binary, members binary, starts binary, low binary, step binary, cells binary", _cells), "va-cells")
     by_bound = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "c")
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    found = materialize(scan(cells, queries, k).withColumn("at", F.row_number().over(by_bound)), "va-found")
+    # A query that cannot tell vectors apart (a null vector) finds all classes: no window or join gathers them whole.
+    found = materialize(scan(cells, queries, k), "va-found")
+    first = found.withColumn("at", F.row_number().over(by_bound)).filter(F.col("at") <= k).select("query_id", "c")
 
-    scores = materialize(_scored(found.filter(F.col("at") <= k), exact, queries), "va-scores")
+    scores = materialize(_scored(first, exact, queries), "va-scores")
     worst = scores.withColumn("at", F.row_number().over(by_score)).filter(F.col("at") <= k).filter(F.col("at") == k).select("query_id", F.col("score").alias("worst"))
     # A class whose bound is below the kth exact score of its query holds no result; equal ones may win by their id.
-    rest = found.filter(F.col("at") > k).join(worst, "query_id", "left").filter("worst is null or bound >= worst")
+    rest = found.join(first, ["query_id", "c"], "left_anti").join(worst, "query_id", "left").filter("worst is null or bound >= worst")
     near = scores.unionByName(_scored(rest, exact, queries))
     return near.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -461,7 +461,7 @@ def test_search(spark):
     v = r.integers(-300, 300, (500, 8))
     v[100:140] = v[0]
     rows = [(i, [int(x) for x in a]) for i, a in enumerate(v)] + [(500, None), (501, [1, None]), (502, [3, 4]), (None, [1] * 8), (504, []), (505, [1 << 40] * 8)]
-    rows += [(7, rows[7][1])] * 2 + [(8, [299] * 8), (50, rows[50][1])] + [(600 + i, rows[3][1]) for i in range(400)]
+    rows += [(7, rows[7][1])] * 2 + [(8, [299] * 8), (50, rows[50][1]), (650, [0] * 8)] + [(600 + i, rows[3][1]) for i in range(400) if i != 50]
     df = spark.createDataFrame(rows, "id long, v array<bigint>")
     got = collections.defaultdict(list)
     for x in va_search.search(df, df.filter("id % 50 = 0 or id = 502"), 5).orderBy("query_id", "rank").collect():
