@@ -143,12 +143,8 @@ def substring_hits(spark, d):
     return _docs(spark, d).filter(F.lower("text").contains("that")).agg(F.count("*").alias("n"))
 
 
-@query("highlight", r"SELECT doc_id, md5(regexp_replace(text, '(?i)\b(that|with|from)\w*\b', '**\0**', 'g')) AS h FROM documents WHERE lang = 'en'")
-def highlight(spark, d):
-    return _docs(spark, d).filter("lang = 'en'").select("doc_id", F.md5(T.highlight(F.col("text"), "that with from in")).alias("h"))
-
-
-@query("highlight_whole")
+# Words are Unicode words on both sides; RE2 has no such boundary, so its match takes the character before the word.
+@query("highlight_whole", r"SELECT doc_id, md5(regexp_replace(text, '(?i)(^|[^\p{L}\p{M}\p{N}_])((?:that|with|from)[\p{L}\p{M}\p{N}_]*)', '\1**\2**', 'g')) AS h FROM documents")
 def highlight_whole(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.highlight(F.col("text"), "that with from in", "(?U)")).alias("h"))
 
@@ -230,13 +226,8 @@ def content_types(spark, d):
     return _docs(spark, d).groupBy(E.classify(F.col("text"), E.CONTENT_TYPES, "general").alias("content_type")).agg(F.count("*").alias("n"))
 
 
-@query("top_keywords", r"SELECT doc_id, string_agg(w, ',' ORDER BY r) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS r FROM (SELECT doc_id, w, count(*) AS n, min(i) AS f FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '([\p{L}\p{N}_]+)', 1) AS ws FROM documents WHERE lang = 'en')) WHERE regexp_matches(w, '^[A-Z][a-z]+$') AND length(w) > 3 AND w NOT IN (" + ", ".join(f"'{w}'" for w in E.COMMON) + ") GROUP BY doc_id, w)) WHERE r <= 10 GROUP BY doc_id")
-def top_keywords(spark, d):
-    return E.keywords(_docs(spark, d).filter("lang = 'en'"), "doc_id", F.col("text"))
-
-
-# Documents of every language, and of none; the SQL of top_keywords and highlight has English ones only.
-@query("top_keywords_whole")
+# Documents of every language, and of none.
+@query("top_keywords_whole", r"SELECT doc_id, string_agg(w, ',' ORDER BY r) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS r FROM (SELECT doc_id, w, count(*) AS n, min(i) AS f FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '([\p{L}\p{N}_]+)', 1) AS ws FROM documents)) WHERE regexp_matches(w, '^[A-Z][a-z]+$') AND length(w) > 3 AND w NOT IN (" + ", ".join(f"'{w}'" for w in E.COMMON) + ") GROUP BY doc_id, w)) WHERE r <= 10 GROUP BY doc_id")
 def top_keywords_whole(spark, d):
     return E.keywords(_docs(spark, d), "doc_id", F.col("text"))
 

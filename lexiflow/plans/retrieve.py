@@ -106,20 +106,6 @@ _SIM = {
 }
 
 
-def _dense(metric):
-    def run(spark, d):
-        v = _vectors(spark, d)
-        q = v.filter("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
-        hits = R.dense(q, v.filter("id % 50 <> 0").select("id", "v"), 5, metric)
-        return hits.select("q", "id", "rank", F.round("score", 6).alias("score"))
-
-    return run
-
-
-for _m, _s in _SIM.items():
-    query(f"dense_topk_{_m}", f"WITH {_V} SELECT q, id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT a.id AS q, b.id, round({_s}, 9) AS score, row_number() OVER (PARTITION BY a.id ORDER BY round({_s}, 9) DESC, b.id) AS rank FROM v a JOIN v b ON a.id % 50 = 0 AND b.id % 50 <> 0) WHERE rank <= 5")(_dense(_m))
-
-
 def _dense_whole(metric):
     def run(spark, d):
         v = _vectors(spark, d).select("id", "v")
@@ -129,9 +115,9 @@ def _dense_whole(metric):
     return run
 
 
-# Against all vectors but the query's own; the SQL of dense_topk_* leaves out every vector with id % 50 = 0.
-for _m in _SIM:
-    query(f"dense_whole_{_m}")(_dense_whole(_m))
+# Against all vectors but the query's own.
+for _m, _s in _SIM.items():
+    query(f"dense_whole_{_m}", f"WITH {_V} SELECT q, id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT a.id AS q, b.id, round({_s}, 9) AS score, row_number() OVER (PARTITION BY a.id ORDER BY round({_s}, 9) DESC, b.id) AS rank FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id) WHERE rank <= 5")(_dense_whole(_m))
 
 
 @query("vector_normalize", f"WITH {_V} SELECT id, round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)) * 2)), 6) AS s FROM v")
@@ -270,15 +256,8 @@ def pack_truncate(spark, d):
     return U.pack_fold(_packs(spark, d), "tokens", 1500, 16).select("q", "used", kept.alias("kept"))
 
 
-@query("context_assembly", f"WITH {_PACK} SELECT q, string_agg('Reference ' || rank || ': [' || source || '] ' || substr(text, 1, 40), chr(10) ORDER BY rank) AS refs, sum(tokens)::BIGINT AS tokens FROM t JOIN documents ON id = doc_id WHERE rank <= 6 GROUP BY q")
-def context_assembly(spark, d):
-    x = _packs(spark, d).filter("rank <= 6").join(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source"), "id")
-    line = F.concat(F.lit("Reference "), F.col("rank").cast("string"), F.lit(": ["), "source", F.lit("] "), F.substring("text", 1, 40))
-    return x.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n").alias("refs"), F.sum("tokens").alias("tokens"))
-
-
-# Passages in full, which tokens counts; the SQL of context_assembly has their first 40 characters.
-@query("context_whole")
+# Passages in full, which tokens counts.
+@query("context_whole", f"WITH {_PACK} SELECT q, string_agg('Reference ' || rank || ': [' || coalesce(source, '') || '] ' || coalesce(text, ''), chr(10) ORDER BY rank) AS refs, sum(tokens)::BIGINT AS tokens FROM t JOIN documents ON id = doc_id WHERE rank <= 6 GROUP BY q")
 def context_whole(spark, d):
     x = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source").join(F.broadcast(_packs(spark, d).filter("rank <= 6")), "id")
     line = F.concat(F.lit("Reference "), F.col("rank").cast("string"), F.lit(": ["), F.coalesce("source", F.lit("")), F.lit("] "), F.coalesce("text", F.lit("")))
