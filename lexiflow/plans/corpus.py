@@ -166,7 +166,11 @@ def sentence_split(spark, d):
     return _docs(spark, d).select("doc_id", C.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("h"))
 
 
-@query("chapters")
+_BOOK = "'preface' || chr(10) || chr(10) || 'Chapter 1: One' || chr(10) || text || chr(10) || 'IV. Four' || chr(10) || 'the end'"
+_BOOK_LINES = f"SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split({_BOOK}, chr(10)) AS l FROM documents)"
+
+
+@query("chapters", rf"WITH l AS (SELECT *, regexp_matches(trim(line), '{C.CHAPTER}') AS head FROM ({_BOOK_LINES})), h AS (SELECT doc_id, pos, line, head, sum(head::INTEGER) OVER w AS ordinal, coalesce(last_value(CASE WHEN head THEN trim(line) END IGNORE NULLS) OVER w, 'Introduction') AS heading FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) SELECT doc_id, ordinal::BIGINT AS ordinal, heading, md5(body) AS h FROM (SELECT doc_id, ordinal, heading, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\s+|\s+$', '', 'g') AS body FROM h WHERE NOT head GROUP BY doc_id, ordinal, heading) WHERE body <> ''")
 def chapters(spark, d):
     x = _docs(spark, d).withColumn("book", F.concat(F.lit("preface\n\nChapter 1: One\n"), F.col("text"), F.lit("\nIV. Four\nthe end")))
     return C.split_at(x, "doc_id", F.col("book"), lambda line: F.trim(line).rlike(C.CHAPTER), F.lit("Introduction")).select("doc_id", "ordinal", "heading", F.md5("body").alias("h"))
@@ -221,11 +225,6 @@ def keyword_classify(spark, d):
     return _docs(spark, d).select("doc_id", E.classify(F.col("text"), _CLASSES, "general").alias("class"))
 
 
-@query("content_types")
-def content_types(spark, d):
-    return _docs(spark, d).groupBy(E.classify(F.col("text"), E.CONTENT_TYPES, "general").alias("content_type")).agg(F.count("*").alias("n"))
-
-
 # Documents of every language, and of none.
 @query("top_keywords_whole", r"SELECT doc_id, string_agg(w, ',' ORDER BY r) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS r FROM (SELECT doc_id, w, count(*) AS n, min(i) AS f FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '([\p{L}\p{N}_]+)', 1) AS ws FROM documents)) WHERE regexp_matches(w, '^[A-Z][a-z]+$') AND length(w) > 3 AND w NOT IN (" + ", ".join(f"'{w}'" for w in E.COMMON) + ") GROUP BY doc_id, w)) WHERE r <= 10 GROUP BY doc_id")
 def top_keywords_whole(spark, d):
@@ -238,7 +237,10 @@ def alias_canonicalise(spark, d):
     return load(spark, d, "part").select("p_partkey", E.canonical(raw, ["Anatomy", "Surgery"], {"surgical": "Surgery"}).alias("domain"))
 
 
-@query("expand_terms")
+_SYNONYMS = "k(w, x) AS (VALUES ('the', 'that one'), ('the', 'ye'), ('and', 'plus'), ('of the', 'from the one'), ('of the', 'belonging'), ('that', 'this'))"
+
+
+@query("expand_terms", f"WITH {_SYNONYMS}, b AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' +'), lambda w: w <> '') AS ws FROM benchmark), g AS (SELECT item_id, unnest(ws) AS w FROM b UNION ALL SELECT item_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT item_id, ws, unnest(range(1, len(ws))) AS i FROM b)), f AS (SELECT item_id, string_agg(x, '|' ORDER BY contains(x, ' ')::INTEGER DESC, length(x), x) AS terms FROM (SELECT DISTINCT item_id, x FROM g JOIN k USING (w)) GROUP BY item_id) SELECT b.item_id, coalesce(terms, '') AS terms FROM b LEFT JOIN f USING (item_id)")
 def expand_terms(spark, d):
     table = {"the": ["that one", "ye"], "and": ["plus"], "of the": ["from the one", "belonging"], "that": ["this"]}
     return load(spark, d, "benchmark").select("item_id", F.array_join(E.expand(F.col("text"), table), "|").alias("terms"))
@@ -280,7 +282,10 @@ def answer_letters(spark, d):
     return x.select("conv_id", "turn", A.answer_letter(F.col("r")).alias("letter"), A.reasoning(F.col("r")).alias("reasoning"))
 
 
-@query("reasoned_letters")
+_REASONED = r"coalesce(nullif(upper(regexp_extract(array_to_string(list_reverse(string_split(trim(r), chr(10)))[1:5], chr(10)), '(?i)Answer\s*[:：]\s*([A-E])', 1)), ''), nullif(upper(regexp_extract(trim(r), '(?i)Answer\s*[:：]\s*([A-E])', 1)), ''), CASE WHEN regexp_matches(trim(r)[1], '^[A-Ea-e]$') THEN upper(trim(r)[1]) END, regexp_extract_all(trim(r), '\b([A-E])\b', 1)[-1], nullif(upper(regexp_extract(trim(r), '(?i)\b([A-E])[)\.]', 1)), ''))"
+
+
+@query("reasoned_letters", f"SELECT conv_id, turn, {_REASONED} AS letter FROM (SELECT conv_id, turn, {_REPLY} AS r FROM conversations)")
 def reasoned_letters(spark, d):
     return load(spark, d, "conversations").select("conv_id", "turn", A.reasoned_letter(F.expr(_REPLY)).alias("letter"))
 

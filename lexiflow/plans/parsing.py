@@ -399,6 +399,11 @@ def reasoning_filter(spark, d):
     return N.sound_reasoning(_replies(spark, d).withColumn("is_correct", ~wrong), "r", C.token_count(F.col("r")), 8, "nothing").select("conv_id", "turn")
 
 
+@query("content_types", f"SELECT {_KIND} AS content_type, count(*) AS n FROM (SELECT coalesce(text, '') AS text FROM documents) GROUP BY content_type")
+def content_types(spark, d):
+    return load(spark, d, "documents").groupBy(E.classify(F.col("text"), E.CONTENT_TYPES, "general").alias("content_type")).agg(F.count("*").alias("n"))
+
+
 @query("content_type_counts", f"SELECT content_type, count(*) AS n FROM (SELECT {_KIND} AS content_type FROM {_DOCS}) GROUP BY content_type")
 def content_type_counts(spark, d):
     return _told(spark, d).groupBy(E.classify(F.col("text"), E.CONTENT_TYPES, "general").alias("content_type")).agg(F.count("*").alias("n"))

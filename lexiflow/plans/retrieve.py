@@ -250,7 +250,7 @@ def pack_skip(spark, d):
     return U.pack_fold(_packs(spark, d), "tokens", 1500).select("q", "used", kept.alias("kept"))
 
 
-@query("pack_truncate")
+@query("pack_truncate", f"WITH RECURSIVE {_PACK}, s AS (SELECT q, 0 AS r, 0::BIGINT AS used, '' AS kept, false AS over FROM (SELECT DISTINCT q FROM t) UNION ALL SELECT s.q, s.r + 1, CASE WHEN over THEN used WHEN used + tokens <= 1500 THEN used + tokens WHEN 1500 - used > 16 THEN 1500 ELSE used END, CASE WHEN over THEN kept WHEN used + tokens <= 1500 THEN concat_ws(',', nullif(kept, ''), id || ':' || tokens) WHEN 1500 - used > 16 THEN concat_ws(',', nullif(kept, ''), id || ':' || (1500 - used)) ELSE kept END, over OR used + tokens > 1500 FROM s JOIN t ON t.q = s.q AND t.rank = s.r + 1) SELECT q, used, kept FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY r DESC) = 1")
 def pack_truncate(spark, d):
     kept = F.concat_ws(",", F.transform("kept", lambda x: F.concat_ws(":", x["id"].cast("string"), x["tokens"].cast("string"))))
     return U.pack_fold(_packs(spark, d), "tokens", 1500, 16).select("q", "used", kept.alias("kept"))
