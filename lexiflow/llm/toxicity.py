@@ -99,12 +99,13 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, allowed: Column, fit: Fit) -> DataFrame:
-    """At most ``fit.per_class`` labelled documents of each class: label and text as ``y`` and ``t``."""
+    """At most ``fit.per_class`` labelled documents of each class: label and text as ``y`` and ``t``. Of rows that share
+    an id the least text by bytes counts, once."""
     own = labels.filter(allowed & F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isin(0, 1)).select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).distinct()
     order = (F.xxhash64("k", F.lit(fit.seed)), F.col("k"))
     some = own.filter("y = 1").orderBy(*order).limit(fit.per_class).unionByName(own.filter("y = 0").orderBy(*order).limit(fit.per_class))
     # The bound on the rows of ``some`` is the proof that it may be broadcast.
-    return docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("t")).join(F.broadcast(some), "k").select("y", "t")
+    return docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("t")).join(F.broadcast(some), "k").groupBy("k", "y").agg(F.min("t").alias("t")).select("y", "t")
 
 
 def fit_model(rows: DataFrame, fit: Fit) -> Model:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -289,6 +290,28 @@ def test_route_prefers_unrepeated_tokens():
     assert flows[0, "a"] == 10 and flows[1, "a"] == 40 and flows[1, "b"] == 30  # cheaper than a second copy of the first
 
 
+def test_route_costs_least():
+    """Against all flows of small networks: as many tokens as possible, then as few second copies as possible."""
+    r = random.Random(7)
+    for _ in range(60):
+        some = [m for m in (("a",), ("b",), ("a", "b"), ("a", "b", "c"), ("c",)) if r.random() < 0.6][:3] or [("a", "b")]
+        patterns = [(m, r.randint(0, 3)) for m in some]
+        target = {s: r.randint(0, 5) for s in "abc"}
+        ways = []
+        for m, size in patterns:
+            ways.append([dict(zip(m, x, strict=True)) for x in itertools.product(range(2 * size + 1), repeat=len(m)) if sum(x) <= 2 * size])
+
+        def told(flows, patterns=patterns):
+            each = [sum(f.values()) for f in flows]
+            return sum(each), -sum(max(0, e - size) for e, (_, size) in zip(each, patterns, strict=True))
+
+        best = max(told(f) for f in itertools.product(*ways) if all(sum(x.get(s, 0) for x in f) <= t for s, t in target.items()))
+        flows = mixing.route(patterns, {s: float(t) for s, t in target.items()})
+        got = [{s: flows[i, s] for s in m} for i, (m, _) in enumerate(patterns)]
+        assert told(got) == best
+        assert all(sum(x.get(s, 0) for x in got) <= t for s, t in target.items())
+
+
 def test_mix(spark, docs, odd, empty):
     one = mixing.mix(docs, F.array("source"))
     rows = one.select("doc_id", "source", "text", "mix.*").collect()
@@ -430,6 +453,45 @@ def test_toxicity(spark, odd, empty):
     assert all(x.score < 0.5 for x in toxicity.score(odd, none).collect())
 
 
+def test_toxicity_matches_a_loop(spark):
+    """Features, their scales and scores from plain dictionaries of n-grams; the fit ends where its loss is flat."""
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choices(["abc", "Bcd", "cde", "défg"] + ["zork"] * (i % 2), k=r.randint(0, 6))), i % 2) for i in range(60)]
+    rows += [(5, "~ later than every letter", 1)]  # repeats an id: the least text counts
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fit = toxicity.Fit(bits=12, sizes=(2, 3), kept=25, min_documents=3, steps=3000)
+    model = toxicity.fit_model(toxicity.sample(df, df.select("doc_id", "toxic"), "toxic", "doc_id", "text", F.lit(True), fit), fit)
+    every = np.ones(1 << fit.bits, dtype=bool)
+
+    def number(gram):  # a text of one n-gram has one feature
+        found = toxicity.grams([gram], (len(gram),), fit.bits, every)[1]
+        return int(found[0])
+
+    def features(text):
+        t = text.encode().lower()
+        return {number(t[k : k + n]) for n in fit.sizes for k in range(len(t) - n + 1)}
+
+    seen = [(features(t), y) for _, t, y in rows[:-1]]
+    d = [sum(y == c for _, y in seen) for c in (0, 1)]
+    n = [collections.Counter(f for fs, y in seen if y == c for f in fs) for c in (0, 1)]
+    gain = {}
+    for f in set(n[0]) | set(n[1]):
+        both = n[0][f] + n[1][f]
+        expected = both * d[1] / 60
+        if both >= 3 and n[1][f] != expected:
+            gain[f] = abs(n[1][f] - expected) / math.sqrt(expected * d[0] / 60 + 1)
+    assert sorted(sorted(gain, key=lambda f: (-gain[f], f))[:25]) == model.features.tolist()
+    scale = {f: math.log((n[1][f] + 1) / (d[1] + 2)) - math.log((n[0][f] + 1) / (d[0] + 2)) for f in gain}
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    p = {t: 1 / (1 + math.exp(-sum(weight.get(f, 0.0) for f in features(t)) - model.bias)) for _, t, _ in rows}
+    for x in toxicity.score(df, model).collect():
+        assert math.isclose(x.score, p[x.text], rel_tol=1e-9)
+    for f, w in weight.items():
+        if scale[f]:
+            slope = sum((p[t] - y) * 0.5 / d[y] * (f in fs) for (_, t, y), (fs, _) in zip(rows[:-1], seen, strict=True)) * scale[f] + fit.penalty * w / scale[f]
+            assert abs(slope) < 2e-3
+
+
 # --- importance resampling
 
 
@@ -447,6 +509,32 @@ def test_importance(spark, docs, sf, odd, empty):
     assert importance.resample(empty, target, 4, r).count() == 0
 
 
+def test_importance_matches_a_loop(spark):
+    """Ratios, weights and Gumbel draws from plain dictionaries of words and pairs."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices(["red", "Green", "blue", "é", "x" * 20], k=r.randint(0, 9)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    options = importance.Resampling(bits=10)
+    out = {x.id: x for x in importance.resample(df, df.filter("doc_id < 30").select("text"), 20, options).collect()}
+    bucket = {}
+
+    def features(text):
+        words = [w.encode().lower() for w in WORD.findall(text)]
+        some = words + [b" ".join(p) for p in zip(words, words[1:], strict=False)]
+        return [bucket.setdefault(g, int(importance.grams([g], options.bits)[1][-1])) for g in some]  # the pair is last
+
+    n = [collections.Counter(f for i, t in rows if i < most for f in features(t)) for most in (30, 80)]
+    total = [sum(c.values()) + 0.5 * 1024 for c in n]
+    draws = {}
+    hashes = {x.doc_id: x.h % (1 << 64) for x in df.select("doc_id", F.xxhash64("doc_id", F.lit(options.seed)).alias("h")).collect()}
+    for i, t in rows:
+        some = features(t)
+        w = sum(math.log((n[0][f] + 0.5) / total[0]) - math.log((n[1][f] + 0.5) / total[1]) for f in some) / max(1, len(some)) ** 0.5
+        draws[i] = w - math.log(-math.log(((hashes[i] >> 11) + 0.5) / (1 << 53)))
+        assert math.isclose(out[i].log_weight, w, rel_tol=1e-9, abs_tol=1e-12) and math.isclose(out[i].draw, draws[i], rel_tol=1e-9, abs_tol=1e-12)
+    assert {i for i, x in out.items() if x.kept} == set(sorted(draws, key=lambda i: -draws[i])[:20])
+
+
 def test_counts_match_a_loop(spark, docs):
     texts = [x.text for x in docs.limit(20).collect()]
     n = importance.counts(docs.limit(20).select("text"), 16)
