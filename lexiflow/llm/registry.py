@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, importance, jaccard_join, mixing, quality_rules, suffix_dedup, token_files, toxicity, va_search
+from . import bpe, chat_format, importance, jaccard_join, language_id, merkle, mixing, quality_rules, spelling, suffix_dedup, token_files, toxicity, va_search
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_files": token_files.query,
     "op9_importance_resampling": importance.query,
     "op10_va_search": va_search.query,
+    "op11_merkle": merkle.query,
+    "op12_language_id": language_id.query,
+    "op13_spelling": spelling.query,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op4_jaccard_join": jaccard_join.ORACLE,
     "op10_va_search": va_search.ORACLE,
+    "op11_merkle": merkle.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
