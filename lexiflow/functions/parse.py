@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import SPACE, strip
+
 # Wordings of an agent's answer, in the order in which they are tried; the last match of the first counts.
 AGENT_ANSWERS = (
     r"(?:correct\s+answer\s+is\s+)([ABCD])\)",
@@ -186,9 +188,24 @@ def written_out(text: Column) -> Column:
     return t
 
 
+# Names under which a record's text may lie, in the order in which they are joined.
+TEXT_FIELDS = ("title", "Title", "abstract", "Abstract", "text", "body", "content", "passage", "Body", "full_text", "article")
+
+
 def text_fields(*fields: Column) -> Column:
-    """The fields that are not empty, one on a line, blanks squeezed."""
-    return F.trim(F.regexp_replace(F.concat_ws("\n", *[F.when(F.trim(f) != "", f) for f in fields]), r"[ \t]+", " "))
+    """The fields (texts) one after another, white space of any script squeezed; nulls are left out."""
+    return strip(F.regexp_replace(F.concat_ws("\n", *fields), f"{SPACE}+", " "))
+
+
+def record_text(df: DataFrame) -> Column:
+    """The text of each record of ``df``: the columns named in TEXT_FIELDS that it has, texts or lists of texts, in that
+    order; the record as JSON where all of them are null or missing. Columns of other types take no part."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [n for n in TEXT_FIELDS if kinds.get(n) in ("string", "array<string>")]
+    found = [F.col(f"`{n}`") for n in names]
+    text = text_fields(*[F.array_join(c, "\n") if kinds[n] == "array<string>" else c for n, c in zip(names, found, strict=True)])
+    whole = text_fields(F.to_json(F.struct(*[F.col(f"`{n}`") for n in df.columns])))
+    return F.when(sum((c.isNotNull().cast("int") for c in found), F.lit(0)) > 0, text).otherwise(whole)
 
 
 def clean_paragraph(cleaned: Column) -> Column:

@@ -14,6 +14,15 @@ while how why patient patients month months year years day days week weeks male
 )
 
 
+#: White space of any script, as a class that Java and RE2 read alike.
+SPACE = r"[\t-\r\x1C-\x20\x{85}\p{Z}]"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def bind(value: Column, f) -> Column:
     """``f(value)`` with the value computed once, however often ``f`` mentions it."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -23,11 +32,6 @@ def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != "")
 
 
-def content_tokens(text: Column) -> Column:
-    """Lower-cased tokens that hold a letter or a digit."""
-    return F.filter(whitespace_tokens(text), lambda t: t.rlike(r"[\p{L}\p{N}]"))
-
-
 def content_words(text: Column) -> Column:
     """Distinct lower-cased ASCII words of three letters or more that are no stopwords."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]+)"), 1)
@@ -60,7 +64,7 @@ def drop_figures(text: Column) -> Column:
     bare = F.regexp_replace(bare, r"(?i)Fig\.\s+\d+[A-Za-z]?", "")
 
     def caption(line: Column) -> Column:
-        low = F.lower(line)
+        low = F.lower(strip(line))
         return low.rlike(r"figure |fig\. |shows |illustrates |demonstrates ") & low.rlike(r"figure|fig|panel|image|drawing") & (F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")) <= 15)
 
     return F.array_join(F.filter(lines(bare), lambda x: ~caption(x)), "\n")
@@ -94,7 +98,8 @@ def drop_table_rules(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    one = F.regexp_replace(F.regexp_replace(text, " +", " "), r"\n{3,}", "\n\n")
+    """Blanks as one, blank lines (they may hold white space) as one, no white space at the ends of lines and text."""
+    one = F.regexp_replace(F.regexp_replace(text, " +", " "), r"\n\s*\n\s*\n+", "\n\n")
     return F.trim(F.regexp_replace(F.array_join(F.transform(lines(one), lambda x: F.rtrim(x)), "\n"), r"^\s+|\s+$", ""))
 
 

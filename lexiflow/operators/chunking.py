@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import lines, strip
 
 # Headings of chapters.
 CHAPTER = r"^(Chapter\s+[\dIVX]+[\.:]?\s+.+|CHAPTER\s+[\dIVX]+[\.:]?\s+.+|[IVX]+[\.:]\s+.+|\d+[\.:]\s+.+)$"
 
+#: A text of digits and of characters that are no part of a word, in any script.
+ONLY_MARKS = r"^[^\p{L}\p{Nl}\p{No}_]+$"
+
 
 def token_count(text: Column) -> Column:
     """A quarter of the characters: the counter where no tokenizer is given."""
@@ -41,10 +44,11 @@ def split_at(docs: DataFrame, key: str, text: Column, is_heading, first: Column)
 
 
 def paragraphs(docs: DataFrame, key: str, text: Column, least_words: int = 3) -> DataFrame:
-    """key, pos, paragraph: parts between blank lines, on one line, of ``least_words`` or more, not only digits and marks."""
+    """key, pos, paragraph: parts between blank lines, on one line, of ``least_words`` or more, that hold a letter or a
+    number of any script beside digits and marks. A null text has none."""
     parts = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n")).alias("pos", "p"))
-    parts = parts.withColumn("paragraph", F.trim(F.regexp_replace("p", "\n", " ")))
-    return parts.filter((F.size(F.filter(F.split("paragraph", r"\s+"), lambda w: w != "")) >= least_words) & ~F.col("paragraph").rlike(r"^[^A-Za-z_]+$")).select(key, "pos", "paragraph")
+    parts = parts.withColumn("paragraph", F.replace(strip(F.col("p")), F.lit("\n"), F.lit(" ")))
+    return parts.filter((F.size(F.filter(F.split("paragraph", r"\s+"), lambda w: w != "")) >= least_words) & ~F.col("paragraph").rlike(ONLY_MARKS)).select(key, "pos", "paragraph")
 
 
 def sentences(text: Column) -> Column:

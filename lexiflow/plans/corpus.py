@@ -12,7 +12,7 @@ from ..operators import sampling as S
 from .tables import load
 
 # Artefacts that the corpus lacks are put in on both sides, by the document's number.
-_DIRTY = "concat(text, CASE doc_id % 5 WHEN 0 THEN '\\nsee Figure 3 here\\nFig. 2.1 panel shows x\\n42\\n' WHEN 1 THEN '\\nPage 12\\n12-13\\nReferences\\nSmith 1999' WHEN 2 THEN '\\nmail me@example.org or https://example.org/a?b=1 now\\nCopyright 2001 by me\\nend' WHEN 3 THEN '  a   b  \\n\\n\\n\\nc  \\n---\\n' ELSE '\\n7 | running head\\nBibliography\\nx' END)"
+_DIRTY = "concat(text, CASE doc_id % 5 WHEN 0 THEN '\\nsee Figure 3 here\\nFig. 2.1 panel shows x\\nthe panel shows \\n42\\n' WHEN 1 THEN '\\nPage 12\\n12-13\\nReferences\\nSmith 1999' WHEN 2 THEN '\\nmail me@example.org or https://example.org/a?b=1 now\\nCopyright 2001 by me\\nend' WHEN 3 THEN '  a   b  \\n\\n\\n\\nc  \\n \\n \\nd\\n---\\n' ELSE '\\n7 | running head\\nBibliography\\nx' END)"
 _DIRTY_SQL = _DIRTY.replace("\\n", "\n")
 
 
@@ -36,7 +36,7 @@ def _lines_sql(expr: str) -> str:
 _FIG = r"regexp_replace(regexp_replace(regexp_replace({x}, '(?i)Fig\.\s+\d+\.\d+', '', 'g'), '(?i)Figure\s+\d+', '', 'g'), '(?i)Fig\.\s+\d+[A-Za-z]?', '', 'g')"
 SQL_CLEAN = {
     "clean_figures": _lines_sql(
-        "array_to_string(list_filter(string_split(" + _FIG.format(x="dirty") + ", chr(10)), lambda x: NOT (regexp_matches(lower(x), 'figure |fig\\. |shows |illustrates |demonstrates ') AND regexp_matches(lower(x), 'figure|fig|panel|image|drawing') AND len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) <= 15)), chr(10))"
+        "array_to_string(list_filter(string_split(" + _FIG.format(x="dirty") + ", chr(10)), lambda x: NOT (regexp_matches(lower(trim(x)), 'figure |fig\\. |shows |illustrates |demonstrates ') AND regexp_matches(lower(x), 'figure|fig|panel|image|drawing') AND len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) <= 15)), chr(10))"
     ),
     "clean_page_numbers": _lines_sql(
         r"array_to_string(list_filter(list_transform(string_split(dirty, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^\s*\d+\s*$') OR regexp_matches(x, '^\d+\s*\|') THEN '' ELSE regexp_replace(x, '(?i)Page\s+\d+', '', 'g') END), lambda x: NOT (length(trim(x)) < 10 AND regexp_matches(regexp_replace(trim(x), '[ -]', '', 'g'), '^\d+$'))), chr(10))"
@@ -46,7 +46,7 @@ SQL_CLEAN = {
     ),
     "strip_links": _lines_sql(r"regexp_replace(regexp_replace(dirty, 'https?://[A-Za-z0-9$-_@.&+!*(),%]+', '', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '', 'g')"),
     "strip_copyright": _lines_sql(r"array_to_string(list_transform(string_split(dirty, chr(10)), lambda x: regexp_replace(x, '(©|Copyright).*$', '')), chr(10))"),
-    "clean_whitespace": _lines_sql(r"trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(dirty, ' +', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: rtrim(x)), chr(10)), '^\s+|\s+$', '', 'g'))"),
+    "clean_whitespace": _lines_sql(r"trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(dirty, ' +', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), chr(10)), lambda x: rtrim(x)), chr(10)), '^\s+|\s+$', '', 'g'))"),
 }
 
 QUERIES = {
@@ -149,7 +149,7 @@ def highlight_whole(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.highlight(F.col("text"), "that with from in", "(?U)")).alias("h"))
 
 
-_PARAS = r"SELECT doc_id, pos, p AS paragraph FROM (SELECT doc_id, unnest(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n')) AS q, generate_subscripts(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), 1) - 1 AS pos FROM documents), LATERAL (SELECT trim(replace(q, chr(10), ' ')) AS p) WHERE len(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')) >= 3 AND NOT regexp_matches(p, '^[^A-Za-z_]+$')"
+_PARAS = rf"SELECT doc_id, pos, p AS paragraph FROM (SELECT doc_id, unnest(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n')) AS q, generate_subscripts(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), 1) - 1 AS pos FROM documents), LATERAL (SELECT replace(regexp_replace(q, '^{T.SPACE}+|{T.SPACE}+$', '', 'g'), chr(10), ' ') AS p) WHERE len(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')) >= 3 AND NOT regexp_matches(p, '{C.ONLY_MARKS}')"
 
 
 def _paras(spark, d):

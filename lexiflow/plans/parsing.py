@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import parse as P
+from ..functions import text as T
 from ..operators import analytics as N
 from ..operators import chunking as C
 from ..operators import enrich as E
 from ..operators import fusion as U
+from . import retrieve as R
 from .corpus import _PARAS, _paras
 from .tables import load
 
@@ -131,12 +133,14 @@ def sanitized_terms(spark, d):
     return load(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(P.sanitize_terms(F.split("text", ","))), "|").alias("terms"))
 
 
-_MET = "(SELECT b.item_id, d.doc_id, b.text AS q, d.text AS c FROM benchmark b JOIN documents d ON d.doc_id // 10 = b.item_id)"
+# Contexts are the ten best hits of each question among all documents.
+_MET = f"WITH {R._bm25_sql()}, {R._TOP}, met AS (SELECT b.item_id, d.doc_id, b.text AS q, d.text AS c FROM top JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))"
 
 
 def _met(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.col("text").alias("c"), F.floor(F.col("doc_id") / 10).alias("item_id"))
-    return load(spark, d, "benchmark").select("item_id", F.col("text").alias("q")).join(docs, "item_id")
+    hits = R._top(R._hits(spark, d)).select("item_id", "doc_id")
+    docs = load(spark, d, "documents").select("doc_id", F.col("text").alias("c"))
+    return hits.join(load(spark, d, "benchmark").select("item_id", F.col("text").alias("q")), "item_id").join(docs, "doc_id")
 
 
 def _share(least):
@@ -144,7 +148,7 @@ def _share(least):
     return f"CASE WHEN len({q}) = 0 THEN 0.0 ELSE len(list_intersect({q}, {_TOKENS.format('c')})) / len({q})::DOUBLE END"
 
 
-@query("relevant_contexts", f"SELECT item_id, doc_id, round({_share(3)}, 9) AS relevance, round({_share(3)}, 9) >= 0.3 AS kept FROM {_MET}")
+@query("relevant_contexts", f"{_MET} SELECT item_id, doc_id, round({_share(3)}, 9) AS relevance, round({_share(3)}, 9) >= 0.3 AS kept FROM met")
 def relevant_contexts(spark, d):
     value = F.round(P.relevance(F.col("q"), F.col("c")), 9)
     return _met(spark, d).select("item_id", "doc_id", value.alias("relevance"), (value >= 0.3).alias("kept"))
@@ -153,7 +157,7 @@ def relevant_contexts(spark, d):
 _BONUS = " + ".join(f"contains(lower(c), '{w}')::INTEGER" for w in P.CONTEXT_WORDS)
 
 
-@query("best_contexts", f"SELECT item_id, doc_id, score FROM (SELECT item_id, doc_id, round({_share(0)} + ({_BONUS}) * 0.1 - greatest(0.0, (length(c) - 500) / 1000.0) * 0.2, 9) AS score FROM {_MET}) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 3")
+@query("best_contexts", f"{_MET} SELECT item_id, doc_id, score FROM (SELECT item_id, doc_id, round({_share(0)} + ({_BONUS}) * 0.1 - greatest(0.0, (length(c) - 500) / 1000.0) * 0.2, 9) AS score FROM met) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 3")
 def best_contexts(spark, d):
     from ..operators.retrieval import top_k
 
@@ -175,9 +179,9 @@ def written_out(spark, d):
     return load(spark, d, "part").select("p_partkey", P.written_out(F.expr(_ABBR)).alias("t"))
 
 
-@query("text_fields", r"SELECT c_custkey, trim(regexp_replace(concat_ws(chr(10), CASE WHEN trim(c_name) <> '' THEN c_name END, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN '  a   b' END, c_mktsegment), '[ \t]+', ' ', 'g')) AS t FROM customer")
+@query("text_fields", rf"SELECT c_custkey, trim(regexp_replace(concat_ws(chr(10), c_name, CASE c_custkey % 3 WHEN 1 THEN chr(10) || '  a   b' WHEN 2 THEN '  ' END, c_mktsegment), '{T.SPACE}+', ' ', 'g')) AS t FROM customer")
 def text_fields(spark, d):
-    middle = F.expr("CASE WHEN c_custkey % 3 = 1 THEN '  a   b' WHEN c_custkey % 3 = 2 THEN '  ' END")
+    middle = F.expr("CASE WHEN c_custkey % 3 = 1 THEN '\n  a   b' WHEN c_custkey % 3 = 2 THEN '  ' END")
     return load(spark, d, "customer").select("c_custkey", P.text_fields(F.col("c_name"), middle, F.col("c_mktsegment")).alias("t"))
 
 
