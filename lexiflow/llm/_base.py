@@ -54,7 +54,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     bound_batches(spark)
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more: what was made from them is written itself."""
+    for f in frames:
+        jvm = f.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f._written)
+        path.getFileSystem(f.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize
+from ._base import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,13 +17,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).toDF("a", "b").distinct()
     edges = materialize(edges, "cc-edges")
-    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "cc-labels")
+    held = labels = materialize(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "cc-labels")
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
         stepped = hooked.join(jump, hooked.low == jump["at"], "left").select("node", F.least("low", "further").alias("label"), (F.least("low", "further") < F.col("label")).alias("moved"))
         out = materialize(stepped, "cc-labels")
-        labels = out.select("node", "label")
+        discard(held)
+        held, labels = out, out.select("node", "label")
         if out.filter("moved").isEmpty():
+            discard(edges)
             return labels.withColumnRenamed("label", "component")

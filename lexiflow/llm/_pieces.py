@@ -20,9 +20,9 @@ _U = np.uint64
 SPACE, LETTER, DIGIT, MARK, HARD = range(5)
 WIDE = 16  # bytes of a piece that its two numbers hold
 #: Pieces that a table remembers; a full table is emptied, so memory stays bounded.
-TABLE_PIECES = 600_000
+TABLE_PIECES = 200_000
 #: Bytes of text taken at once; longer texts are cut at white space.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 
 _KIND = np.full(256, HARD, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = SPACE

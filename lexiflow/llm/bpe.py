@@ -24,9 +24,9 @@ from ._base import idle, tidy
 from ._pieces import Encoded, PieceTable, binary
 
 #: Pairs of tokens that a worker remembers; a full table is emptied, so memory stays bounded.
-CACHE_PAIRS = 150_000
+CACHE_PAIRS = 60_000
 #: Texts, or ids, taken at once, unless one value has more.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 class Backtracking:

@@ -1,15 +1,19 @@
 """Exact Jaccard similarity join of shingle sets by parity sketches.
 
-Each shingle of a set toggles one bit of the set's sketch, so the Hamming distance of two sketches is at most the
-size of the symmetric difference of the sets. Sets are joined within size bands only. If a band allows a symmetric
-difference of at most D and its sketches have D + 1 + s blocks, two linked sets agree in at least s + 1 blocks:
-each set may leave out its s least telling blocks (fewest bits; both sets leave out alike) and still meets the
-other in a block that both kept. Sets that meet are verified on the whole shingle sets.
+A shingle's hash is a place: a block, and a bit of 2 ** 32 in it. Each shingle of a set toggles its bit, so the Hamming
+distance of two sketches is at most the size of the symmetric difference of the sets. A block is kept as the XOR of
+the hashes of its odd bits, which tells whether it equals another one. Sets are joined within size bands only. If a
+band allows a symmetric difference of at most D and its sketches have D + 1 + s blocks, two linked sets agree in at
+least s + 1 blocks: each set may leave out its s least telling blocks (fewest bits; both sets leave out alike) and
+still meets the other in a block that both kept. Sets that meet compare whole sketches, all blocks folded to
+``SKETCH_BITS`` bits (a fold toggles a bit a shingle as well, so its distance is a bound too); pairs whose Hamming
+distance passes what their sizes allow go, and the rest is verified on the whole shingle sets.
 
 Documents with equal sets are one class from the start and never paired. Classes that meet in a block form a list,
-and classes that lists connect a family. Families are cut into tiles of bounded size, which are compared whole, as
-products of 0/1 matrices, tile with tile where a list spans both; a comparison gives links without cycles. So a
-large group of near copies gives rows in proportion to its size, not to its square.
+and classes that lists connect a family. Families are cut into tiles of bounded size around hubs, the heaviest
+classes; a tile of a hub has the hub as well. Tiles are compared within; then only the classes that this leaves out of
+their family's largest component meet the other tiles that they share a list with. So a large group of near copies
+gives rows and comparisons in proportion to its size, not to its square.
 
 Blocks travel as packed arrays. Nothing is capped, and no table but those of one task's share is held in memory.
 """
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize, tidy
+from ._base import discard, materialize, tidy
 from ._graph import components
 from ._words import mix, shingles
 
@@ -32,6 +36,7 @@ CHUNK_BYTES = 2 << 20  # text hashed at once, unless one text has more
 SHARD_BYTES = 12 << 20  # packed block keys that one task should get
 TILE, TILE_SHINGLES = 256, 1 << 19  # sets, and shingles of all its sets, that a tile should have
 KEY_BYTES = 7  # of a packed block: 5 of its key, 2 of its class
+SKETCH_BITS = 2048
 
 
 class Bands:
@@ -106,7 +111,7 @@ def block_keys(hashes: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndar
                 h = mix(hashes[on] ^ _U(0xA5A5 + 977 * int(g)))
             place = of[owner[on]] * count + ((h >> _U(32)) * _U(count) >> _U(32)).astype(np.int64)
             order = np.argsort(place, kind="stable")
-            place, bits = place[order], mix(h[order])  # one odd bit of a wide block, as the hash of its place
+            place, bits = place[order], mix(h[order] & _U((1 << 32) - 1))  # the hash of the bit's number in its block
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             parity, weight = np.zeros(len(sets) * count, _U), np.zeros(len(sets) * count, np.int64)
             parity[place[first]] = np.bitwise_xor.reduceat(bits, first)
@@ -121,6 +126,28 @@ def block_keys(hashes: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndar
     return np.concatenate(owners), np.concatenate(keys)
 
 
+def sketches(owner: np.ndarray, hashes: np.ndarray, count: int) -> np.ndarray:
+    """Parity sketches of sets, given as (set number, element) pairs: 64-bit words, a row for each of ``count`` sets."""
+    at = (mix(hashes) >> _U(40)).astype(np.int64) % SKETCH_BITS
+    odd = (np.bincount(owner * SKETCH_BITS + at, minlength=count * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(count, SKETCH_BITS), axis=1).view(_U)
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of each sketch of ``a`` from each of ``b``."""
+    out = np.empty((len(a), len(b)), np.int64)
+    step = max(1, (1 << 20) // max(1, b.size))
+    for i in range(0, len(a), step):
+        out[i : i + step] = np.bitwise_count(a[i : i + step, None, :] ^ b[None, :, :]).sum(2)
+    return out
+
+
+def may_link(distance: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a distance leaves room for a link of sets of these sizes."""
+    total = n[:, None] + m[None, :]
+    return distance <= total - 2 * -(-percent * total // (100 + percent))
+
+
 def _classes(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n, c (64-bit id of the set) and digest of every document."""
 
@@ -274,6 +301,7 @@ class Tile:
         self.reps, self.families, self.n = (np.frombuffer(blob, "<i8", m, 8 + 8 * m * j) for j in range(3))
         self.hashes = np.frombuffer(blob, "<u8", -1, 8 + 24 * m)
         self.ends = np.cumsum(self.n)
+        self.sketches = sketches(np.repeat(np.arange(m), self.n), self.hashes, m)
 
     @staticmethod
     def pack(reps, families, n, hashes: list[bytes]) -> bytes:
@@ -281,8 +309,10 @@ class Tile:
         head = [np.array(x, dtype="<i8")[order].tobytes() for x in (reps, families, n)]
         return np.int64(len(order)).tobytes() + b"".join(head) + b"".join([hashes[i] for i in order])
 
-    def part(self, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(y - x), self.n[x:y]), self.hashes[self.ends[x] - self.n[x] : self.ends[y - 1]]
+    def part(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n[some]
+        at = np.repeat(self.ends[some] - np.cumsum(n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(some)), n), self.hashes[at]
 
     def inner(self, percent: int) -> tuple[list[int], list[int]]:
         """Links within each family of the tile."""
@@ -290,21 +320,27 @@ class Tile:
         cuts = np.flatnonzero(np.concatenate([[True], self.families[1:] != self.families[:-1], [True]]))
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if y - x > 1:
-                p = self.part(x, y)
-                links = _linked(_shared(p, p), self.n[x:y], self.n[x:y], percent)
-                a, b = np.nonzero(np.triu(links, 1))
-                some = _forest(self.reps[x:y], a, b)
-                out[0].extend(some[0])
-                out[1].extend(some[1])
+                near = may_link(hamming(self.sketches[x:y], self.sketches[x:y]), self.n[x:y], self.n[x:y], percent)
+                np.fill_diagonal(near, False)
+                some = x + np.flatnonzero(near.any(1))
+                if len(some):
+                    p = self.part(some)
+                    a, b = np.nonzero(np.triu(_linked(_shared(p, p), self.n[some], self.n[some], percent), 1))
+                    found = _forest(self.reps[some], a, b)
+                    out[0].extend(found[0])
+                    out[1].extend(found[1])
         return out
 
     def across(self, other: Tile, percent: int) -> tuple[list[int], list[int]]:
         """Links between two tiles of one family."""
         if 100 * min(self.n.max(), other.n.max()) < percent * max(self.n.min(), other.n.min()):
             return [], []
-        links = _linked(_shared(self.part(0, len(self.n)), other.part(0, len(other.n))), self.n, other.n, percent)
-        a, b = np.nonzero(links)
-        return _forest(np.concatenate([self.reps, other.reps]), a, b + len(self.reps))
+        near = may_link(hamming(self.sketches, other.sketches), self.n, other.n, percent)
+        u, v = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        if not len(u):
+            return [], []
+        a, b = np.nonzero(_linked(_shared(self.part(u), other.part(v)), self.n[u], other.n[v], percent))
+        return _forest(np.concatenate([self.reps[u], other.reps[v]]), a, b + len(u))
 
 
 def _linked(shared: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -312,8 +348,8 @@ def _linked(shared: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> n
 
 
 def _tiled(members: DataFrame) -> DataFrame:
-    """rep, family, tile, of every class that shares a list. Classes that lists connect are a family. A small family
-    lies in one tile; a larger one is cut by the hub (the heaviest class met) and, for a large hub, by hash."""
+    """rep, family, tile, large, hub, of every class that shares a list. Classes that lists connect are a family. A small
+    family lies in one tile; a larger one is cut by the hub (the heaviest class met) and, for a large hub, by hash."""
     size = members.groupBy("list").agg(F.count("*").alias("size"))
     weight = members.join(size, "list").groupBy("rep").agg(F.sum("size").alias("weight"))
     hub = members.join(weight, "rep").groupBy("list").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
@@ -331,20 +367,19 @@ def _tiled(members: DataFrame) -> DataFrame:
         .when(F.col("hub_tiles") <= 1, F.xxhash64(F.lit(1), "family", some("hub") % F.col("family_tiles")))
         .otherwise(F.xxhash64(F.lit(2), "family", "hub", some("rep") % F.col("hub_tiles")))
     )
-    return own.join(of_family, "family").join(of_hub, ["family", "hub"]).select("rep", "family", tile.alias("tile"), (F.col("family_tiles") > 1).alias("large"))
+    return own.join(of_family, "family").join(of_hub, ["family", "hub"]).select("rep", "family", tile.alias("tile"), (F.col("family_tiles") > 1).alias("large"), "hub")
 
 
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that connect all classes that link, found among the classes that share a list."""
+    """a, b (written): links that connect all classes that link, found among the classes that share a list."""
     tiles = materialize(_tiled(members), "join-tiles")
 
     def pack(t: pa.Table) -> pa.Table:
         blob = Tile.pack(t["rep"].to_pylist(), t["family"].to_pylist(), t["n"].to_pylist(), t["hashes"].to_pylist())
         return pa.table({"tile": t["tile"][:1], "blob": pa.array([blob], pa.binary())})
 
-    blobs = materialize(sets.join(tiles, "rep").groupBy("tile").applyInArrow(pack, "tile long, blob binary"), "join-blobs")
-    met = members.join(tiles.filter("large"), "rep").groupBy("list").agg(F.collect_set("tile").alias("t")).filter("size(t) > 1")
-    met = met.select(F.explode("t").alias("x"), "t").select("x", F.explode("t").alias("y")).filter("x < y").distinct()
+    def packed(some: DataFrame, label: str) -> DataFrame:
+        return materialize(sets.join(some, "rep").groupBy("tile").applyInArrow(pack, "tile long, blob binary"), label)
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,8 +393,24 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 found = Tile(u.as_py()).across(Tile(v.as_py()), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
 
-    near = met.join(blobs.select(F.col("tile").alias("x"), F.col("blob").alias("u")), "x").join(blobs.select(F.col("tile").alias("y"), F.col("blob").alias("v")), "y")
-    return blobs.select("blob").mapInArrow(tidy(inner), "a long, b long").union(near.select("u", "v").mapInArrow(tidy(across), "a long, b long"))
+    own = tiles.select("rep", "family", "tile")
+    hubs = tiles.filter("large").select(F.col("hub").alias("rep"), "family", "tile")
+    blobs = packed(own.unionByName(hubs).distinct(), "join-blobs")
+    within = materialize(blobs.select("blob").mapInArrow(tidy(inner), "a long, b long"), "join-links")
+    large = tiles.filter("large").select("rep", "family", "tile")
+    if large.isEmpty():
+        discard(tiles, blobs)
+        return within
+    labels = large.join(components(within).withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", "tile", F.coalesce("component", "rep").alias("label"))
+    most = labels.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    minors = packed(labels.join(most, "family").filter("label <> most").select("rep", "family", "tile"), "join-minors")
+    met = members.join(large, "rep").groupBy("list").agg(F.collect_set("tile").alias("t")).filter("size(t) > 1")
+    met = met.select(F.explode("t").alias("y"), "t").join(minors.select(F.col("tile").alias("y")), "y", "left_semi")
+    met = met.select(F.explode("t").alias("x"), "y").filter("x <> y").distinct()
+    near = met.join(minors.select(F.col("tile").alias("y"), F.col("blob").alias("v")), "y").join(blobs.select(F.col("tile").alias("x"), F.col("blob").alias("u")), "x")
+    out = materialize(within.union(near.select("u", "v").mapInArrow(tidy(across), "a long, b long")), "join-links")
+    discard(tiles, blobs, within, minors)
+    return out
 
 
 def similar(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -381,13 +432,17 @@ def similar(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id",
     lists = materialize(_lists(_blobs(rows.filter("doc_id is not null"), k, bands, shards), shards).distinct().withColumn("list", F.monotonically_increasing_id()), "join-lists")
     members = lists.select("list", F.explode("members").alias("c")).join(classes.select("c", "rep", "n"), "c").select("list", "rep", "n")
     members = materialize(members, "join-members")
+    discard(lists)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = _sets(rows, wanted, k).join(classes.select("c", "digest", "rep"), ["c", "digest"])
     sets = materialize(sets.select("rep", "n", "hashes"), "join-sets")
-    component = components(materialize(_links(members, sets, percent), "join-links"))
+    links = _links(members, sets, percent)
+    discard(members, sets)
+    component = components(links)
     # One row per class, written: the join of all documents has plain exchanges below it, so adaptive execution splits
     # the documents of a class that has very many.
     placed = materialize(classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("c", "digest", F.coalesce("component", "rep").alias("component")), "join-placed")
+    discard(classes, links)
     out = known.join(placed, ["c", "digest"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
 

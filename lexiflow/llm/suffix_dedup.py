@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize, tidy
+from ._base import discard, materialize, tidy
 from ._words import _TABLE, blocks, mix, powers, string_hashes
 from .suffix_array import common_prefixes, suffix_array
 
@@ -415,9 +415,9 @@ def _identity(key: str, text: str) -> list:
     return [F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("__r_order"), F.unhex(F.substring(F.sha2(t, 256), 1, 32)).alias("__r_c")]
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """What goes: (order, c, spans) with packed, merged (start, end) byte pairs, and (order, c) of documents whose whole
-    text stands in a smaller document. order and c are those of ``_identity``."""
+    text stands in a smaller document; and the written tables that both read. order and c are those of ``_identity``."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     long = docs.filter(F.octet_length(t) >= width).select(*_identity(key, text), t.alias("t")).toDF("order", "c", "t")
     known = materialize(long.select("order", "c", F.octet_length("t").cast("long").alias("n")), "repeat-known")
@@ -430,8 +430,9 @@ def repeated_spans(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     wanted = shared.join(least.withColumnRenamed("least", "order"), "c")
     candidates = long.join(wanted, ["order", "c"]).select("order", "c", "t", "codes")
     strings = materialize(_strings(candidates, width, shards, shards, shards), "repeat-strings")
+    discard(shared, known, least)
     spans = strings.filter("shard < 0").select("bucket", "data").unionByName(_decided(strings.filter("shard >= 0"), width, shards, shards).select("bucket", "data"))
-    return _gathered(spans, shards), copies.distinct()
+    return _gathered(spans, shards), copies.distinct(), [strings, copies]
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -442,10 +443,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     other lose anything, so repeated rows are judged alike. No rows give no rows. Strings are judged on the input.
     """
     names = [c for c in docs.columns if c != "repeats"]
-    spans, copies = repeated_spans(docs, width, key, text)
+    spans, copies, held = repeated_spans(docs, width, key, text)
     row = ["order", "c"]
     verdict = spans.join(copies, row, "left_anti").withColumn("copy", F.lit(False)).unionByName(copies.select(*row, F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy")))
     verdict = materialize(verdict.toDF("__r_order", "__r_c", "__r_spans", "__r_copy"), "repeat-spans")
+    discard(*held)
     joined = docs.select(*[F.col(f"`{c}`") for c in names], *_identity(key, text)).join(verdict, ["__r_order", "__r_c"], "left")
     return joined.select(*[F.col(f"`{c}`") for c in names], _cut(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), F.col("__r_spans"), F.coalesce("__r_copy", F.lit(False))).alias("repeats"))
 

@@ -252,6 +252,39 @@ def test_large_families_are_tiled(spark, monkeypatch):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == linked(rows, 85, 4)
 
 
+def test_chains_over_many_tiles(spark, monkeypatch):
+    """Components of families cut into very small tiles, whose members hang together by chains and by hubs."""
+    monkeypatch.setattr(jaccard_join, "TILE", 5)
+    r, rows = random.Random(9), []
+    for family in range(3):
+        words = [f"f{family}w{i}" for i in range(50)]
+        for i in range(60):
+            if family == 0:  # a chain: far apart at its ends
+                words[i % 50] = f"c{i}"
+                some = list(words)
+            else:
+                some = list(words)
+                for _ in range(r.randint(0, 3)):
+                    some[r.randrange(50)] = f"v{r.randrange(9)}"
+            rows.append((len(rows), " ".join(some)))
+    r.shuffle(rows)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == linked(rows, 85, 4)
+
+
+def test_hamming_distance_is_a_lower_bound():
+    """Sketch distances never pass the symmetric difference, and spare the comparison of most pairs that do not link."""
+    r, pool = np.random.default_rng(8), np.random.default_rng(9).integers(0, 1 << 63, 900, dtype=np.int64).astype(np.uint64)
+    sets = [np.unique(r.choice(pool, int(r.integers(1, 300)))) for _ in range(60)]
+    sets += [np.unique(np.append(s[3:], r.choice(pool, 2))) for s in sets if len(s) > 60]
+    n = np.array([len(s) for s in sets])
+    sketch = jaccard_join.sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), len(sets))
+    distance = jaccard_join.hamming(sketch, sketch)
+    shared = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (distance <= n[:, None] + n[None, :] - 2 * shared).all()
+    room, links = jaccard_join.may_link(distance, n, n, 85), jaccard_join._linked(shared, n, n, 85)
+    assert (room | ~links).all() and links.sum() > len(sets) and (room & ~links).sum() < 0.05 * (~links).sum()
+
+
 def test_regular_words_do_not_collide(spark):
     """Thue-Morse words and their complements cancel out in polynomial hashes modulo a power of two."""
     a = ["ab"[bin(i).count("1") % 2] for i in range(2048)]
@@ -589,6 +622,6 @@ def test_registry(spark, sf):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_", x)[0] for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {re.match(r"op\d+_", x)[0] for x in names if x.startswith("op")} and "pipeline" in names
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     assert hashlib.sha256(b"").hexdigest()
