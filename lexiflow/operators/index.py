@@ -1,7 +1,8 @@
 """Stored indexes: postings and statistics for BM25, vectors with their cells for dense search; and search over them.
 
-An index is a folder of Parquet tables. Postings lie by term, sorted, so a query's terms prune the files' row groups;
-each posting carries its document's length, so scoring joins nothing but the query's terms.
+An index is a folder of Parquet tables. Postings lie in blocks by term and part of the key space, sorted, so a query's
+terms prune the files' row groups; each posting carries its document's length, so scoring joins nothing but the query's
+terms, and each block says what its postings can score at most.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
-from .retrieval import centroid_probe, fit_cells, near_cells
+from .retrieval import centroid_probe, fit_cells, near_cells, top_k
 
 
 @dataclass(frozen=True)
@@ -38,39 +39,230 @@ def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return d.select(key, "dl", F.explode(runs).alias("p")).select(key, "dl", "p.term", "p.tf")
 
 
+#: Keys of a block: a part of the key space. Blocks of all terms are cut at the same keys, so bounds add up by part.
+PART = 16
+#: Hash parts of keys that are no integers.
+HASH_PARTS = 1 << 20
+
+
+def _part(key: str, kind: str) -> Column:
+    c = F.col(f"`{key}`")
+    return F.floor(c / PART).cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.pmod(F.xxhash64(c), F.lit(HASH_PARTS))
+
+
+def _blocks(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """term, part, postings (array of key, dl, tf by key), n, most_tf, least_dl."""
+    p = postings(docs, key, tokens).withColumn("part", _part(key, docs.schema[key].dataType.simpleString()))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(f"`{key}`").alias("key"), "dl", "tf"))).alias("postings")
+    return p.groupBy("term", "part").agg(rows, F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
+
+
+def _unpacked(blocks: DataFrame, key: str) -> DataFrame:
+    return blocks.select("term", F.explode("postings").alias("p")).select(F.col("p.key").alias(key), "p.dl", "term", "p.tf")
+
+
+class Bm25Writer:
+    """A growing BM25 index: a folder of segments, deletions, and versions that say which of them count.
+
+    A commit writes its tables first and then one partition of ``versions``, so a failed one leaves the last version as
+    it was. One writer at a time. Statistics are merged: a commit adds the counts of what it appends and subtracts those
+    of what it deletes; segments are not read again, but for the postings of deleted keys. Keys are not null; a key that
+    is live is appended again by ``replace`` only. Documents without a token count in the statistics.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, tokens: Column, floor: float = 0.25):
+        self.spark, self.path, self.key, self.tokens, self.floor = spark, path, key, tokens, floor
+
+    def append(self, docs: DataFrame) -> None:
+        """One more segment: ``docs`` with columns key and those that the tokens are made of."""
+        seq, records = self._last()
+        self._segment(docs, seq + 1)
+        self._commit(seq + 1, [*records, (seq + 1, "segment")], [seq + 1], None)
+
+    def delete(self, keys: DataFrame) -> None:
+        """Documents of these keys no longer count; unknown keys do nothing."""
+        seq, records = self._last()
+        gone = self._delete(keys, seq + 1, records)
+        self._commit(seq + 1, [*records, (seq + 1, "delete")], [], gone)
+
+    def replace(self, docs: DataFrame) -> None:
+        """Delete the keys of ``docs`` and append them, in one version."""
+        seq, records = self._last()
+        gone = self._delete(docs.select(self.key), seq + 1, records)
+        self._segment(docs, seq + 2)
+        self._commit(seq + 2, [*records, (seq + 1, "delete"), (seq + 2, "segment")], [seq + 2], gone)
+
+    def compact(self) -> None:
+        """All live postings in one segment; older ones are no longer read (``vacuum`` deletes them)."""
+        seq, records = self._last()
+        live = Bm25.open(self.spark, self.path)
+        key = F.struct(F.col(f"`{live.key}`").alias("key"), "dl", "tf")
+        p = live.postings.withColumn("part", _part(live.key, live.postings.schema[live.key].dataType.simpleString()))
+        b = p.groupBy("term", "part").agg(F.array_sort(F.collect_list(key)).alias("postings"), F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
+        self._write_blocks(b, seq + 1)
+        live.lengths.write.parquet(f"{self.path}/segments/{seq + 1}/docs")
+        live.terms.write.parquet(f"{self.path}/terms/{seq + 1}")
+        live.stats.write.parquet(f"{self.path}/stats/{seq + 1}")
+        self._publish(seq + 1, [(seq + 1, "segment")])
+
+    def vacuum(self) -> None:
+        """Delete what the last version does not read."""
+        seq, records = self._last()
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        kept = {"segments": {str(s) for s, k in records if k == "segment"}, "deletes": {str(s) for s, k in records if k == "delete"}, "terms": {str(seq)}, "stats": {str(seq)}, "versions": {f"v={seq}"}}
+        for folder, names in kept.items():
+            root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+            fs = root.getFileSystem(conf)
+            for f in fs.listStatus(root) if fs.exists(root) else []:
+                if f.isDirectory() and f.getPath().getName() not in names:
+                    fs.delete(f.getPath(), True)
+
+    def _last(self) -> tuple[int, list[tuple[int, str]]]:
+        return _version(self.spark, self.path) or (0, [])
+
+    def _write_blocks(self, blocks: DataFrame, seq: int) -> None:
+        # Ranges of term and part: a word that most documents have lies over many tasks and files.
+        blocks.repartitionByRange("term", "part").sortWithinPartitions("term", "part").write.parquet(f"{self.path}/segments/{seq}/blocks")
+
+    def _segment(self, docs: DataFrame, seq: int) -> None:
+        self._write_blocks(_blocks(docs, self.key, self.tokens), seq)
+        docs.select(F.col(f"`{self.key}`"), F.size(self.tokens).alias("dl")).write.parquet(f"{self.path}/segments/{seq}/docs")
+
+    def _delete(self, keys: DataFrame, seq: int, records) -> DataFrame:
+        """Write the live ones of these keys; their postings."""
+        live = Bm25.open(self.spark, self.path)
+        live.lengths.join(keys.select(F.col(f"`{self.key}`")).distinct(), self.key, "left_semi").write.parquet(f"{self.path}/deletes/{seq}")
+        return live.postings.join(self.spark.read.parquet(f"{self.path}/deletes/{seq}").select(self.key), self.key, "left_semi")
+
+    def _commit(self, version: int, records, added: list[int], gone: DataFrame | None) -> None:
+        read, before = self.spark.read.parquet, self._last()[0]
+        counts = [read(f"{self.path}/segments/{s}/blocks").select("term", F.col("n").alias("df")) for s in added]
+        sums = [read(f"{self.path}/segments/{s}/docs").agg(F.count("*").alias("n"), F.sum("dl").alias("total")) for s in added]
+        if before:
+            counts.append(read(f"{self.path}/terms/{before}").select("term", "df"))
+            sums.append(read(f"{self.path}/stats/{before}").select("n", "total"))
+        if gone is not None:
+            deleted = max(s for s, k in records if k == "delete")
+            counts.append(gone.groupBy("term").agg((-F.count("*")).alias("df")))
+            sums.append(read(f"{self.path}/deletes/{deleted}").agg((-F.count("*")).alias("n"), (-F.sum("dl")).alias("total")))
+        union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
+        total = union(sums).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+        total.withColumn("avgdl", F.try_divide("total", "n")).coalesce(1).write.parquet(f"{self.path}/stats/{version}")
+        stats = read(f"{self.path}/stats/{version}")  # one row
+        df = union(counts).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+        raw = df.join(F.broadcast(stats.select("n")), F.lit(True)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+        raw.write.parquet(f"{self.path}/raw/{version}")
+        raw = read(f"{self.path}/raw/{version}")
+        mean = raw.agg(F.avg("idf").alias("mean"))  # one row
+        idf = F.when(F.col("idf") < 0, self.floor * F.col("mean")).otherwise(F.col("idf")).alias("idf")
+        raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", idf).write.parquet(f"{self.path}/terms/{version}")
+        self._publish(version, records)
+
+    def _publish(self, version: int, records) -> None:
+        rows = self.spark.createDataFrame([(s, k, self.key) for s, k in records], "seq int, kind string, key string")
+        rows.coalesce(1).write.parquet(f"{self.path}/versions/v={version}")
+
+
+def _version(spark: SparkSession, path: str) -> tuple[int, list[tuple[int, str]]] | None:
+    """Number and records (a row for each segment and deletion) of the last version; None where there is none."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return None
+    rows = spark.read.parquet(f"{path}/versions")
+    rows = rows.join(F.broadcast(rows.agg(F.max("v").alias("v"))), "v", "left_semi").collect()
+    return rows[0]["v"], sorted((r["seq"], r["kind"]) for r in rows)
+
+
 def build_bm25(docs: DataFrame, key: str, tokens: Column, path: str, c: float = 0.25) -> None:
-    """Write postings, terms (df, idf) and statistics of ``docs`` under ``path``. Terms of negative idf get ``c`` times
-    the mean idf. Statistics are sums of what is written: nothing of the corpus reaches the driver."""
-    postings(docs, key, tokens).repartition("term").sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
-    spark = docs.sparkSession
-    docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl")).write.parquet(f"{path}/stats")
-    stats = spark.read.parquet(f"{path}/stats")  # one row
-    df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(stats), F.lit(True)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw.select("term", "df", "idf").sortWithinPartitions("term").write.parquet(f"{path}/raw")
-    raw = spark.read.parquet(f"{path}/raw")
-    mean = raw.agg(F.avg("idf").alias("mean"))  # one row
-    raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("idf") < 0, c * F.col("mean")).otherwise(F.col("idf")).alias("idf")).write.parquet(f"{path}/terms")
+    """A new index of ``docs`` under ``path``. Terms of negative idf get ``c`` times the mean idf."""
+    Bm25Writer(docs.sparkSession, path, key, tokens, c).append(docs)
 
 
 @dataclass(frozen=True)
 class Bm25:
-    """A stored index; ``postings`` (key, dl, term, tf), ``terms`` (term, df, idf), ``stats`` (n, avgdl)."""
+    """A version of an index: ``blocks`` (term, part, postings, n, most_tf, least_dl; of live documents), ``terms`` (term,
+    df, idf), ``stats`` (n, total, avgdl), ``lengths`` (key, dl) and the key's name."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
+    lengths: DataFrame
+    key: str
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Bm25:
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")])
+        found = _version(spark, path)
+        if found is None:
+            raise FileNotFoundError(f"no index under {path}")
+        version, records = found
+        read = spark.read.parquet
+        blocks, lengths = [], []
+        for seq in (s for s, k in records if k == "segment"):
+            b, d = read(f"{path}/segments/{seq}/blocks"), read(f"{path}/segments/{seq}/docs")
+            key = d.columns[0]
+            for later in (s for s, k in records if k == "delete" and s > seq):
+                gone = read(f"{path}/deletes/{later}").select(key)
+                d = d.join(gone, key, "left_anti")
+                # Only parts of deleted keys are taken apart.
+                kind = d.schema[key].dataType.simpleString()
+                some = gone.groupBy(_part(key, kind).alias("part")).agg(F.collect_set(key).alias("_gone"))
+                left = F.filter("postings", lambda p: ~F.array_contains("_gone", p["key"]))
+                b = b.join(some, "part", "left").withColumn("postings", F.when(F.col("_gone").isNull(), F.col("postings")).otherwise(left)).drop("_gone")
+                b = b.withColumn("n", F.size("postings").cast("long")).filter("n > 0").select("term", "part", "postings", "n", "most_tf", "least_dl")
+            blocks.append(b)
+            lengths.append(d)
+        for frames in (blocks, lengths):
+            while len(frames) > 1:
+                frames[:2] = [frames[0].unionByName(frames[1])]
+        return cls(blocks[0], read(f"{path}/terms/{version}"), read(f"{path}/stats/{version}"), lengths[0], key)
+
+    @property
+    def postings(self) -> DataFrame:
+        """key, dl, term, tf."""
+        return _unpacked(self.blocks, self.key)
+
+    def _asked(self, queries: DataFrame, query_key: str, query_tokens: Column) -> DataFrame:
+        asked = queries.select(query_key, F.explode(query_tokens).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+        weighed = asked.join(self.terms, "term").join(F.broadcast(self.stats.select("avgdl")), F.lit(True))
+        return weighed.select(query_key, "term", "df", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl")
 
     def search(self, queries: DataFrame, key: str, query_key: str, query_tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """query key, key, score of every pair with a common term; a query's repeated term counts as often."""
-        asked = queries.select(query_key, F.explode(query_tokens).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-        weighed = asked.join(self.terms.select("term", "idf"), "term").join(F.broadcast(self.stats.select("avgdl")), F.lit(True))
-        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        return self.postings.join(weighed, "term").groupBy(query_key, key).agg(F.sum(F.col("qtf") * part).alias("score"))
+        met = self.postings.join(self._asked(queries, query_key, query_tokens), "term")
+        return met.groupBy(query_key, key).agg(F.sum(F.col("w") * _saturation("tf", "dl", k1, b)).alias("score"))
+
+    def candidates(self, queries: DataFrame, query_key: str, query_tokens: Column, k: int, k1: float = 1.5, b: float = 0.75, probe: int = 50) -> DataFrame:
+        """query key, term, part, w, avgdl of the blocks that the ``k`` best documents of each query can lie in.
+
+        A first pass scores a query's rarest terms only, of ``probe * k`` postings or its one rarest: the kth of these
+        scores is one that k documents reach. The second adds up, from the blocks' bounds alone, what a document of a
+        part can score at most; parts below the threshold go, with all their blocks. A query with a term of negative
+        weight keeps all parts.
+        """
+        asked = self._asked(queries, query_key, query_tokens)
+        w = Window.partitionBy(query_key).orderBy("df", "term")
+        rare = asked.withColumn("_before", F.sum("df").over(w) - F.col("df")).filter(F.col("_before") < probe * k)
+        partial = self.postings.join(rare, "term").groupBy(query_key, self.key).agg(F.sum(F.col("w") * _saturation("tf", "dl", k1, b)).alias("_s"))
+        kth = top_k(partial, [query_key], [F.desc("_s")], k, "_r").filter(F.col("_r") == k).select(query_key, F.col("_s").alias("_least"))
+        sound = asked.groupBy(query_key).agg(F.min("w").alias("_w")).filter("_w >= 0").select(query_key)
+        bounds = self.blocks.select("term", "part", "most_tf", "least_dl").join(asked, "term").withColumn("_most", F.greatest(F.col("w"), F.lit(0.0)) * _saturation("most_tf", "least_dl", k1, b))
+        parts = bounds.groupBy(query_key, "part").agg(F.sum("_most").alias("_most")).join(kth.join(sound, query_key), query_key, "left")
+        # Sums of other orders may differ in the last digits; scores are compared rounded.
+        parts = parts.filter(F.col("_least").isNull() | (F.col("_most") >= F.col("_least") - 1e-5)).select(query_key, "part")
+        return bounds.join(parts, [query_key, "part"]).select(query_key, "term", "part", "w", "avgdl")
+
+    def top(self, queries: DataFrame, query_key: str, query_tokens: Column, k: int, k1: float = 1.5, b: float = 0.75, digits: int = 6, probe: int = 50) -> DataFrame:
+        """query key, key, score (rounded), rank of the ``k`` best documents of each query, ties to the smaller key; as
+        ``search`` and a cut would give them, from the blocks of ``candidates`` alone."""
+        met = self.blocks.select("term", "part", "postings").join(self.candidates(queries, query_key, query_tokens, k, k1, b, probe), ["term", "part"])
+        p = met.select(query_key, "w", "avgdl", F.explode("postings").alias("p")).select(query_key, "w", "avgdl", F.col("p.key").alias(self.key), "p.dl", "p.tf")
+        scored = p.groupBy(query_key, self.key).agg(F.round(F.sum(F.col("w") * _saturation("tf", "dl", k1, b)), digits).alias("score"))
+        return top_k(scored, [query_key], [F.desc("score"), F.asc(self.key)], k)
+
+
+def _saturation(tf: str, dl: str, k1: float, b: float) -> Column:
+    return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.col("avgdl")))
 
 
 def build_vectors(vectors: DataFrame, path: str, cells: int = 100) -> None:
@@ -87,13 +279,10 @@ def probe_vectors(spark: SparkSession, path: str, queries: DataFrame, probes: in
 
 
 def open_index(spark: SparkSession, path: str) -> Bm25 | tuple[DataFrame, DataFrame]:
-    """Whatever index lies under a path, told by its tables: BM25, or vectors and cells."""
-    from pyspark.errors import AnalysisException
-
-    try:
+    """Whatever index lies under a path: BM25, or vectors and cells."""
+    if _version(spark, path):
         return Bm25.open(spark, path)
-    except AnalysisException:
-        return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/cells")
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/cells")
 
 
 def hashed_words(dims: int) -> Callable[[Column], Column]:

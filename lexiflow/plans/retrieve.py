@@ -33,21 +33,34 @@ _BUILT: dict = {}
 
 
 def _index(spark, d, field="text"):
-    """The BM25 index of the documents' ``field`` (an SQL expression), built once for a session and its input files."""
+    """The BM25 index of the documents' ``field`` (an SQL expression), built once for a session and its input files as
+    they are: a file of another size or time makes a new index, and the old one goes."""
     docs = load(spark, d, "documents")
-    name = (spark.sparkContext.applicationId, d, field, hash(tuple(sorted(docs.inputFiles()))))
-    if name not in _BUILT:
+    files = docs.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("f")).distinct()
+    state = tuple(files.agg(F.count("*"), F.bit_xor("f")).first())
+    name = (spark.sparkContext.applicationId, d, field)
+    if name not in _BUILT or _BUILT[name][0] != state:
+        if name in _BUILT:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_BUILT.pop(name)[1])
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
         I.build_bm25(docs, "doc_id", T.whitespace_tokens(F.expr(field)), path)
-        _BUILT[name] = path
-    return I.Bm25.open(spark, _BUILT[name])
+        _BUILT[name] = state, path
+    return I.Bm25.open(spark, _BUILT[name][1])
 
 
 def _hits(spark, d, field="text", queries=None):
+    """All scores of all queries: what needs more than the best of them takes it."""
     queries = load(spark, d, "benchmark") if queries is None else queries
     return _index(spark, d, field).search(queries, "doc_id", "item_id", T.whitespace_tokens(F.col("text")))
 
 
+def _best(spark, d, field="text", queries=None, k=10):
+    """item_id, doc_id, score, rank of the k best documents of each query."""
+    queries = load(spark, d, "benchmark") if queries is None else queries
+    return _index(spark, d, field).top(queries, "item_id", T.whitespace_tokens(F.col("text")), k)
+
+
 def _bm25_sql(doc_text="text", query="SELECT item_id, text FROM benchmark"):
     toks = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> '')"
     return f"""
@@ -64,14 +77,9 @@ hits AS (SELECT q.item_id, p.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.2
 _TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM hits QUALIFY rank <= 10)"
 
 
-def _top(hits, k=10):
-    hits = hits.withColumn("score", F.round("score", 6))
-    return R.top_k(hits, ["item_id"], [F.desc("score"), F.asc("doc_id")], k)
-
-
 @query("bm25_topk", f"WITH {_bm25_sql()}, {_TOP} SELECT item_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM top")
 def bm25_topk(spark, d):
-    return _top(_hits(spark, d)).select("item_id", "doc_id", "rank", "score")
+    return _best(spark, d).select("item_id", "doc_id", "rank", "score")
 
 
 _TITLED = "concat(source, ' ', source, ' ', source, ' ', text)"
@@ -79,7 +87,7 @@ _TITLED = "concat(source, ' ', source, ' ', source, ' ', text)"
 
 @query("bm25_title_boost", f"WITH {_bm25_sql(_TITLED)}, {_TOP} SELECT item_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM top")
 def bm25_title_boost(spark, d):
-    return _top(_hits(spark, d, _TITLED)).select("item_id", "doc_id", "rank", "score")
+    return _best(spark, d, _TITLED).select("item_id", "doc_id", "rank", "score")
 
 
 _VARIANTS = "SELECT item_id * 2 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, split_part(text, ',', 1) FROM benchmark"
@@ -89,7 +97,7 @@ _VARIANTS = "SELECT item_id * 2 AS item_id, text FROM benchmark UNION ALL SELECT
 def bm25_multiquery_votes(spark, d):
     bench = load(spark, d, "benchmark")
     variants = bench.select((F.col("item_id") * 2).alias("item_id"), "text").union(bench.select(F.col("item_id") * 2 + 1, F.substring_index("text", ",", 1)))
-    top = _top(_hits(spark, d, queries=variants))
+    top = _best(spark, d, queries=variants)
     merged = R.merge_variants(top.select(F.floor(F.col("item_id") / 2).cast("long").alias("q"), F.col("item_id").alias("variant"), F.col("doc_id").alias("id"), "score"))
     return R.top_k(merged, ["q"], [F.desc("votes"), F.desc("score"), F.asc("id")], 5).select("q", F.col("id").alias("doc_id"), "votes", "score")
 
@@ -152,7 +160,7 @@ _OVERLAP = f"CASE WHEN len({_WORDS.format('question')}) = 0 THEN 0.0 ELSE len(li
 
 def _lists(spark, d):
     docs, bench = load(spark, d, "documents"), load(spark, d, "benchmark")
-    top = _top(_hits(spark, d)).join(F.broadcast(bench.select("item_id", F.col("text").alias("question"))), "item_id").join(docs.select("doc_id", "text", "source"), "doc_id")
+    top = _best(spark, d).join(F.broadcast(bench.select("item_id", F.col("text").alias("question"))), "item_id").join(docs.select("doc_id", "text", "source"), "doc_id")
     return top.withColumn("overlap", T.overlap(T.content_words(F.col("question")), T.content_words(F.col("text")))).withColumnRenamed("item_id", "q").withColumnRenamed("doc_id", "id")
 
 
@@ -235,7 +243,7 @@ _PACK = f"{_bm25_sql()}, {_TOP}, t AS (SELECT item_id AS q, doc_id AS id, rank,
 
 
 def _packs(spark, d):
-    x = _top(_hits(spark, d)).join(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    x = _best(spark, d).join(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return x.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank", F.floor(F.col("n_chars") / 4).alias("tokens"))
 
 
@@ -267,7 +275,7 @@ def context_whole(spark, d):
 @query("retrieval_prf", f"WITH {_bm25_sql()}, {_TOP}, w AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), g AS (SELECT item_id, count(*) AS got FROM top GROUP BY 1), x AS (SELECT b.item_id, coalesce(got, 0) AS got, (SELECT count(*) FROM w WHERE w.item_id = b.item_id) AS want, (SELECT count(*) FROM w JOIN top USING (item_id, doc_id) WHERE w.item_id = b.item_id) AS hit FROM benchmark b LEFT JOIN g USING (item_id)) SELECT item_id AS q, round(hit / greatest(got, 1)::DOUBLE, 6) AS precision, round(hit / greatest(want, 1)::DOUBLE, 6) AS recall FROM x")
 def retrieval_prf(spark, d):
     bench, docs = load(spark, d, "benchmark"), load(spark, d, "documents")
-    got = _top(_hits(spark, d)).groupBy("item_id").agg(F.collect_list("doc_id").alias("got"))
+    got = _best(spark, d).groupBy("item_id").agg(F.collect_list("doc_id").alias("got"))
     wanted = docs.join(bench.select("item_id", F.col("text").alias("passage")), F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.collect_list("doc_id").alias("wanted"))
     none = F.array().cast("array<bigint>")
     sets = bench.select("item_id").join(got, "item_id", "left").join(wanted, "item_id", "left").select(F.col("item_id").alias("q"), F.coalesce("got", none).alias("got"), F.coalesce("wanted", none).alias("wanted"))
@@ -432,7 +440,7 @@ def _dense_texts(spark, d, k=10):
 
 
 def _hybrid(spark, d):
-    sparse = _top(_hits(spark, d)).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
+    sparse = _best(spark, d).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
     return U.rrf(sparse.unionByName(_dense_texts(spark, d).select("q", "id", "rank")))
 
 
@@ -489,7 +497,7 @@ def choice_search(spark, d):
     words = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
     asked = load(spark, d, "benchmark").select("item_id", "text", words.alias("w"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("o"))
     asked = asked.select((F.col("item_id") * 4 + F.col("o")).alias("item_id"), F.concat_ws(" ", "text", F.get("w", F.col("o"))).alias("text"))
-    top = _top(_hits(spark, d, queries=asked))
+    top = _best(spark, d, queries=asked)
     merged = R.merge_variants(top.select(F.floor(F.col("item_id") / 4).cast("long").alias("q"), F.col("item_id").alias("variant"), F.col("doc_id").alias("id"), "score"))
     return R.top_k(merged, ["q"], [F.desc("votes"), F.desc("score"), F.asc("id")], 5).select("q", "id", "votes", "score")
 
