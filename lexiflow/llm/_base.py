@@ -60,11 +60,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more: what was made from them is written itself."""
+    """Delete tables of ``materialize`` that nothing reads any more: what was made from them is written itself. Shuffle
+    files of plans that ended go when the driver's JVM collects those plans, so it is asked to."""
     for f in frames:
-        jvm = f.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f._written)
-        path.getFileSystem(f.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        context = f.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f._written)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def words(text: Column) -> Column:

@@ -331,8 +331,9 @@ class Tile:
                     out[1].extend(found[1])
         return out
 
-    def across(self, other: Tile, percent: int) -> tuple[list[int], list[int]]:
-        """Links between two tiles of one family."""
+    def across(self, other: Tile, percent: int, labels: dict[int, int]) -> tuple[list[int], list[int]]:
+        """Pairs of components that links between two tiles of one family connect: here those that ``labels`` tells of
+        (itself for a class that it leaves out), in the other tile its families."""
         if 100 * min(self.n.max(), other.n.max()) < percent * max(self.n.min(), other.n.min()):
             return [], []
         near = may_link(hamming(self.sketches, other.sketches), self.n, other.n, percent)
@@ -340,7 +341,9 @@ class Tile:
         if not len(u):
             return [], []
         a, b = np.nonzero(_linked(_shared(self.part(u), other.part(v)), self.n[u], other.n[v], percent))
-        return _forest(np.concatenate([self.reps[u], other.reps[v]]), a, b + len(u))
+        own = np.array([labels.get(r, r) for r in self.reps[u].tolist()], dtype=np.int64)
+        found = {(x, y) for x, y in zip(own[a].tolist(), other.families[v][b].tolist(), strict=True) if x != y}
+        return [x for x, _ in found], [y for _, y in found]
 
 
 def _linked(shared: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -370,8 +373,8 @@ def _tiled(members: DataFrame) -> DataFrame:
     return own.join(of_family, "family").join(of_hub, ["family", "hub"]).select("rep", "family", tile.alias("tile"), (F.col("family_tiles") > 1).alias("large"), "hub")
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b (written): links that connect all classes that link, found among the classes that share a list."""
+def _connected(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, component (the least node) of the classes that links connect, found among the classes that share a list."""
     tiles = materialize(_tiled(members), "join-tiles")
 
     def pack(t: pa.Table) -> pa.Table:
@@ -389,28 +392,33 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for u, v in zip(b.column(0), b.column(1), strict=True):
-                found = Tile(u.as_py()).across(Tile(v.as_py()), percent)
+            for u, v, known in zip(*b.columns, strict=True):
+                found = Tile(u.as_py()).across(Tile(v.as_py()), percent, {x["rep"]: x["label"] for x in known.as_py()})
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
 
     own = tiles.select("rep", "family", "tile")
     hubs = tiles.filter("large").select(F.col("hub").alias("rep"), "family", "tile")
     blobs = packed(own.unionByName(hubs).distinct(), "join-blobs")
     within = materialize(blobs.select("blob").mapInArrow(tidy(inner), "a long, b long"), "join-links")
+    near = components(within)
     large = tiles.filter("large").select("rep", "family", "tile")
     if large.isEmpty():
-        discard(tiles, blobs)
-        return within
-    labels = large.join(components(within).withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", "tile", F.coalesce("component", "rep").alias("label"))
+        discard(tiles, blobs, within)
+        return near
+    labels = materialize(large.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", "tile", F.coalesce("component", "rep").alias("label")), "join-labels")
     most = labels.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-    minors = packed(labels.join(most, "family").filter("label <> most").select("rep", "family", "tile"), "join-minors")
+    minors = packed(labels.join(most, "family").filter("label <> most").select("rep", F.col("label").alias("family"), "tile"), "join-minors")
     met = members.join(large, "rep").groupBy("list").agg(F.collect_set("tile").alias("t")).filter("size(t) > 1")
     met = met.select(F.explode("t").alias("y"), "t").join(minors.select(F.col("tile").alias("y")), "y", "left_semi")
     met = met.select(F.explode("t").alias("x"), "y").filter("x <> y").distinct()
-    near = met.join(minors.select(F.col("tile").alias("y"), F.col("blob").alias("v")), "y").join(blobs.select(F.col("tile").alias("x"), F.col("blob").alias("u")), "x")
-    out = materialize(within.union(near.select("u", "v").mapInArrow(tidy(across), "a long, b long")), "join-links")
+    pairs = met.join(minors.select(F.col("tile").alias("y"), F.col("blob").alias("v")), "y")
+    told = labels.groupBy(F.col("tile").alias("x")).agg(F.collect_list(F.struct("rep", "label")).alias("known"))
+    pairs = pairs.join(blobs.select(F.col("tile").alias("x"), F.col("blob").alias("u")).join(told, "x"), "x")
+    links = materialize(pairs.select("u", "v", "known").mapInArrow(tidy(across), "a long, b long").distinct(), "join-links")
     discard(tiles, blobs, within, minors)
-    return out
+    nodes = near.unionByName(labels.filter("label = rep").select(F.col("rep").alias("node"), F.col("label").alias("component"))).distinct()
+    joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return nodes.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
 
 
 def similar(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -436,13 +444,11 @@ def similar(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id",
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = _sets(rows, wanted, k).join(classes.select("c", "digest", "rep"), ["c", "digest"])
     sets = materialize(sets.select("rep", "n", "hashes"), "join-sets")
-    links = _links(members, sets, percent)
-    discard(members, sets)
-    component = components(links)
+    component = _connected(members, sets, percent)
     # One row per class, written: the join of all documents has plain exchanges below it, so adaptive execution splits
     # the documents of a class that has very many.
     placed = materialize(classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("c", "digest", F.coalesce("component", "rep").alias("component")), "join-placed")
-    discard(classes, links)
+    discard(classes, members, sets)
     out = known.join(placed, ["c", "digest"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
 
