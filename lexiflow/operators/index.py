@@ -1,4 +1,4 @@
-"""Stored indexes: postings and statistics for BM25, vectors with their cells for dense search; and search over them.
+"""Stored BM25 indexes that grow, and their search. Indexes of vectors are in ``vectors``.
 
 An index is a folder of Parquet tables. Postings lie in blocks by term and part of the key space, sorted, so a query's
 terms prune the files' row groups; each posting carries its document's length, so scoring joins nothing but the query's
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
-from .retrieval import centroid_probe, fit_cells, near_cells, top_k
+from .retrieval import top_k
 
 
 @dataclass(frozen=True)
@@ -265,19 +265,6 @@ def _saturation(tf: str, dl: str, k1: float, b: float) -> Column:
     return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.col("avgdl")))
 
 
-def build_vectors(vectors: DataFrame, path: str, cells: int = 100) -> None:
-    """Write vectors (id, v) with their nearest of ``cells`` fitted means, sorted by cell, and the means."""
-    means = fit_cells(vectors, cells)
-    means.write.parquet(f"{path}/cells")
-    means = vectors.sparkSession.read.parquet(f"{path}/cells")
-    near_cells(vectors.filter("v is not null"), "v", means, 1).select("id", "v", F.col("cells")[0].alias("cell")).sortWithinPartitions("cell").write.parquet(f"{path}/vectors")
-
-
-def probe_vectors(spark: SparkSession, path: str, queries: DataFrame, probes: int, k: int) -> DataFrame:
-    """Search a stored vector index: each query (q, qv) looks at its ``probes`` nearest cells."""
-    return centroid_probe(queries, spark.read.parquet(f"{path}/vectors").select("id", "v"), spark.read.parquet(f"{path}/cells"), probes, k)
-
-
 def open_index(spark: SparkSession, path: str) -> Bm25 | tuple[DataFrame, DataFrame]:
     """Whatever index lies under a path: BM25, or vectors and cells."""
     if _version(spark, path):

@@ -1,4 +1,4 @@
-"""Inverted index, BM25, dense search, coarse-to-fine search, reranking. DataFrame in, DataFrame out."""
+"""BM25 as one query, similarities, coarse-to-fine search, reranking. DataFrame in, DataFrame out."""
 
 from __future__ import annotations
 
@@ -49,19 +49,6 @@ def similarity(a: Column, b: Column, metric: str) -> Column:
     return dot(unit(a), unit(b)) if metric == "cosine" else dot(a, b)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", others: bool = False) -> DataFrame:
-    """q, id, score, rank of the k most similar vectors; queries (q, qv), vectors (id, v). With ``others``, a query's own
-    id is no result.
-
-    A stated query table meets all vectors; each task keeps its best k per query before the shuffle.
-    """
-    if metric == "cosine":  # norms once per vector, not once per pair
-        queries, vectors, metric = queries.withColumn("qv", unit(F.col("qv"))), vectors.withColumn("v", unit(F.col("v"))), "ip"
-        queries, vectors = queries.repartition("q"), vectors.repartition("id")  # keeps the division below the join
-    scored = vectors.join(queries, F.col("id") != F.col("q") if others else F.lit(True)).select("q", "id", F.round(similarity(F.col("qv"), F.col("v"), metric), 9).alias("score"))
-    return top_k(scored, ["q"], [F.desc("score"), F.asc("id")], k)
-
-
 def merge_variants(hits: DataFrame, how: str = "votes") -> DataFrame:
     """Hits of several query variants (q, variant, id, score) as one list per query: by votes, then best score; or by
     best score; or by the first variant's score."""
@@ -80,42 +67,3 @@ def rerank_head(hits: DataFrame, score: Column, head: int) -> DataFrame:
     """Hits (q, id, rank) with their first ``head`` ranks sorted anew by ``score``; the tail keeps its order."""
     order = Window.partitionBy("q").orderBy(F.col("rank") > head, F.when(F.col("rank") <= head, -F.col("rerank")).otherwise(F.col("rank").cast("double")), F.col("id"))
     return hits.withColumn("rerank", score).withColumn("new_rank", F.row_number().over(order))
-
-
-def fit_cells(vectors: DataFrame, n: int = 100, sample: int = 10_000, rounds: int = 10) -> DataFrame:
-    """cell, centroid: ``n`` means (Lloyd's rounds from distinct vectors) of at most ``sample`` vectors (id, v), the
-    first in the order of their id's hash. Only these reach the driver; cells that end empty keep their last mean."""
-    import numpy as np
-
-    rows = vectors.filter("v is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("v").cast("array<double>").alias("v")).collect()
-    x = np.array([r.v for r in rows], dtype=np.float64)
-    if not len(x):
-        return vectors.sparkSession.createDataFrame([], "cell int, centroid array<double>")
-    c = x[np.sort(np.unique(x, axis=0, return_index=True)[1])[:n]]
-    for _ in range(rounds):
-        at = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, at, x)
-        size = np.bincount(at, minlength=len(c))
-        c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c)
-    return vectors.sparkSession.createDataFrame([(i, v) for i, v in enumerate(c.tolist())], "cell int, centroid array<double>")
-
-
-def near_cells(df: DataFrame, v: str, cells: DataFrame, n: int) -> DataFrame:
-    """``df`` with ``cells``, its ``n`` nearest cells (cell, centroid) by L2, nearest first."""
-    table = cells.agg(F.collect_list(F.struct("cell", "centroid")).alias("_cells"))
-    by = F.transform("_cells", lambda c: F.struct((-similarity(F.col(v), c["centroid"], "l2")).alias("d"), c["cell"].alias("cell")))
-    near = F.array(F.array_min(by)) if n == 1 else F.slice(F.array_sort(by), 1, n)
-    return df.crossJoin(F.broadcast(table)).withColumn("cells", F.transform(near, lambda s: s["cell"])).drop("_cells")
-
-
-def centroid_probe(queries: DataFrame, vectors: DataFrame, cells: DataFrame, probes: int, k: int) -> DataFrame:
-    """Inverted-file search: vectors (id, v) belong to the nearest of ``cells`` (cell, centroid); each query (q, qv)
-    looks at the vectors of its ``probes`` nearest cells only.
-
-    The stated query table goes to the vectors, which stay where they are: a large cell is no large task.
-    """
-    asked = near_cells(queries.filter("qv is not null"), "qv", cells, probes)
-    dealt = near_cells(vectors.filter("v is not null"), "v", cells, 1).withColumn("cell", F.col("cells")[0]).select("id", "v", "cell")
-    met = dealt.join(F.broadcast(asked), F.array_contains("cells", F.col("cell")))
-    return top_k(met.select("q", "id", F.round(dot(F.col("qv"), F.col("v")), 9).alias("score")), ["q"], [F.desc("score"), F.asc("id")], k)

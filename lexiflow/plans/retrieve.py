@@ -12,8 +12,9 @@ from ..operators import analytics as A
 from ..operators import fusion as U
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..operators import vectors as V
 from ..streaming import sessions as Z
-from .tables import load, shared_folder
+from .tables import built, load, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,24 +30,14 @@ def query(name, sql=None):
     return add
 
 
-_BUILT: dict = {}
+_FIELDS: dict = {}
 
 
 def _index(spark, d, field="text"):
-    """The BM25 index of the documents' ``field`` (an SQL expression), built once for a session and its input files as
-    they are: a file of another size or time makes a new index, and the old one goes."""
+    """The BM25 index of the documents' ``field`` (an SQL expression)."""
     docs = load(spark, d, "documents")
-    files = docs.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("f")).distinct()
-    state = tuple(files.agg(F.count("*"), F.bit_xor("f")).first())
-    name = (spark.sparkContext.applicationId, d, field)
-    if name not in _BUILT or _BUILT[name][0] != state:
-        if name in _BUILT:
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_BUILT.pop(name)[1])
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-        path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
-        I.build_bm25(docs, "doc_id", T.whitespace_tokens(F.expr(field)), path)
-        _BUILT[name] = state, path
-    return I.Bm25.open(spark, _BUILT[name][1])
+    kind = f"bm25_{_FIELDS.setdefault(field, len(_FIELDS))}"
+    return I.Bm25.open(spark, built(spark, docs, kind, lambda path: I.build_bm25(docs, "doc_id", T.whitespace_tokens(F.expr(field)), path)))
 
 
 def _hits(spark, d, field="text", queries=None):
@@ -107,6 +98,8 @@ def _vectors(spark, d):
 
 
 _V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+# Vectors that can be compared.
+_SOUND = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"
 _SIM = {
     "ip": "list_dot_product(a.v, b.v)",
     "cosine": "list_dot_product(a.v, b.v) / (greatest(sqrt(list_dot_product(a.v, a.v)), 1e-12) * greatest(sqrt(list_dot_product(b.v, b.v)), 1e-12))",
@@ -118,14 +111,14 @@ def _dense_whole(metric):
     def run(spark, d):
         v = _vectors(spark, d).select("id", "v")
         q = v.filter("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
-        return R.dense(q, v, 5, metric, others=True).select("q", "id", "rank", F.round("score", 6).alias("score"))
+        return V.dense(q, v, 5, metric, others=True).select("q", "id", "rank", F.round("score", 6).alias("score"))
 
     return run
 
 
 # Against all vectors but the query's own.
 for _m, _s in _SIM.items():
-    query(f"dense_whole_{_m}", f"WITH {_V} SELECT q, id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT a.id AS q, b.id, round({_s}, 9) AS score, row_number() OVER (PARTITION BY a.id ORDER BY round({_s}, 9) DESC, b.id) AS rank FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id) WHERE rank <= 5")(_dense_whole(_m))
+    query(f"dense_whole_{_m}", f"WITH {_SOUND} SELECT q, id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT a.id AS q, b.id, round({_s}, 9) AS score, row_number() OVER (PARTITION BY a.id ORDER BY round({_s}, 9) DESC, b.id) AS rank FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)) WHERE rank <= 5")(_dense_whole(_m))
 
 
 @query("vector_normalize", f"WITH {_V} SELECT id, round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)) * 2)), 6) AS s FROM v")
@@ -146,11 +139,29 @@ def label_centroids(spark, d):
 IVF_CELLS, IVF_PROBES = 100, 50
 
 
+def _asked(spark, d):
+    v = _vectors(spark, d).select("id", "v")
+    return v, v.filter("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+
+
 @query("ivf_probe")
 def ivf_probe(spark, d):
-    v = _vectors(spark, d).select("id", "v")
-    q = v.filter("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    return R.centroid_probe(q, v, R.fit_cells(v, IVF_CELLS), IVF_PROBES, 5).select("q", "id", "rank", F.round("score", 6).alias("score"))
+    """The inverted file, built once; a query's own vector is among its hits."""
+    v, q = _asked(spark, d)
+    path = built(spark, load(spark, d, "embeddings"), "ivf", lambda p: V.build_vectors(v, p, IVF_CELLS))
+    return V.probe_vectors(spark, path, q, IVF_PROBES, 5).select("q", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def _graph(spark, d):
+    v, q = _asked(spark, d)
+    path = built(spark, load(spark, d, "embeddings"), "graph", lambda p: V.build_graph(v, p))
+    return V.search_graph(spark, path, q, 5, f"{shared_folder(spark)}/graph-search-{uuid.uuid4().hex}", others=True)
+
+
+@query("graph_search")
+def graph_search(spark, d):
+    """The neighbour graph, built once, searched by rounds; without a query's own vector."""
+    return _graph(spark, d)[0].select("q", "id", "rank", F.round("score", 6).alias("score"))
 
 
 _LISTS = f"{_bm25_sql()}, {_TOP}, ov AS (SELECT item_id, doc_id, rank, round(score, 6) AS score, d.text, b.text AS question, d.source FROM top JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id))"
@@ -436,7 +447,7 @@ def _dense_texts(spark, d, k=10):
     encode = I.hashed_words(DIMS)
     v = lambda table, key, q, x: load(spark, d, table).select(F.col(key).alias(q), encode(T.whitespace_tokens(F.col("text"))).alias(x)).repartition(q)  # noqa: E731  encodes once, not once per pair
     docs = v("documents", "doc_id", "id", "v").filter(F.exists("v", lambda x: x > 0))
-    return R.dense(v("benchmark", "item_id", "q", "qv"), docs, k, "ip")
+    return V.dense(v("benchmark", "item_id", "q", "qv"), docs, k, "ip")
 
 
 def _hybrid(spark, d):

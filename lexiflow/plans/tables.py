@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,3 +23,22 @@ def shared_folder(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="lexiflow-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+_BUILT: dict = {}
+
+
+def built(spark: SparkSession, df: DataFrame, kind: str, make: Callable[[str], None]) -> str:
+    """Folder of an index of ``df``, made by ``make(folder)`` once for a session and the files as they are: a file of
+    another size or time makes a new index, and the old one goes."""
+    files = df.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("f")).distinct()
+    state = tuple(files.agg(F.count("*"), F.bit_xor("f")).first())
+    name = (spark.sparkContext.applicationId, kind, str(sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]})))
+    if name not in _BUILT or _BUILT[name][0] != state:
+        if name in _BUILT:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_BUILT.pop(name)[1])
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        make(path)
+        _BUILT[name] = state, path
+    return _BUILT[name][1]
