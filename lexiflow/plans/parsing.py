@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import expansion_words as W
 from ..functions import parse as P
 from ..functions import text as T
 from ..operators import analytics as N
 from ..operators import chunking as C
 from ..operators import enrich as E
 from ..operators import fusion as U
+from ..operators import phrases as H
 from . import retrieve as R
 from .corpus import _PARAS, _paras
 from .tables import load
@@ -411,3 +413,52 @@ def content_types(spark, d):
 @query("content_type_counts", f"SELECT content_type, count(*) AS n FROM (SELECT {_KIND} AS content_type FROM {_DOCS}) GROUP BY content_type")
 def content_type_counts(spark, d):
     return _told(spark, d).groupBy(E.classify(F.col("text"), E.CONTENT_TYPES, "general").alias("content_type")).agg(F.count("*").alias("n"))
+
+
+# The questions have no medical words; some are put in on both sides, by the item's number.
+_ASKED = "concat(text, CASE item_id % 8 WHEN 0 THEN ' which of the following is EXCEPT a Carcinoma of the tympanic membrane' WHEN 1 THEN ' MTA and ah the plus in gingivectomy' WHEN 2 THEN ' angioedema, TB or ayre''s spatula' WHEN 3 THEN ' acid-base and the CI of an anaesthesia' WHEN 4 THEN ' randomised cohort; ureteric DJ stent' WHEN 5 THEN ' most common site, myocardium viable' ELSE '' END)"
+
+
+def _values(rows) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+def _re2(expression: str) -> str:
+    """The expression with bounds of words of any script, which RE2 has no sign for; any case."""
+    lead = expression.replace("|\\b", "|(?:^|[^\\p{L}\\p{N}_])")
+    lead = "(?:^|[^\\p{L}\\p{N}_])" + lead[2:] if lead.startswith("\\b") else lead
+    return "(?i)" + lead.replace("\\b", "(?:$|[^\\p{L}\\p{N}_])").replace("\\w", "[\\p{L}\\p{N}_]")
+
+
+_EXPANDED = rf"""WITH q AS (SELECT item_id, t, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS s FROM (SELECT item_id, {_ASKED} AS t FROM benchmark)),
+terms(k, x) AS (VALUES {_values((k, x) for k, v in W.terms().items() for x in v)}),
+expressions(p, x) AS (VALUES {_values((_re2(p), x.lower()) for p, _, v in W.phrases() for x in v)}),
+pairs(a, b) AS (VALUES {_values([*W.SPELLINGS, *[p[::-1] for p in W.SPELLINGS]])}),
+w AS (SELECT item_id, list_filter(regexp_split_to_array(s, '[^a-z0-9'']+'), lambda x: x <> '' AND NOT list_contains([{", ".join(f"'{x}'" for x in W.WITHOUT_CONTENT)}], x)) AS ws FROM q),
+g AS (SELECT item_id, unnest(ws) AS k FROM w UNION ALL SELECT item_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT item_id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+e AS (SELECT item_id, s AS x FROM q UNION SELECT item_id, x FROM g JOIN terms USING (k) UNION SELECT item_id, x FROM q JOIN expressions ON regexp_matches(t, p)
+  UNION SELECT item_id, b FROM q JOIN pairs ON contains(s, a) UNION SELECT item_id, lower(unnest(regexp_extract_all(t, '\b([A-Z]{{2,}}[A-Z0-9]*)\b', 1))) FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY contains(x, ' ') DESC, (length(x) <= 5 AND regexp_matches(x, '^[\p{{L}}\p{{N}}]+$')) DESC, length(x), x) AS n FROM e)
+SELECT item_id, string_agg(x, '|' ORDER BY n) AS expansions FROM r WHERE n <= 30 GROUP BY item_id"""
+
+
+@query("query_expansions", _EXPANDED)
+def query_expansions(spark, d):
+    asked = load(spark, d, "benchmark").select("item_id", F.expr(_ASKED.replace("ayre''s", "ayre\\'s")).alias("t"))
+    return H.expansions(asked, H.dictionary(spark), "item_id", "t").select("item_id", F.array_join("expansions", "|").alias("expansions"))
+
+
+# A dictionary of its own data: the first three words of every question, and its first two.
+_FIRST = "SELECT item_id AS phrase_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')[1 : n] AS phrase FROM benchmark, (SELECT unnest([2, 3]) AS n)"
+
+
+@query("phrase_matches", f"WITH p AS ({_FIRST}), t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), m AS (SELECT doc_id, i - 1 AS start, len(phrase) AS n, phrase_id FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t) JOIN p ON w[i] = phrase[1] AND w[i : i + len(phrase) - 1] = phrase) SELECT doc_id, start::BIGINT AS start, n::BIGINT AS n, phrase_id FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE a.doc_id = b.doc_id AND b.start <= a.start AND b.start + b.n >= a.start + a.n AND b.n > a.n)")
+def phrase_matches(spark, d):
+    from ..functions.text import whitespace_tokens
+
+    words = whitespace_tokens(F.col("text"))
+    first = load(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), words.alias("w"), F.explode(F.array(F.lit(2), F.lit(3))).alias("n"))
+    first = first.select("phrase_id", F.slice("w", F.lit(1), F.col("n")).alias("phrase")).filter("size(phrase) > 1")
+    found = H.matches(load(spark, d, "documents"), first, "doc_id", words)
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.size("phrase").cast("long").alias("n"), "phrase_id")

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import fusion as U
 from ..operators import index as I
+from ..operators import phrases as H
 from ..operators import retrieval as R
 from ..operators import vectors as V
 from ..streaming import sessions as Z
@@ -287,7 +288,7 @@ def context_whole(spark, d):
 def retrieval_prf(spark, d):
     bench, docs = load(spark, d, "benchmark"), load(spark, d, "documents")
     got = _best(spark, d).groupBy("item_id").agg(F.collect_list("doc_id").alias("got"))
-    wanted = docs.join(bench.select("item_id", F.col("text").alias("passage")), F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.collect_list("doc_id").alias("wanted"))
+    wanted = H.containing(docs, bench, "doc_id", "text", "item_id", "text").groupBy("item_id").agg(F.collect_list("doc_id").alias("wanted"))
     none = F.array().cast("array<bigint>")
     sets = bench.select("item_id").join(got, "item_id", "left").join(wanted, "item_id", "left").select(F.col("item_id").alias("q"), F.coalesce("got", none).alias("got"), F.coalesce("wanted", none).alias("wanted"))
     return A.prf(sets).select("q", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
