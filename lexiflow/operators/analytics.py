@@ -29,13 +29,17 @@ def f1_scores(matrix: DataFrame) -> DataFrame:
     return both.agg((F.sum("h") / F.sum("s")).alias("accuracy"), F.avg(f1).alias("macro_f1"), (F.sum(f1 * F.col("s")) / F.sum("s")).alias("weighted_f1"))
 
 
-def index_quantiles(value: str) -> list[Column]:
-    """Mean, least, greatest and the sorted values at a quarter, half and three quarters of the count (no interpolation).
-
-    ``percentile_disc`` style ranks would differ at the edges, so the position is taken from the sorted array of one group."""
-    s = F.array_sort(F.collect_list(value))
-    at = lambda k: F.element_at(s, (F.floor(F.size(s) * k / 4) + 1).cast("int"))
-    return [F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3")]
+def index_quantiles(df: DataFrame, by: str, value: str) -> DataFrame:
+    """by, mean, least, greatest and the sorted values at a quarter, half and three quarters of the count (no
+    interpolation). Nulls do not count; a group without a value has nulls, null is a group of its own.
+
+    Values are counted first, so what is ranked are a group's distinct values, one row each; none is gathered."""
+    counted = df.groupBy(F.col(by).alias("_by"), F.col(value).alias("_v")).agg(F.count(value).alias("_n"))
+    w = Window.partitionBy("_by").orderBy(F.col("_v").asc_nulls_first())
+    c = counted.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy("_by")))
+    at = lambda k: F.max(F.when((F.col("_upto") > F.floor(F.col("_all") * k / 4)) & (F.col("_upto") - F.col("_n") <= F.floor(F.col("_all") * k / 4)), F.col("_v")))
+    mean = F.try_divide(F.sum(F.col("_v") * F.col("_n")), F.sum("_n"))
+    return c.groupBy(F.col("_by").alias(by)).agg(mean.alias("mean"), F.min("_v").alias("low"), F.max("_v").alias("high"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
 
 
 def prf(sets: DataFrame) -> DataFrame:

@@ -23,24 +23,37 @@ def token_count(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("int")
 
 
-def is_section(line: Column) -> Column:
-    """Headings: capitals, title case of three words or more, or numbered, up to 100 characters."""
+# Headings of sections, of the levels two to five.
+SECTIONS = (r"^[A-Z][A-Z\s]{5,}$", r"^[A-Z][a-z]+\s+[A-Z][a-z]+\s+[A-Z][a-z]+.*$", r"^\d+\.\d+\s+.+$", r"^\d+\.\d+\.\d+\s+.+$")
+
+
+def section_level(line: Column) -> Column:
+    """Level of a heading, null for any other line: by the stated forms 2 to 5, else capitals 2 and title case of three
+    words or more 3. Headings have up to 100 characters."""
     s = F.trim(line)
     n = F.size(F.split(s, r"\s+"))
     capitals = (F.upper(s) == s) & (F.lower(s) != s) & (n >= 2) & (F.length(s) < 80)
     titled = (F.initcap(s) == s) & s.rlike("^[A-Z]") & (n >= 3) & (F.length(s) < 80) & ~s.rlike(r"\d") & ~s.rlike(r"[.,;:]$")
-    return (s != "") & (F.length(s) <= 100) & (s.rlike(r"^[A-Z][A-Z\s]{5,}$|^[A-Z][a-z]+\s+[A-Z][a-z]+\s+[A-Z][a-z]+.*$|^\d+\.\d+\s+.+$|^\d+\.\d+\.\d+\s+.+$") | capitals | titled)
+    level = F.lit(None).cast("int")
+    for value, told in ((3, titled), (2, capitals), *reversed([(i + 2, s.rlike(p)) for i, p in enumerate(SECTIONS)])):
+        level = F.when(told, value).otherwise(level)
+    return F.when((s != "") & (F.length(s) <= 100), level)
+
+
+def is_section(line: Column) -> Column:
+    """Headings: capitals, title case of three words or more, or numbered, up to 100 characters."""
+    return section_level(line).isNotNull()
 
 
 def split_at(docs: DataFrame, key: str, text: Column, is_heading, first: Column) -> DataFrame:
     """key, ordinal, heading, body of the stretches between headings; what stands before the first is under ``first``.
-    Empty bodies go. Carries the heading forward by running window over one document's lines."""
-    rows = docs.select(key, F.posexplode(lines(text)).alias("pos", "line"), first.alias("first")).withColumn("is_heading", is_heading(F.col("line")))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("ordinal", F.sum(F.col("is_heading").cast("int")).over(w)).withColumn("heading", F.coalesce(F.last(F.when(F.col("is_heading"), F.trim("line")), True).over(w), "first"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    out = rows.filter(~F.col("is_heading")).groupBy(key, "ordinal", "heading").agg(body.alias("body"))
-    return out.withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", "")).filter("body <> ''")
+    Empty bodies go; a null text has none. One pass over a document's lines: no shuffle."""
+    rows = docs.select(key, lines(text).alias("_l"), first.alias("_f"))
+    at = F.filter(F.sequence(F.lit(1), F.size("_l")), lambda i: is_heading(F.element_at("_l", i)))
+    rows = rows.withColumn("_at", F.concat(F.array(F.lit(0)), at))
+    body = lambda p, k: F.array_join(F.slice("_l", p + 1, F.coalesce(F.get("_at", k + 1), F.size("_l") + 1) - p - 1), "\n")
+    parts = F.transform("_at", lambda p, k: F.struct(k.cast("long").alias("ordinal"), F.when(p == 0, F.col("_f")).otherwise(F.trim(F.element_at("_l", F.greatest(p, F.lit(1))))).alias("heading"), F.regexp_replace(body(p, k), r"^\s+|\s+$", "").alias("body")))
+    return rows.select(key, F.explode(parts).alias("p")).select(key, "p.ordinal", "p.heading", "p.body").filter("body <> ''")
 
 
 def paragraphs(docs: DataFrame, key: str, text: Column, least_words: int = 3) -> DataFrame:

@@ -14,33 +14,33 @@ def first_of(df: DataFrame, by: list[Column], order: list[Column], cap: int = 1)
 def dedup_title_or_text(df: DataFrame, title: Column, text: Column, order: str) -> DataFrame:
     """Rows whose title and text both were not seen in a row kept before (an ordered scan).
 
-    Rows interact only inside a connected component of equal titles and texts. Components come from iterated
-    minima; each component is then scanned in order in one group.
+    Null titles are no titles and match nothing; null texts are one text. Rows of one place in the order go by title,
+    text and their other columns; of wholly equal rows one stays.
+
+    Each round keeps the rows that are the first undecided ones of both their title and their text, and drops those
+    that share either with them: what the scan decides, for all chains at once. Only keys take part, as minima per
+    title and text, and each round is written; rows meet the outcome once.
     """
-    from pyspark.sql import types as T
-
-    rows = df.withColumn("_t", title).withColumn("_x", text).withColumn("_o", F.col(order)).withColumn("_c", F.col("_o"))
-    while True:
-        low = F.least(F.min("_c").over(Window.partitionBy("_t")), F.min("_c").over(Window.partitionBy("_x")))
-        nxt = rows.withColumn("_d", low).withColumn("_moved", F.col("_d") < F.col("_c"))
-        nxt = nxt.drop("_c").withColumnRenamed("_d", "_c").checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else nxt.drop("_c").withColumnRenamed("_d", "_c").persist()
-        moved = not nxt.filter("_moved").isEmpty()
-        rows = nxt.drop("_moved")
-        if not moved:
-            break
-
-    def scan(pdf):
-        titles, texts, keep = set(), set(), []
-        for t, x in zip(pdf["_t"], pdf["_x"], strict=True):
-            ok = t not in titles and x not in texts
-            keep.append(ok)
-            if ok:
-                titles.add(t)
-                texts.add(x)
-        return pdf[keep].drop(columns=["_t", "_x", "_o", "_c"])
-
-    schema = T.StructType(df.schema.fields)
-    return rows.groupBy("_c").applyInPandas(lambda pdf: scan(pdf.sort_values("_o")), schema)
+    from ..shared import delete, written
+
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumn("_k", F.struct(F.col(order).alias("o"), title.alias("t"), F.coalesce(text, F.lit("")).alias("x"), F.xxhash64(F.to_json(own)).alias("h")))
+    left, path = written(rows.select("_k", F.col("_k.t").alias("_t"), F.col("_k.x").alias("_x")).distinct(), "dedup-keys")
+    kept, paths = None, [path]
+    while not left.isEmpty():
+        first_t = left.filter("_t is not null").groupBy("_t").agg(F.min("_k").alias("_a"))
+        first_x = left.groupBy("_x").agg(F.min("_k").alias("_b"))
+        now = left.join(first_x, "_x").filter("_k = _b").join(first_t, "_t", "left").filter("_t is null or _k = _a").select("_k", "_t", "_x")
+        now, path = written(now, "dedup-kept")
+        kept = now if kept is None else kept.unionByName(now)
+        rest = left.join(now.select("_t"), "_t", "left_anti").join(now.select("_x"), "_x", "left_anti")
+        before, (left, paths_left) = paths[-1], written(rest, "dedup-keys")
+        paths += [path, paths_left]
+        delete(df.sparkSession, before)
+    if kept is None:
+        return df
+    out = rows.join(kept.select("_k"), "_k", "left_semi")
+    return out.dropDuplicates(["_k"]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def hash_order(key: str, seed: str) -> Column:

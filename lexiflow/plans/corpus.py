@@ -179,7 +179,7 @@ def chapters(spark, d):
 @query("sections")
 def sections(spark, d):
     x = _docs(spark, d).withColumn("book", F.concat(F.lit("GENERAL MATTERS\n"), F.col("text"), F.lit("\n1.2 Details\nthe end")))
-    return C.split_at(x, "doc_id", F.col("book"), C.is_section, F.lit("")).select("doc_id", "ordinal", "heading", F.md5("body").alias("h"))
+    return C.split_at(x, "doc_id", F.col("book"), C.is_section, F.lit("")).select("doc_id", "ordinal", C.section_level(F.col("heading")).alias("level"), "heading", F.md5("body").alias("h"))
 
 
 @query("char_windows", "SELECT doc_id, (i // 400)::BIGINT AS pos, md5(substr(text, i + 1, 500)) AS h FROM documents, LATERAL (SELECT unnest(range(0, length(text), 400)) AS i)")
@@ -231,10 +231,15 @@ def top_keywords_whole(spark, d):
     return E.keywords(_docs(spark, d), "doc_id", F.col("text"))
 
 
-@query("alias_canonicalise", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Anatomy' WHEN 1 THEN 'Surgery' WHEN 2 THEN 'Anatomy' ELSE 'Unknown' END AS domain FROM part")
+# Replies are the words of a part: a label, its type's first word in any case, its name on the next line.
+_DOMAINS, _ALIASES = ("Standard", "Small", "Economy"), {"promo": "Economy", "medium": "Small"}
+_KIND = "CASE lower(split_part(p_type, ' ', 1)) WHEN 'standard' THEN 'Standard' WHEN 'small' THEN 'Small' WHEN 'economy' THEN 'Economy' WHEN 'promo' THEN 'Economy' WHEN 'medium' THEN 'Small' ELSE 'Unknown' END"
+
+
+@query("alias_canonicalise", f"SELECT p_partkey, {_KIND} AS domain FROM part")
 def alias_canonicalise(spark, d):
-    raw = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'Subject: anatomy\\nbecause' WHEN 1 THEN 'surgical' WHEN 2 THEN ' ANATOMY ' ELSE 'other things' END")
-    return load(spark, d, "part").select("p_partkey", E.canonical(raw, ["Anatomy", "Surgery"], {"surgical": "Surgery"}).alias("domain"))
+    raw = F.concat(F.when(F.length("p_name") % 2 == 0, "Subject: ").otherwise("  "), F.substring_index("p_type", " ", 1), F.lit(" \n"), "p_name")
+    return load(spark, d, "part").select("p_partkey", E.canonical(raw, list(_DOMAINS), _ALIASES).alias("domain"))
 
 
 _SYNONYMS = "k(w, x) AS (VALUES ('the', 'that one'), ('the', 'ye'), ('and', 'plus'), ('of the', 'from the one'), ('of the', 'belonging'), ('that', 'this'))"

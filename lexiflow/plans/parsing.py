@@ -256,11 +256,17 @@ def metadata_report(spark, d):
     return E.metadata_report(E.with_metadata(_told(spark, d), "text", textbook=F.col("source"), section=F.col("lang")))
 
 
-@query("domain_equality", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS same FROM part")
+_LAST = "split_part(p_type, ' ', 3)"
+_DOMAIN = "CASE lower({}) WHEN 'brass' THEN 'brass' WHEN 'steel' THEN 'brass' WHEN 'nickel' THEN 'nickel' ELSE lower({}) END"
+
+
+@query("domain_equality", f"SELECT p_partkey, {_DOMAIN.format(_LAST, _LAST)} = CASE WHEN length(p_name) % 2 = 0 THEN 'brass' ELSE 'nickel' END AS same FROM part")
 def domain_equality(spark, d):
-    said = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'Subject: anatomy' WHEN 1 THEN 'surgical' WHEN 2 THEN 'Surgery' WHEN 3 THEN ' other ' ELSE NULL END")
-    true = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'Anatomy' WHEN 1 THEN 'Surgery' WHEN 2 THEN 'Anatomy' WHEN 3 THEN 'Other' ELSE 'Anatomy' END")
-    return load(spark, d, "part").select("p_partkey", E.same_domain(said, true, ["Anatomy", "Surgery"], {"surgical": "Surgery"}).alias("same"))
+    """Whether the last word of a part's type, an alias told, is the domain that its name's length says."""
+    said = F.concat(F.lit("Subject: "), F.substring_index("p_type", " ", -1))
+    bare = F.substring_index("p_type", " ", -1)
+    true = F.when(F.length("p_name") % 2 == 0, "Steel").otherwise("NICKEL ")
+    return load(spark, d, "part").select("p_partkey", E.same_domain(F.when(bare.isin("BRASS", "STEEL", "NICKEL"), said).otherwise(bare), true, ["Brass", "Nickel"], {"steel": "Brass"}).alias("same"))
 
 
 @query("index_names", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'idx_s' WHEN contains(lower(p_type), 'brass') THEN 'idx_b' ELSE 'idx' END AS name FROM part")
@@ -268,18 +274,20 @@ def index_names(spark, d):
     return load(spark, d, "part").select("p_partkey", P.index_name(F.col("p_type"), {"steel": "idx_s", "brass": "idx_b"}, "idx").alias("name"))
 
 
-@query("negation_flags", "SELECT item_id, (contains(q, ' EXCEPT') OR contains(q, ' Except') OR contains(q, ' NOT ') OR contains(q, ' FALSE ') OR contains(q, ' LEAST ') OR contains(q, ' INCORRECT ')) AS negated FROM (SELECT item_id, ' ' || CASE item_id % 5 WHEN 0 THEN 'EXCEPT this' WHEN 1 THEN 'is NOT so' WHEN 2 THEN 'is not so' WHEN 3 THEN 'the LEAST' ELSE 'INCORRECT one' END AS q FROM benchmark)")
+# Some questions get a negation, on both sides, by their number.
+_NEGATED = "concat(text, CASE item_id % 6 WHEN 0 THEN ' EXCEPT this' WHEN 1 THEN ' is NOT so' WHEN 2 THEN ' is not so' WHEN 3 THEN ' the LEAST of' WHEN 4 THEN ' INCORRECT one' ELSE '' END)"
+
+
+@query("negation_flags", f"SELECT item_id, (contains(q, ' EXCEPT') OR contains(q, ' Except') OR contains(q, ' NOT ') OR contains(q, ' FALSE ') OR contains(q, ' LEAST ') OR contains(q, ' INCORRECT ')) AS negated FROM (SELECT item_id, ' ' || {_NEGATED} AS q FROM benchmark)")
 def negation_flags(spark, d):
-    q = F.expr("CASE item_id % 5 WHEN 0 THEN 'EXCEPT this' WHEN 1 THEN 'is NOT so' WHEN 2 THEN 'is not so' WHEN 3 THEN 'the LEAST' ELSE 'INCORRECT one' END")
-    return load(spark, d, "benchmark").select("item_id", A.is_negated(q).alias("negated"))
+    return load(spark, d, "benchmark").select("item_id", A.is_negated(F.expr(_NEGATED)).alias("negated"))
 
 
 _RUNS = "SELECT doc_id AS row_id, CASE WHEN doc_id % 13 <> 0 THEN 'e' || doc_id END AS example_id, CASE quality WHEN 1 THEN 'A' ELSE 'B' END AS gold, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'A' ELSE 'B' END AS pred, CASE WHEN doc_id % 7 = 0 THEN toxic = 1 END AS told, doc_id % 4 AS domain, toxic FROM labels"
 
 
 def _runs(spark, d):
-    load(spark, d, "labels").createOrReplaceTempView("lexiflow_labels")
-    return spark.sql(_RUNS.replace("FROM labels", "FROM lexiflow_labels"))
+    return spark.sql(_RUNS.replace("FROM labels", "FROM {labels}"), labels=load(spark, d, "labels"))
 
 
 _PRED = f"(SELECT row_id, coalesce(nullif(trim(example_id), ''), 'row_' || row_id) AS example_id, gold, pred, coalesce(told, gold = pred, false) AS is_correct, domain, toxic FROM ({_RUNS}))"

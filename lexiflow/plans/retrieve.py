@@ -15,7 +15,8 @@ from ..operators import phrases as H
 from ..operators import retrieval as R
 from ..operators import vectors as V
 from ..streaming import sessions as Z
-from .tables import built, load, shared_folder
+from ..shared import shared_folder
+from .tables import built, load
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -327,10 +328,9 @@ def macro_f1(spark, d):
     return x.select(*[F.round(c, 6).alias(c) for c in x.columns])
 
 
-@query("coverage_quantiles", "SELECT source, round(avg(n_chars), 6) AS mean, min(n_chars) AS low, max(n_chars) AS high, list_sort(list(n_chars))[count(*) // 4 + 1] AS q1, list_sort(list(n_chars))[count(*) // 2 + 1] AS q2, list_sort(list(n_chars))[3 * count(*) // 4 + 1] AS q3 FROM documents GROUP BY source")
+@query("coverage_quantiles", "SELECT source, round(avg(n_chars), 6) AS mean, min(n_chars) AS low, max(n_chars) AS high, list_sort(list(n_chars) FILTER (n_chars IS NOT NULL))[count(n_chars) // 4 + 1] AS q1, list_sort(list(n_chars) FILTER (n_chars IS NOT NULL))[count(n_chars) // 2 + 1] AS q2, list_sort(list(n_chars) FILTER (n_chars IS NOT NULL))[3 * count(n_chars) // 4 + 1] AS q3 FROM documents GROUP BY source")
 def coverage_quantiles(spark, d):
-    x = load(spark, d, "documents").groupBy("source").agg(*A.index_quantiles("n_chars"))
-    return x.withColumn("mean", F.round("mean", 6))
+    return A.index_quantiles(load(spark, d, "documents"), "source", "n_chars").withColumn("mean", F.round("mean", 6))
 
 
 _RUNS = "r AS (SELECT l_returnflag AS f, l_linestatus AS s, l_shipdate, l_suppkey % 7 AS g, l_linenumber AS v, round(l_extendedprice, 2) AS a, l_quantity AS e, l_orderkey AS o FROM lineitem)"
@@ -389,9 +389,14 @@ def leaderboard(spark, d):
     return _runs(spark, d).groupBy("f", "s", "g").agg(F.round(F.avg("a"), 4).alias("mean")).orderBy(F.desc("mean"), "f", "s", "g").limit(10)
 
 
-@query("constraint_violations", "SELECT doc_id FROM documents WHERE n_chars <> length(text) OR source IS NULL")
+# Some rows break the rules on both sides, by their number.
+_BROKEN = "SELECT doc_id, text, CASE WHEN doc_id % 37 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars, CASE WHEN doc_id % 53 <> 0 THEN source END AS source FROM documents"
+
+
+@query("constraint_violations", f"SELECT doc_id, CASE WHEN source IS NULL THEN 'source' ELSE 'n_chars' END AS broken FROM ({_BROKEN}) WHERE n_chars <> length(text) OR source IS NULL")
 def constraint_violations(spark, d):
-    return load(spark, d, "documents").filter("n_chars <> length(text) OR source IS NULL").select("doc_id")
+    x = load(spark, d, "documents").withColumn("n_chars", F.expr("CASE WHEN doc_id % 37 = 0 THEN n_chars + 1 ELSE n_chars END")).withColumn("source", F.expr("CASE WHEN doc_id % 53 <> 0 THEN source END"))
+    return x.filter("n_chars <> length(text) OR source IS NULL").select("doc_id", F.when(F.col("source").isNull(), "source").otherwise("n_chars").alias("broken"))
 
 
 @query("subject_distribution", "SELECT source, count(*) AS before, count_if(doc_id % 3 = 0)::BIGINT AS after FROM documents GROUP BY source")
@@ -416,6 +421,37 @@ def session_list(spark, d):
     return load(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("last_turn"))
 
 
+# Messages ten minutes, an hour, two days or eight days apart, by the conversation's number.
+_STEP = "CASE conv_id % 4 WHEN 0 THEN 600 WHEN 1 THEN 3600 WHEN 2 THEN 172800 ELSE 691200 END"
+_AT = f"1704067200 + turn * {_STEP}"
+
+
+@query("durable_sessions", f"WITH m AS (SELECT conv_id::VARCHAR AS conv_id, {_AT} AS ts, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations), g AS (SELECT *, ts - lag(ts) OVER w AS gap FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY ts, role, text)), s AS (SELECT *, sum((coalesce(gap, 0) > 604800)::INTEGER) OVER (PARTITION BY conv_id ORDER BY ts, role, text ROWS UNBOUNDED PRECEDING)::INTEGER AS session FROM g) SELECT conv_id, session, row_number() OVER o - 1 AS turn, (min(ts) OVER (PARTITION BY conv_id, session))::BIGINT AS created, coalesce(row_number() OVER o > 1 AND gap <= 3600, false) AS active, md5(role || ' ' || text) AS h FROM s WINDOW o AS (PARTITION BY conv_id, session ORDER BY ts, role, text)")
+def durable_sessions(spark, d):
+    """All messages as a stream of two portions, numbered by state; the second begins where the first ended."""
+    folder = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    rows = load(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(F.expr(_AT)))
+    for some in ("turn < 3", "turn >= 3"):
+        Z.messages(rows.filter(some), "conv_id", "ts", "role", "text", F.concat_ws(":", "conv_id", "turn")).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("conv_id string, ts timestamp, role string, text string").parquet(f"{folder}/in")
+        run = Z.durable(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    out = spark.read.schema(Z.TURNS).parquet(f"{folder}/out")
+    return out.select("conv_id", "session", "turn", F.unix_seconds("created").alias("created"), "active", F.md5(F.concat_ws(" ", "role", "text")).alias("h"))
+
+
+@query("resumable_results", "SELECT count(*) AS n, sum((quality = 1)::INTEGER)::BIGINT AS correct, round(avg((quality = 1)::INTEGER), 6) AS accuracy FROM labels")
+def resumable_results(spark, d):
+    """All labels as a stream, judged batch by batch and written once; the totals after the last batch."""
+    folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    labels = load(spark, d, "labels").select("doc_id", "quality")
+    labels.repartition(6, "doc_id").write.parquet(f"{folder}/in")
+    judged = lambda batch: batch.select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("correct"))
+    Z.write_once(Z.throttled(spark, f"{folder}/in", labels.schema, 4), f"{folder}/out", f"{folder}/state", judged).awaitTermination()
+    last = Z.progress(spark.read.parquet(f"{folder}/out"), "correct").orderBy(F.desc("batch")).limit(1)
+    return last.select(F.col("cum_total").alias("n"), F.col("cum_correct").alias("correct"), F.round("cum_accuracy", 6).alias("accuracy"))
+
+
 @query("session_ttl", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 1 HOUR) AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k")
 def session_ttl(spark, d):
     s = Z.sessions(load(spark, d, "events"))

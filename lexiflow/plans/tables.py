@@ -1,30 +1,20 @@
-"""Tables of a folder, and the folder that driver and executors share."""
+"""Tables of a folder, and indexes of them that a session keeps."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import delete, shared_folder
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset and all runs in one process."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.isLocal:
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lexiflow-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 _BUILT: dict = {}
 
 
@@ -36,8 +26,7 @@ def built(spark: SparkSession, df: DataFrame, kind: str, make: Callable[[str], N
     name = (spark.sparkContext.applicationId, kind, str(sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]})))
     if name not in _BUILT or _BUILT[name][0] != state:
         if name in _BUILT:
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_BUILT.pop(name)[1])
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+            delete(spark, _BUILT.pop(name)[1])
         path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
         make(path)
         _BUILT[name] = state, path

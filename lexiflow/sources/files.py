@@ -65,7 +65,29 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def manifest(df: DataFrame, by: str) -> DataFrame:
-    """Counts per value as one JSON text."""
-    pairs = df.groupBy(by).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, "n")))).alias("counts"))
+def manifest(df: DataFrame, by: str, nothing: str = "(none)") -> DataFrame:
+    """Counts per value as one JSON text, rows without a value under ``nothing``. One row of all values: for columns of
+    few values, such as sources."""
+    name = F.coalesce(F.col(f"`{by}`").cast("string"), F.lit(nothing)).alias("_by")
+    pairs = df.groupBy(name).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_by", "n")))).alias("counts"))
     return pairs.select(F.to_json(F.struct("counts")).alias("manifest"))
+
+
+def write_manifest(df: DataFrame, by: str, path: str) -> None:
+    """The manifest as one text file of a folder."""
+    manifest(df, by).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_xml_articles(spark: SparkSession, path: str) -> DataFrame:
+    """pmid, title, abstract, journal, year, malformed of every article of XML files: the parts of an abstract joined by
+    a blank, its year a number or null. A record that cannot be read is one row with its text in ``malformed``; an
+    article without a title or abstract has an empty one."""
+    part = "struct<_VALUE:string,_Label:string>"
+    schema = f"MedlineCitation struct<PMID:struct<_VALUE:string,_Version:string>,Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:array<{part}>>,Journal:struct<Title:string,JournalIssue:struct<PubDate:struct<Year:string,MedlineDate:string>>>>>, malformed string"
+    rows = spark.read.schema(schema).option("rowTag", "PubmedArticle").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").format("xml").load(path)
+    a = F.col("MedlineCitation.Article")
+    texts = F.filter(F.transform(a["Abstract"]["AbstractText"], lambda x: F.trim(x["_VALUE"])), lambda x: x.isNotNull() & (x != ""))
+    date = a["Journal"]["JournalIssue"]["PubDate"]
+    year = F.coalesce(date["Year"], F.regexp_extract(date["MedlineDate"], r"\b(\d{4})\b", 1)).try_cast("int")
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    return rows.select(F.col("MedlineCitation.PMID._VALUE").alias("pmid"), text(a["ArticleTitle"]).alias("title"), F.coalesce(F.array_join(texts, " "), F.lit("")).alias("abstract"), text(a["Journal"]["Title"]).alias("journal"), year.alias("year"), "malformed")
