@@ -100,7 +100,7 @@ def drop_table_rules(text: Column) -> Column:
 def squeeze(text: Column) -> Column:
     """Blanks as one, blank lines (they may hold white space) as one, no white space at the ends of lines and text."""
     one = F.regexp_replace(F.regexp_replace(text, " +", " "), r"\n\s*\n\s*\n+", "\n\n")
-    return F.trim(F.regexp_replace(F.array_join(F.transform(lines(one), lambda x: F.rtrim(x)), "\n"), r"^\s+|\s+$", ""))
+    return F.trim(F.regexp_replace(F.array_join(F.transform(lines(one), lambda x: F.regexp_replace(x, r"\s+$", "")), "\n"), r"^\s+|\s+$", ""))
 
 
 def clean(text: Column) -> Column:

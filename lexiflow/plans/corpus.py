@@ -46,7 +46,7 @@ SQL_CLEAN = {
     ),
     "strip_links": _lines_sql(r"regexp_replace(regexp_replace(dirty, 'https?://[A-Za-z0-9$-_@.&+!*(),%]+', '', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '', 'g')"),
     "strip_copyright": _lines_sql(r"array_to_string(list_transform(string_split(dirty, chr(10)), lambda x: regexp_replace(x, '(©|Copyright).*$', '')), chr(10))"),
-    "clean_whitespace": _lines_sql(r"trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(dirty, ' +', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), chr(10)), lambda x: rtrim(x)), chr(10)), '^\s+|\s+$', '', 'g'))"),
+    "clean_whitespace": _lines_sql(r"trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(dirty, ' +', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '^\s+|\s+$', '', 'g'))"),
 }
 
 QUERIES = {
