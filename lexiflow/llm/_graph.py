@@ -1,4 +1,4 @@
-"""Connected components of an edge table, as iterated joins."""
+"""Connected components of an edge table, as joins over a graph that shrinks."""
 
 from __future__ import annotations
 
@@ -9,23 +9,28 @@ from ._base import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (columns a, b: long); the component is its least node.
+    """(node, component), written, of every node of ``edges`` (columns a, b: long); the component is its least node.
 
-    Labels start at the node itself; each round takes the least label of the neighbours, then the label's label.
-    Only a minimum per node crosses a shuffle, so a node with very many edges is summed before. Each round's table is
-    written to the shared folder, so no lineage grows and lost executors cost one round at most.
+    Each round every node takes the least label among itself and its neighbours, then that one's label; nodes of one
+    label become one, and only edges between labels go on. Only a minimum per node crosses a shuffle, so a node with
+    very many edges is summed before. Each round's tables are written to the shared folder, so no lineage grows and
+    lost executors cost one round at most.
     """
-    edges = edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).toDF("a", "b").distinct()
-    edges = materialize(edges, "cc-edges")
-    held = labels = materialize(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "cc-labels")
+    edges = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    held = None
     while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        stepped = hooked.join(jump, hooked.low == jump["at"], "left").select("node", F.least("low", "further").alias("label"), (F.least("low", "further") < F.col("label")).alias("moved"))
-        out = materialize(stepped, "cc-labels")
-        discard(held)
-        held, labels = out, out.select("node", "label")
-        if out.filter("moved").isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        hooked = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("low")), "cc-hooked")
+        jump = hooked.select(F.col("node").alias("at"), F.col("low").alias("further"))
+        labels = materialize(hooked.join(jump, hooked.low == jump["at"]).select("node", F.least("low", "further").alias("label")), "cc-labels")
+        new = labels.select(F.col("node").alias("component"), F.col("label").alias("to"))
+        known = labels.withColumnRenamed("label", "component") if held is None else held.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        known = materialize(known, "cc-known")
+        x, y = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        left = edges.join(x, "a").join(y, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+        left = materialize(left, "cc-edges")
+        discard(edges, hooked, labels, *([held] if held is not None else []))
+        held, edges = known, left
+        if edges.isEmpty():
             discard(edges)
-            return labels.withColumnRenamed("label", "component")
+            return held

@@ -625,3 +625,17 @@ def test_registry(spark, sf):
     assert {f"op{n}_" for n in range(1, 14)} <= {re.match(r"op\d+_", x)[0] for x in names if x.startswith("op")} and "pipeline" in names
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_components(spark):
+    """Chains, rings, stars, loops and repeated edges; the least node names a component."""
+    from lexiflow.llm._graph import components
+
+    r = random.Random(5)
+    chain = list(range(200))
+    r.shuffle(chain)
+    pairs = [*zip(chain, chain[1:]), *((1000 + i, 1000 + (i + 1) % 30) for i in range(30)), *((2000, 2000 + i) for i in range(1, 40)), (3000, 3000), (-5, 7000), (-5, 7000), (7000, -5)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {i: 0 for i in range(200)} | {1000 + i: 1000 for i in range(30)} | {2000 + i: 2000 for i in range(40)} | {-5: -5, 7000: -5}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
