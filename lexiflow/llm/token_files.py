@@ -260,6 +260,49 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
+def read_documents(manifest: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id, start, ids of the documents whose ids ``wanted`` (column ``key``) asks for.
+
+    Files lie in order, so an id's files follow from the manifest's first ids (one number per file, sent to the tasks);
+    each file that is asked for is opened once, and only the frames of its requested documents are decompressed. Ids
+    that no file has and null ids give nothing; repeated requests count once; all documents of a repeated id are given.
+    """
+    rows = manifest.filter("n_docs > 0").orderBy("part", "number").select("path", "start", "first_id").collect()
+    low = np.iinfo(np.int64).min
+    held = manifest.sparkSession.sparkContext.broadcast((np.array([low if r.first_id is None else r.first_id for r in rows], np.int64), [(r.path, r.start) for r in rows]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, files = held.value
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            # From the last file that begins below the id (its end may hold it) to the last that begins with it.
+            x, y = np.maximum(np.searchsorted(first, ids) - 1, 0), np.searchsorted(first, ids, side="right")
+            file = np.concatenate([np.arange(a, z) for a, z in zip(x, y, strict=True)]).astype(int) if len(ids) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array([files[f][0] for f in file], pa.string()), pa.array([files[f][1] for f in file], pa.int64()), pa.array(np.repeat(ids, y - x))], ["path", "start", "doc_id"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, r = None, None
+        for b in batches:
+            out: list[tuple[int, int, bytes]] = []
+            size = 0
+            for p, base, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != path:
+                    path, r = p, Reader(p)
+                n = int(r.nulls.sum())  # they come first
+                for k in range(n + int(np.searchsorted(r.doc_ids[n:], i)), n + int(np.searchsorted(r.doc_ids[n:], i, side="right"))):
+                    out.append((i, base + int(r.starts[k]), r.tokens(k)))
+                    size += len(out[-1][2])
+                if size >= 4 << 20:
+                    yield pa.RecordBatch.from_pydict({n: pa.array([x[j] for x in out], t) for j, (n, t) in enumerate((("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())))})
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pydict({n: pa.array([x[j] for x in out], t) for j, (n, t) in enumerate((("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())))})
+
+    ids = wanted.select(F.col(f"`{key}`").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    asked = ids.mapInArrow(place, "path string, start long, doc_id long")
+    return asked.repartition("path").sortWithinPartitions("path", "doc_id").mapInArrow(read, "doc_id long, start long, ids binary")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -402,6 +402,17 @@ def test_token_files(spark, odd, empty, spec, tmp_path):
     assert token_files.read_tokens(token_files.write_tokens(empty, spec, 2)).count() == 0
 
 
+def test_requested_documents(spark, spec):
+    """By id over the files' index: many small files, repeated, missing and null ids."""
+    rows = [(i // 2 if i % 7 else None, f"text {i} " * (i % 5)) for i in range(300)]
+    files = token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), spec, 2, file_bytes=400)
+    every = [(x.doc_id, x.start, bytes(x.ids)) for x in token_files.read_tokens(files).collect()]
+    asked = [0, 1, 5, 5, 77, 149, 150, -4, 10_000, None]
+    got = sorted((x.doc_id, x.start, bytes(x.ids)) for x in token_files.read_documents(files, spark.createDataFrame([(a,) for a in asked], "doc_id long")).collect())
+    assert got == sorted(x for x in every if x[0] in {a for a in asked if a is not None}) and len(got) > 6 and files.count() > 5
+    assert token_files.read_documents(files, spark.createDataFrame([], "doc_id long")).isEmpty()
+
+
 def test_files_of_one_id_stay_in_order(spark, spec):
     """Repeated ids over several files, the last of which holds later ids too: starts ascend with the ids."""
     rows = [(i, f"{w} b c d") for i in (1, 2, 2, 2, 2, 2, 3, 4) for w in ("x", "y")]
