@@ -86,3 +86,32 @@ def option_prompt(question: Column, options: Column, references: Column | None =
     if references is not None:
         head = F.concat(head, F.array_join(F.transform(references, lambda x, i: F.concat(F.lit("Reference "), (i + 1).cast("string"), F.lit(": "), x)), "\n\n"), F.lit("\n\n"))
     return F.concat(head, F.lit("Question: "), question, F.lit("\n\nOptions:\n"), listed, F.lit("\n\nAnswer: "))
+
+
+def reference(n: Column, source: Column, title: Column, url: Column, text: Column, most: int = 320) -> Column:
+    """A numbered reference: source in brackets and title (if either is there), the address, and the text on one line,
+    cut at ``most`` characters with three points (0: whole). Nulls are empty."""
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    line = bare(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")))
+    line = F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("..."))).otherwise(line) if most else line
+    head = F.when((bare(source) != "") | (bare(title) != ""), F.concat(F.lit("["), bare(source), F.lit("] "), bare(title))).otherwise(F.lit(""))
+    tail = F.when(bare(url) != "", F.concat(F.lit(" (URL: "), bare(url), F.lit(")"))).otherwise(F.lit(""))
+    return F.concat(F.lit("Reference "), n.cast("string"), F.lit(": "), head, tail, F.lit("\n"), line)
+
+
+def styled_prompt(question: Column, options: Column, references: Column | None = None, shots: Column | None = None, steps: bool = False) -> Column:
+    """A prompt over a map of options (null and blank ones are left out, letters ascend): references (array of texts),
+    worked examples (array of question, options as a text, answer), and with ``steps`` the call to reason first."""
+    entries = F.filter(F.array_sort(F.map_entries(options)), lambda e: F.coalesce(F.trim(e["value"]), F.lit("")) != "")
+    listed = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(") "), e["value"])), "\n")
+    letters = F.array_join(F.transform(entries, lambda e: e["key"]), " ")
+    parts = [F.concat(F.lit("Choose exactly one option. Valid answers: {"), letters, F.lit("}."))]
+    if steps:
+        parts.append(F.lit("Think step by step between <Reasoning> and </Reasoning>, then give the letter."))
+    if shots is not None:
+        parts.append(F.array_join(F.transform(shots, lambda x: F.concat(F.lit("Question: "), x["question"], F.lit("\n"), x["options"], F.lit("\nAnswer: "), x["answer"])), "\n\n"))
+    if references is not None:
+        parts.append(F.array_join(references, "\n\n"))
+    parts.append(F.concat(F.lit("Question: "), question, F.lit("\n\nOptions:\n"), listed))
+    parts.append(F.lit("<Reasoning>" if steps else "Answer: "))
+    return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n\n")

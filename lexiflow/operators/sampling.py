@@ -63,6 +63,18 @@ def balanced_sample(df: DataFrame, by: str, key: str, target: int, seed: str = "
     return ranked.join(F.broadcast(quota.select(by, "_quota")), by).filter("_n <= _quota").drop("_n", "_quota")
 
 
+def sample_of(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:
+    """``n`` rows, the first in the order of their key's seeded hash, then key: the same under any partitioning. Each
+    task keeps its own first ``n``, so nothing is sorted whole. Null keys come first in the order of hashes of nulls."""
+    return df.orderBy(F.coalesce(hash_order(key, seed), F.lit("")), key).limit(n)
+
+
+def merge_samples(held: DataFrame | None, fresh: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:
+    """The sample of all rows seen, from the sample held and what is new: samples merge, so a stream keeps one as a
+    table of ``n`` rows, replaced batch by batch."""
+    return sample_of(fresh if held is None else held.unionByName(fresh), key, n, seed)
+
+
 def few_shot(examples: DataFrame, pool: DataFrame, k: int, key: str, subject: str, text: str) -> DataFrame:
     """For each example, k others that do not leak it (other id and other text): those of its subject in id order,
     then, where they are fewer, those of other subjects in id order. Ids of the pool are unique.
@@ -73,11 +85,13 @@ def few_shot(examples: DataFrame, pool: DataFrame, k: int, key: str, subject: st
     e = examples.select(F.col(key).alias("example"), F.col(subject).alias("_s"), F.col(text).alias("_x"))
     p = pool.select(F.col(key).alias("shot"), F.col(subject).alias("_t"), F.col(text).alias("_y"))
     apart = (F.col("example") != F.col("shot")) & ~F.col("_x").eqNullSafe(F.col("_y"))
-    same = e.join(p, F.col("_s").eqNullSafe(F.col("_t")) & apart).select("example", "shot")
+    order = [F.col("shot")]
+    # Of a subject, the same bound holds: an example leaves out one text and one id.
+    near = first_of(first_of(p, [F.col("_t"), F.col("_y")], order, k + 1), [F.col("_t")], order, 2 * k + 2)
+    same = e.join(near, F.col("_s").eqNullSafe(F.col("_t")) & apart).select("example", "shot")
     same = first_of(same, [F.col("example")], [F.col("shot")], k)
     few = same.groupBy("example").agg(F.count("*").alias("_have"))
     few = e.join(few, "example", "left").filter(F.coalesce("_have", F.lit(0)) < k)
-    order = [F.col("shot")]
     head = first_of(p, [F.col("_t"), F.col("_y")], order, k + 1)
     head = first_of(first_of(head, [F.col("_t")], order, 2 * k + 2), [F.col("_y")], order, 2 * k + 2).orderBy("shot").limit(5 * k + 5)
     others = few.join(F.broadcast(head), ~F.col("_s").eqNullSafe(F.col("_t")) & apart).select("example", "shot")

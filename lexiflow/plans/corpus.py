@@ -266,6 +266,11 @@ def group_sample(spark, d):
     return S.first_of(_docs(spark, d), [F.col("lang")], [S.hash_order("doc_id", "g"), F.col("doc_id")], 25).select("doc_id")
 
 
+@query("sample_of", "SELECT doc_id, source FROM documents ORDER BY md5(doc_id::VARCHAR || 'n'), doc_id LIMIT 64")
+def sample_of(spark, d):
+    return S.sample_of(_docs(spark, d), "doc_id", 64, "n").select("doc_id", "source")
+
+
 @query("few_shot", "SELECT example, shot, rank FROM (SELECT a.item_id AS example, b.item_id AS shot, row_number() OVER (PARTITION BY a.item_id ORDER BY b.item_id)::INTEGER AS rank FROM benchmark a JOIN benchmark b ON a.item_id % 5 = b.item_id % 5 AND a.item_id <> b.item_id AND a.text <> b.text) WHERE rank <= 3")
 def few_shot(spark, d):
     b = load(spark, d, "benchmark").withColumn("subject", F.col("item_id") % 5)

@@ -13,6 +13,7 @@ from ..operators import fusion as U
 from ..operators import index as I
 from ..operators import phrases as H
 from ..operators import retrieval as R
+from ..operators import retriever as X
 from ..operators import vectors as V
 from ..streaming import sessions as Z
 from ..shared import shared_folder
@@ -146,18 +147,24 @@ def _asked(spark, d):
     return v, v.filter("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
 
 
+def _cells(spark, d):
+    return built(spark, load(spark, d, "embeddings"), "ivf", lambda p: V.build_vectors(_asked(spark, d)[0], p, IVF_CELLS))
+
+
 @query("ivf_probe")
 def ivf_probe(spark, d):
     """The inverted file, built once; a query's own vector is among its hits."""
-    v, q = _asked(spark, d)
-    path = built(spark, load(spark, d, "embeddings"), "ivf", lambda p: V.build_vectors(v, p, IVF_CELLS))
+    _, q = _asked(spark, d)
+    path = _cells(spark, d)
     return V.probe_vectors(spark, path, q, IVF_PROBES, 5).select("q", "id", "rank", F.round("score", 6).alias("score"))
 
 
+def _links(spark, d):
+    return built(spark, load(spark, d, "embeddings"), "graph", lambda p: V.build_graph(_asked(spark, d)[0], p))
+
+
 def _graph(spark, d):
-    v, q = _asked(spark, d)
-    path = built(spark, load(spark, d, "embeddings"), "graph", lambda p: V.build_graph(v, p))
-    return V.search_graph(spark, path, q, 5, f"{shared_folder(spark)}/graph-search-{uuid.uuid4().hex}", others=True)
+    return V.search_graph(spark, _links(spark, d), _asked(spark, d)[1], 5, f"{shared_folder(spark)}/graph-search-{uuid.uuid4().hex}", others=True)
 
 
 @query("graph_search")
@@ -173,7 +180,7 @@ _OVERLAP = f"CASE WHEN len({_WORDS.format('question')}) = 0 THEN 0.0 ELSE len(li
 
 def _lists(spark, d):
     docs, bench = load(spark, d, "documents"), load(spark, d, "benchmark")
-    top = _best(spark, d).join(F.broadcast(bench.select("item_id", F.col("text").alias("question"))), "item_id").join(docs.select("doc_id", "text", "source"), "doc_id")
+    top = _best(spark, d).join(bench.select("item_id", F.col("text").alias("question")), "item_id").join(docs.select("doc_id", "text", "source"), "doc_id")
     return top.withColumn("overlap", T.overlap(T.content_words(F.col("question")), T.content_words(F.col("text")))).withColumnRenamed("item_id", "q").withColumnRenamed("doc_id", "id")
 
 
@@ -280,7 +287,7 @@ def pack_truncate(spark, d):
 # Passages in full, which tokens counts.
 @query("context_whole", f"WITH {_PACK} SELECT q, string_agg('Reference ' || rank || ': [' || coalesce(source, '') || '] ' || coalesce(text, ''), chr(10) ORDER BY rank) AS refs, sum(tokens)::BIGINT AS tokens FROM t JOIN documents ON id = doc_id WHERE rank <= 6 GROUP BY q")
 def context_whole(spark, d):
-    x = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source").join(F.broadcast(_packs(spark, d).filter("rank <= 6")), "id")
+    x = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source").join(_packs(spark, d).filter("rank <= 6"), "id")
     line = F.concat(F.lit("Reference "), F.col("rank").cast("string"), F.lit(": ["), F.coalesce("source", F.lit("")), F.lit("] "), F.coalesce("text", F.lit("")))
     return x.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n").alias("refs"), F.sum("tokens").alias("tokens"))
 
@@ -553,3 +560,58 @@ def choice_search(spark, d):
 @query("index_terms", f"WITH {_bm25_sql()} SELECT i.term, df, round(i.idf, 6) AS idf FROM i JOIN (SELECT term, count(*) AS df FROM p GROUP BY term) USING (term)")
 def index_terms(spark, d):
     return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+# --- variants of a question, with kinds and weights
+
+_KINDS = {"base": 1.0, "option": 0.5}
+_ASKED_SQL = "SELECT item_id * 10 + n AS item_id, text FROM (SELECT item_id, 0 AS n, trim(text) AS text FROM benchmark UNION ALL SELECT item_id, o, trim(text) || chr(10) || 'Option: ' || list_filter(string_split(text, ' '), lambda x: x <> '')[o] FROM benchmark, (SELECT unnest([1, 2]) AS o))"
+
+
+def _variants(spark, d):
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    options = F.create_map(F.lit("A"), F.get(words, 0), F.lit("B"), F.get(words, 1))
+    return X.variants(load(spark, d, "benchmark"), "item_id", F.col("text"), options, weights=_KINDS)
+
+
+def _retriever(spark, d):
+    """Sparse and dense over the documents' texts, by plug points that need no model."""
+    encode = lambda c: I.hashed_words(DIMS)(T.whitespace_tokens(c))
+    config = I.Config(tokens=T.whitespace_tokens, encode=encode, score_pair=lambda q, t: T.overlap(T.content_words(q), T.content_words(t)))
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), encode(F.col("text")).alias("v"))
+    return X.Retriever(config, _index(spark, d), docs.filter(F.exists("v", lambda x: x > 0)))
+
+
+@query("variant_search", f"WITH {_bm25_sql(query=_ASKED_SQL)}, {_TOP}, f AS (SELECT item_id // 10 AS q, doc_id AS id, round(sum(CASE WHEN item_id % 10 = 0 THEN 1.0 ELSE 0.5 END / (60 + rank)), 9) AS rrf, count(*) AS votes FROM top GROUP BY 1, 2) SELECT q, id, rrf, votes, row_number() OVER (PARTITION BY q ORDER BY rrf DESC, id)::INTEGER AS rank FROM f QUALIFY rank <= 6")
+def variant_search(spark, d):
+    """The question and the question with each option, by BM25, as one weighted list."""
+    return _retriever(spark, d).search(_variants(spark, d), 6, "sparse", depth=10)
+
+
+_BAG_ASKED = _BAG.replace("FROM benchmark)", f"FROM ({_ASKED_SQL}))").replace("rank <= 10", "rank <= 12")
+_STAGED = f"""{_bm25_sql(query=_ASKED_SQL)}, {_TOP.replace("rank <= 10", "rank <= 12")}, {_BAG_ASKED},
+hy AS (SELECT item_id // 10 AS q, doc_id AS id, round(sum(CASE WHEN item_id % 10 = 0 THEN 1.0 ELSE 0.5 END / (60 + rank)), 9) AS rrf FROM (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM dense) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY rrf DESC, id) <= 12),
+c AS (SELECT hy.*, d.source, d.text, trim(b.text) AS question FROM hy JOIN documents d ON d.doc_id = hy.id JOIN benchmark b ON b.item_id = hy.q),
+sec AS (SELECT q, source FROM (SELECT q, source, max(rrf) AS m FROM c WHERE source IS NOT NULL GROUP BY q, source) QUALIFY row_number() OVER (PARTITION BY q ORDER BY m DESC, source) <= 4),
+fine AS (SELECT c.*, row_number() OVER (PARTITION BY c.q ORDER BY rrf DESC, id)::INTEGER AS rank FROM c SEMI JOIN sec ON c.q = sec.q AND c.source = sec.source)"""
+
+
+@query("variant_staged", f"WITH {_STAGED} SELECT q, id, rank, row_number() OVER (PARTITION BY q ORDER BY rank > 4, CASE WHEN rank <= 4 THEN -round({_OVERLAP}, 9) ELSE rank END, id)::INTEGER AS new_rank FROM fine QUALIFY new_rank <= 5")
+def variant_staged(spark, d):
+    """Both indexes over all variants, sections, and the head by the scorer of pairs."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("section"), "text")
+    return _retriever(spark, d).staged(_variants(spark, d), docs, 5, 12, 4, 4)
+
+
+@query("references", f"WITH {_bm25_sql()}, {_TOP} SELECT item_id AS q, md5(string_agg('Reference ' || rank || ': [' || trim(coalesce(source, '')) || '] ' || ' (URL: /' || source || '/' || doc_id || ')' || chr(10) || CASE WHEN length(x) > 320 THEN left(x, 320) || '...' ELSE x END, chr(10) || chr(10) ORDER BY rank)) AS h FROM (SELECT top.*, source, trim(replace(text, chr(10), ' ')) AS x FROM top JOIN documents USING (doc_id)) WHERE rank <= 4 GROUP BY item_id")
+def references(spark, d):
+    from ..functions import answers
+
+    x = _best(spark, d).filter("rank <= 4").join(load(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    line = answers.reference(F.col("rank"), F.col("source"), F.lit(None).cast("string"), F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")), F.col("text"))
+    lines = x.groupBy(F.col("item_id").alias("q")).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    return lines.select("q", F.md5(F.array_join(F.transform("l", lambda s: s["line"]), "\n\n")).alias("h"))
+
+
+#: Indexes that queries share, by name.
+BUILDS = {"bm25": _index, "bm25_titled": lambda spark, d: _index(spark, d, _TITLED), "inverted_file": _cells, "graph": _links}

@@ -102,11 +102,11 @@ def test_graph_meets_few_vectors(spark, tmp_path):
     x = centres[rng.integers(0, 40, 1500)] + 0.5 * rng.normal(size=(1500, 16))
     odd = [(2000, None), (2001, [1.0]), (2002, [NAN] * 16), (0, [9.0] * 16)]
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + odd, "id long, v array<double>")
-    vectors.build_graph(v, f"{tmp_path}/g", vectors.Graph(near=10, rounds=3, most=20, seeds=128))
+    vectors.build_graph(v, f"{tmp_path}/g", vectors.Graph(near=12, rounds=3, most=20, seeds=128))
     links = spark.read.parquet(f"{tmp_path}/g/links")
     assert links.groupBy("a").count().agg(F.max("count")).first()[0] <= 20 and spark.read.parquet(f"{tmp_path}/g/nodes").count() == 1500
     some = asked(v, "id % 50 = 1 or id > 1999")
-    got, met = vectors.search_graph(spark, f"{tmp_path}/g", some, 5, f"{tmp_path}/s", beam=16, step=8, others=True)
+    got, met = vectors.search_graph(spark, f"{tmp_path}/g", some, 5, f"{tmp_path}/s", beam=32, step=8, others=True)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     found = {(r.q, r.id) for r in got.collect()}
     want = {(q, int(i)) for q in range(1, 1500, 50) for i in np.argsort(-np.where(np.arange(1500) == q, -2, unit @ unit[q]))[:5]}
