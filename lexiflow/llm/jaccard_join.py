@@ -12,7 +12,7 @@ distance passes what their sizes allow go, and the rest is verified on the whole
 Documents with equal sets are one class from the start and never paired. Classes that meet in a block form a list,
 and classes that lists connect a family. Families are cut into tiles of bounded size around hubs, the heaviest
 classes; a tile of a hub has the hub as well. Tiles are compared within; then only the classes that this leaves out of
-their family's largest component meet the other tiles that they share a list with. So a large group of near copies
+their family's largest component meet other tiles, those that one of their lists reaches. So a large group of near copies
 gives rows and comparisons in proportion to its size, not to its square.
 
 Blocks travel as packed arrays. Nothing is capped, and no table but those of one task's share is held in memory.
@@ -407,13 +407,17 @@ def _connected(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return near
     labels = materialize(large.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", "tile", F.coalesce("component", "rep").alias("label")), "join-labels")
     most = labels.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-    minors = packed(labels.join(most, "family").filter("label <> most").select("rep", F.col("label").alias("family"), "tile"), "join-minors")
-    met = members.join(large, "rep").groupBy("list").agg(F.collect_set("tile").alias("t")).filter("size(t) > 1")
-    met = met.select(F.explode("t").alias("y"), "t").join(minors.select(F.col("tile").alias("y")), "y", "left_semi")
-    met = met.select(F.explode("t").alias("x"), "y").filter("x <> y").distinct()
-    pairs = met.join(minors.select(F.col("tile").alias("y"), F.col("blob").alias("v")), "y")
+    minor = labels.join(most, "family").filter("label <> most").select("rep", "label", "tile")
+    # A class goes to the other tiles that one of its lists reaches, and to no more.
+    reached = members.join(labels.select("rep", "tile"), "rep").groupBy("list").agg(F.collect_set("tile").alias("t")).filter("size(t) > 1")
+    sent = members.select("list", "rep").join(minor, "rep").join(reached, "list").select("rep", "label", "tile", F.explode("t").alias("x")).filter("x <> tile").select("rep", "label", "x").distinct()
+    sent = materialize(sent, "join-sent")
+    parts = sent.groupBy("x").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    sent = sent.join(parts, "x").select("rep", F.col("label").alias("family"), "x", F.xxhash64("x", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("tile"))
+    of_tile = sent.select("tile", "x").distinct()
+    minors = packed(sent.select("rep", "family", "tile"), "join-minors")
     told = labels.groupBy(F.col("tile").alias("x")).agg(F.collect_list(F.struct("rep", "label")).alias("known"))
-    pairs = pairs.join(blobs.select(F.col("tile").alias("x"), F.col("blob").alias("u")).join(told, "x"), "x")
+    pairs = minors.select("tile", F.col("blob").alias("v")).join(of_tile, "tile").join(blobs.select(F.col("tile").alias("x"), F.col("blob").alias("u")).join(told, "x"), "x")
     links = materialize(pairs.select("u", "v", "known").mapInArrow(tidy(across), "a long, b long").distinct(), "join-links")
     discard(tiles, blobs, within, minors)
     nodes = near.unionByName(labels.filter("label = rep").select(F.col("rep").alias("node"), F.col("label").alias("component"))).distinct()
