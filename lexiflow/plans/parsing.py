@@ -16,7 +16,7 @@ from ..operators import fusion as U
 from ..operators import phrases as H
 from . import retrieve as R
 from .corpus import _PARAS, _paras
-from .tables import load
+from .tables import built, load
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -470,3 +470,32 @@ def phrase_matches(spark, d):
     first = first.select("phrase_id", F.slice("w", F.lit(1), F.col("n")).alias("phrase")).filter("size(phrase) > 1")
     found = H.matches(load(spark, d, "documents"), first, "doc_id", words)
     return found.select("doc_id", F.col("start").cast("long").alias("start"), F.size("phrase").cast("long").alias("n"), "phrase_id")
+
+
+_WINDOWS = "SELECT CASE WHEN i = 0 THEN doc_id::VARCHAR ELSE doc_id || '#' || (i // 400) END AS chunk_id, source AS section_id, doc_id, substr(text, i + 1, 500) AS text FROM documents, LATERAL (SELECT unnest(range(0, length(text), 400)) AS i)"
+
+
+def _store(spark, d):
+    from ..sources import lookup
+
+    x = C.char_windows(load(spark, d, "documents"), "doc_id", "text", 500, 100)
+    x = x.select(C.passage_ids(F.col("doc_id"), F.col("pos")).alias("chunk_id"), "doc_id", F.col("chunk").alias("text"))
+    x = x.join(load(spark, d, "documents").select("doc_id", F.col("source").alias("section_id")), "doc_id")
+    # The store is named by its folder, which a session makes once for the files as they are.
+    name = lambda path: "chunks_" + path.rsplit("-", 1)[-1]
+    path = built(spark, load(spark, d, "documents"), "chunks", lambda p: lookup.store_chunks(x, name(p), p, 8))
+    return lookup.ChunkStore(spark, name(path))
+
+
+@query("chunk_lookup", f"WITH c AS ({_WINDOWS}) SELECT chunk_id, section_id, doc_id, md5(text) AS h FROM c WHERE chunk_id IN (SELECT DISTINCT doc_id || '#' || 2 FROM labels)")
+def chunk_lookup(spark, d):
+    """The third chunk of every labelled document, from tables bucketed by chunk."""
+    ids = load(spark, d, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit("#2")).alias("id"))
+    return _store(spark, d).chunks(ids).select("chunk_id", "section_id", "doc_id", F.md5("text").alias("h"))
+
+
+@query("chunk_summaries", f"WITH c AS ({_WINDOWS}) SELECT 'section' AS kind, section_id AS id, count(*) AS n FROM c WHERE section_id IS NOT NULL GROUP BY section_id UNION ALL SELECT 'document', doc_id::VARCHAR, count(*) FROM c WHERE doc_id IS NOT NULL GROUP BY doc_id")
+def chunk_summaries(spark, d):
+    s = _store(spark, d)
+    one = s.sections().select(F.lit("section").alias("kind"), F.col("section_id").alias("id"), "n")
+    return one.unionByName(s.documents().select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "n"))
