@@ -478,12 +478,13 @@ _WINDOWS = "SELECT CASE WHEN i = 0 THEN doc_id::VARCHAR ELSE doc_id || '#' || (i
 def _store(spark, d):
     from ..sources import lookup
 
-    x = C.char_windows(load(spark, d, "documents"), "doc_id", "text", 500, 100)
-    x = x.select(C.passage_ids(F.col("doc_id"), F.col("pos")).alias("chunk_id"), "doc_id", F.col("chunk").alias("text"))
-    x = x.join(load(spark, d, "documents").select("doc_id", F.col("source").alias("section_id")), "doc_id")
+    docs = load(spark, d, "documents")
+    x = C.char_windows(docs.select(F.struct("doc_id", "source").alias("of"), "text"), "of", "text", 500, 100)
+    x = x.select(C.passage_ids(F.col("of.doc_id"), F.col("pos")).alias("chunk_id"), "of.doc_id", F.col("chunk").alias("text"), F.col("of.source").alias("section_id"))
     # The store is named by its folder, which a session makes once for the files as they are.
     name = lambda path: "chunks_" + path.rsplit("-", 1)[-1]
-    path = built(spark, load(spark, d, "documents"), "chunks", lambda p: lookup.store_chunks(x, name(p), p, 8))
+    buckets = lambda: max(8, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (64 << 20))
+    path = built(spark, docs, "chunks", lambda p: lookup.store_chunks(x, name(p), p, buckets()))
     return lookup.ChunkStore(spark, name(path))
 
 
