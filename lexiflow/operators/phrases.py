@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expansion_words as W
+from ..shared import written
 
 
 def _counted(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """token, n of the tokens of phrases: the number of texts (tokens: array) that have it; 0 for one that none has."""
-    own = phrases.select(F.explode("phrase").alias("token")).distinct()
+    own, _ = written(phrases.select(F.explode("phrase").alias("token")).distinct(), "phrase-tokens")  # its size is known: few go to the texts
     met = texts.select(F.explode(F.array_distinct("tokens")).alias("token")).join(own, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     return own.join(met, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -29,7 +30,7 @@ def anchored(texts: DataFrame, phrases: DataFrame, inner: bool = False) -> DataF
     some = rows.select("_id", F.size("phrase").alias("_n"), places).distinct()
     some = some.filter((F.col("at") > 0) & (F.col("at") < F.col("_n") - 1)) if inner else some
     best = some.join(_counted(texts, phrases), some["anchor"] == F.col("token")).groupBy("_id").agg(F.min_by(F.struct("anchor", "at"), F.struct("n", -F.col("at"))).alias("_a"))
-    return rows.join(best, "_id").select(*phrases.columns, "_a.anchor", "_a.at")
+    return written(rows.join(best, "_id").select(*phrases.columns, "_a.anchor", "_a.at"), "phrase-anchors")[0]
 
 
 def matches(texts: DataFrame, phrases: DataFrame, key: str, tokens: Column, longest: bool = True) -> DataFrame:
@@ -71,6 +72,7 @@ def containing(texts: DataFrame, passages: DataFrame, key: str, text: str, passa
     p = p.withColumn("phrase", split(F.col("_passage")))
     anchors = anchored(t.select(split(F.col("_text")).alias("tokens")), p.filter(F.size("phrase") > 2), inner=True).select("_p", "anchor")
     pairs = t.select("_t", F.explode(F.array_distinct(split(F.col("_text")))).alias("anchor")).join(anchors, "anchor").select("_t", "_p").distinct()
+    pairs, _ = written(pairs, "phrase-pairs")
     found = pairs.join(t, "_t").join(p.select("_p", "_passage"), "_p").filter(F.contains("_text", F.col("_passage"))).select("_t", "_p").distinct()
     short = p.filter(F.size("phrase") <= 2).select("_p", "_passage")
     if not short.isEmpty():
