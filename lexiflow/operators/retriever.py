@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from . import vectors as V
 from .index import Bm25, Config
 from .retrieval import coarse_sections, rerank_head, top_k
@@ -71,7 +72,8 @@ class Retriever:
         """q, id, rank, new_rank: fused hits of ``depth``, cut to the ``sections`` best sections of each question, the
         first ``head`` sorted anew by the scorer of pairs, the first ``k`` given; docs (id, section, text), questions'
         own texts are the ``base`` variants. Documents without a section go with the cut."""
-        hits = self.search(asked, depth, mode).drop("rank").join(docs.select("id", "section", "text"), "id").withColumn("score", F.col("rrf"))
+        hits, _ = written(self.search(asked, depth, mode).drop("rank"), "staged")  # few: no text is shuffled for them
+        hits = hits.join(docs.select("id", "section", "text"), "id").withColumn("score", F.col("rrf"))
         fine = hits.join(coarse_sections(hits.filter("section is not null"), sections), ["q", "section"], "left_semi")
         fine = fine.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rrf"), "id")))
         fine = fine.join(asked.filter("kind = 'base'").select("q", F.col("text").alias("question")), "q")

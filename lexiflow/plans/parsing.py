@@ -142,7 +142,7 @@ _MET = f"WITH {R._bm25_sql()}, {R._TOP}, met AS (SELECT b.item_id, d.doc_id, b.t
 def _met(spark, d):
     hits = R._best(spark, d).select("item_id", "doc_id")
     docs = load(spark, d, "documents").select("doc_id", F.col("text").alias("c"))
-    return hits.join(load(spark, d, "benchmark").select("item_id", F.col("text").alias("q")), "item_id").join(docs, "doc_id")
+    return docs.join(hits, "doc_id").join(load(spark, d, "benchmark").select("item_id", F.col("text").alias("q")), "item_id")
 
 
 def _share(least):

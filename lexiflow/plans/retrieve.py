@@ -16,7 +16,7 @@ from ..operators import retrieval as R
 from ..operators import retriever as X
 from ..operators import vectors as V
 from ..streaming import sessions as Z
-from ..shared import shared_folder
+from ..shared import shared_folder, written
 from .tables import built, load
 
 QUERIES: dict = {}
@@ -43,16 +43,11 @@ def _index(spark, d, field="text"):
     return I.Bm25.open(spark, built(spark, docs, kind, lambda path: I.build_bm25(docs, "doc_id", T.whitespace_tokens(F.expr(field)), path)))
 
 
-def _hits(spark, d, field="text", queries=None):
-    """All scores of all queries: what needs more than the best of them takes it."""
+def _best(spark, d, field="text", queries=None, k=10, groups=None):
+    """item_id, doc_id, score, rank of the k best documents of each query; written, so that what joins them knows how few
+    they are and no text is shuffled for them."""
     queries = load(spark, d, "benchmark") if queries is None else queries
-    return _index(spark, d, field).search(queries, "doc_id", "item_id", T.whitespace_tokens(F.col("text")))
-
-
-def _best(spark, d, field="text", queries=None, k=10):
-    """item_id, doc_id, score, rank of the k best documents of each query."""
-    queries = load(spark, d, "benchmark") if queries is None else queries
-    return _index(spark, d, field).top(queries, "item_id", T.whitespace_tokens(F.col("text")), k)
+    return written(_index(spark, d, field).top(queries, "item_id", T.whitespace_tokens(F.col("text")), k, groups=groups), "best")[0]
 
 
 def _bm25_sql(doc_text="text", query="SELECT item_id, text FROM benchmark"):
@@ -180,8 +175,9 @@ _OVERLAP = f"CASE WHEN len({_WORDS.format('question')}) = 0 THEN 0.0 ELSE len(li
 
 def _lists(spark, d):
     docs, bench = load(spark, d, "documents"), load(spark, d, "benchmark")
-    top = _best(spark, d).join(bench.select("item_id", F.col("text").alias("question")), "item_id").join(docs.select("doc_id", "text", "source"), "doc_id")
-    return top.withColumn("overlap", T.overlap(T.content_words(F.col("question")), T.content_words(F.col("text")))).withColumnRenamed("item_id", "q").withColumnRenamed("doc_id", "id")
+    top = docs.select("doc_id", "text", "source").join(_best(spark, d), "doc_id").join(bench.select("item_id", F.col("text").alias("question")), "item_id")
+    overlap = T.overlap(T.content_words(F.col("question")), T.content_words(F.col("text"))).alias("overlap")
+    return written(top.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "score", "rank", "source", overlap), "lists")[0]
 
 
 @query("lexical_overlap", f"WITH {_LISTS} SELECT item_id AS q, doc_id AS id, round({_OVERLAP}, 6) AS overlap FROM ov")
@@ -254,7 +250,8 @@ def rerank_head(spark, d):
 
 @query("coarse_to_fine", f"WITH {_bm25_sql()}, h AS (SELECT item_id AS q, doc_id AS id, source, round(score, 6) AS score FROM hits JOIN documents USING (doc_id)), s AS (SELECT q, source FROM (SELECT q, source, max(score) AS m FROM h GROUP BY q, source) QUALIFY row_number() OVER (PARTITION BY q ORDER BY m DESC, source) <= 3) SELECT q, id, score FROM h SEMI JOIN s USING (q, source) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, id) <= 5")
 def coarse_to_fine(spark, d):
-    h = _hits(spark, d).join(load(spark, d, "documents").select("doc_id", "source"), "doc_id").select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), F.col("source").alias("section"), F.round("score", 6).alias("score"))
+    # The five best of each section hold its best one and whatever the sections' five best can be.
+    h = _best(spark, d, k=5, groups=load(spark, d, "documents").select("doc_id", "source")).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), F.col("source").alias("section"), "score")
     fine = h.join(R.coarse_sections(h, 3), ["q", "section"], "left_semi")
     return R.top_k(fine, ["q"], [F.desc("score"), F.asc("id")], 5).select("q", "id", "score")
 
@@ -262,9 +259,9 @@ def coarse_to_fine(spark, d):
 _PACK = f"{_bm25_sql()}, {_TOP}, t AS (SELECT item_id AS q, doc_id AS id, rank, (n_chars // 4) AS tokens FROM top JOIN documents USING (doc_id))"
 
 
-def _packs(spark, d):
-    x = _best(spark, d).join(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return x.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank", F.floor(F.col("n_chars") / 4).alias("tokens"))
+def _packs(spark, d, *more):
+    x = load(spark, d, "documents").select("doc_id", "n_chars", *more).join(_best(spark, d), "doc_id")
+    return x.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank", F.floor(F.col("n_chars") / 4).alias("tokens"), *more)
 
 
 @query("pack_prefix", f"WITH {_PACK} SELECT q, id, used::BIGINT AS used FROM (SELECT *, sum(tokens) OVER (PARTITION BY q ORDER BY rank) AS used FROM t) WHERE used <= 1500")
@@ -287,7 +284,7 @@ def pack_truncate(spark, d):
 # Passages in full, which tokens counts.
 @query("context_whole", f"WITH {_PACK} SELECT q, string_agg('Reference ' || rank || ': [' || coalesce(source, '') || '] ' || coalesce(text, ''), chr(10) ORDER BY rank) AS refs, sum(tokens)::BIGINT AS tokens FROM t JOIN documents ON id = doc_id WHERE rank <= 6 GROUP BY q")
 def context_whole(spark, d):
-    x = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source").join(_packs(spark, d).filter("rank <= 6"), "id")
+    x = _packs(spark, d, "text", "source").filter("rank <= 6")
     line = F.concat(F.lit("Reference "), F.col("rank").cast("string"), F.lit(": ["), F.coalesce("source", F.lit("")), F.lit("] "), F.coalesce("text", F.lit("")))
     return x.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n").alias("refs"), F.sum("tokens").alias("tokens"))
 
@@ -496,7 +493,7 @@ def _dense_texts(spark, d, k=10):
 
 def _hybrid(spark, d):
     sparse = _best(spark, d).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
-    return U.rrf(sparse.unionByName(_dense_texts(spark, d).select("q", "id", "rank")))
+    return written(U.rrf(sparse.unionByName(_dense_texts(spark, d).select("q", "id", "rank"))), "hybrid")[0]
 
 
 @query("dense_texts", f"WITH {_BAG} SELECT item_id AS q, doc_id AS id, rank::INTEGER AS rank FROM dense")
