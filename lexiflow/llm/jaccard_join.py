@@ -246,7 +246,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array([h[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], ["c", "digest", "n", "hashes"])
 
-    return docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(run), "c long, digest binary, n long, hashes binary").dropDuplicates(["c", "digest"])
+    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(run), "c long, digest binary, n long, hashes binary").dropDuplicates(["c", "digest"])
 
 
 def _forest(numbers: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
@@ -409,8 +409,10 @@ def _connected(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     most = labels.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
     minor = labels.join(most, "family").filter("label <> most").select("rep", "label", "tile")
     # A class goes to the other tiles that one of its lists reaches, and to no more.
-    reached = members.join(labels.select("rep", "tile"), "rep").groupBy("list").agg(F.collect_set("tile").alias("t")).filter("size(t) > 1")
-    sent = members.select("list", "rep").join(minor, "rep").join(reached, "list").select("rep", "label", "tile", F.explode("t").alias("x")).filter("x <> tile").select("rep", "label", "x").distinct()
+    reached = members.join(labels.select("rep", "tile"), "rep").groupBy("list").agg(F.array_sort(F.collect_set("tile")).alias("t")).filter("size(t) > 1")
+    # Its lists' tiles are united before they become rows: a class has many lists and they reach the same tiles.
+    tiles_of = members.select("list", "rep").join(minor, "rep").join(reached, "list").groupBy("rep", "label", "tile").agg(F.array_distinct(F.flatten(F.collect_set("t"))).alias("t"))
+    sent = tiles_of.select("rep", "label", "tile", F.explode("t").alias("x")).filter("x <> tile").select("rep", "label", "x")
     sent = materialize(sent, "join-sent")
     parts = sent.groupBy("x").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     sent = sent.join(parts, "x").select("rep", F.col("label").alias("family"), "x", F.xxhash64("x", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("tile"))
@@ -445,9 +447,11 @@ def similar(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id",
     members = lists.select("list", F.explode("members").alias("c")).join(classes.select("c", "rep", "n"), "c").select("list", "rep", "n")
     members = materialize(members, "join-members")
     discard(lists)
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    # Written ids: their size is known, so no text is shuffled while they are few.
+    wanted = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "join-wanted")
     sets = _sets(rows, wanted, k).join(classes.select("c", "digest", "rep"), ["c", "digest"])
     sets = materialize(sets.select("rep", "n", "hashes"), "join-sets")
+    discard(wanted)
     component = _connected(members, sets, percent)
     # One row per class, written: the join of all documents has plain exchanges below it, so adaptive execution splits
     # the documents of a class that has very many.
