@@ -3,6 +3,7 @@
 import math
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import whitespace_tokens
@@ -36,3 +37,30 @@ def test_a_build_shuffles_no_posting_and_a_search_only_rows_of_shards(spark, tmp
         want = retrieval.top_k(every, by, [F.desc("score"), F.asc("doc_id")], 3).select(*by, "doc_id", "score", "rank")
         got = held.top(queries, "q", tokens, 3, groups=groups).select(*by, "doc_id", "score", "rank")
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Tables of documents are too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_few_phrases_move_no_text(spark, sf, small_broadcasts):
+    from lexiflow.operators import phrases
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.slice(whitespace_tokens(F.col("text")), 1, 3).alias("phrase"))
+    assert "SortMergeJoin" not in _plan(phrases.matches(docs, some, "doc_id", whitespace_tokens(F.col("text")), longest=False))
+
+
+def test_few_ids_of_near_copies_move_no_text(spark, sf, small_broadcasts):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert "SortMergeJoin" not in _plan(corpus_pipeline.near_duplicates(spark, docs, sf))
