@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.llm import bpe, jaccard_join, mixing, quality_rules, suffix_dedup
-from lexiflow.llm._base import materialize, table
+from lexiflow.llm._base import few, materialize, table
 
 # Near duplicates of this pipeline: five-word shingles, similarity 0.8 or more.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -77,12 +77,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         ids = found.join(further.select(F.col("key").alias(key), F.col("doc_id").alias("__p_id")), key, "left")
         least = ids.groupBy("component_id").agg(F.min_by(key, F.struct(F.coalesce("__p_id", key), key)).alias("__p_least"))
         found = found.join(least, "component_id").select(key, F.col("__p_least").alias("component_id"))
-    # Ids are written: their size is known, so no text is shuffled while they are few.
-    gone = materialize(found.filter(f"component_id <> {key}").select(key).distinct(), "near-gone")
+    # Texts are not shuffled while the ids are few.
+    gone = few(materialize(found.filter(f"component_id <> {key}").select(key).distinct(), "near-gone"))
     left = keyed.join(gone, key, "left_anti")
     worded = left.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     repeated = worded.groupBy(key).agg(F.count("*").alias("n")).filter(f"n > 1 and {key} is not null").select(key)
-    repeated = materialize(repeated, "near-repeated")
+    repeated = few(materialize(repeated, "near-repeated"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     first = left.join(repeated, key).groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("__p_row")).select("__p_row.*")
     return _like(docs, left.join(repeated, key, "left_anti")).unionByName(_like(docs, first))

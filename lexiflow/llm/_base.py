@@ -70,6 +70,15 @@ def discard(*frames: DataFrame) -> None:
         frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+#: Ids that every task may hold at once, so that rows with texts stay where they are.
+FEW = 1 << 21
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A written column of ids, broadcast if there are at most ``FEW``; else a join with it sorts both sides."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def words(text: Column) -> Column:
     """Words of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != F.lit(""))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import discard, materialize, tidy
+from ._base import discard, few, materialize, tidy
 from ._graph import components
 from ._words import mix, shingles
 
@@ -382,7 +382,8 @@ def _connected(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.table({"tile": t["tile"][:1], "blob": pa.array([blob], pa.binary())})
 
     def packed(some: DataFrame, label: str) -> DataFrame:
-        return materialize(sets.join(some, "rep").groupBy("tile").applyInArrow(pack, "tile long, blob binary"), label)
+        some = materialize(some, f"{label}-of")  # hashes are not shuffled for these while they are few
+        return materialize(sets.join(few(some), "rep").groupBy("tile").applyInArrow(pack, "tile long, blob binary"), label)
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -416,7 +417,7 @@ def _connected(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sent = materialize(sent, "join-sent")
     parts = sent.groupBy("x").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     sent = sent.join(parts, "x").select("rep", F.col("label").alias("family"), "x", F.xxhash64("x", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("tile"))
-    of_tile = sent.select("tile", "x").distinct()
+    of_tile = few(materialize(sent.select("tile", "x").distinct(), "join-of-tile"))
     minors = packed(sent.select("rep", "family", "tile"), "join-minors")
     told = labels.groupBy(F.col("tile").alias("x")).agg(F.collect_list(F.struct("rep", "label")).alias("known"))
     pairs = minors.select("tile", F.col("blob").alias("v")).join(of_tile, "tile").join(blobs.select(F.col("tile").alias("x"), F.col("blob").alias("u")).join(told, "x"), "x")
@@ -447,9 +448,9 @@ def similar(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id",
     members = lists.select("list", F.explode("members").alias("c")).join(classes.select("c", "rep", "n"), "c").select("list", "rep", "n")
     members = materialize(members, "join-members")
     discard(lists)
-    # Written ids: their size is known, so no text is shuffled while they are few.
+    # Texts are not shuffled while the ids are few.
     wanted = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "join-wanted")
-    sets = _sets(rows, wanted, k).join(classes.select("c", "digest", "rep"), ["c", "digest"])
+    sets = _sets(rows, few(wanted), k).join(classes.select("c", "digest", "rep"), ["c", "digest"])
     sets = materialize(sets.select("rep", "n", "hashes"), "join-sets")
     discard(wanted)
     component = _connected(members, sets, percent)

@@ -33,9 +33,9 @@ from .suffix_array import common_prefixes, suffix_array
 
 _U = np.uint64
 GRAM = 26  # bytes of the substrings whose least hash is a window's code, for windows of 50
-CHUNK = 2 << 20  # bytes hashed at once; longer texts are cut into overlapping pieces
+CHUNK = 1 << 20  # bytes hashed at once; longer texts are cut into overlapping pieces
 SHARD_CODES = 1 << 20  # codes that one task should get
-SORTED_BYTES = 1 << 20  # strings in one suffix array, unless one code has more
+SORTED_BYTES = 1 << 18  # strings in one suffix array, unless one code has more
 LAST = (1 << 63) - 1
 _LOW = _U((1 << 40) - 1)
 
@@ -324,7 +324,8 @@ class Shard:
 
     def __init__(self, blobs: list[bytes]):
         code, size, number, row, start, text, n = [], [], [], [], [], [], 0
-        for b in blobs:
+        while blobs:
+            b = blobs.pop()
             u, m = np.frombuffer(b, "<i8", 2)
             at = 16
             for kind, count, into in (("<u8", u, code), ("<u4", u, size), ("<i4", m, number), ("<u8", 3 * m, row), ("<i8", m, start)):

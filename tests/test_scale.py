@@ -64,3 +64,14 @@ def test_few_ids_of_near_copies_move_no_text(spark, sf, small_broadcasts):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert "SortMergeJoin" not in _plan(corpus_pipeline.near_duplicates(spark, docs, sf))
+
+
+def test_ids_of_near_copies_are_broadcast_whatever_the_threshold(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in _plan(corpus_pipeline.near_duplicates(spark, docs, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
