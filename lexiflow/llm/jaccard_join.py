@@ -11,9 +11,10 @@ distance passes what their sizes allow go, and the rest is verified on the whole
 
 Documents with equal sets are one class from the start and never paired. Classes that meet in a block form a list,
 and classes that lists connect a family. Families are cut into tiles of bounded size around hubs, the heaviest
-classes; a tile of a hub has the hub as well. Tiles are compared within; then only the classes that this leaves out of
-their family's largest component meet other tiles, those that one of their lists reaches. So a large group of near copies
-gives rows and comparisons in proportion to its size, not to its square.
+classes; a tile of a hub has the hub as well. Tiles are compared within; then only
+lists that still hold several components go on, and only with sketches: those whose sketches leave room for a link are
+candidates, and only candidates meet whole sets again, first one pair of any two components, then what that leaves
+apart. So texts that share a passage without linking cost a sketch for each of their lists, not their sets in every tile.
 
 Blocks travel as packed arrays. Nothing is capped, and no table but those of one task's share is held in memory.
 """
@@ -37,6 +38,8 @@ SHARD_BYTES = 12 << 20  # packed block keys that one task should get
 TILE, TILE_SHINGLES = 256, 1 << 19  # sets, and shingles of all its sets, that a tile should have
 KEY_BYTES = 7  # of a packed block: 5 of its key, 2 of its class
 SKETCH_BITS = 2048
+#: Sets, and bytes of their sketches, of a list that are compared at once.
+MEET, MEET_BYTES = 1024, 1 << 20
 
 
 class Bands:
@@ -142,6 +145,51 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def sized_sketch(hashes: np.ndarray) -> bytes:
+    """A parity sketch of twice to four times as many bits as the set has elements, 512 to 65,536."""
+    bits = 1 << min(16, max(9, (2 * len(hashes) - 1).bit_length()))
+    at = (mix(hashes) >> _U(40)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(rows: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one width as 64-bit words, folded to ``width`` bytes."""
+    x = np.frombuffer(b"".join(rows), _U).reshape(len(rows), -1)
+    while 8 * x.shape[1] > width:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def candidates(part: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places of sets with different labels whose sketches leave room for a link, and their distance as a share
+    of both sizes; with several parts, pairs between parts only."""
+    width, out = np.array([len(s) for s in sketch]), []
+    within = part.min() == part.max()
+    for u in np.unique(width).tolist():
+        for v in np.unique(width[width >= u]).tolist():
+            i, j = np.flatnonzero(width == u), np.flatnonzero(width == v)
+            if 100 * min(n[i].max(), n[j].max()) < percent * max(n[i].min(), n[j].min()):
+                continue
+            x, y = _folded([sketch[k] for k in i], u), _folded([sketch[k] for k in j], u)
+            for at in range(0, len(i), 256):
+                some = i[at : at + 256]
+                apart = label[some][:, None] != label[j][None, :]
+                if not within:
+                    apart &= part[some][:, None] != part[j][None, :]
+                if u == v:
+                    apart &= some[:, None] < j[None, :]
+                rows, columns = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+                if not len(rows):
+                    continue
+                some, other = some[rows], j[columns]
+                distance = hamming(x[at : at + 256][rows], y[columns])
+                a, b = np.nonzero(may_link(distance, n[some], n[other], percent) & apart[np.ix_(rows, columns)])
+                out.append((some[a], other[b], distance[a, b] / (n[some[a]] + n[other[b]])))
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def may_link(distance: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether a distance leaves room for a link of sets of these sizes."""
     total = n[:, None] + m[None, :]
@@ -331,19 +379,16 @@ class Tile:
                     out[1].extend(found[1])
         return out
 
-    def across(self, other: Tile, percent: int, labels: dict[int, int]) -> tuple[list[int], list[int]]:
-        """Pairs of components that links between two tiles of one family connect: here those that ``labels`` tells of
-        (itself for a class that it leaves out), in the other tile its families."""
-        if 100 * min(self.n.max(), other.n.max()) < percent * max(self.n.min(), other.n.min()):
+    def across(self, percent: int) -> tuple[list[int], list[int]]:
+        """Links between the tile's families, which are components here."""
+        apart = self.families[:, None] != self.families[None, :]
+        some = np.flatnonzero((may_link(hamming(self.sketches, self.sketches), self.n, self.n, percent) & apart).any(1))
+        if not len(some):
             return [], []
-        near = may_link(hamming(self.sketches, other.sketches), self.n, other.n, percent)
-        u, v = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-        if not len(u):
-            return [], []
-        a, b = np.nonzero(_linked(_shared(self.part(u), other.part(v)), self.n[u], other.n[v], percent))
-        own = np.array([labels.get(r, r) for r in self.reps[u].tolist()], dtype=np.int64)
-        found = {(x, y) for x, y in zip(own[a].tolist(), other.families[v][b].tolist(), strict=True) if x != y}
-        return [x for x, _ in found], [y for _, y in found]
+        p, n = self.part(some), self.n[some]
+        a, b = np.nonzero(np.triu(_linked(_shared(p, p), n, n, percent) & apart[np.ix_(some, some)], 1))
+        numbers, at = np.unique(self.families[some], return_inverse=True)
+        return _forest(numbers, at[a], at[b])
 
 
 def _linked(shared: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -373,6 +418,109 @@ def _tiled(members: DataFrame) -> DataFrame:
     return own.join(of_family, "family").join(of_hub, ["family", "hub"]).select("rep", "family", tile.alias("tile"), (F.col("family_tiles") > 1).alias("large"), "hub")
 
 
+_CELL = ["g", "lo", "hi"]
+
+
+def _chunks(count: int, sum_of: str, room: int):
+    return F.ceil(F.greatest(F.count("*") / count, F.sum(sum_of) / room)).cast("int").alias("chunks")
+
+
+def _cell(i, j) -> list:
+    return [F.least(i, j).cast("int").alias("lo"), F.greatest(i, j).cast("int").alias("hi")]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, given in the order of the cells."""
+    held, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cell = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+        cuts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(1), [True]])).tolist()
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and tuple(cell[x]) != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(x, y - x))
+            key = tuple(cell[x])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with the cells' columns, a cell in one task and in one piece."""
+    return rows.select(*_CELL, *columns).repartition(*_CELL).sortWithinPartitions(*_CELL)
+
+
+def _candidates(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, la, lb, d: classes of different components (labels: rep, label) that share a list and whose sketches leave
+    room for a link; la < lb. Parts of a long list meet in pairs."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [sized_sketch(np.frombuffer(h.as_py(), "<u8")) for h in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(x) for x in made], pa.int64()), pa.array(made, pa.binary())], ["rep", "label", "n", "bytes", "sketch"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            part, rep, label, n = (t[c].to_numpy() for c in ("part", "rep", "label", "n"))
+            a, b, d = candidates(part, label, n, t["sketch"].to_pylist(), percent)
+            swap = label[a] > label[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            for x in range(0, len(a), 1 << 16):
+                u, v = a[x : x + (1 << 16)], b[x : x + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in (rep[u], rep[v], label[u], label[v], d[x : x + (1 << 16)])], ["a", "b", "la", "lb", "d"])
+
+    own = members.select("list", "rep").join(few(labels), "rep")
+    mixed = own.groupBy("list").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("list")
+    own = materialize(own.join(mixed, "list").select("list", "rep"), "join-mixed")
+    made = sets.join(few(labels), "rep").select("rep", "label", "n", "hashes")
+    made = materialize(made.mapInArrow(tidy(sketch), "rep long, label long, n long, bytes long, sketch binary"), "join-sketches")
+    chunks = own.join(made.select("rep", "bytes"), "rep").groupBy(F.col("list").alias("g")).agg(_chunks(MEET, "bytes", MEET_BYTES))
+    placed = own.select(F.col("list").alias("g"), "rep", F.xxhash64("rep").alias("h")).join(chunks, "g").withColumn("part", F.pmod("h", "chunks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("g", *_cell("part", "other"), "part", "rep")
+    found = _dealt(placed.join(made, "rep"), "part", "rep", "label", "n", "sketch").mapInArrow(tidy(near), "a long, b long, la long, lb long, d double")
+    found = materialize(found.dropDuplicates(["a", "b"]), "join-near")
+    discard(own, made)
+    return found
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between components, of candidates (a, b, la, lb). Classes that candidates connect are a group, cut by
+    hash; two parts of it meet in their classes that have a candidate there."""
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            found = Tile(Tile.pack(*(t[c].to_pylist() for c in ("rep", "label", "n", "hashes")))).across(percent)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
+
+    node = components(pairs.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("g")).join(sets.select("rep", "n"), "rep")
+    node = node.join(node.groupBy("g").agg(_chunks(TILE, "n", TILE_SHINGLES)), "g").select("rep", "g", F.pmod(F.xxhash64("rep"), "chunks").alias("c"))
+    node = materialize(node, "join-group")
+    met = pairs.join(node.select(F.col("rep").alias("a"), "g", F.col("c").alias("ca")), "a").join(node.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b")
+    both = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("la").alias("label")), F.struct(F.col("b").alias("rep"), F.col("lb").alias("label"))))
+    cells = materialize(met.select("g", *_cell("ca", "cb"), both.alias("x")).select(*_CELL, "x.rep", "x.label").distinct(), "join-cells")
+    links = _dealt(sets.join(few(cells), "rep"), "rep", "label", "n", "hashes").mapInArrow(tidy(across), "a long, b long")
+    links = materialize(links.distinct(), "join-links")
+    discard(node, cells)
+    return links
+
+
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between components (labels: rep, label) of classes that share a list."""
+    near = _candidates(members, labels, sets, percent)
+    # Many copies of two components pass, and one link joins them: one pair of any two first, then what stays apart.
+    first = near.groupBy("la", "lb").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("x"))
+    first = materialize(first.select("x.a", "x.b", "la", "lb"), "join-first")
+    links = _verified(first, sets, percent)
+    now = components(links)
+    x, y = (now.select(F.col("node").alias(f"l{c}"), F.col("component").alias(f"n{c}")) for c in "ab")
+    rest = near.join(x, "la", "left").join(y, "lb", "left").select("a", "b", F.coalesce("na", "la").alias("la"), F.coalesce("nb", "lb").alias("lb"))
+    rest = materialize(rest.filter("la <> lb").join(first.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
+    discard(near, first)
+    return links if rest.isEmpty() else links.unionByName(_verified(rest, sets, percent))
+
+
 def _connected(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, component (the least node) of the classes that links connect, found among the classes that share a list."""
     tiles = materialize(_tiled(members), "join-tiles")
@@ -391,38 +539,18 @@ def _connected(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 found = Tile(blob.as_py()).inner(percent)
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for u, v, known in zip(*b.columns, strict=True):
-                found = Tile(u.as_py()).across(Tile(v.as_py()), percent, {x["rep"]: x["label"] for x in known.as_py()})
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
-
     own = tiles.select("rep", "family", "tile")
     hubs = tiles.filter("large").select(F.col("hub").alias("rep"), "family", "tile")
     blobs = packed(own.unionByName(hubs).distinct(), "join-blobs")
     within = materialize(blobs.select("blob").mapInArrow(tidy(inner), "a long, b long"), "join-links")
     near = components(within)
-    large = tiles.filter("large").select("rep", "family", "tile")
+    large = tiles.filter("large").select("rep")
     if large.isEmpty():
         discard(tiles, blobs, within)
         return near
-    labels = materialize(large.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", "tile", F.coalesce("component", "rep").alias("label")), "join-labels")
-    most = labels.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-    minor = labels.join(most, "family").filter("label <> most").select("rep", "label", "tile")
-    # A class goes to the other tiles that one of its lists reaches, and to no more.
-    reached = members.join(labels.select("rep", "tile"), "rep").groupBy("list").agg(F.array_sort(F.collect_set("tile")).alias("t")).filter("size(t) > 1")
-    # Its lists' tiles are united before they become rows: a class has many lists and they reach the same tiles.
-    tiles_of = members.select("list", "rep").join(minor, "rep").join(reached, "list").groupBy("rep", "label", "tile").agg(F.array_distinct(F.flatten(F.collect_set("t"))).alias("t"))
-    sent = tiles_of.select("rep", "label", "tile", F.explode("t").alias("x")).filter("x <> tile").select("rep", "label", "x")
-    sent = materialize(sent, "join-sent")
-    parts = sent.groupBy("x").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    sent = sent.join(parts, "x").select("rep", F.col("label").alias("family"), "x", F.xxhash64("x", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("tile"))
-    of_tile = few(materialize(sent.select("tile", "x").distinct(), "join-of-tile"))
-    minors = packed(sent.select("rep", "family", "tile"), "join-minors")
-    told = labels.groupBy(F.col("tile").alias("x")).agg(F.collect_list(F.struct("rep", "label")).alias("known"))
-    pairs = minors.select("tile", F.col("blob").alias("v")).join(of_tile, "tile").join(blobs.select(F.col("tile").alias("x"), F.col("blob").alias("u")).join(told, "x"), "x")
-    links = materialize(pairs.select("u", "v", "known").mapInArrow(tidy(across), "a long, b long").distinct(), "join-links")
-    discard(tiles, blobs, within, minors)
+    labels = materialize(large.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")), "join-labels")
+    discard(tiles, blobs, within)
+    links = _across(members, labels.select("rep", "label"), sets, percent)
     nodes = near.unionByName(labels.filter("label = rep").select(F.col("rep").alias("node"), F.col("label").alias("component"))).distinct()
     joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("least"))
     return nodes.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))

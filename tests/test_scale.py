@@ -75,3 +75,26 @@ def test_ids_of_near_copies_are_broadcast_whatever_the_threshold(spark, sf):
         assert "SortMergeJoin" not in _plan(corpus_pipeline.near_duplicates(spark, docs, sf))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_that_share_a_passage_send_no_sets_to_all_tiles(spark, monkeypatch):
+    """A family of texts with one common passage, of which few link: what is written of its sets grows with its size."""
+    from lexiflow.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "TILE", 5)
+    write, bytes_of = jaccard_join.materialize, []
+
+    def counted(df, label):
+        out = write(df, label)
+        some = [F.octet_length(c) for c, kind in out.dtypes if kind == "binary" and c in ("blob", "hashes", "sketch")]
+        bytes_of.extend(out.select(F.coalesce(F.sum(some[0]), F.lit(0))).first() if some else [])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(f"t{i}x{j}" for j in range(24)) for i in range(120)]
+    texts += [t + " end" for t in texts[:3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar(docs).collect()}
+    assert got == {i: i if i < 120 else i - 120 for i in range(123)}
+    assert sum(bytes_of) < 5 * 8 * 82 * len(texts)
