@@ -1,4 +1,4 @@
-"""Vector search by tiles: exact search, an inverted file with stored cells, and a neighbour graph.
+"""Vector search by tiles: exact search, an inverted file with stored cells, and a neighbour graph of shards.
 
 Vectors travel in tiles, rows that hold the ids and numbers of up to ``TILE`` vectors; Spark pairs tiles, and a task
 compares two tiles as one product of matrices and keeps each query's best. So no vector crosses a shuffle alone and no
@@ -191,60 +191,97 @@ def probe_vectors(spark: SparkSession, path: str, queries: DataFrame, probes: in
 # --- neighbour graph
 
 
+#: Vectors of a shard of the graph, and queries that a task takes to a shard at once.
+SHARD, ASKED = 1 << 13, 4096
+#: Of so many vectors one may be the end of long links, which lead from cluster to cluster.
+THIN = 8
+
+
 @dataclass(frozen=True)
 class Graph:
-    """Parameters of a neighbour graph: nearest neighbours of a vector, rounds of refinement, and links it may have
-    with the reverse ones."""
+    """Parameters of a neighbour graph: nearest neighbours of a vector, links it may have with the reverse ones, and
+    vectors that are compared with their whole shard at once. Neighbours in a shard are exact, so ``rounds`` of
+    refinement are not needed; the field stays for callers that give it."""
 
     near: int = 24
     rounds: int = 4
     most: int = 48
-    #: Tile of vectors that are compared whole in the first round.
     seeds: int = 256
 
 
-def _unit_rows(lists) -> np.ndarray:
-    x = np.array(lists, np.float64)
+def _unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
-def _within(groups: DataFrame, near: int) -> DataFrame:
-    """a, b, s of each member's ``near`` most similar others in its group; groups (g, members: array of id, v)."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for members in batch.column(0).to_pylist():
-                ids = np.array([m["id"] for m in members])
-                x = np.array([m["v"] for m in members], np.float64)
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
-                n = min(near, len(ids) - 1)
-                if n < 1:
-                    continue
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                a = np.repeat(np.arange(len(ids)), n)
-                yield pa.record_batch({"a": pa.array(ids[a]), "b": pa.array(ids[top.ravel()]), "s": pa.array(np.round(s[a, top.ravel()], 9))})
-
-    return groups.select("members").mapInArrow(run, "a long, b long, s double")
-
-
-def _capped(edges: DataFrame, most: int) -> DataFrame:
-    w = Window.partitionBy("a").orderBy(F.desc("s"), F.asc("b"))
-    return edges.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+def _matrix(column, n: int) -> np.ndarray:
+    """The lists of one length of an Arrow column as rows."""
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _neighbours(x: np.ndarray, near: int, seeds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``near`` most similar other rows of each row of unit vectors, and their similarity."""
+    n = min(near, len(x) - 1)
+    if n < 1:
+        return np.zeros((len(x), 0), np.int32), np.zeros((len(x), 0))
+    low = x.astype(np.float32)
+    to, sims = np.empty((len(x), n), np.int32), np.empty((len(x), n))
+    for i in range(0, len(x), seeds):
+        s = low[i : i + seeds] @ low.T
+        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
+        to[i : i + seeds] = np.argpartition(s, len(x) - n, axis=1)[:, len(x) - n :]
+        sims[i : i + seeds] = np.einsum("ij,ikj->ik", x[i : i + seeds], x[to[i : i + seeds]])
+    return to, np.round(sims, 9)
+
+
+def _hashed(ids: np.ndarray) -> np.ndarray:
+    """The places of ids in the order of a hash."""
+    with np.errstate(over="ignore"):
+        return np.argsort(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+
+
+def _long(x: np.ndarray, to: np.ndarray, ends: np.ndarray, far: int, seeds: int) -> tuple[np.ndarray, np.ndarray]:
+    """a, b of ``far`` links of each row to the most similar of ``ends`` that are not its neighbours."""
+    n, at = min(far, len(ends)), np.full(len(x), -1)
+    at[ends] = np.arange(len(ends))
+    low, out = x.astype(np.float32), []
+    for i in range(0, len(x), seeds):
+        s = low[i : i + seeds] @ low[ends].T
+        own = np.concatenate([to[i : i + len(s)], np.arange(i, i + len(s))[:, None]], axis=1)
+        row, column = np.repeat(np.arange(len(s)), own.shape[1]), at[own].ravel()
+        s[row[column >= 0], column[column >= 0]] = -np.inf
+        best = np.argpartition(s, len(ends) - n, axis=1)[:, len(ends) - n :]
+        a, b = np.repeat(np.arange(len(s)), n), best.ravel()
+        out.append((a[s[a, b] > -np.inf] + i, ends[b[s[a, b] > -np.inf]]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _linked(x: np.ndarray, to: np.ndarray, sims: np.ndarray, far: tuple[np.ndarray, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, s in the order of a: of links and reverse links the ``most`` best of each row, then the long ones."""
+    size = max(1, len(to))
+    a, b, s = np.repeat(np.arange(len(to)), to.shape[1]), to.ravel().astype(np.int64), sims.ravel()
+    pair, first = np.unique(np.concatenate([a, b]) * size + np.concatenate([b, a]), return_index=True)
+    a, b, s = pair // size, pair % size, np.concatenate([s, s])[first]
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < most
+    pair, first = np.unique(np.concatenate([a[keep], far[0]]) * size + np.concatenate([b[keep], far[1]]), return_index=True)
+    a, b = pair // size, pair % size
+    return a, b, np.round(np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]), 9)
 
 
 def build_graph(vectors: DataFrame, path: str, p: Graph = Graph()) -> None:
-    """Write a neighbour graph of vectors (id, v) under ``path``: ``nodes`` (id, v: unit vectors) and ``links`` (a, b, s).
-
-    It begins with the nearest ones in random groups. Each round lets a vector's neighbours, reverse ones among them,
-    meet each other: those of one vector are one bounded group, compared as a product of matrices. Only the ``near``
-    best of each stay; links and reverse links, up to ``most`` a vector, are stored. Similarity is the cosine. Vectors of
-    a length other than the most frequent one take no part; of equal ids the first by components stays.
+    """Write a neighbour graph of vectors (id, v) under ``path``: ``nodes`` (id, v: unit vectors), ``links`` (a, b, s)
+    and ``shards``, the same packed for searches.
+
+    Vectors are dealt to shards of about ``SHARD`` by the hash of their id. A shard is a graph of its own, built in one
+    task: the ``near`` most similar others of each vector, found by products of matrices, and their reverse links, of
+    both the best; a fifth of ``most`` are long links to the most similar ones of every ``THIN``th vector, without which
+    clusters would not hang together. So work and memory of a shard are bounded, and the build grows with the number of vectors.
+    Similarity is the cosine. Vectors of a length other than the most frequent one take no part; of equal ids the
+    first by components stays.
     """
     spark = vectors.sparkSession
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
     rows = vectors.filter(usable("v")).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).groupBy("id").agg(F.min("v").alias("v"))
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)  # one row
     rows = rows.join(F.broadcast(lengths.select("n")), F.size("v") == F.col("n"), "left_semi")
@@ -254,79 +291,114 @@ def build_graph(vectors: DataFrame, path: str, p: Graph = Graph()) -> None:
 
         for b in batches:
             if b.num_rows:
-                yield pa.record_batch([b.column(0), pa.array(list(_unit_rows(b.column(1).to_pylist())), pa.list_(pa.float64()))], names=["id", "v"])
+                yield pa.record_batch([b.column(0), pa.array(list(_unit_rows(_matrix(b.column(1), b.num_rows))), pa.list_(pa.float64()))], names=["id", "v"])
 
     rows.mapInArrow(unit, "id long, v array<double>").write.parquet(f"{path}/nodes")
-    nodes = read("nodes")
-    size = max(1, -(-nodes.count() // p.seeds))
-    member = F.struct("id", "v")
-    edges = None
-    for turn in range(2):
-        groups = nodes.groupBy(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(size)).alias("g")).agg(F.collect_list(member).alias("members"))
-        some = _within(groups, p.near)
-        edges = some if edges is None else edges.unionByName(some)
-    _capped(edges.distinct(), p.near).write.parquet(f"{path}/round0")
-    for turn in range(1, p.rounds + 1):
-        known = read(f"round{turn - 1}")
-        back = known.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")
-        # A vector that very many have as neighbour hands on its nearest ones only.
-        around = _capped(known.unionByName(back).distinct(), p.most)
-        members = around.select("a", F.col("b").alias("id")).unionByName(nodes.select(F.col("id").alias("a"), "id")).join(nodes, "id")
-        groups = members.groupBy("a").agg(F.collect_list(member).alias("members"))
-        fresh = _capped(_within(groups, p.near).unionByName(known).distinct(), p.near)
-        fresh.write.parquet(f"{path}/round{turn}")
-    last = read(f"round{p.rounds}")
-    both = last.unionByName(last.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).distinct()
-    _capped(both, p.most).write.parquet(f"{path}/links")
+    nodes = spark.read.schema("id long, v array<double>").parquet(f"{path}/nodes")
+    shards = max(1, -(-nodes.count() // SHARD))
 
+    def pack(t):
+        import pyarrow as pa
 
-def search_graph(spark: SparkSession, path: str, queries: DataFrame, k: int, scratch: str, beam: int = 64, step: int = 16, others: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Search a stored graph; returns (q, id, score, rank) by cosine, and the met pairs (q, id, score).
+        ids = t["id"].to_numpy()
+        order = np.argsort(ids)
+        ids, x = ids[order], _matrix(t["v"], len(ids))[order]
+        far, (to, sims) = p.most // 5, _neighbours(x, p.near, p.seeds)
+        a, b, s = _linked(x, to, sims, _long(x, to, np.sort(_hashed(ids)[::THIN]), far, p.seeds), p.most - far)
+        ends = np.searchsorted(a, np.arange(len(ids) + 1))
+        blobs = (ids.astype("<i8"), x, ends.astype("<i8"), b.astype("<i4"), s)
+        return pa.table({"shard": t["shard"][:1].cast(pa.int32()), **{c: pa.array([y.tobytes()], pa.binary()) for c, y in zip(("ids", "data", "ends", "b", "s"), blobs, strict=True)}})
 
-    Every query (q, qv) begins at the same entries, as many as the root of the number of vectors. Each round follows
-    the links of its ``step`` best vectors among its ``beam`` best that were not followed yet, and meets what is new to
-    it; queries whose beam is all followed are done. Rounds are joins, written under ``scratch``. Queries of another
-    length than the graph's vectors find nothing.
-    """
-    nodes, links = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/links").select("a", "b")
-    root = int(max(1, nodes.count() ** 0.5))
-    dims = F.broadcast(nodes.select(F.size("v").alias("_n")).limit(1))
-    asked = queries.filter(usable("qv")).select(F.col("q").cast("long").alias("q"), F.col("qv").cast("array<double>").alias("qv")).join(dims, F.size("qv") == F.col("_n"), "left_semi")
-    entries = nodes.orderBy(F.xxhash64("id"), "id").limit(root).select("id")
+    dealt = nodes.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
+    # A file a shard: a reader holds one at once.
+    dealt.groupBy("shard").applyInArrow(pack, _SHARD).write.option("maxRecordsPerFile", 1).parquet(f"{path}/shards")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        """Pairs (q, id) with their score: both vectors are joined, and compared in batches."""
-        given = pairs.join(asked, "q").join(nodes, "id").select("q", "id", "qv", "v")
+    def told(batches):
+        import pyarrow as pa
 
-        def run(batches):
-            import pyarrow as pa
+        for batch in batches:
+            for ids, ends, b, s in zip(*batch.columns, strict=True):
+                ids, ends, b, s = (np.frombuffer(c.as_py(), k) for c, k in ((ids, "<i8"), (ends, "<i8"), (b, "<i4"), (s, "<f8")))
+                a = np.repeat(ids, np.diff(ends))
+                for i in range(0, len(a), 1 << 16):
+                    yield pa.record_batch({"a": pa.array(a[i : i + (1 << 16)]), "b": pa.array(ids[b[i : i + (1 << 16)]]), "s": pa.array(s[i : i + (1 << 16)])})
 
-            for b in batches:
-                if b.num_rows:
-                    x, y = _unit_rows(b.column(2).to_pylist()), np.array(b.column(3).to_pylist(), np.float64)
-                    yield pa.record_batch([b.column(0), b.column(1), pa.array(np.round((x * y).sum(1), 9))], names=["q", "id", "score"])
+    spark.read.schema(_SHARD).parquet(f"{path}/shards").select("ids", "ends", "b", "s").mapInArrow(told, "a long, b long, s double").write.parquet(f"{path}/links")
 
-        return given.mapInArrow(run, "q long, id long, score double")
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{scratch}/{name}")
-        return spark.read.parquet(f"{scratch}/{name}")
+_SHARD = "shard int, ids binary, data binary, ends binary, b binary, s binary"
 
-    own = F.col("q") != F.col("id") if others else F.lit(True)
-    # A stated query set meets the entries, a bounded block of them for each query.
-    pairs = asked.select("q", F.lit(1).alias("_x")).join(entries.withColumn("_x", F.lit(1)), "_x").select("q", "id").filter(own)
-    met = keep(scored(pairs).withColumn("turn", F.lit(0)), "met0")
-    followed, turn = None, 0
-    w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("id"))
+
+def _walk(x: np.ndarray, links: np.ndarray, entries: np.ndarray, q: np.ndarray, own: int, beam: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a shard that a query meets, and their scores. Rows are in the order of their ids; ``links`` has a row for
+    each, filled up with the row itself."""
+    seen, done = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    if own >= 0:
+        seen[own] = True
+    fresh = entries[~seen[entries]]
+    met, scores = [], []
+    best, best_s = np.zeros(0, np.int64), np.zeros(0)
     while True:
-        pool = met.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= beam).select("q", "id", "score")
-        if followed is not None:
-            pool = pool.join(followed, ["q", "id"], "left_anti")
-        turn += 1
-        now = keep(pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= step).select("q", "id"), f"follow{turn}")
-        if now.isEmpty():
-            break
-        followed = now if followed is None else followed.unionByName(now)
-        fresh = now.join(links.withColumnRenamed("a", "id"), "id").select("q", F.col("b").alias("id")).distinct().filter(own).join(met.select("q", "id"), ["q", "id"], "left_anti")
-        met = met.unionByName(keep(scored(fresh).withColumn("turn", F.lit(turn)), f"met{turn}"))
-    return _ranked(met.select("q", "id", "score"), k), met.select("q", "id", "score")
+        seen[fresh] = True
+        s = np.round(x[fresh] @ q, 9)
+        met.append(fresh)
+        scores.append(s)
+        # What leaves the beam does not come back.
+        best, best_s = np.concatenate([best, fresh]), np.concatenate([best_s, s])
+        order = np.lexsort((best, -best_s))[:beam]
+        best, best_s = best[order], best_s[order]
+        now = best[~done[best]][:step]
+        if not len(now):
+            return np.concatenate(met), np.concatenate(scores)
+        done[now] = True
+        fresh = links[now].ravel()
+        fresh = np.unique(fresh[~seen[fresh]]).astype(np.int64)
+
+
+def _padded(ends: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = np.diff(ends)
+    out = np.repeat(np.arange(len(n), dtype=np.int32)[:, None], max(1, int(n.max(initial=0))), axis=1)
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(b)) - np.repeat(ends[:-1], n)] = b
+    return out
+
+
+def search_graph(spark: SparkSession, path: str, queries: DataFrame, k: int, scratch: str, beam: int = 64, step: int = 16, others: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Search a stored graph; returns (q, id, score, rank) by cosine, and the met pairs (q, id, score), which are found
+    anew when asked for.
+
+    Every query (q, qv) searches every shard and keeps the best of each. It begins at the same entries of a shard, as
+    many as the root of its vectors. Each round follows the links of its ``step`` best vectors among its ``beam`` best
+    that were not followed yet, and meets what is new to it; it is done when its beam is all followed. Queries travel
+    in tiles, written under ``scratch``; a shard goes to a task whole. Queries of another length than the graph's
+    vectors find nothing.
+    """
+    nodes = spark.read.schema("id long, v array<double>").parquet(f"{path}/nodes")
+    dims = F.broadcast(nodes.select(F.size("v").alias("_n")).limit(1))
+    asked = queries.filter(usable("qv")).select(F.col("q").cast("long").alias("q"), F.col("qv").cast("array<double>").alias("qv")).join(dims, F.size("qv") == F.col("_n"), "left_semi")
+    n = asked.count()
+    parts = max(-(-n // ASKED), min(spark.sparkContext.defaultParallelism, -(-n // 64)), 1)
+    tiles = _tiles(asked.repartition(parts).select(F.col("q").alias("id"), F.col("qv").alias("v"), F.lit(0).alias("cell")), ASKED, "cosine")
+    tiles.select(F.col("ids").alias("qids"), F.col("data").alias("qdata")).write.parquet(f"{scratch}/queries")
+    tiles = spark.read.schema("qids binary, qdata binary").parquet(f"{scratch}/queries")
+    pairs = spark.read.schema(_SHARD).parquet(f"{path}/shards").drop("shard", "s").crossJoin(tiles)
+
+    def search(most: int | None):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for ids, data, ends, b, qids, qdata in zip(*batch.columns, strict=True):
+                    ids, x, ends, b, qids = (np.frombuffer(c.as_buffer(), t) for c, t in ((ids, "<i8"), (data, "<f8"), (ends, "<i8"), (b, "<i4"), (qids, "<i8")))
+                    x, y = x.reshape(len(ids), -1), np.frombuffer(qdata.as_buffer()).reshape(len(qids), -1)
+                    entries, links = _hashed(ids)[: int(max(1, len(ids) ** 0.5))], _padded(ends, b)
+                    for q, v in zip(qids.tolist(), y, strict=True):
+                        at = int(np.searchsorted(ids, q))
+                        own = at if others and at < len(ids) and ids[at] == q else -1
+                        met, s = _walk(x, links, entries, v, own, beam, step)
+                        order = np.lexsort((met, -s))[:most]
+                        yield pa.record_batch({"q": pa.array(np.full(len(order), q)), "id": pa.array(ids[met[order]]), "score": pa.array(s[order])})
+
+        return run
+
+    schema = "q long, id long, score double"
+    return _ranked(pairs.mapInArrow(search(k), schema), k), pairs.mapInArrow(search(None), schema)

@@ -113,3 +113,28 @@ def test_graph_meets_few_vectors(spark, tmp_path):
     assert {q for q, _ in found} == set(range(1, 1500, 50))
     assert len(found & want) >= 0.9 * len(want) and met.count() < 0.2 * 30 * 1500
     assert met.count() == met.select("q", "id").distinct().count()
+
+
+def test_graph_is_built_and_searched_without_joins_of_vectors(spark, tmp_path, monkeypatch):
+    """Many shards: recall, each query's best over all of them, ids as signed numbers; no join or sort of met pairs."""
+    monkeypatch.setattr(vectors, "SHARD", 300)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20, 16))[rng.integers(0, 20, 1200)] + 0.5 * rng.normal(size=(1200, 16))
+    v = spark.createDataFrame([(i - 600, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    vectors.build_graph(v, f"{tmp_path}/g")
+    assert spark.read.parquet(f"{tmp_path}/g/shards").count() == 4 and spark.read.parquet(f"{tmp_path}/g/links").groupBy("a").count().agg(F.max("count")).first()[0] <= 48
+    got, met = vectors.search_graph(spark, f"{tmp_path}/g", asked(v, "id % 40 = 0"), 5, f"{tmp_path}/s", others=True)
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    assert not any(word in plan for word in ("SortMergeJoin", "HashJoin", "Window"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows, hits = got.collect(), 0
+    for q in range(-600, 600, 40):
+        s = np.where(np.arange(1200) == q + 600, -2, np.round(unit @ unit[q + 600], 9))
+        mine = sorted((r["rank"], r.id, r.score) for r in rows if r.q == q)
+        assert [r for r, _, _ in mine] == [1, 2, 3, 4, 5] and all(abs(s[i + 600] - c) < 1e-8 for _, i, c in mine)
+        hits += len({i + 600 for _, i, _ in mine} & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 30
+    vectors.build_graph(v.limit(0), f"{tmp_path}/none")
+    assert vectors.search_graph(spark, f"{tmp_path}/none", asked(v, "id = 0"), 5, f"{tmp_path}/s0")[0].isEmpty()
+    vectors.build_graph(v.limit(1), f"{tmp_path}/one")
+    assert vectors.search_graph(spark, f"{tmp_path}/one", asked(v, "id % 40 = 0"), 5, f"{tmp_path}/s1")[0].count() == 30
